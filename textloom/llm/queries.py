@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, ngram_join, packing, topk, url_filter
+from textloom.llm import decontaminate, line_dedup, lm_score, ngram_join, packing, topk, url_filter
 from textloom.llm.common import read
 
 URL_RULES = [
@@ -25,6 +25,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = line_dedup.dedup_lines(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return made.select("doc_id", "n_lines", line_dedup.n_removed(F.col("removed_runs")).alias("n_removed"), F.md5("text").alias("text_md5"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 1).cast("int").alias("good"))
     return url_filter.filter_urls(read(spark, sf_dir, "pages", "page_id", "url"), outcomes, URL_RULES)
@@ -47,9 +52,13 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": line_dedup.SQL}
