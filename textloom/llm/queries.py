@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, line_dedup, lm_score, ngram_join, packing, topk, url_filter
+from textloom.llm import decontaminate, line_dedup, lm_score, ngram_join, packing, quality, topk, toxicity, url_filter
 from textloom.llm.common import read
 
 URL_RULES = [
@@ -30,6 +30,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_lines", line_dedup.n_removed(F.col("removed_runs")).alias("n_removed"), F.md5("text").alias("text_md5"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).cast("int").alias("good"))
+    return quality.score_quality(read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), labels)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 1).cast("int").alias("good"))
     return url_filter.filter_urls(read(spark, sf_dir, "pages", "page_id", "url"), outcomes, URL_RULES)
@@ -43,6 +48,12 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.fit(docs, toxicity.categories(labels)))
+    return scored.select("doc_id", F.round("p_low_quality", 6).alias("p_low_quality"), F.round("p_toxic", 6).alias("p_toxic"), (F.col("p_toxic") >= 0.5).alias("rejected"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents", "doc_id", "text"))
 

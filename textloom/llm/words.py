@@ -17,6 +17,10 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+#: An odd multiplier for short keys.
+FREE_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
 def lookup(separators: bytes, lower: bool = True) -> np.ndarray:
     """A value for each byte: 0 for separators, else a random number; A-Z like a-z if ``lower``."""
     values = _VALUES.copy()
@@ -67,7 +71,7 @@ def word_numbers(data: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(number + (end - start).astype(np.uint64)), start, end
 
 
-def batches_of_words(texts: pa.Array, values: np.ndarray, size: int = 4_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def batches_of_words(texts: pa.Array, values: np.ndarray, size: int = 1_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bounds, numbers) for consecutive rows of about ``size`` bytes: row i has the words bounds[i] to bounds[i + 1].
 
     A null text has no words."""
