@@ -109,6 +109,34 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int, asked) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(bounds) - 1), lists], schema=schema)
 
 
+def _slot(column, size: int):
+    return F.pmod(F.xxhash64(column), F.lit(size))
+
+
+def _bitmap(ids: DataFrame, size: int = 1 << 23) -> np.ndarray:
+    """``size`` bits, at most 2^28: where a doc_id's hash falls that is among ``ids``. A filter that decides nothing."""
+    slot = _slot("doc_id", size) + 1  # Spark counts positions from 1
+    rows = ids.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros(size, bool)
+    for r in rows.collect():  # 4 KB each
+        out[(r.k - 1) * 32768 : r.k * 32768] = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little").astype(bool)
+    return out
+
+
+def _maybe_shared(batches: Iterator[pa.RecordBatch], bits, size: int) -> Iterator[pa.RecordBatch]:
+    """The windows without the pivots whose bit isn't set."""
+    packed = bits.value
+    for batch in batches:
+        slots = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+        hit = (packed[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+        lists = batch.column(2)
+        sizes = np.diff(lists.offsets.to_numpy())
+        own = np.repeat(np.arange(len(sizes)), sizes)[hit]
+        bounds = np.searchsorted(own, np.arange(len(sizes) + 1)).astype(np.int32)
+        kept = pa.ListArray.from_arrays(pa.array(bounds), lists.flatten().filter(pa.array(hit)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept, pa.array([[]] * len(sizes), pa.list_(pa.int32()))], names=["doc_id", "n", "pivots", "slots"])
+
+
 class JaccardJoin:
     """Runs the steps over one table; ``classes`` and ``links`` are the results."""
 
@@ -135,21 +163,17 @@ class JaccardJoin:
     def _regions(self) -> None:
         words, percent, rarity = self.words, self.percent, self.rarity
         made = self.docs.where("doc_id is not null").mapInArrow(lambda x: _prefixes(x, words, percent, rarity), "doc_id long, n long, pivots array<long>")
-        heads = self.heads.select(F.col("head").alias("doc_id"))
-        members = made.join(heads, "doc_id", "left_semi").select("doc_id", "n", F.explode("pivots").alias("region"))
-        members = settle(members, "regions")
-        shared = members.groupBy("region").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("doc_id"), "doc_id"))["doc_id"].alias("pivot")).where("members > 1")
+        made = settle(made, "pivot-windows")
+        # most shingles are one document's alone: their regions go before anything but their number is shuffled
+        shared = made.select(F.explode("pivots").alias("region")).groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region")
         shared = settle(shared, "shared-regions")
-        self.members = settle(members.join(shared.drop("members"), "region"), "region-members")
-
-    def _bitmap(self, ids: DataFrame) -> np.ndarray:
-        """A fixed number of bits: where a document's hash falls that is among ``ids``."""
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 23))
-        rows = ids.groupBy(F.bitmap_bucket_number(slot + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("bits"))
-        out = np.zeros(1 << 23, bool)
-        for r in rows.collect():  # at most 256 rows of 4 KB
-            out[(r.k - 1) * 32768 : r.k * 32768] = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little").astype(bool)
-        return out
+        size = 1 << min(28, max(15, (16 * shared.count()).bit_length()))
+        bits = self.spark.sparkContext.broadcast(np.packbits(_bitmap(shared.select(F.col("region").alias("doc_id")), size), bitorder="little"))
+        near = made.withColumn("slots", F.transform("pivots", lambda p: _slot(p, size).cast("int"))).mapInArrow(lambda x: _maybe_shared(x, bits, size), "doc_id long, n long, pivots array<long>, slots array<int>").select("doc_id", "n", "pivots")
+        near = near.join(self.heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi")
+        members = settle(near.dropDuplicates(["doc_id"]).select("doc_id", "n", F.explode("pivots").alias("region")), "regions")
+        pivots = members.groupBy("region").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("doc_id"), "doc_id"))["doc_id"].alias("pivot")).where("members > 1")
+        self.members = settle(members.join(settle(pivots.select("region", "pivot"), "pivots"), "region"), "region-members")
 
     def _distances(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """pairs(a, b, na, nb) -> (a, b, shared, near, distance), exactly."""
@@ -164,8 +188,8 @@ class JaccardJoin:
     def _link(self, recursions: int) -> None:
         words = self.words
         size = self.members.select(F.col("doc_id").alias("pivot"), F.col("n").alias("np")).distinct()
-        asked = self.spark.sparkContext.broadcast(self._bitmap(self.members.select("doc_id")))
-        rows = self.docs.where("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 23)))
+        asked = self.spark.sparkContext.broadcast(_bitmap(self.members.select("doc_id")))
+        rows = self.docs.where("doc_id is not null").withColumn("slot", _slot("doc_id", 1 << 23))
         sets = rows.mapInArrow(lambda x: _sets(x, words, asked), "doc_id long, shingles array<long>")
         heads = self.members.select("doc_id").distinct()
         sets = settle(sets.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "shingle-sets")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, line_dedup, lm_score, ngram_join, packing, quality, topk, toxicity, url_filter
+from textloom.llm import decontaminate, html_extract, line_dedup, lm_score, ngram_join, packing, quality, topk, toxicity, url_filter
 from textloom.llm.common import read
 
 URL_RULES = [
@@ -54,6 +54,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.round("p_low_quality", 6).alias("p_low_quality"), F.round("p_toxic", 6).alias("p_toxic"), (F.col("p_toxic") >= 0.5).alias("rejected"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents", "doc_id", "text"))
 
