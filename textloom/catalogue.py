@@ -509,8 +509,6 @@ def length_budget(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", C.length_budget(F.col("text")).alias("b")).select("doc_id", "b.*")
 
 
-_QUOTE = F.lit("'")
-
 
 def _dataset(spark, sf):
     """Dataset rows made of conversations: the turns' tokens, with options and a marker sentence between user and assistant."""
