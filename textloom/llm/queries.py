@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, html_extract, line_dedup, lm_score, ngram_join, packing, quality, topk, toxicity, url_filter
+from textloom.llm import decontaminate, html_extract, line_dedup, lm_score, ngram_join, oracles, packing, quality, topk, toxicity, url_filter
 from textloom.llm.common import read
 
 URL_RULES = [
@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL}
+    return dict(oracles.SQL)
