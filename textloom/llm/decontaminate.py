@@ -34,8 +34,9 @@ FREE = np.uint64(0x9E3779B97F4A7C15)
 def repetitions(max_rate: float, samples: int, recall: float) -> int:
     """So many draws that a pair at the largest distance meets in one of them with probability ``recall``.
 
-    Each edit makes the walk differ at 4 of the 3n places in the mean before the two pointers meet again."""
-    agree = max(0.05, 1 - 4 * max_rate / 3) ** samples
+    After an edit the two pointers drift until they meet again; on random strings with the most edits the walks agree at
+    about 1 / (1 + 6 max_rate) of the places."""
+    agree = (1 / (1 + 6 * max_rate)) ** samples
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
 
@@ -248,7 +249,7 @@ def _scanner(shared):
     return scan
 
 
-def with_spans(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", out="spans", max_rate=0.2, min_words=5, samples=3, recall=0.99, block_chars=8_000_000) -> DataFrame:
+def with_spans(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", out="spans", max_rate=0.2, min_words=5, samples=2, recall=0.99, block_chars=8_000_000) -> DataFrame:
     """All rows and columns of ``docs``, and ``out``: an array of (item_id, start_word, end_word, edits)."""
     spark = docs.sparkSession
     found = F.array().cast(SPAN)

@@ -127,7 +127,7 @@ class Chain:
         return out
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, columns: list[str], id_col="doc_id", text_col="text", max_rows: int = 20_000, most: int = 2048, least_rows: int = 3, folds: int = 5) -> Chain:
+def fit_chain(docs: DataFrame, labels: DataFrame, columns: list[str], id_col="doc_id", text_col="text", max_rows: int = 20_000, most: int = 2048, least_rows: int = 3, least_score: float = 15.0, folds: int = 5) -> Chain:
     """labels(id, columns 0/1): fit the chain on at most ``max_rows`` labelled rows.
 
     Later models are trained with out-of-fold logits of the earlier labels, so they see earlier errors as they will be."""
@@ -144,7 +144,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, columns: list[str], id_col="do
     for y, p in zip(ys, share):
         if p and 0 < p < 1:
             score = F.greatest(score, (F.col(y) - F.col("n") * p) ** 2 / (F.col("n") * p * (1 - p)))
-    kept = np.sort(np.array([r.feature for r in counts.orderBy(F.desc(score), "feature").limit(most).collect()], np.int64).view(np.uint64))
+    kept = np.sort(np.array([r.feature for r in counts.where(score >= least_score).orderBy(F.desc(score), "feature").limit(most).collect()], np.int64).view(np.uint64))
     chain = Chain(columns, kept)
     listed = F.broadcast(rows.sparkSession.createDataFrame([(int(k), i) for i, k in enumerate(kept.view(np.int64))], "feature long, slot int")) if len(kept) else None
     got = rows.withColumn("_id", F.monotonically_increasing_id())
