@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import cased_tokens
+from textloom.plans.scratch import settled
 
 
 def g2(a: Column, b: Column, na: Column, nb: Column) -> Column:
@@ -33,6 +34,10 @@ def keyness(docs: DataFrame, target: str = "A", reference: str = "B", top: int |
         "term", "freq_tar", "freq_ref", "range_tar", "range_ref", F.round(1e6 * a / na, 3).alias("norm_tar"), F.round(1e6 * b / nb, 3).alias("norm_ref"),
         F.round(g2(a, b, na, nb), 6).alias("likelihood"), F.round(2 * a / (na + a + b), 6).alias("effect"),
     )
+    if top:  # the rank is global, so only what can reach it goes to the one window
+        made = settled(made, "keyness")
+        least = made.orderBy(F.desc("likelihood")).limit(top).agg(F.min("likelihood").alias("least"))
+        made = made.join(F.broadcast(least), F.col("likelihood") >= F.col("least")).drop("least")
     ranked = made.withColumn("rank", F.rank().over(Window.orderBy(F.desc("likelihood"))))
     return ranked.where(F.col("rank") <= top) if top else ranked
 

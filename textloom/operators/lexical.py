@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import lexicons
 from textloom.functions.text import letter_tokens, per_thousand, phrase_count, round4, stem_tokens, term_tokens, vector_tokens, word_count
+from textloom.plans.scratch import settled
 
 
 def terms(docs: DataFrame, tokens: Column | None = None, stop_words=()) -> DataFrame:
@@ -19,9 +20,22 @@ def terms(docs: DataFrame, tokens: Column | None = None, stop_words=()) -> DataF
 def term_frequencies(docs: DataFrame, stop_words=(), top: int | None = None, tokens: Column | None = None) -> DataFrame:
     """(corpus, rank, term, frequency) by falling frequency, then term. Counting combines on the map side."""
     counts = terms(docs, tokens, stop_words).groupBy("corpus", "term").agg(F.count("*").alias("frequency"))
-    rank = F.row_number().over(Window.partitionBy("corpus").orderBy(F.desc("frequency"), "term"))
-    ranked = counts.withColumn("rank", rank)
-    return (ranked.where(F.col("rank") <= top) if top else ranked).select("corpus", "rank", "term", "frequency")
+    order = [F.desc("frequency"), F.asc("term")]
+    if top:  # a limit that Spark applies to each task before it shuffles
+        ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("corpus").orderBy(*order))).where(F.col("rank") <= top)
+    else:
+        ranked = fully_ranked(counts, "corpus", order, "rank")
+    return ranked.select("corpus", "rank", "term", "frequency")
+
+
+def fully_ranked(rows: DataFrame, group: str, order: list[Column], out: str) -> DataFrame:
+    """The rank of every row of large groups: sorted ranges are numbered apart, after the number of rows in the ranges before."""
+    ranged = settled(rows.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = ranged.join(F.broadcast(sizes.select(group, "_range", before.alias("_before"))), [group, "_range"])  # a row for each range
+    own = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
+    return met.withColumn(out, (F.col("_before") + own).cast("int")).drop("_range", "_before")
 
 
 def zipf_series(docs: DataFrame, stop_words=()) -> DataFrame:
