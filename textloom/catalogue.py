@@ -21,6 +21,7 @@ from textloom.operators import linking as N
 from textloom.operators import ontology as O
 from textloom.operators import paired as P
 from textloom.operators import review as R
+from textloom.operators import summaries as M
 from textloom.sources import readers as S
 
 #: The test prose is invented and holds no hedges; these words occur in it.
@@ -554,6 +555,85 @@ def review_depths(spark, sf):
     return R.reviewed_depths(answered, _descriptions(spark, sf), _depth(spark, sf))
 
 
+# ---- summaries
+
+POOLED = f"""{MENTIONS}, en AS (SELECT side AS corpus, entity, concept, sum(n)::BIGINT AS frequency, max(depth) AS depth FROM m GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {POOLED}, g AS (SELECT corpus, count(*) AS types, count(concept) AS with_concept, count(depth) AS with_depth FROM en GROUP BY corpus) SELECT *, round(100.0::DOUBLE * with_concept / types, 2) AS pct_concept, round(100.0::DOUBLE * with_depth / types, 2) AS pct_depth FROM g")
+def link_coverage(spark, sf):
+    return M.coverage(_pooled(spark, sf))
+
+
+@query(f"WITH RECURSIVE {POOLED} SELECT corpus, count(*) AS n, round(avg(depth), 6) AS mean_depth, sum(frequency)::BIGINT AS mentions, round(sum(depth * frequency)::DOUBLE / sum(frequency), 6) AS weighted_depth FROM en WHERE depth IS NOT NULL GROUP BY corpus")
+def mean_depth_by_corpus(spark, sf):
+    return M.mean_depths(_pooled(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {POOLED} SELECT * FROM (SELECT corpus, 'deepest' AS "end", row_number() OVER (PARTITION BY corpus ORDER BY depth DESC, entity)::INTEGER AS rank, entity, depth FROM en WHERE depth IS NOT NULL) WHERE rank <= 5
+UNION ALL SELECT * FROM (SELECT corpus, 'shallowest', row_number() OVER (PARTITION BY corpus ORDER BY depth, entity)::INTEGER AS rank, entity, depth FROM en WHERE depth IS NOT NULL) WHERE rank <= 5""")
+def depth_extremes(spark, sf):
+    return M.depth_extremes(_pooled(spark, sf))
+
+
+@query(f"WITH RECURSIVE {BRANCH} SELECT count(*) AS n, round(avg(depth_diff), 6) AS mean_diff, count(*) FILTER (depth_diff < 0) AS n_a_deeper, count(*) FILTER (depth_diff > 0) AS n_b_deeper, count(*) FILTER (depth_diff = 0) AS n_equal FROM bp")
+def depth_diff_summary(spark, sf):
+    return M.diff_summary(_pairs(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {MENTIONS}, k AS (SELECT case_id, concept, bool_or(side = 'A') AS a, bool_or(side = 'B') AS b FROM m GROUP BY ALL), s AS (SELECT case_id, count(*) FILTER (a AND b) AS i, count(*) FILTER (a AND NOT b) AS x, count(*) FILTER (b AND NOT a) AS y FROM k GROUP BY ALL),
+v AS (SELECT avg(x) AS x, avg(i) AS i, avg(y) AS y FROM s) SELECT round(x / (x + i + y), 6) AS share_a_only, round(i / (x + i + y), 6) AS share_intersection, round(y / (x + i + y), 6) AS share_b_only FROM v""")
+def mean_composition(spark, sf):
+    return M.mean_composition(per_case_ab_summary(spark, sf))
+
+
+@query(f"WITH RECURSIVE {POOLED} SELECT corpus, rank, entity, concept, depth, frequency FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY frequency DESC, entity)::INTEGER AS rank FROM en WHERE depth >= 4) WHERE rank <= 20")
+def top_linked_entities(spark, sf):
+    return M.top_linked(_pooled(spark, sf), 20, 4)
+
+
+@query(f"WITH RECURSIVE {POOLED} SELECT concept, max(frequency) AS weight, string_agg(DISTINCT corpus, ',' ORDER BY corpus) AS sides FROM en GROUP BY concept")
+def node_weights(spark, sf):
+    return M.node_weights(_pooled(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {WALK}, e AS (SELECT l_returnflag AS corpus, lower(p_name) AS term, count(*) AS f FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY f DESC, term) AS rank FROM e),
+t AS (SELECT lower(p_name) AS term, min('P' || p_partkey) AS concept FROM part GROUP BY 1) SELECT term, corpus, concept, depth FROM r LEFT JOIN t USING (term) LEFT JOIN depth ON depth.c = concept WHERE rank <= 20""")
+def freq_term_depths(spark, sf):
+    li = _t(spark, sf, "lineitem").join(_t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    docs = li.select(F.col("l_returnflag").alias("corpus"), F.col("l_orderkey").alias("case_id"), F.lower("p_name").alias("text"))
+    ranked = L.term_frequencies(docs, top=20, tokens=F.array(F.col("text")))
+    return M.term_depths(ranked, N.best_terms(_descriptions(spark, sf)), _depth(spark, sf))
+
+
+@query(rf"""WITH docs AS (SELECT role AS corpus, conv_id AS case_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system') GROUP BY ALL), {HEDGE},
+s AS (SELECT corpus, sum(hits)::BIGINT AS h, sum(tokens)::BIGINT AS t FROM h GROUP BY corpus), p AS (SELECT corpus, sum(len(regexp_extract_all(text, '(?i)\bof\s+the\b')))::BIGINT AS h, sum(len({LETTERS}))::BIGINT AS t FROM docs GROUP BY corpus)
+SELECT s.corpus, {RATE.format(h='s.h', t='s.t')} AS hedge_per_1000, {RATE.format(h='p.h', t='p.t')} AS phrase_per_1000 FROM s JOIN p USING (corpus)""")
+def ablation_metrics(spark, sf):
+    docs = S.conversations(spark, f"{sf}/conversations.parquet", {r: r for r in ("user", "assistant", "system")})
+    return M.subset_rates(docs, docs.where("corpus = 'system'"), LEXICON, r"\bof\s+the\b")
+
+
+@query()
+def context_sentences(spark, sf):
+    """The sentence around each dictionary word in the first case that holds it."""
+    docs = _docs(spark, sf).where("corpus = 'B'")
+    found = first_case_of_entity(spark, sf)
+    return docs.join(found, "case_id").select("case_id", "entity", T.surrounding_sentence(F.col("text"), F.col("entity")).alias("sentence"))
+
+
+@query(f"""WITH RECURSIVE {ISA}, p AS (SELECT child AS c, child AS anc, [child] AS path, 0 AS hops FROM isa UNION SELECT parent, parent, [parent], 0 FROM isa UNION SELECT c, parent, list_append(path, parent), hops + 1 FROM p JOIN isa ON anc = child),
+s AS (SELECT c, path, row_number() OVER (PARTITION BY c ORDER BY hops, array_to_string(path, chr(1))) AS r FROM p WHERE anc = 'ROOT') SELECT c, array_to_string(CASE WHEN len(path) <= 6 THEN path ELSE list_concat(path[1:2], ['…'], path[len(path) - 2:]) END, '>') AS path FROM s WHERE r = 1""")
+def compact_paths(spark, sf):
+    return _up(spark, sf).where("anc = 'ROOT'").select("c", F.array_join(O.compact_path(F.col("path")), ">").alias("path"))
+
+
+@query("""SELECT decision, event_id FROM (SELECT decision, event_id, row_number() OVER (PARTITION BY decision ORDER BY event_id) AS r FROM (SELECT event_id, CASE WHEN event_id % 4 = 3 AND event_id % 7 % 4 = 3 THEN 'INCOMPARABLE' ELSE list_value('KEEP', 'SUBSTITUTE', 'INCOMPARABLE', 'maybe')[event_id % 4 + 1] END AS decision FROM events))
+WHERE r <= CASE decision WHEN 'SUBSTITUTE' THEN 3 WHEN 'INCOMPARABLE' THEN 2 WHEN 'KEEP' THEN 3 ELSE 0 END""")
+def overview_by_decision(spark, sf):
+    return R.capped_by_decision(llm_json_parse(spark, sf).select("decision", "event_id"), {"SUBSTITUTE": 3, "INCOMPARABLE": 2, "KEEP": 3}, ["event_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
