@@ -175,7 +175,7 @@ def _packer(capacity: int, last: bool):
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, group_rows: int = 20_000, rounds: int = 4, **columns) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
     pieces = settle(pieces_of(docs, tokenizer_path, capacity, end_id, **columns), "pieces")
-    full = pieces.where(F.col("length") == capacity).select("row_id", "piece", F.lit(0).alias("round"), F.lit(0).cast("long").alias("grp"), F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("offset"))
+    full = pieces.where(F.col("length") == capacity).select("row_id", "piece", F.lit(0).alias("round"), F.lit(0).cast("long").alias("grp"), F.monotonically_increasing_id().alias("bin"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity).select("row_id", "piece", "length")
     done, n, k = [], rest.count(), 0
     schema = "row_id long, piece int, length long, grp long, bin long, offset long, settled boolean"
@@ -192,6 +192,6 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     for part in done:
         placed = placed.unionByName(part)
     # a bin's number: its round, group and place there; a full piece is a bin of its own
-    number = F.when(F.col("round") == 0, -1 - F.col("row_id") * 4096 * 16 - F.col("piece")).otherwise((F.col("round") * (1 << 40) + F.col("grp")) * (1 << 20) + F.col("bin"))
+    number = F.when(F.col("round") == 0, -1 - F.col("bin")).otherwise((F.col("round") * (1 << 40) + F.col("grp")) * (1 << 20) + F.col("bin"))
     placed = placed.select("row_id", "piece", number.alias("sequence_id"), "offset")
     return pieces.join(placed, ["row_id", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
