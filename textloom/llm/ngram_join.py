@@ -15,8 +15,8 @@ Documents with the same shingle set are one class from the start. Rarity comes f
 fixed number of buckets, so very common passages come last and create no large regions.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; with fewer
-words than a shingle, the whole sequence is one shingle; rows that repeat a doc_id are each a document, and share the
-class of that id; null ids take no part in links.
+words than a shingle, the whole sequence is one shingle; rows that repeat id and text are one document and come out
+alike; an id must not stand for different texts (its links are then those of one of them); null ids take no part in links.
 """
 
 from __future__ import annotations
