@@ -14,7 +14,7 @@ from textloom.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity the classifier chain puts at a half or more go."""
+    """Documents whose toxicity the classifier chain puts above a half go."""
     return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 

@@ -51,7 +51,7 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels")
     scored = toxicity.score(docs, toxicity.fit(docs, toxicity.categories(labels)))
-    return scored.select("doc_id", F.round("p_low_quality", 6).alias("p_low_quality"), F.round("p_toxic", 6).alias("p_toxic"), (F.col("p_toxic") >= 0.5).alias("rejected"))
+    return scored.select("doc_id", F.round("p_low_quality", 6).alias("p_low_quality"), F.round("p_toxic", 6).alias("p_toxic"), (F.col("p_toxic") > 0.5).alias("rejected"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,4 +35,4 @@ def score(docs: DataFrame, chain: Chain, text_col="text", prefix="p_") -> DataFr
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col="doc_id", text_col="text", max_rows: int = 20_000) -> DataFrame:
     chain = fit(docs, categories(labels, id_col), CATEGORIES, id_col, text_col, max_rows)
-    return score(docs, chain, text_col, "_textloom_").where(F.col("_textloom_toxic") < threshold).select(docs.columns)
+    return score(docs, chain, text_col, "_textloom_").where(F.col("_textloom_toxic") <= threshold).select(docs.columns)
