@@ -34,6 +34,12 @@ def test_tokens(spark):
     assert one(spark, T.vector_tokens(t)) == "the naïve co naïve patient patient ray ünder may_be don été end".split()
 
 
+def test_labels(spark):
+    assert one(spark, T.slug(F.lit("Pharma / biologic & more"))) == "pharma_biologic_and_more" and one(spark, T.slug(F.lit("--"))) == "category"
+    assert one(spark, T.depth_label(F.lit(5), F.lit(3))) == "A more specific by 2 levels" and one(spark, T.depth_label(F.lit(3), F.lit(3))) == "Same depth"
+    assert one(spark, T.case_pair_slug(F.lit("case_012"), F.lit("case_5.txt"))) == "005_012"
+
+
 def test_hedges():
     assert len(HEDGES) == 34
 

@@ -73,16 +73,27 @@ def surrounding_sentence(text: Column, entity: Column, max_chars: int = 320) ->
     return F.coalesce(F.when(F.length(flat) > max_chars, F.concat(F.substring(flat, 1, max_chars - 1), F.lit("…"))).otherwise(flat), F.lit(""))
 
 
-def slug(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+def slug(text: Column, most: int = 60) -> Column:
+    """Lower-case letters and digits joined by underscores; an ampersand reads as "and"; "category" if nothing is left."""
+    flat = F.regexp_replace(F.replace(F.lower(text), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", "_")
+    cut = F.substring(F.regexp_replace(flat, "^_+|_+$", ""), 1, most)
+    return F.when(cut == "", "category").otherwise(cut)
+
+
+def case_pair_slug(a: Column, b: Column) -> Column:
+    """Two cases' numbers with three digits, the smaller first."""
+    one = lambda c: F.coalesce(F.lpad(F.regexp_extract(c, r"0*(\d+)", 1).try_cast("int").cast("string"), 3, "0"), F.substring(F.regexp_replace(c, r"\W+", "_"), 1, 20))
+    return F.concat_ws("_", F.least(one(a), one(b)), F.greatest(one(a), one(b)))
 
 
 def truncated(text: Column, n: int) -> Column:
-    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("…"))).otherwise(text)
+    flat = F.trim(text)
+    return F.when(F.length(flat) > n, F.concat(F.substring(flat, 1, n - 1), F.lit("…"))).otherwise(flat)
 
 
 def depth_label(a: Column, b: Column) -> Column:
-    return F.when(a < b, "B more specific").when(a > b, "A more specific").otherwise("same depth")
+    by = lambda side: F.concat(F.lit(f"{side} more specific by "), F.abs(a - b).cast("string"), F.lit(" levels"))
+    return F.when(a > b, by("A")).when(a < b, by("B")).otherwise("Same depth")
 
 
 def parsed_int(text: Column) -> Column:
