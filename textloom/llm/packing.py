@@ -31,61 +31,90 @@ PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00fe]+)([!-/:-@\
 _state: dict = {}
 
 
+class _Numbered(dict):
+    """Word -> its number; a new word gets the next one and is put on the list of those to learn."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
+class _Ids:
+    """Runs of token ids in one array: run i is ids[start[i]:start[i + 1]]."""
+
+    def __init__(self):
+        self.ids, self.start, self.used, self.runs = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0, 0
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        while self.runs + len(size) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros(len(self.start), np.int64)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[self.runs + 1 : self.runs + 1 + len(size)] = self.used + np.cumsum(size)
+        self.used, self.runs = self.used + len(ids), self.runs + len(size)
+
+    def of(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the runs' ids one after the other, their sizes)"""
+        start = self.start[runs]
+        size = self.start[runs + 1] - start
+        end = np.cumsum(size)
+        return self.ids[np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)], size
+
+
 class WordTokenizer:
     """Token ids of whole texts by a tokenizer whose tokens never span white space.
 
-    Each distinct word is tokenised once and remembered, up to ``most`` words; a text's ids are gathered from there."""
+    Each distinct word is put together once from its parts' ids and remembered, as are the parts; a text's ids are
+    gathered from there. Both memories are dropped beyond their limits, words sooner, as they are cheap to put together."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most_words: int = 300_000, most_parts: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most_words, self.most_parts = Tokenizer.from_file(path), most_words, most_parts
+        self.parts, self.part_ids = _Numbered(), _Ids()
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.ids, self.start, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
-
-    def _encode(self, parts: list[str]) -> None:
-        for k in range(0, len(parts), 20_000):
-            own = parts[k : k + 20_000]
-            self.parts.update(zip(own, [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]))
+        self.number, self.word_ids = _Numbered(), _Ids()
+        if len(self.parts) > self.most_parts:
+            self.parts, self.part_ids = _Numbered(), _Ids()
 
     def _learn(self, words: list[str]) -> None:
         """Letters and the signs after them are pieces apart for the tokenizer, so they are remembered apart."""
-        split = [m.groups() if (m := PLAIN.fullmatch(w)) else (w,) for w in words]
-        split = [(x[0].lower(), x[1]) if len(x) == 2 else x for x in split]
-        self._encode([x for x in dict.fromkeys(x for pair in split for x in pair) if x not in self.parts])
-        parts = self.parts
-        found = [parts[x[0]] + parts[x[1]] if len(x) == 2 else parts[x[0]] for x in split]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.start = np.concatenate([self.start, self.used + np.cumsum(size)])
-        self.used += len(flat)
-        at = len(self.number)
-        self.number.update(zip(words, range(at, at + len(words))))
+        get, pairs = self.parts.__getitem__, []
+        nothing = get("")
+        for w in words:
+            m = PLAIN.fullmatch(w)
+            pairs += (get(m[1].lower()), get(m[2])) if m else (get(w), nothing)
+        new = self.parts.new
+        for k in range(0, len(new), 20_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[k : k + 20_000], add_special_tokens=False)]
+            self.part_ids.add(np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+        new.clear()
+        pairs = np.array(pairs, np.int64)
+        ids, size = self.part_ids.of(pairs)
+        self.word_ids.add(ids, size.reshape(-1, 2).sum(1))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         # only plain blanks and line ends split: every other white space stays for the tokenizer to judge
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words}
-        if len(self.number) + len(new) > self.most and self.number:
+        if len(self.number) > self.most_words:
             self.clear()
-        self._learn([w for w in new if w not in self.number])
-        out, get = [], self.number.__getitem__
-        for words in split:
-            n = np.fromiter(map(get, words), np.int64, len(words))
-            start, size = self.start[n], self.start[n + 1] - self.start[n]
-            end = np.cumsum(size)
-            out.append(self.ids[np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)])
-        return out
+        get, numbers = self.number.__getitem__, []
+        for t in texts:
+            words = t.replace("\n", " ").split(" ")
+            numbers.append(np.fromiter(map(get, words), np.int64, len(words)))
+        self._learn(self.number.new)
+        self.number.new.clear()
+        return [self.word_ids.of(n)[0] for n in numbers]
 
 
 def _tokenise(batches: Iterator[pd.DataFrame], path: str, capacity: int, end_id: int) -> Iterator[pd.DataFrame]:
