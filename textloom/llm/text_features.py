@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import words as W
-from textloom.llm.common import settle
+from textloom.llm.common import discard, settle
 
 PREFIXES, SUFFIX = (5, 7), 2
 
@@ -151,6 +151,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, columns: list[str], id_col="do
     pairs = got.select("_id", F.explode("features").alias("feature")).join(listed, "feature").groupBy("_id").agg(F.collect_list("slot").alias("slots")) if listed is not None else None
     table = got.select("_id", "_key", *ys)
     table = (table.join(pairs, "_id", "left") if pairs is not None else table.withColumn("slots", F.array().cast("array<int>"))).orderBy("_key", "_id").toPandas()  # at most max_rows short lists
+    discard(rows)
     slots = [np.asarray(x, np.int64) if x is not None else np.zeros(0, np.int64) for x in table["slots"]]
     row = np.repeat(np.arange(n), [len(x) for x in slots]) if n else np.zeros(0, np.int64)
     slot = np.concatenate(slots) if slots else np.zeros(0, np.int64)
