@@ -33,6 +33,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that no later plan reads, so that scratch space doesn't add up."""
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            _remove(table.sparkSession, path)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import settle
+from textloom.llm.common import discard, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
         step = settle(step.join(up, "component", "left").select("node", F.coalesce(F.least("component", "up"), "component").alias("component"), "before"), "labels")
         moved = step.where("component <> before").limit(1).count()
+        discard(labels)
         labels = step.select("node", "component")
         if not moved:
+            discard(both)
             return labels

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import settle
+from textloom.llm.common import discard, settle
 
 RUNS = "array<struct<start:int,end:int>>"
 
@@ -112,7 +112,9 @@ def repeated_runs(docs: DataFrame, id_col="doc_id", text_col="text", min_words:
     reached = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     islands = later.withColumn("new", (reached.isNull() | (reached < F.col("start"))).cast("int")).withColumn("run", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     runs = islands.groupBy("_k1", "_k2", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return runs.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).cast(RUNS).alias("runs"))
+    runs = settle(runs.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).cast(RUNS).alias("runs")), "runs")
+    discard(lines, windows, named, first)
+    return runs
 
 
 def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words: int = 5, out="removed_runs", count="n_lines") -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import settle
+from textloom.llm.common import discard, settle
 from textloom.llm.components import components
 from textloom.llm.words import SPACES, batches_of_words, mix
 
@@ -173,14 +173,22 @@ class JaccardJoin:
         near = near.join(self.heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi")
         members = settle(near.dropDuplicates(["doc_id"]).select("doc_id", "n", F.explode("pivots").alias("region")), "regions")
         pivots = members.groupBy("region").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("doc_id"), "doc_id"))["doc_id"].alias("pivot")).where("members > 1")
-        self.members = settle(members.join(settle(pivots.select("region", "pivot"), "pivots"), "region"), "region-members")
+        pivots = settle(pivots.select("region", "pivot"), "pivots")
+        self.members = settle(members.join(pivots, "region"), "region-members")
+        discard(made, shared, members, pivots)
 
-    def _distances(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    def _distances(self, pairs: DataFrame, sets: DataFrame, name: str, few: int = 200_000) -> DataFrame:
         """pairs(a, b, na, nb) -> (a, b, shared, near, distance), exactly."""
+        pairs = settle(pairs, "pairs")
+        if pairs.count() <= few:  # a checked bound: only the sets that are asked for are shuffled
+            asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+            sets = sets.join(F.broadcast(asked), "doc_id", "left_semi")
         left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
         met = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
         union = F.col("na") + F.col("nb") - F.col("shared")
-        return settle(met.select("a", "b", "shared", (100 * F.col("shared") >= self.percent * union).alias("near"), (1 - F.col("shared") / union).alias("distance")), name)
+        made = settle(met.select("a", "b", "shared", (100 * F.col("shared") >= self.percent * union).alias("near"), (1 - F.col("shared") / union).alias("distance")), name)
+        discard(pairs)
+        return made
 
     def _sized(self, pairs: DataFrame) -> DataFrame:
         return pairs.where((100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")))
@@ -205,7 +213,9 @@ class JaccardJoin:
             placed = self.members.select("region", "doc_id", "n").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
             # only regions that still hold several classes recurse
             open_ = placed.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id", "n", "component")).alias("p")).where("low <> high")
-            left = settle(placed.join(open_.select("region", "p"), "region"), "open-regions")
+            open_ = settle(open_.select("region", "p"), "open-regions")
+            left = settle(placed.join(open_, "region"), "open-members")
+            discard(label, open_)
             done = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             if k < recursions:
                 pairs = left.where(F.col("component") != F.col("p.component")).select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b"), F.when(F.col("doc_id") < F.col("p.doc_id"), F.col("n")).otherwise(F.col("p.n")).alias("na"), F.when(F.col("doc_id") < F.col("p.doc_id"), F.col("p.n")).otherwise(F.col("n")).alias("nb"))
@@ -219,7 +229,9 @@ class JaccardJoin:
             new = self._distances(self._sized(pairs.distinct()).join(done, ["a", "b"], "left_anti"), sets, "pair-distances")
             tested = tested.select("a", "b", "near").unionByName(new.select("a", "b", "near"))
             links = links.unionByName(new.where("near").select("a", "b"))
+            discard(left)
         self.links, self.labels = links, components(links)
+        discard(sets, self.members)
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every document."""
