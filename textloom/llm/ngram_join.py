@@ -177,35 +177,43 @@ class JaccardJoin:
         self.members = settle(members.join(pivots, "region"), "region-members")
         discard(made, shared, members, pivots)
 
-    def _distances(self, pairs: DataFrame, sets: DataFrame, name: str, few: int = 200_000) -> DataFrame:
-        """pairs(a, b, na, nb) -> (a, b, shared, near, distance), exactly."""
-        pairs = settle(pairs, "pairs")
-        if pairs.count() <= few:  # a checked bound: only the sets that are asked for are shuffled
-            asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-            sets = sets.join(F.broadcast(asked), "doc_id", "left_semi")
+    def _distances(self, pairs: DataFrame, name: str, few: int = 500_000) -> DataFrame:
+        """pairs(a, b, na, nb) -> (a, b, shared, near, distance), exactly. Only sets of documents in the pairs leave the map over the texts."""
+        pairs, words = settle(pairs.select("a", "b", "na", "nb"), "pairs"), self.words
+        ids = settle(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
+        asked = self.spark.sparkContext.broadcast(_bitmap(ids))
+        rows = self.docs.where("doc_id is not null").withColumn("slot", _slot("doc_id", 1 << 23))
+        sets = rows.mapInArrow(lambda x: _sets(x, words, asked), "doc_id long, shingles array<long>")
+        listed = F.broadcast(ids) if ids.count() <= few else ids  # a checked bound
+        sets = settle(sets.join(listed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "shingle-sets")
         left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
         met = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
         union = F.col("na") + F.col("nb") - F.col("shared")
         made = settle(met.select("a", "b", "shared", (100 * F.col("shared") >= self.percent * union).alias("near"), (1 - F.col("shared") / union).alias("distance")), name)
-        discard(pairs)
+        discard(pairs, ids, sets)
         return made
 
+    def _able(self, pairs: DataFrame, votes: str) -> DataFrame:
+        """The pairs whose common pivots leave a large enough intersection possible.
+
+        All elements of the document whose window ends first, up to that end, lie in both windows if they are common; so the
+        intersection has at most the common pivots and what lies behind the window: ceil(p n / 100) - 1 elements. Where only
+        some common pivots were counted, a pair left out here is met again in the last recursion, which counts all."""
+        p = self.percent
+        behind = lambda n: F.ceil(F.lit(p) * F.col(n) / 100) - 1
+        least = F.ceil(F.lit(p) * (F.col("na") + F.col("nb")) / (100 + p) - 1e-9)
+        return pairs.where(F.col(votes) + F.greatest(behind("na"), behind("nb")) >= least)
+
     def _sized(self, pairs: DataFrame) -> DataFrame:
         return pairs.where((100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")))
 
     def _link(self, recursions: int) -> None:
-        words = self.words
         size = self.members.select(F.col("doc_id").alias("pivot"), F.col("n").alias("np")).distinct()
-        asked = self.spark.sparkContext.broadcast(_bitmap(self.members.select("doc_id")))
-        rows = self.docs.where("doc_id is not null").withColumn("slot", _slot("doc_id", 1 << 23))
-        sets = rows.mapInArrow(lambda x: _sets(x, words, asked), "doc_id long, shingles array<long>")
-        heads = self.members.select("doc_id").distinct()
-        sets = settle(sets.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "shingle-sets")
         # each document's distance to the pivot with which it shares most regions
         votes = self.members.where("pivot <> doc_id").groupBy("doc_id", "n", "pivot").agg(F.count("*").alias("votes")).join(size, "pivot")
         best = self._sized(votes.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("na"), F.col("np").alias("nb"), "votes"))
-        best = best.groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("votes", -F.col("b"))).alias("p")).select("a", "p.b", "na", "p.nb")
-        tested = self._distances(best, sets, "pivot-distances")
+        best = self._able(best, "votes").groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("votes", -F.col("b"))).alias("p")).select("a", "p.b", "na", "p.nb")
+        tested = self._distances(best, "pivot-distances")
         nearest = tested.select(F.col("a").alias("doc_id"), F.col("b").alias("cell"), "distance")
         links = tested.where("near").select("a", "b")
         for k in range(recursions + 1):
@@ -226,12 +234,13 @@ class JaccardJoin:
                 apart = (F.col("cell") == F.col("cell_y")) & (F.abs(F.col("distance") - F.col("distance_y")) > r)
                 met = x.join(y, "region").where((F.col("doc_id") < F.col("doc_id_y")) & (F.col("component") != F.col("component_y")) & ~F.coalesce(apart, F.lit(False)))
                 pairs = met.select(F.col("doc_id").alias("a"), F.col("doc_id_y").alias("b"), F.col("n").alias("na"), F.col("n_y").alias("nb"))
-            new = self._distances(self._sized(pairs.distinct()).join(done, ["a", "b"], "left_anti"), sets, "pair-distances")
+            pairs = self._sized(pairs).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("votes"))
+            new = self._distances(self._able(pairs, "votes").join(done, ["a", "b"], "left_anti"), "pair-distances")
             tested = tested.select("a", "b", "near").unionByName(new.select("a", "b", "near"))
             links = links.unionByName(new.where("near").select("a", "b"))
             discard(left)
         self.links, self.labels = links, components(links)
-        discard(sets, self.members)
+        discard(self.members)
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every document."""
