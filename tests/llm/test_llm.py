@@ -196,6 +196,25 @@ def test_lm_is_normalised():
     assert ((other + 1).sum() + 1) / vocabulary.other_mass == pytest.approx(1)
 
 
+def test_lm_words_beyond_the_heads_are_normalised():
+    words_, counts = np.arange(1, 41).astype(np.uint64), np.arange(40, 0, -1)
+    tail = np.array([[4, 3], [2, 2], [0, 0]])
+    vocabulary = lm_score.Vocabulary(words_, counts, 12, 30, 36 + int(counts.sum()), 46, tail, 7)
+    model = lm_score.LogBilinear(vocabulary.unigram, 4, vocabulary=vocabulary)
+    items = np.delete(np.arange(len(vocabulary.top)), lm_score.OTHER)
+    a, b = np.full(len(items), 3), np.full(len(items), 20)
+    logp = model.log10_rows(a, b)[np.arange(len(items)), vocabulary.top[items]] + model.log10_members(a, b, items)
+    assert (10.0**logp).sum() == pytest.approx(1, abs=1e-5)
+    assert vocabulary.mass.tolist() == [8, 5, 1] and len(set(vocabulary.find(words_)[0].tolist())) == 40
+
+
+def test_lm_predicts_words_beyond_the_outputs(spark):
+    rng = random.Random(8)
+    rows = [" ".join(f"x{k} y{k}" for k in (rng.randrange(60) for _ in range(60))) for _ in range(2500)]
+    got = [r for r in lm_score.score_documents(docs(spark, rows), outputs=6).collect() if r.held_out]
+    assert got and sum(r.score for r in got) > sum(0.95 * r.base_score for r in got)
+
+
 def test_lm_learns_better_than_counts(spark, sf):
     got = queries.op10_lm_score(spark, "/root/testdata/sf0.01").groupBy("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect()
     assert all(r.s > r.b for r in got)

@@ -1,12 +1,14 @@
 """LM scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-Counts of all training words are gathered by a grouped sum. The most frequent words are the model's outputs, with
-one class for the end of a text and one for all other words; a word of that class has the class's probability times
-its share of the class by smoothed counts, one unseen word included, so the distribution over words is normalised. The
-model (Mnih and Teh 2012) predicts a vector from the two tokens before, scores outputs by inner product and bias, and is
-trained with noise words from the unigram distribution: each task runs through all its training texts, and the
-tasks' parameters are averaged by weight, as often as there are rounds. Scoring computes exact softmax rows in
-batches, one for each distinct context of a batch.
+Counts of all training words are gathered by a grouped sum. The most frequent words, the end of a text and classes of
+other words are the model's outputs. The ``known_words`` most frequent words all have vectors of their own, as targets and as contexts: those that
+aren't outputs are members of classes of about the square root of their number. Words beyond them are dealt by
+their number into groups, as many as the square root of their types; a group has vectors of its own, as a member of the class OTHER, and shares
+its probability out by smoothed counts, one unseen word included. The probability of a word is its class's times its share of
+the class, both softmaxes, so the distribution over words is normalised. The model (Mnih and Teh 2012) predicts a vector from the two tokens before, scores
+by inner product and bias, and is trained with noise words from the unigram distribution, for members from that of their class: each task runs through
+all its training texts, and the tasks' moves of each row are averaged by the tokens that made them, as often as there are
+rounds. Scoring computes exact softmax rows in batches, one for each distinct context of a batch, and members' softmaxes class by class.
 
 The counts of the ``known_words`` most frequent words are broadcast (a fixed bound); all other words meet their
 counts in a join on the word's number, whose groups are small as frequent words aren't in it.
@@ -17,6 +19,7 @@ count and are scored each; without training texts the model is uniform over end
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,67 +68,89 @@ def _counts(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterato
 
 
 class Vocabulary:
-    """Numbers of the known words with their counts; of the first of them the model's output."""
+    """Items: what a token is to the model. END, OTHER, the most frequent words (heads), then the members of classes.
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, outputs: int, texts: int, tokens: int, types: int):
+    With ``tail``, all given words beyond the heads are members with vectors of their own, in classes of ``width`` words, and the
+    words that aren't given here are dealt into groups by their number, each group a member of the class OTHER; ``tail`` has (tokens, types)
+    of each group. Without it OTHER holds all other words as its only member."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, outputs: int, texts: int, tokens: int, types: int, tail: np.ndarray | None = None, width: int = 1):
         order = np.lexsort((words, -counts))
         words, counts = words[order], counts[order]
-        output = np.full(len(words), OTHER, np.int64)
-        output[: outputs - FIRST] = np.arange(FIRST, FIRST + len(output[: outputs - FIRST]))
         top = counts[: outputs - FIRST]
-        order = np.argsort(words)
-        self.words, self.counts, self.output = words[order], counts[order], output[order]
-        self.size, self.texts, self.tokens, self.types = FIRST + len(top), texts, tokens, types
+        self.first_member = FIRST + len(top)
         other = tokens - texts - int(top.sum())
         #: smoothed mass of the class of other words: each of its types once more, and one unseen type
         self.other_mass = other + max(0, types - (texts > 0) - len(top)) + 1
-        weight = np.concatenate([[texts + 1.0, other + 1.0], top.astype(float)])
+        groups = np.array([[other, self.other_mass - 1 - other]]) if tail is None else tail
+        own = counts[len(top) :] if tail is not None else counts[:0]
+        classes = -(-len(own) // width)
+        #: number of groups, and each group's smoothed mass with one unseen type
+        self.groups, self.mass = len(groups), groups.sum(1) + 1.0
+        output = np.full(len(words), self.first_member, np.int64)
+        output[: len(top)] = np.arange(FIRST, self.first_member)
+        output[len(top) : len(top) + len(own)] = self.first_member + self.groups + np.arange(len(own))
+        order = np.argsort(words)
+        self.words, self.counts, self.output = words[order], counts[order], output[order]
+        self.size, self.texts, self.tokens, self.types = self.first_member + classes, texts, tokens, types
+        #: by item its output; by member the members of its class [low, high) and its share of the class
+        kind = np.concatenate([np.full(self.groups, OTHER), self.first_member + np.arange(len(own)) // width])
+        self.top = np.concatenate([np.arange(self.first_member), kind])
+        self.low, self.high = np.searchsorted(kind, kind), np.searchsorted(kind, kind, "right")
+        weight = np.concatenate([groups[:, 0] + 1.0, own.astype(float)])
+        self.cum = np.concatenate([[0.0], np.cumsum(weight)])
+        self.share = weight / (self.cum[self.high] - self.cum[self.low])
+        inner = np.bincount(kind, weight, self.size)
+        weight = np.concatenate([[texts + 1.0, inner[OTHER] - self.groups + 1], top.astype(float), inner[self.first_member :]])
         self.unigram = weight / weight.sum()
 
     def find(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(output, count) of each word; count -1 for words that aren't known here."""
+        """(item, count) of each word; count -1 for words that aren't known here."""
+        far = self.first_member + number.view(np.int64) % self.groups
         if not len(self.words):
-            return np.full(len(number), OTHER, np.int64), np.full(len(number), -1, np.int64)
+            return far, np.full(len(number), -1, np.int64)
         slot = np.minimum(np.searchsorted(self.words, number), len(self.words) - 1)
         hit = self.words[slot] == number
-        return np.where(hit, self.output[slot], OTHER), np.where(hit, self.counts[slot], -1)
+        return np.where(hit, self.output[slot], far), np.where(hit, self.counts[slot], -1)
 
 
 class LogBilinear:
-    """score(w | a, b) = (first[a] + second[b]) . out[w] + bias[w]"""
-
-    def __init__(self, unigram: np.ndarray, dim: int, seed: int = 5):
-        rng, m = np.random.default_rng(seed), len(unigram)
-        self.first, self.second, self.out = (rng.normal(0, 0.1, (m, dim)).astype(np.float32) for _ in range(3))
-        self.bias, self.unigram = np.log(unigram).astype(np.float32), unigram
-        self.squares = [np.full(x.shape, 1e-3, np.float32) for x in self.parts()]
+    """score(w | a, b) = (first[a] + second[b]) . out[w] + bias[w] over the outputs; likewise over a class's members by ``inner`` and ``slope``."""
+
+    def __init__(self, unigram: np.ndarray, dim: int, seed: int = 5, vocabulary: Vocabulary | None = None):
+        rng, m, v = np.random.default_rng(seed), len(unigram), vocabulary
+        items, members = (m, 0) if v is None else (len(v.top), len(v.share))
+        self.first, self.second, self.out, self.inner = (0.1 * rng.standard_normal((k, dim), np.float32) for k in (items, items, m, members))
+        self.bias, self.unigram, self.vocabulary = np.log(unigram).astype(np.float32), unigram, v
+        self.slope = np.zeros(0, np.float32) if v is None else np.log(v.share).astype(np.float32)
+        self.squares = [np.full(x.shape, 1e-8, np.float32) for x in self.parts()]
+        #: tokens that have moved each row
+        self.moved = [np.zeros(len(x), np.float32) for x in self.parts()]
 
     def parts(self) -> list[np.ndarray]:
-        return [self.first, self.second, self.out, self.bias]
+        return [self.first, self.second, self.out, self.bias, self.inner, self.slope]
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.parts()])
-
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for x in self.parts():
-            x[...] = flat[at : at + x.size].reshape(x.shape)
-            at += x.size
+    def add(self, moves: list[np.ndarray]) -> None:
+        for x, y in zip(self.parts(), moves):
+            x += y.reshape(x.shape)
 
     def _step(self, k: int, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
         """Adaptive step on the sum of the rows' gradients."""
-        x, m = self.parts()[k], len(self.unigram)
+        x = self.parts()[k]
+        rows, at = np.unique(rows, return_inverse=True)
         if grad.ndim == 1:
-            total = np.bincount(rows, grad, m).astype(np.float32)
+            total = np.bincount(at, grad, len(rows)).astype(np.float32)
         else:
-            total = np.stack([np.bincount(rows, g, m) for g in grad.T], 1).astype(np.float32)
-        self.squares[k] += total * total
-        x += rate * total / np.sqrt(self.squares[k])
+            total = np.stack([np.bincount(at, g, len(rows)) for g in grad.T], 1).astype(np.float32)
+        self.squares[k][rows] += total * total
+        x[rows] += rate * total / np.sqrt(self.squares[k][rows])
+        self.moved[k][rows] += np.bincount(at, minlength=len(rows))
 
     def learn(self, a: np.ndarray, b: np.ndarray, target: np.ndarray, rng: np.random.Generator, noise: int = 32, batch: int = 8192, rate: float = 0.05) -> None:
         m = len(self.unigram)
         for k in range(0, len(target), batch):
-            x, y, t = a[k : k + batch], b[k : k + batch], target[k : k + batch]
+            x, y, item = a[k : k + batch], b[k : k + batch], target[k : k + batch]
+            t = item if self.vocabulary is None else self.vocabulary.top[item]
             n, r = rng.choice(m, noise, p=self.unigram), self.first[x] + self.second[y]
             chance = np.log(noise * self.unigram).astype(np.float32)
             g_t = 1 / (1 + np.exp(np.einsum("ij,ij->i", r, self.out[t]) + self.bias[t] - chance[t]))
@@ -134,20 +159,60 @@ class LogBilinear:
             g_t, g_n = g_t * scale, g_n * scale
             g_r = g_t[:, None] * self.out[t] + g_n @ self.out[n]
             w_n = g_n.T @ r
+            if self.vocabulary is not None:
+                self._learn_members(r, item, g_r, rng, scale, rate)
             self._step(2, np.concatenate([t, n]), np.concatenate([g_t[:, None] * r, w_n]), rate)
             self._step(3, np.concatenate([t, n]), np.concatenate([g_t, g_n.sum(0)]), rate)
             self._step(0, x, g_r, rate)
             self._step(1, y, g_r, rate)
 
+    def _learn_members(self, r: np.ndarray, item: np.ndarray, g_r: np.ndarray, rng: np.random.Generator, scale: np.float32, rate: float, noise: int = 4) -> None:
+        """The same for targets among the members of their class, with noise from the class; adds to ``g_r``."""
+        v = self.vocabulary
+        at = np.flatnonzero(item >= v.first_member)
+        member = item[at] - v.first_member
+        more = v.high[member] - v.low[member] > 1
+        at, member = at[more], member[more]
+        if not len(at):
+            return
+        low, high = v.cum[v.low[member]], v.cum[v.high[member]]
+        drawn = np.searchsorted(v.cum, low[:, None] + rng.random((len(at), noise)) * (high - low)[:, None], "right") - 1
+        j = np.concatenate([member[:, None], np.clip(drawn, v.low[member][:, None], v.high[member][:, None] - 1)], 1)
+        r, out = r[at], self.inner[j]
+        s = np.einsum("id,ikd->ik", r, out) + self.slope[j] - np.log(noise * v.share[j]).astype(np.float32)
+        true = np.arange(noise + 1) == 0
+        g = ((true - 1 / (1 + np.exp(-s))) * scale).astype(np.float32)
+        g_r[at] += np.einsum("ik,ikd->id", g, out)
+        self._step(4, j.ravel(), (g[:, :, None] * r[:, None, :]).reshape(-1, r.shape[1]), rate)
+        self._step(5, j.ravel(), g.ravel(), rate)
+
     def log10_rows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of all outputs in each context."""
-        s = (self.first[a] + self.second[b]) @ self.out.T + self.bias
-        s -= s.max(1, keepdims=True)
-        return (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.float32(np.log(10))
+        return _log10_softmax((self.first[a] + self.second[b]) @ self.out.T + self.bias)
+
+    def log10_members(self, a: np.ndarray, b: np.ndarray, item: np.ndarray, rows: int = 2048) -> np.ndarray:
+        """Normalised log10 probability of each item within its class; 0 for items that are outputs."""
+        v, out = self.vocabulary, np.zeros(len(item))
+        at = np.flatnonzero(item >= v.first_member)
+        at = at[np.argsort(v.low[item[at] - v.first_member], kind="stable")]
+        member = item[at] - v.first_member
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(v.low[member])) + 1, [len(at)]])
+        for start, stop in zip(edges[:-1], edges[1:]):
+            for k in range(start, stop, rows):
+                own, j = at[k : min(k + rows, stop)], member[k : min(k + rows, stop)]
+                low, high = v.low[j[0]], v.high[j[0]]
+                logp = _log10_softmax((self.first[a[own]] + self.second[b[own]]) @ self.inner[low:high].T + self.slope[low:high])
+                out[own] = logp[np.arange(len(own)), j - low]
+        return out
+
+
+def _log10_softmax(s: np.ndarray) -> np.ndarray:
+    s -= s.max(1, keepdims=True)
+    return (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.float32(np.log(10))
 
 
 def _tokens(texts: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple]:
-    """(first row, token ends of rows, outputs, counts, word numbers), each text followed by its end."""
+    """(first row, token ends of rows, items, counts, word numbers), each text followed by its end."""
     for row, bounds, number in batches_of_words(texts, SPACES):
         output, count = vocabulary.find(number)
         at = bounds[1:]
@@ -168,53 +233,78 @@ def _contexts(bounds: np.ndarray, output: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _train(batches: Iterator[pa.RecordBatch], shared, dim: int, noise: int) -> Iterator[pa.RecordBatch]:
+    """How far each row of the parameters went, for the rows that moved, in blocks of CHUNK values."""
     vocabulary, start = shared.value
-    model, rng, seen = LogBilinear(vocabulary.unigram, dim), np.random.default_rng(3), 0
+    model, rng, seen = LogBilinear(vocabulary.unigram, dim, vocabulary=vocabulary), np.random.default_rng(3), 0
     if start is not None:
-        model.load(start)
+        model.add(start)
+    before = [x.copy() for x in model.parts()]
     for batch in batches:
         for _, bounds, output, _, _ in _tokens(batch.column(0), vocabulary):
             two, one = _contexts(bounds, output)
             order = rng.permutation(len(output))
             model.learn(two[order], one[order], output[order], rng, noise)
             seen += len(output)
-    if seen:
-        flat = model.flat().astype(np.float64) * seen
-        n = -(-len(flat) // CHUNK)
-        chunks = [flat[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in range(n)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.full(n, seen)), pa.array(np.full(n, rng.integers(1 << 30)) % 64), pa.array(chunks, pa.binary())], names=["chunk", "seen", "salt", "sums"])
+    salt = int(rng.integers(1 << 30)) % 8
+    for part, (x, y, moved) in enumerate(zip(before, model.parts(), model.moved)):
+        width = 1 if x.ndim == 1 else x.shape[1]
+        step = max(1, CHUNK // width)
+        rows = np.flatnonzero(moved)
+        edges = np.searchsorted(rows, np.arange(0, len(x) + step, step))
+        for chunk, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
+            if j > i:
+                own = rows[i:j]
+                cols = [own - chunk * step, moved[own], (y[own] - x[own]).astype(np.float16).ravel()]
+                data = [c.astype(t).tobytes() for c, t in zip(cols, ("<i4", "<f4", "<f2"))]
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([chunk]), pa.array([width]), pa.array([salt]), *(pa.array([d], pa.binary()) for d in data)], names=["part", "chunk", "width", "salt", "rows", "moved", "sums"])
+
+
+PARTS = "part long, chunk long, width long, salt long, rows binary, moved binary, sums binary"
+
+
+def _adder(first: bool):
+    """Sums of the moves, weighted by the tokens that made them."""
 
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        width = int(pdf["width"].iloc[0])
+        n = max(1, CHUNK // width)
+        total, weight = np.zeros((n, width)), np.zeros(n)
+        for r, w, x in zip(pdf["rows"], pdf["moved"], pdf["sums"]):
+            r, w = np.frombuffer(r, "<i4"), np.frombuffer(w, "<f4")
+            x = np.frombuffer(x, "<f2" if first else "<f4").reshape(-1, width)
+            total[r] += x * w[:, None] if first else x
+            weight[r] += w
+        own = np.flatnonzero(weight)
+        return pdf.head(1).assign(rows=[own.astype("<i4").tobytes()], moved=[weight[own].astype("<f4").tobytes()], sums=[total[own].astype("<f4").tobytes()])
 
-def _add(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(x) for x in pdf["sums"]], axis=0)
-    return pdf.head(1).assign(seen=pdf["seen"].sum(), sums=[total.tobytes()])
+    return add
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared, dim: int) -> Iterator[pa.RecordBatch]:
     """For each text a row of its own sums (times 0), and a row for each word that isn't known here."""
-    vocabulary, parameters = shared.value
-    model = LogBilinear(vocabulary.unigram, dim)
-    if parameters is not None:
-        model.load(parameters)
-    m = vocabulary.size
-    names = ["row_id", "doc_id", "word", "times", "n_tokens", "n_known", "base", "score", "n_other"]
+    vocabulary, moves = shared.value
+    model = LogBilinear(vocabulary.unigram, dim, vocabulary=vocabulary)
+    if moves is not None:
+        model.add(moves)
+    m = len(vocabulary.top)
+    names = ["row_id", "doc_id", "word", "times", "n_tokens", "n_known", "base", "score"]
     for batch in batches:
         for row, bounds, output, count, number in _tokens(batch.column(1), vocabulary):
             two, one = _contexts(bounds, output)
             context, at = np.unique(two * m + one, return_inverse=True)
             order = np.argsort(at, kind="stable")
             edges = np.searchsorted(at[order], np.arange(len(context) + 1))
-            logp = np.zeros(len(output))
+            logp, top = model.log10_members(two, one, output), vocabulary.top[output]
             for k in range(0, len(context), 2048):
                 part = context[k : k + 2048]
                 own = order[edges[k] : edges[min(k + 2048, len(context))]]
-                logp[own] = model.log10_rows(part // m, part % m)[at[own] - k, output[own]]
+                logp[own] += model.log10_rows(part // m, part % m)[at[own] - k, top[own]]
             known = count >= 0
             base = np.where(known & (count > 0), np.log10(np.maximum(count, 0) + 1.0), 0.0)
-            # a known word of the class of other words: its share there
-            other = output == OTHER
-            logp += np.where(other & known, base, 0.0)
-            sums = [np.add.reduceat(x.astype(float), bounds[:-1]) for x in (np.ones(len(output)), known & (count > 0), base, logp, other)]
+            # a word of a group has its share there; its count comes by the join
+            other = top == OTHER
+            logp[other] -= np.log10(vocabulary.mass[output[other] - vocabulary.first_member])
+            sums = [np.add.reduceat(x.astype(float), bounds[:-1]) for x in (np.ones(len(output)), known & (count > 0), base, logp)]
             n, far = len(bounds) - 1, np.flatnonzero(~known)
             doc = np.repeat(np.arange(n), np.diff(bounds))
             ids = batch.column(0).to_numpy(zero_copy_only=False)[row : row + n]
@@ -252,26 +342,36 @@ def score_documents(docs: DataFrame, id_col="doc_id", text_col="text", outputs:
             break
         least = r["b"]
     top = counts.where(band >= least).toPandas() if least is not None else pd.DataFrame({"word": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-    vocabulary = Vocabulary(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), outputs, texts, tokens, types)
-    parameters = None
+    # all other words in about as many groups as a group has words
+    groups = max(1, math.isqrt(max(0, total[0] - len(top))))
+    tail, far = np.zeros((groups, 2), np.int64), counts if least is None else counts.where(band < least)
+    for r in far.groupBy(F.pmod("word", F.lit(groups)).alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
+        tail[r.g] = r.n, r.types
+    width = max(1, math.isqrt(len(top)))
+    vocabulary = Vocabulary(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), outputs, texts, tokens, types, tail, width)
+    moves = None
     for _ in range(rounds if texts else 0):
-        shared = spark.sparkContext.broadcast((vocabulary, parameters))
-        sums = train.mapInArrow(_trainer(shared, dim, noise), "chunk long, seen long, salt long, sums binary")
-        sums = sums.groupBy("chunk", "salt").applyInPandas(_add, sums.schema).groupBy("chunk").applyInPandas(_add, sums.schema)
-        parameters = np.concatenate([np.frombuffer(r.sums) / r.seen for r in sums.orderBy("chunk").collect()])  # the model's size
-    shared = spark.sparkContext.broadcast((vocabulary, parameters))
+        shared = spark.sparkContext.broadcast((vocabulary, moves))
+        sums = train.mapInArrow(_trainer(shared, dim, noise), PARTS)
+        sums = sums.groupBy("part", "chunk", "salt").applyInPandas(_adder(True), PARTS).groupBy("part", "chunk").applyInPandas(_adder(False), PARTS)
+        sizes = [len(vocabulary.top)] * 2 + [vocabulary.size] * 2 + [len(vocabulary.share)] * 2
+        moves = moves or [np.zeros((n, 1 if k in (3, 5) else dim), np.float32) for k, n in enumerate(sizes)]
+        for r in sums.toLocalIterator():  # the model's size
+            weight = np.frombuffer(r.moved, "<f4")[:, None]
+            moves[r.part][r.chunk * max(1, CHUNK // r.width) + np.frombuffer(r.rows, "<i4")] += np.frombuffer(r.sums, "<f4").reshape(-1, r.width) / weight
+    shared = spark.sparkContext.broadcast((vocabulary, moves))
     keyed = rows.select(F.monotonically_increasing_id().alias("row_id"), "text", "doc_id")
-    schema = "row_id long, doc_id long, word long, times long, n_tokens double, n_known double, base double, score double, n_other double"
+    schema = "row_id long, doc_id long, word long, times long, n_tokens double, n_known double, base double, score double"
     made = keyed.mapInArrow(_scorer(shared, dim), schema)
     seen = F.coalesce("n", F.lit(0))
     part = F.col("times") * F.log10(seen + 1)
-    met = made.join(counts, "word", "left").select("row_id", "doc_id", "n_tokens", (F.col("n_known") + F.col("times") * (seen > 0).cast("int")).alias("n_known"), (F.col("base") + part).alias("base"), (F.col("score") + part).alias("score"), "n_other")
-    sums = met.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score", "n_other")))
+    met = made.join(counts, "word", "left").select("row_id", "doc_id", "n_tokens", (F.col("n_known") + F.col("times") * (seen > 0).cast("int")).alias("n_known"), (F.col("base") + part).alias("base"), (F.col("score") + part).alias("score"))
+    sums = met.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
     return sums.select(
         "doc_id",
         is_held_out(F.col("doc_id")).alias("held_out"),
         *(F.col(c).cast("long").alias(c) for c in ("n_tokens", "n_known")),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * float(np.log10(tokens + types + 1))).alias("base_score"),
-        (F.col("score") - F.col("n_other") * float(np.log10(vocabulary.other_mass))).alias("score"),
+        "score",
     )
