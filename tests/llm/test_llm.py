@@ -233,6 +233,18 @@ def test_html(spark):
     assert got[6].text.startswith("T & U")
 
 
+def test_html_main_region_by_page(spark):
+    long = "long words of an article " * 12
+    rows = [(1, None, "<article><p>story</p></article>"), (2, None, "<div><p>no article here</p></div>")]
+    rows += [(10 + i, "http://copies.x", f"<div><p>{long}</p></div>") for i in range(6)]
+    rows += [(20 + i, "http://news.x", f"<div class=top><p>same line</p></div><div class=text><p>story {i}</p></div>") for i in range(6)]
+    rows += [(30, "http://c.x", f"<div class=has-sidebar><article><p>{long}</p></article></div>"), (31, "http://d.x", f"<div class=page-header-wrap><p>{long}</p></div>")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert (got[1], got[2]) == ("story", "no article here")
+    assert {got[i] for i in (*range(10, 16), 30, 31)} == {long.strip()}
+    assert [got[20 + i] for i in range(6)] == [f"story {i}" for i in range(6)]
+
+
 def test_wrapper_alignment():
     a, b = ["<p>", "#x", "<p>", "#x", "</d>"], ["<h>", "<p>", "#x", "</d>"]
     w = html_extract.align(html_extract._fold_repeats(a), html_extract._fold_repeats(b))

@@ -8,9 +8,10 @@ streams are counted on the map side and folded once; distinct streams are folded
 the groups' wrappers are folded, so a hot host is spread over many tasks.
 
 A slot is named by the path of open elements above it. The wrapper's slots are judged per host: slots under menus, headers, footers,
-sidebars, notices, adverts, forms or reader comments (by element, class or id) are templates; within what is left the main
-region is an ``article`` or ``main`` where the wrapper has one, else all slots but those that are the same text on all of
-at least ``constant_pages`` pages and those that are mostly links. A page's text is then read from its content slots.
+sidebars, notices, adverts, forms or reader comments (by element, class or id) are templates; so are, outside of an ``article`` or ``main``, those that
+are the same text on all of at least ``constant_pages`` pages of different texts and those that are mostly links. A page's text is that of its
+slots in an ``article`` or ``main`` if it has one, else of its other content slots. Slots are chosen by these figures of their paths; the regular expression names the
+slots, but its groups decide nothing.
 
 Defined results: a null or empty html, and a page without content, give an empty text; a null or odd url counts as host ""; pages
 cut short are read as far as they go; repeated pages are read each.
@@ -38,6 +39,8 @@ IMPLIED = "p li td th tr dt dd option thead tbody tfoot".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 BOILERPLATE = "nav header footer aside form menu dialog button".split()
 NAMES = re.compile(r"(?<![a-z])(ads?|adverts?|advertisement|sponsor(ed)?|promo|banner|cookies?|consent|notice|notices|alert|popup|modal|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|header|masthead|footer|foot|comments?|disqus|replies|reply|share|social|related|recommended|newsletter|subscribe|signup|login|widget|toolbar|pagination|pager|skip)(?![a-z])")
+#: Names of what lies around the page, not of its part.
+LAYOUT = re.compile(r"^(has|with|no|without)[-_]|[-_](wrap|wrapper|container|layout|page)$")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<cut>/?[a-zA-Z][^<>]*)\Z", re.S)
 ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SKIP_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in SKIPPED}
@@ -197,15 +200,17 @@ def slots_of(wrapper: list) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-STATS = "slots array<struct<path:string,pages:long,chars:long,links:long,low:long,high:long>>"
+STATS = "slots array<struct<path:string,pages:long,chars:long,links:long,low:long,high:long,seen:array<long>>>"
 
 
-def _streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, stream, pages, slots): each distinct folded stream of a host in the batch, with its slots' figures."""
+def _streams(batches: Iterator[pd.DataFrame], most: int = 5) -> Iterator[pd.DataFrame]:
+    """(host, stream, pages, slots): each distinct folded stream of a host in the batch, with its slots' figures.
+
+    ``seen`` has the ``most`` least sums of different page texts with the slot, so that copies of a page count once."""
     for batch in batches:
         found: dict[tuple[str, str], list] = {}
         for host, page in zip(batch["host"].tolist(), batch["html"].tolist()):
-            stream, slots = [], {}
+            stream, slots, whole = [], {}, 0
             for path, text, links in blocks(page):
                 if text is None:
                     stream.append(path)
@@ -215,12 +220,14 @@ def _streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     own[0] += len(text)
                     own[1] += links
                     own[2] = zlib.crc32(text.encode("utf-8", "replace"), own[2])
+                    whole = zlib.crc32(text.encode("utf-8", "replace"), whole)
             row = found.setdefault((host or "", json.dumps(_fold_repeats(stream))), [0, {}])
             row[0] += 1
             for path, (chars, links, crc) in slots.items():
-                s = row[1].setdefault(path, [0, 0, 0, crc, crc])
-                s[:] = s[0] + 1, s[1] + chars, s[2] + links, min(s[3], crc), max(s[4], crc)
-        rows = [(h, s, n, [dict(zip(("path", "pages", "chars", "links", "low", "high"), (p, *v))) for p, v in slots.items()]) for (h, s), (n, slots) in found.items()]
+                s = row[1].setdefault(path, [0, 0, 0, crc, crc, []])
+                seen = s[5] if whole in s[5] else sorted([*s[5], whole])[:most]
+                s[:] = s[0] + 1, s[1] + chars, s[2] + links, min(s[3], crc), max(s[4], crc), seen
+        rows = [(h, s, n, [dict(zip(("path", "pages", "chars", "links", "low", "high", "seen"), (p, *v))) for p, v in slots.items()]) for (h, s), (n, slots) in found.items()]
         yield pd.DataFrame(rows, columns=["host", "stream", "pages", "slots"])
 
 
@@ -232,11 +239,18 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [pdf["host"].iloc[0]], "stream": [json.dumps(wrapper)], "pages": [int(pdf["pages"].sum())]})
 
 
+def _under_boilerplate(path: str) -> bool:
+    return any(k.split(".")[0] in BOILERPLATE for k in path.split("/"))
+
+
 def is_template(path: str) -> bool:
-    """Whether an element above the slot is boilerplate by its element, class or id."""
-    for key in path.split("/"):
+    """Whether an element above the slot is boilerplate by its element, class or id; a name of the layout around an article tells nothing."""
+    keys = path.split("/")
+    last = max((i for i, k in enumerate(keys) if is_main(k)), default=-1)
+    for i, key in enumerate(keys):
         tag, *names = key.split(".")
-        if tag in BOILERPLATE or any(NAMES.search(n) for n in names if tag not in ("html", "body")):
+        names = [n for n in names if tag not in ("html", "body") and not (i < last and LAYOUT.search(n))]
+        if tag in BOILERPLATE or any(NAMES.search(n) for n in names):
             return True
     return False
 
@@ -247,19 +261,19 @@ def is_main(path: str) -> bool:
 
 def infer_wrappers(pages: DataFrame, constant_pages: int = 5, salts: int = 64) -> DataFrame:
     """pages(host, html) -> (host, wrapper, pages, content): the regular expression and the paths of its content slots."""
-    streams = settle(pages.select("host", "html").mapInPandas(_streams, f"host string, stream string, pages long, {STATS}"), "page-streams")
+    streams = settle(pages.select("host", "html").mapInPandas(lambda batches: _streams(batches, constant_pages), f"host string, stream string, pages long, {STATS}"), "page-streams")
     distinct = streams.groupBy("host", "stream").agg(F.sum("pages").alias("pages"))
     salted = distinct.withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(salts)))
     schema = "host string, stream string, pages long"
     wrappers = salted.groupBy("host", "salt").applyInPandas(_fold, schema).groupBy("host").applyInPandas(_fold, schema)
     s = streams.select("host", F.explode("slots").alias("s")).select("host", "s.*")
-    s = s.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "chars", "links")), F.min("low").alias("low"), F.max("high").alias("high"))
+    differ = s.select("host", "path", F.explode("seen").alias("seen")).distinct().groupBy("host", "path").agg(F.count("*").alias("differ"))
+    s = s.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "chars", "links")), F.min("low").alias("low"), F.max("high").alias("high")).join(differ, ["host", "path"])
     s = s.withColumn("main", F.udf(lambda p: is_main(p), "boolean")("path"))
     # pages of one host may be copies of each other, so an article isn't a template for being the same
-    shared = ((F.col("pages") >= constant_pages) & (F.col("low") == F.col("high"))) | (2 * F.col("links") > F.col("chars"))
+    shared = ((F.col("differ") >= constant_pages) & (F.col("low") == F.col("high"))) | (2 * F.col("links") > F.col("chars"))
     s = s.where(~F.udf(lambda p: is_template(p), "boolean")("path") & (F.col("main") | ~shared))
-    s = s.groupBy("host").agg(F.max("main").alias("any"), F.collect_set(F.when(F.col("main"), F.col("path"))).alias("inner"), F.collect_set("path").alias("outer"))
-    s = s.select("host", F.when(F.col("any"), F.col("inner")).otherwise(F.col("outer")).alias("paths"))
+    s = s.groupBy("host").agg(F.collect_set("path").alias("paths"))
     names = _names_udf()(F.col("stream"))
     made = wrappers.select("host", "stream", "pages", names.alias("slots")).join(s, "host", "left")
     return made.select("host", _written_udf()(F.col("stream")).alias("wrapper"), "pages", F.array_sort(F.coalesce(F.array_intersect("slots", "paths"), F.array().cast("array<string>"))).alias("content"))
@@ -273,12 +287,20 @@ def _written_udf():
     return F.udf(lambda s: written(json.loads(s)), "string")
 
 
+def page_text(page: str | None, content: set[str], long: int = 200) -> str:
+    """The text of the page's main region if it has one, else of its content slots; a page that they leave empty keeps
+    its long blocks outside of templates, or else those that only a class or id calls a template."""
+    found = [(p, t, n) for p, t, n in blocks(page) if t is not None]
+    kept = [t for p, t, _ in found if p in content and is_main(p)] or [t for p, t, _ in found if p in content]
+    if not kept:
+        rest = [(p, t) for p, t, n in found if len(t) >= long and 2 * n <= len(t) and not _under_boilerplate(p)]
+        kept = [t for p, t in rest if not is_template(p)] or [t for _, t in rest]
+    return "\n".join(kept)
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        texts = []
-        for page, content in zip(batch["html"].tolist(), batch["content"].tolist()):
-            wanted = set(content) if content is not None else set()
-            texts.append("\n".join(t for p, t, _ in blocks(page) if t is not None and p in wanted))
+        texts = [page_text(page, set(content) if content is not None else set()) for page, content in zip(batch["html"].tolist(), batch["content"].tolist())]
         yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
