@@ -266,6 +266,19 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0), outcomes.limit(0), []).count() == 0
 
 
+def test_new_hosts_take_their_parents_reputation(spark):
+    bad = [(i, f"http://h{i % 5}.bad.net/x") for i in range(200)]
+    good = [(200 + i, f"http://h{i % 5}.good.org/x") for i in range(400)]
+    new = [(900, "http://new.bad.net/"), (901, "http://new.good.org/"), (902, "http://else.net/"), (903, "http://a.b.museum/"), (904, None)]
+    pages = spark.createDataFrame(bad + good + new, "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, int(i >= 200)) for i in range(600)], "page_id long, good int")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, outcomes, []).collect()}
+    assert [got[i].verdict for i in range(900, 905)] == ["block", "allow", "block", "allow", "allow"]  # all pages under .net were bad, of .museum none is known
+    assert got[0].reputation < got[900].reputation < got[903].reputation and got[904].reputation is None
+    plain = {r.page_id: r for r in url_filter.filter_urls(pages, outcomes, [], parents=False).collect()}
+    assert plain[900].verdict == "allow" and all(plain[i] == got[i] for i in range(600))
+
+
 def labelled(spark, n=200):
     rng = random.Random(6)
     toxic = [i % 4 == 0 for i in range(n)]

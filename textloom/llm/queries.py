@@ -37,7 +37,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 1).cast("int").alias("good"))
-    return url_filter.filter_urls(read(spark, sf_dir, "pages", "page_id", "url"), outcomes, URL_RULES)
+    # the SQL knows labelled hosts only
+    return url_filter.filter_urls(read(spark, sf_dir, "pages", "page_id", "url"), outcomes, URL_RULES, parents=False)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
