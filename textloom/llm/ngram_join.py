@@ -5,13 +5,17 @@ every region into which one of its neighbours can fall. Two kinds of pivots are
 
 * singletons {e} of a shingle. The nearest are a document's own shingles, ties go to the rarest first. Of two documents
   within distance r, each holds enough of the other's shingles that one of the first n - ceil((1 - r) n) + 1 pivots is
-  common to both; with that window every document is replicated to just these regions.
-* documents, within such regions. Each region takes one of its documents as pivot; every member's distance to one
-  pivot is computed exactly. Members within r join it. Regions that still hold several classes recurse with another
-  pivot; in what remains, documents that share a region are joined where the triangle inequality over their pivot
-  (|d(x, p) - d(y, p)| <= r) leaves it open and they aren't connected yet.
-
-Documents with the same shingle set are one class from the start. Rarity comes from counts of all documents' shingles in a
+  common to both; with that window every document is replicated to just these regions. The place of the pivot among a
+  document's shingles bounds the set sizes of the neighbours that it can meet first in this region (``most``): two
+  documents need to meet only where each is no larger than the other's bound, and whoever can meet nobody leaves.
+* documents, within such regions. Each region takes as pivot the member with most room below its bound, which tends to lie in the
+  middle; each document is measured exactly against the pivot that it shares most regions with. Members within r join
+  it. Regions that still hold several classes recurse with another pivot, as long as this brings links. In what remains,
+  the members outside of a region's largest class meet its others where the bounds and the triangle
+  inequality over their pivot (|d(x, p) - d(y, p)| <= r) leave it open, and are measured exactly.
+
+So a group of near copies costs about one pair for each of its documents and not one for each two of them. Documents
+with the same shingle set are one class from the start. Rarity comes from counts of all documents' shingles in a
 fixed number of buckets, so very common passages come last and create no large regions.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; with fewer
@@ -22,6 +26,7 @@ alike; an id must not stand for different texts (its links are then those of one
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -123,62 +128,72 @@ def _bitmap(ids: DataFrame, size: int = 1 << 23) -> np.ndarray:
     return out
 
 
-def _maybe_shared(batches: Iterator[pa.RecordBatch], bits, size: int) -> Iterator[pa.RecordBatch]:
-    """The windows without the pivots whose bit isn't set."""
+def _maybe_shared(batches: Iterator[pa.RecordBatch], bits, percent: int) -> Iterator[pa.RecordBatch]:
+    """The windows without the pivots whose bit isn't set; ``most`` is the largest set that a document can meet first at the pivot.
+
+    Documents of n and m shingles that are linked have t = ceil(p (n + m) / (100 + p)) in common, so their first common
+    one is at place n - t of the former or before: m <= (n - place) (100 + p) / p - n."""
     packed = bits.value
     for batch in batches:
         slots = batch.column(3).flatten().to_numpy(zero_copy_only=False)
         hit = (packed[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
-        lists = batch.column(2)
+        lists, n = batch.column(2), batch.column(1).to_numpy()
         sizes = np.diff(lists.offsets.to_numpy())
-        own = np.repeat(np.arange(len(sizes)), sizes)[hit]
-        bounds = np.searchsorted(own, np.arange(len(sizes) + 1)).astype(np.int32)
-        kept = pa.ListArray.from_arrays(pa.array(bounds), lists.flatten().filter(pa.array(hit)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept, pa.array([[]] * len(sizes), pa.list_(pa.int32()))], names=["doc_id", "n", "pivots", "slots"])
+        own = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        most = ((n[own] - place) * (100 + percent) // percent - n[own])[hit]
+        bounds = pa.array(np.searchsorted(own[hit], np.arange(len(sizes) + 1)).astype(np.int32))
+        kept = pa.ListArray.from_arrays(bounds, lists.flatten().filter(pa.array(hit)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept, pa.ListArray.from_arrays(bounds, pa.array(most))], names=["doc_id", "n", "pivots", "most"])
 
 
 class JaccardJoin:
-    """Runs the steps over one table; ``classes`` and ``links`` are the results."""
+    """Runs the steps over one table; ``heads``, ``links`` and ``labels`` are the results."""
 
-    def __init__(self, docs: DataFrame, percent: int = 80, words: int = 5, id_col="doc_id", text_col="text", recursions: int = 2):
+    def __init__(self, docs: DataFrame, percent: int = 80, words: int = 5, id_col="doc_id", text_col="text"):
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         self.percent, self.words, self.spark = percent, words, docs.sparkSession
         self._classes()
         self._regions()
-        self._link(recursions)
+        self._link()
 
     def _classes(self) -> None:
         words = self.words
         made = settle(self.docs.mapInArrow(lambda x: _keys_and_counts(x, words), "doc_id long, n long, k1 long, k2 long, chunk int, counts binary"), "shingle-keys")
         counts = made.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInPandas(_add_counts, "chunk int, counts binary")
-        total = np.zeros(BUCKETS, np.int64)
+        self.rarity = np.zeros(BUCKETS, np.int64)
         for r in counts.collect():  # a fixed number of buckets
-            total[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.int64)
-        self.rarity = self.spark.sparkContext.broadcast(total)
+            self.rarity[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.int64)
         self.sizes = made.where("chunk is null").select("doc_id", "n", "k1", "k2")
         known = self.sizes.where("doc_id is not null and n > 0")
         # a third of all documents may have one set: map-side combining leaves one row for it and task
         self.heads = settle(known.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("head")), "set-heads")
 
     def _regions(self) -> None:
-        words, percent, rarity = self.words, self.percent, self.rarity
+        words, percent = self.words, self.percent
+        rarity = self.spark.sparkContext.broadcast(self.rarity)
         made = self.docs.where("doc_id is not null").mapInArrow(lambda x: _prefixes(x, words, percent, rarity), "doc_id long, n long, pivots array<long>")
         made = settle(made, "pivot-windows")
+        rarity.destroy()
         # most shingles are one document's alone: their regions go before anything but their number is shuffled
         shared = made.select(F.explode("pivots").alias("region")).groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region")
         shared = settle(shared, "shared-regions")
         size = 1 << min(28, max(15, (16 * shared.count()).bit_length()))
         bits = self.spark.sparkContext.broadcast(np.packbits(_bitmap(shared.select(F.col("region").alias("doc_id")), size), bitorder="little"))
-        near = made.withColumn("slots", F.transform("pivots", lambda p: _slot(p, size).cast("int"))).mapInArrow(lambda x: _maybe_shared(x, bits, size), "doc_id long, n long, pivots array<long>, slots array<int>").select("doc_id", "n", "pivots")
-        near = near.join(self.heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi")
-        members = settle(near.dropDuplicates(["doc_id"]).select("doc_id", "n", F.explode("pivots").alias("region")), "regions")
-        pivots = members.groupBy("region").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("doc_id"), "doc_id"))["doc_id"].alias("pivot")).where("members > 1")
-        pivots = settle(pivots.select("region", "pivot"), "pivots")
-        self.members = settle(members.join(pivots, "region"), "region-members")
-        discard(made, shared, members, pivots)
+        slots = made.withColumn("slots", F.transform("pivots", lambda p: _slot(p, size).cast("int")))
+        near = slots.mapInArrow(lambda x: _maybe_shared(x, bits, percent), "doc_id long, n long, pivots array<long>, most array<long>")
+        near = near.join(self.heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        near = near.select("doc_id", "n", F.explode(F.arrays_zip(F.col("pivots").alias("region"), F.col("most").alias("most"))).alias("p")).select("doc_id", "n", "p.region", "p.most")
+        members = settle(near, "regions")
+        bits.destroy()
+        # who is too large for all others of the region, or finds all of them too large, meets nobody there
+        bounds = members.groupBy("region").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("most").alias("high")).where("members > 1")
+        kept = members.join(bounds, "region").where("most >= low and n <= high").select("region", "doc_id", "n", "most")
+        self.members = settle(kept, "region-members")
+        discard(made, shared, members)
 
     def _distances(self, pairs: DataFrame, name: str, few: int = 500_000) -> DataFrame:
-        """pairs(a, b, na, nb) -> (a, b, shared, near, distance), exactly. Only sets of documents in the pairs leave the map over the texts."""
+        """pairs(a, b, na, nb) -> (a, b, near, distance), exactly. Only sets of documents in the pairs leave the map over the texts."""
         pairs, words = settle(pairs.select("a", "b", "na", "nb"), "pairs"), self.words
         ids = settle(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
         asked = self.spark.sparkContext.broadcast(_bitmap(ids))
@@ -186,61 +201,66 @@ class JaccardJoin:
         sets = rows.mapInArrow(lambda x: _sets(x, words, asked), "doc_id long, shingles array<long>")
         listed = F.broadcast(ids) if ids.count() <= few else ids  # a checked bound
         sets = settle(sets.join(listed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "shingle-sets")
+        asked.destroy()
         left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
         met = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
         union = F.col("na") + F.col("nb") - F.col("shared")
-        made = settle(met.select("a", "b", "shared", (100 * F.col("shared") >= self.percent * union).alias("near"), (1 - F.col("shared") / union).alias("distance")), name)
+        made = settle(met.select("a", "b", (100 * F.col("shared") >= self.percent * union).alias("near"), (1 - F.col("shared") / union).alias("distance")), name)
         discard(pairs, ids, sets)
         return made
 
-    def _able(self, pairs: DataFrame, votes: str) -> DataFrame:
-        """The pairs whose common pivots leave a large enough intersection possible.
-
-        All elements of the document whose window ends first, up to that end, lie in both windows if they are common; so the
-        intersection has at most the common pivots and what lies behind the window: ceil(p n / 100) - 1 elements. Where only
-        some common pivots were counted, a pair left out here is met again in the last recursion, which counts all."""
-        p = self.percent
-        behind = lambda n: F.ceil(F.lit(p) * F.col(n) / 100) - 1
-        least = F.ceil(F.lit(p) * (F.col("na") + F.col("nb")) / (100 + p) - 1e-9)
-        return pairs.where(F.col(votes) + F.greatest(behind("na"), behind("nb")) >= least)
-
-    def _sized(self, pairs: DataFrame) -> DataFrame:
-        return pairs.where((100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")))
-
-    def _link(self, recursions: int) -> None:
-        size = self.members.select(F.col("doc_id").alias("pivot"), F.col("n").alias("np")).distinct()
-        # each document's distance to the pivot with which it shares most regions
-        votes = self.members.where("pivot <> doc_id").groupBy("doc_id", "n", "pivot").agg(F.count("*").alias("votes")).join(size, "pivot")
-        best = self._sized(votes.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("na"), F.col("np").alias("nb"), "votes"))
-        best = self._able(best, "votes").groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("votes", -F.col("b"))).alias("p")).select("a", "p.b", "na", "p.nb")
-        tested = self._distances(best, "pivot-distances")
-        nearest = tested.select(F.col("a").alias("doc_id"), F.col("b").alias("cell"), "distance")
-        links = tested.where("near").select("a", "b")
-        for k in range(recursions + 1):
-            label = components(links)
-            placed = self.members.select("region", "doc_id", "n").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-            # only regions that still hold several classes recurse
-            open_ = placed.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id", "n", "component")).alias("p")).where("low <> high")
-            open_ = settle(open_.select("region", "p"), "open-regions")
-            left = settle(placed.join(open_, "region"), "open-members")
-            discard(label, open_)
-            done = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            if k < recursions:
-                pairs = left.where(F.col("component") != F.col("p.component")).select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b"), F.when(F.col("doc_id") < F.col("p.doc_id"), F.col("n")).otherwise(F.col("p.n")).alias("na"), F.when(F.col("doc_id") < F.col("p.doc_id"), F.col("p.n")).otherwise(F.col("n")).alias("nb"))
-            else:
-                x = left.join(nearest, "doc_id", "left").select("region", "doc_id", "n", "component", "cell", "distance")
-                y = x.select("region", *(F.col(c).alias(f"{c}_y") for c in ("doc_id", "n", "component", "cell", "distance")))
-                r = 1 - self.percent / 100 + 1e-9
-                apart = (F.col("cell") == F.col("cell_y")) & (F.abs(F.col("distance") - F.col("distance_y")) > r)
-                met = x.join(y, "region").where((F.col("doc_id") < F.col("doc_id_y")) & (F.col("component") != F.col("component_y")) & ~F.coalesce(apart, F.lit(False)))
-                pairs = met.select(F.col("doc_id").alias("a"), F.col("doc_id_y").alias("b"), F.col("n").alias("na"), F.col("n_y").alias("nb"))
-            pairs = self._sized(pairs).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("votes"))
-            new = self._distances(self._able(pairs, "votes").join(done, ["a", "b"], "left_anti"), "pair-distances")
-            tested = tested.select("a", "b", "near").unionByName(new.select("a", "b", "near"))
-            links = links.unionByName(new.where("near").select("a", "b"))
-            discard(left)
-        self.links, self.labels = links, components(links)
-        discard(self.members)
+    def _open(self, label: DataFrame | None) -> DataFrame:
+        """(region, doc_id, n, most, component, major) of the regions that hold several classes; ``major`` is the largest of them."""
+        own = self.members.withColumn("component", F.col("doc_id"))
+        if label is not None:
+            met = self.members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+            own = met.withColumn("component", F.coalesce("component", "doc_id"))
+        classes = own.groupBy("region", "component").agg(F.count("*").alias("size")).groupBy("region").agg(F.count("*").alias("classes"), F.max(F.struct("size", "component"))["component"].alias("major"))
+        return settle(own.join(classes.where("classes > 1").select("region", "major"), "region").select("region", "doc_id", "n", "most", "component", "major"), "open-members")
+
+    def _pivot_pairs(self, members: DataFrame, tested: DataFrame | None, k: int) -> DataFrame:
+        """(a, b, na, nb): each document and the one pivot of another class that it shares most regions with and wasn't measured against."""
+        one = F.struct("doc_id", "n", "most", "component")
+        order = F.struct((F.col("most") - F.col("n")) / F.col("n"), F.xxhash64("doc_id")) if k == 0 else F.struct(F.col("most") >= F.col("n"), F.xxhash64("doc_id", F.lit(k)))
+        pivots = members.groupBy("region").agg(F.max_by(one, order).alias("p"))
+        met = members.join(pivots, "region").where("component <> p.component and most >= p.n and n <= p.most")
+        votes = met.groupBy(F.col("doc_id").alias("a"), F.col("p.doc_id").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb")).agg(F.count("*").alias("votes"))
+        if tested is not None:
+            votes = votes.join(tested, ["a", "b"], "left_anti")
+        return votes.groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("votes", -F.col("b"))).alias("p")).select("a", "p.b", "na", "p.nb")
+
+    def _link(self, least_share: int = 100) -> None:
+        """Rounds of pivots go on while at least one test in ``least_share`` brings a link; then all open pairs are measured."""
+        label = cells = tested = None
+        made: list[DataFrame] = []
+        while True:
+            members = self._open(label)
+            new = self._distances(self._pivot_pairs(members, tested, len(made)), "pivot-distances")
+            discard(members)
+            made.append(new)
+            cells = new.select(F.col("a").alias("doc_id"), F.col("b").alias("cell"), "distance") if cells is None else cells
+            flat = reduce(DataFrame.unionByName, made)
+            tested = flat.select("a", "b").unionByName(flat.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+            found = new.agg(F.count("*"), F.count_if("near")).first()
+            if found[1]:
+                label = components(flat.where("near").select("a", "b"))
+            if found[1] * least_share <= found[0] or not found[1]:
+                break
+        members = self._open(label)
+        x = members.where("component <> major").join(cells, "doc_id", "left")
+        y = members.join(cells, "doc_id", "left")
+        y = y.select("region", *(F.col(c).alias(f"{c}_y") for c in ("doc_id", "n", "most", "component", "major", "cell", "distance")))
+        r = 1 - self.percent / 100 + 1e-9
+        apart = (F.col("cell") == F.col("cell_y")) & (F.abs(F.col("distance") - F.col("distance_y")) > r)
+        once = (F.col("component_y") == F.col("major_y")) | (F.col("doc_id") < F.col("doc_id_y"))
+        fits = (F.col("component") != F.col("component_y")) & (F.col("most") >= F.col("n_y")) & (F.col("most_y") >= F.col("n"))
+        met = x.drop("major").join(y, "region").where(once & fits & ~F.coalesce(apart, F.lit(False)))
+        low = F.col("doc_id") < F.col("doc_id_y")
+        pairs = met.select(F.least("doc_id", "doc_id_y").alias("a"), F.greatest("doc_id", "doc_id_y").alias("b"), F.when(low, F.col("n")).otherwise(F.col("n_y")).alias("na"), F.when(low, F.col("n_y")).otherwise(F.col("n")).alias("nb"))
+        made.append(self._distances(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pair-distances"))
+        self.links = reduce(DataFrame.unionByName, made).where("near").select("a", "b")
+        self.labels = components(self.links) if made[-1].where("near").limit(1).count() or label is None else label
+        discard(members, self.members)
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every document."""
