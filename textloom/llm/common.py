@@ -2,54 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+from textloom.plans.scratch import discard, shared_dir
+from textloom.plans.scratch import settled as settle
 
+__all__ = ["ascii_lower", "discard", "read", "settle", "shared_dir"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        folder = tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session may have ended before the interpreter
-        pass
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete settled tables that no later plan reads, so that scratch space doesn't add up."""
-    for table in tables:
-        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            _remove(table.sparkSession, path)
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
-
-    Unlike a local checkpoint the files survive a lost executor. They go when the driver's process ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def ascii_lower(col: Column) -> Column:

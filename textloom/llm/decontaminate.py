@@ -11,8 +11,9 @@ with a free end.
 The items are broadcast in blocks of bounded size; every block meets every document in a map over the documents, which
 needs no shuffle and no state.
 
-Defined results: null or empty texts have no spans; null or empty items, and items of fewer than ``min_words``
-words, which ordinary text holds by chance, match nothing; repeated documents and items give a span each.
+Defined results: null or empty texts have no spans; null or empty items match nothing; items of fewer than ``min_words``
+words, which ordinary text holds by chance, match the texts that consist of their words and nothing else; repeated documents
+and items give a span each.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 NOT_WORD = re.compile(r"\W+")
 SPAN = "array<struct<item_id:long,start_word:int,end_word:int,edits:int>>"
+#: Words of all windows that are looked at together.
+CELLS = 2_000_000
 FREE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,7 +51,7 @@ def words_of(text: str | None) -> list[str]:
 class Numbers(dict):
     """Raw word -> number in the vocabulary, 0 for words of no item, -1 for mere signs. Forgets when it grows large."""
 
-    def __init__(self, vocabulary: dict[str, int], most: int = 400_000):
+    def __init__(self, vocabulary: dict[str, int], most: int = 200_000):
         super().__init__()
         self.vocabulary, self.most = vocabulary, most
 
@@ -71,11 +74,17 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], max_rate: float, min_words: int, samples: int, recall: float, seed: int = 7):
         self.vocabulary: dict[str, int] = {}
         rows = [(i, np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(t)], np.int64)) for i, t in items if i is not None and t]
+        #: the words of a short item -> its ids
+        self.short: dict[tuple[int, ...], list[int]] = {}
+        for i, w in rows:
+            if 0 < len(w) < min_words:
+                self.short.setdefault(tuple(w.tolist()), []).append(i)
         rows = [(i, w) for i, w in rows if len(w) >= min_words]
         self.size, self.max_rate = len(self.vocabulary) + 1, max_rate
         pairs = [w[:-1] * self.size + w[1:] for _, w in rows]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        self.groups = []
+        self.most_short = max((len(w) for w in self.short), default=0)
+        self.groups, self.reach = [], 0
         for n in sorted({len(w) for _, w in rows}):
             own = [(i, w) for i, w in rows if len(w) == n]
             words = np.stack([w for _, w in own])
@@ -88,6 +97,8 @@ class ItemIndex:
                 order = np.argsort(keys, kind="stable")
                 tables.append((keys[order], order))
             own_pairs = np.searchsorted(self.pairs, np.unique(words[:, :-1] * self.size + words[:, 1:]))
+            #: longest window: what lies between two texts
+            self.reach = n + int(max_rate * n)
             self.groups.append((n, int(max_rate * n), np.array([i for i, _ in own]), words, places, salts, tables, own_pairs))
 
 
@@ -138,15 +149,19 @@ def spans(texts: list[str | None], index: ItemIndex, numbers: Numbers | None = N
 
     The words of the texts lie in one array, with so many zeros between two texts that no window spans both."""
     out: list[list[dict]] = [[] for _ in texts]
-    if not index.groups or not texts:
+    if not texts:
         return out
-    numbers, reach = Numbers(index.vocabulary) if numbers is None else numbers, max(n + most for n, most, *_ in index.groups)
+    numbers, reach = Numbers(index.vocabulary) if numbers is None else numbers, index.reach
     gap, parts, bounds, at = np.zeros(reach, np.int64), [], [], 0
-    for t in texts:
+    for d, t in enumerate(texts):
         own = numbers.of(t)
+        if index.short:
+            out[d] = [{"item_id": i, "start_word": 0, "end_word": len(own), "edits": 0} for i in index.short.get(tuple(own.tolist()) if len(own) <= index.most_short else (), [])]
         parts += [own, gap]
         bounds.append((at, at + len(own)))
         at += len(own) + reach
+    if not index.groups:
+        return out
     words, bounds = np.concatenate(parts), np.array(bounds)
     both = np.flatnonzero((words[:-1] > 0) & (words[1:] > 0))
     pair = words[both] * index.size + words[both + 1]
@@ -157,13 +172,15 @@ def spans(texts: list[str | None], index: ItemIndex, numbers: Numbers | None = N
     for n, most, ids, items, places, salts, tables, pairs in index.groups:
         own = np.zeros(len(index.pairs), bool)
         own[pairs] = True
-        starts = _starts(both[own[slot]], n, most)
+        # more edits than pairs can tell of: every place is asked
+        starts = _starts(both[own[slot]], n, most) if n - 1 - 2 * most > 0 else np.arange(len(words) - n - most + 1)
         starts = starts[starts >= 0]
         doc = np.searchsorted(bounds[:, 0], starts, "right") - 1
         inside = starts + (n - most) <= bounds[doc, 1]
         starts, doc = starts[inside], doc[inside]
-        for c in range(0, len(starts), 50_000):
-            found += _verified(words, starts[c : c + 50_000], bounds[doc[c : c + 50_000], 1], doc[c : c + 50_000], n, most, ids, items, places, salts, tables)
+        step = max(1, CELLS // (n + most))
+        for c in range(0, len(starts), step):
+            found += _verified(words, starts[c : c + step], bounds[doc[c : c + step], 1], doc[c : c + step], n, most, ids, items, places, salts, tables)
     taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for d, item, a, b, e in sorted(found, key=lambda x: (x[0], x[4], x[1], x[2], x[3])):
         if all(b <= x or y <= a for x, y in taken.setdefault((d, item), [])):
@@ -174,7 +191,7 @@ def spans(texts: list[str | None], index: ItemIndex, numbers: Numbers | None = N
 
 def _starts(at: np.ndarray, n: int, most: int) -> np.ndarray:
     """The starts of all windows of n + most words that hold as many of the pairs ``at`` as the most edits leave (q-gram lemma)."""
-    need = max(1, n - 1 - 2 * most)
+    need = n - 1 - 2 * most
     if len(at) < need:
         return at[:0]
     first, final = at[: len(at) - need + 1], at[need - 1 :]
@@ -207,8 +224,9 @@ def _verified(words, starts, ends, doc, n, most, ids, items, places, salts, tabl
         after = np.minimum(np.searchsorted(copies, at), len(copies) - 1)
         away = np.minimum(np.abs(copies[after] - at), np.abs(copies[np.maximum(after - 1, 0)] - at)) > most
         window, item = window[away], item[away]
-    for k in range(0, len(window), 20_000):
-        w, i = window[k : k + 20_000], item[k : k + 20_000]
+    step = max(1, CELLS // (n + 2 * most))
+    for k in range(0, len(window), step):
+        w, i = window[k : k + step], item[k : k + step]
         edits, length = edit_distance(items[i], windows[w], most)
         good = (edits <= most) & (starts[w] + length <= ends[w]) & (length > 0)
         w, i, edits, length = w[good], i[good], edits[good], length[good]
@@ -216,23 +234,24 @@ def _verified(words, starts, ends, doc, n, most, ids, items, places, salts, tabl
     return out
 
 
-def _parts(texts: list[str | None], chars: int = 16_000_000) -> Iterator[list[str | None]]:
-    """Consecutive texts of about so many characters: bounds a task's memory, whatever the batch holds."""
+def _parts(texts: list[str | None], gap: int, chars: int = 8_000_000) -> Iterator[list[str | None]]:
+    """Consecutive texts of about so many characters, gaps of so many words included: bounds a task's memory, whatever the batch holds."""
     part, size = [], 0
     for t in texts:
         part.append(t)
-        size += len(t or "")
+        size += len(t or "") + 4 * gap
         if size >= chars:
             yield part
             part, size = [], 0
     yield part
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> list[list[tuple[int, str]]]:
-    """The stated query set in blocks of about ``block_chars``, dealt by a hash; each is small enough to be broadcast."""
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The stated query set in blocks of about ``block_chars``, dealt by a hash; each is small enough to be broadcast, and one is held at a time."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and length(t) > 0")
     blocks = max(1, math.ceil((rows.agg(F.sum(F.length("t"))).first()[0] or 0) / block_chars))
-    return [[(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()] for b in range(blocks)]
+    for b in range(blocks):
+        yield [(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()]
 
 
 def _scanner(shared):
@@ -242,30 +261,36 @@ def _scanner(shared):
         numbers = Numbers(index.vocabulary)
         for texts in batches:
             out: list[list[dict]] = []
-            for part in _parts(texts.tolist()):
+            for part in _parts(texts.tolist(), index.reach):
                 out += spans(part, index, numbers)
             yield pd.Series(out)
 
     return scan
 
 
-def with_spans(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", out="spans", max_rate=0.2, min_words=5, samples=2, recall=0.99, block_chars=8_000_000) -> DataFrame:
-    """All rows and columns of ``docs``, and ``out``: an array of (item_id, start_word, end_word, edits)."""
+def _with_spans(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", max_rate=0.2, min_words=5, samples=2, recall=0.99, block_chars=8_000_000) -> DataFrame:
+    """(row, spans): each row whole, as a struct, and its spans."""
     spark = docs.sparkSession
     found = F.array().cast(SPAN)
     for block in item_blocks(benchmark, item_col, item_text_col, block_chars):
         shared = spark.sparkContext.broadcast(ItemIndex(block, max_rate, min_words, samples, recall))
-
         found = F.concat(found, _scanner(shared)(F.col(text_col)))
-    return docs.withColumn(out, found)
+    return docs.select(F.struct("*").alias("row"), found.alias("spans"))
+
+
+def with_spans(docs: DataFrame, benchmark: DataFrame, out="spans", **options) -> DataFrame:
+    """All rows and columns of ``docs``, and ``out`` (replaced if it is there): an array of (item_id, start_word, end_word, edits)."""
+    made = _with_spans(docs, benchmark, **options)
+    return made.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != out), F.col("spans").alias(out))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", **options) -> DataFrame:
     """(id, item_id, start_word, end_word, edits): one row for each stretch."""
-    marked = with_spans(docs.select(F.col(id_col), F.col(options.get("text_col", "text"))), benchmark, out="_spans", **options)
-    return marked.select(F.col(id_col), F.explode("_spans").alias("s")).select(id_col, "s.*")
+    text_col = options.pop("text_col", "text")
+    marked = _with_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, **options)
+    return marked.select(F.col("row.id").alias(id_col), F.explode("spans").alias("s")).select(id_col, "s.*")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without such a stretch, all their columns."""
-    return with_spans(docs, benchmark, out="_textloom_spans", **options).where(F.size("_textloom_spans") == 0).drop("_textloom_spans")
+    return _with_spans(docs, benchmark, **options).where(F.size("spans") == 0).select("row.*")

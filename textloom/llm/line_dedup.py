@@ -35,7 +35,8 @@ def _key(id_col: str, text_col: str) -> dict[str, Column]:
 
 
 def _words(line: Column) -> Column:
-    return F.size(F.array_remove(F.split(line, " "), ""))
+    """Words parted by white space; a line of a script without blanks has one for each twenty characters at least."""
+    return F.greatest(F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")), F.floor(F.length(line) / 20).cast("int"))
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -117,21 +118,28 @@ def repeated_runs(docs: DataFrame, id_col="doc_id", text_col="text", min_words:
     return runs
 
 
-def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words: int = 5, out="removed_runs", count="n_lines") -> DataFrame:
-    """All rows of ``docs``; the text without the later copies, the runs cut from it (start, end before), the lines it had."""
-    runs = repeated_runs(docs, id_col, text_col, min_words)
-    keyed = docs.withColumns({n: c for n, c in _key(id_col, text_col).items()})
-    met = keyed.join(runs.withColumnRenamed("runs", "_runs"), ["_k1", "_k2"], "left").withColumn("_lines", F.split(F.col(text_col), "\n"))
-    runs_, lines = F.col("_runs"), F.col("_lines")
-    start = F.concat(F.array(F.lit(0)), F.transform(runs_, lambda r: r["end"]))
-    stop = F.concat(F.transform(runs_, lambda r: r["start"]), F.array(F.size(lines)))
+def _cut(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(row, text, runs, lines): each row whole, as a struct, the text without the later copies, the runs cut from it, the lines it had."""
+    found = repeated_runs(docs, id_col, text_col, min_words)
+    keyed = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), *(c.alias(n) for n, c in _key(id_col, text_col).items()))
+    met = keyed.join(found, ["_k1", "_k2"], "left").withColumn("lines", F.split("text", "\n"))
+    runs, lines = F.col("runs"), F.col("lines")
+    start = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["end"]))
+    stop = F.concat(F.transform(runs, lambda r: r["start"]), F.array(F.size(lines)))
     kept = F.flatten(F.transform(F.arrays_zip(start.alias("a"), stop.alias("b")), lambda g: F.slice(lines, g["a"] + 1, g["b"] - g["a"])))
-    text = F.when(runs_.isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    found = F.when(F.col(text_col).isNotNull(), F.coalesce(runs_, F.array().cast(RUNS))).otherwise(F.array().cast(RUNS))
-    columns = [c for c in docs.columns if c not in (text_col, out, count)]
-    made = met.select(*columns, text.alias("_text"), found.alias(out), F.coalesce(F.size(lines), F.lit(0)).alias("_n"))
+    text = F.when(runs.isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    nothing = F.array().cast(RUNS)
     # a null array has size -1 or null, as the session is set
-    return made.select(*columns, F.col("_text").alias(text_col), out, F.greatest("_n", F.lit(0)).alias(count))
+    return met.select("row", text.alias("text"), F.when(F.col("text").isNotNull(), F.coalesce(runs, nothing)).otherwise(nothing).alias("runs"), F.greatest(F.coalesce(F.size(lines), F.lit(0)), F.lit(0)).alias("lines"))
+
+
+def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words: int = 5, out="removed_runs", count="n_lines") -> DataFrame:
+    """All rows of ``docs``; the text without the later copies, the runs cut from it (start, end before), the lines it had.
+
+    Columns named ``out`` or ``count`` are replaced, all others are kept."""
+    made = _cut(docs, id_col, text_col, min_words)
+    kept = [F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in (out, count)]
+    return made.select(*kept, F.col("runs").alias(out), F.col("lines").alias(count))
 
 
 def n_removed(runs: Column) -> Column:
@@ -140,17 +148,17 @@ def n_removed(runs: Column) -> Column:
 
 def drop_copied_lines(docs: DataFrame, min_words: int = 5, id_col="doc_id", text_col="text", chars_col="n_chars") -> DataFrame:
     """The documents' columns with the later copies cut; documents of which nothing is left go."""
-    made = dedup_lines(docs, id_col, text_col, min_words, "_textloom_runs", "_textloom_lines")
-    made = made.where((n_removed(F.col("_textloom_runs")) < F.col("_textloom_lines")) | (F.col("_textloom_lines") == 0))
+    made = _cut(docs, id_col, text_col, min_words).where((n_removed(F.col("runs")) < F.col("lines")) | (F.col("lines") == 0))
+    new = {text_col: F.col("text")}
     if chars_col in docs.columns:
-        made = made.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return made.select(docs.columns)
+        new[chars_col] = F.length("text").cast(docs.schema[chars_col].dataType)
+    return made.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 #: The same in DuckDB: windows by a self-join, held against each other as texts.
-SQL = """
+SQL = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, unnest(range(len(lines))) AS pos, unnest(list_transform(lines, lambda x: len(list_filter(string_split(x, ' '), lambda y: y <> '')))) AS words FROM d),
+l AS (SELECT doc_id, unnest(range(len(lines))) AS pos, unnest(list_transform(lines, lambda x: greatest(len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')), length(x) // 20))) AS words FROM d),
 s AS (SELECT doc_id, pos, sum(words) OVER w AS upto, sum(words) OVER w - words AS before FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 w AS (
   SELECT a.doc_id, a.pos AS s, min(b.pos) AS e FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.upto >= a.before + 5 AND b.pos >= a.pos GROUP BY ALL

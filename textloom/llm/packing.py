@@ -3,9 +3,9 @@
 Documents are tokenised in a map over the texts (one end token after each), cut into pieces of at most ``capacity``
 tokens, and only the pieces' lengths travel from there. Pieces are dealt to groups of bounded size; each group packs
 best-fit decreasing and certifies its number of bins by the strongest of a family of dual feasible functions
-(Fekete and Schepers). Groups whose count exceeds their bound have gaps: their less filled bins give up their
-documents, which are dealt anew, mixed across groups, and packed again, until every group is certified, the rest fits one
-group, or a round gains nothing.
+(Fekete and Schepers). Groups whose count exceeds their bound have gaps: all their bins that aren't full give up their
+documents, as does the emptiest bin of every certified group; these are dealt anew, mixed across groups, and packed again, as
+long as that takes fewer bins than before. ``certificate`` holds the outcome against the bound of the whole table.
 
 Defined results: a null or empty text is its end token alone; repeated documents are packed each (with their ids);
 null ids are kept; an empty table gives no rows.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -28,7 +29,6 @@ from textloom.llm.common import settle
 PIECES = "doc_id long, row_id long, piece int, start long, length long, ids_crc32 long"
 #: A word of plain letters, then signs: no normal form, case or pattern of a tokenizer reaches across the two.
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00fe]+)([!-/:-@\[-`{-~]*)")
-_state: dict = {}
 
 
 class _Numbered(dict):
@@ -73,7 +73,7 @@ class WordTokenizer:
     Each distinct word is put together once from its parts' ids and remembered, as are the parts; a text's ids are
     gathered from there. Both memories are dropped beyond their limits, words sooner, as they are cheap to put together."""
 
-    def __init__(self, path: str, most_words: int = 300_000, most_parts: int = 600_000):
+    def __init__(self, path: str, most_words: int = 150_000, most_parts: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -118,7 +118,7 @@ class WordTokenizer:
 
 
 def _tokenise(batches: Iterator[pd.DataFrame], path: str, capacity: int, end_id: int) -> Iterator[pd.DataFrame]:
-    tokenizer = _state.get(path) or _state.setdefault(path, WordTokenizer(path))
+    tokenizer = WordTokenizer(path)  # for this task only: workers live on and would keep its memory
     end = np.array([end_id], np.uint32)
     for batch in batches:
         docs, rows = batch["doc_id"].tolist(), batch["row_id"].tolist()
@@ -146,8 +146,12 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The largest bound of the dual feasible functions f_e: over capacity - e counts as a whole bin, under e as nothing."""
-    count = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
+    return bound_of(np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64))
+
+
+def bound_of(count: np.ndarray) -> int:
+    """The largest bound of the dual feasible functions f_e for so many pieces of each length: over capacity - e counts as a whole bin, under e as nothing."""
+    capacity = len(count) - 1
     many, mass = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * np.arange(capacity + 1))])
     best = -(-int(mass[-1]) // capacity)
     for e in range(1, capacity // 2 + 1):
@@ -182,45 +186,55 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offset, np.array(fill, np.int64)
 
 
-def _pack(group: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
-    """``settled``: bins that stay. With a gap between bins and bound, the bins that are not full give up their pieces."""
+def _pack(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """``settled``: pieces of bins that stay. With a gap between bins and bound the bins that aren't full give up their pieces, else the emptiest."""
     lengths = group["length"].to_numpy()
     bins, offset, fill = best_fit_decreasing(lengths, capacity)
-    settled = np.ones(len(fill), bool)
-    if not last and len(fill) > lower_bound(lengths, capacity):
-        settled = fill == capacity
-        loose = np.flatnonzero(~settled)
-        # nearly full bins go too, as their pieces fit the gaps of others: the emptiest and as many again of the rest
-        take = loose[np.argsort(fill[loose], kind="stable")][: max(64, len(loose) // 4)]
-        settled[:] = True
-        settled[take] = False
-    return group.assign(bin=bins, offset=offset, settled=settled[bins])[["row_id", "piece", "length", "grp", "bin", "offset", "settled"]]
+    stays = fill == capacity
+    if len(fill) == lower_bound(lengths, capacity):
+        stays[:] = True
+        stays[fill.argmin()] = fill.min() == capacity
+    return group.assign(bin=bins, offset=offset, settled=stays[bins])[["row_id", "piece", "length", "grp", "bin", "offset", "settled"]]
 
 
-def _packer(capacity: int, last: bool):
-    return lambda group: _pack(group, capacity, last)
+def _packer(capacity: int):
+    return lambda group: _pack(group, capacity)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, group_rows: int = 20_000, rounds: int = 4, **columns) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, group_rows: int = 20_000, **columns) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
     pieces = settle(pieces_of(docs, tokenizer_path, capacity, end_id, **columns), "pieces")
+    place = ["row_id", "piece", "round", "grp", "bin", "offset"]
     full = pieces.where(F.col("length") == capacity).select("row_id", "piece", F.lit(0).alias("round"), F.lit(0).cast("long").alias("grp"), F.monotonically_increasing_id().alias("bin"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity).select("row_id", "piece", "length")
-    done, n, k = [], rest.count(), 0
+    done, rows, bins, k = [full], rest.count(), None, 0
     schema = "row_id long, piece int, length long, grp long, bin long, offset long, settled boolean"
-    while n:
-        groups = -(-n // group_rows)
-        last = k + 1 >= rounds or groups == 1
-        dealt = rest.withColumn("grp", F.pmod(F.xxhash64("row_id", "piece", F.lit(k)), F.lit(groups)))
-        packed = settle(dealt.repartition(groups, "grp").groupBy("grp").applyInPandas(_packer(capacity, last), schema), "packed")
-        done.append(packed.where("settled").select("row_id", "piece", F.lit(k + 1).alias("round"), "grp", "bin", "offset"))
-        rest = packed.where("not settled").select("row_id", "piece", "length")
-        left = rest.count()
-        n, k = (0 if last else left), k + 1
-    placed = full
-    for part in done:
-        placed = placed.unionByName(part)
+    while rows:
+        groups, k = -(-rows // group_rows), k + 1
+        dealt = rest.select("row_id", "piece", "length", F.pmod(F.xxhash64("row_id", "piece", F.lit(k)), F.lit(groups)).alias("grp"))
+        packed = settle(dealt.repartition(groups, "grp").groupBy("grp").applyInPandas(_packer(capacity), schema), "packed").withColumn("round", F.lit(k))
+        made, left, left_rows = packed.agg(F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & ~F.col("settled")), F.count_if(~F.col("settled"))).first()
+        if bins is not None and made >= bins:  # the earlier places stay
+            done.append(rest.select(place))
+            break
+        if groups == 1:
+            done.append(packed.select(place))
+            break
+        done.append(packed.where("settled").select(place))
+        rest, bins, rows = packed.where("not settled"), left, left_rows
+    placed = reduce(DataFrame.unionByName, done)
     # a bin's number: its round, group and place there; a full piece is a bin of its own
-    number = F.when(F.col("round") == 0, -1 - F.col("bin")).otherwise((F.col("round") * (1 << 40) + F.col("grp")) * (1 << 20) + F.col("bin"))
+    number = F.when(F.col("round") == 0, -1 - F.col("bin")).otherwise((F.col("round") * (1 << 34) + F.col("grp")) * (1 << 20) + F.col("bin"))
     placed = placed.select("row_id", "piece", number.alias("sequence_id"), "offset")
     return pieces.join(placed, ["row_id", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def certificate(packed: DataFrame, capacity: int = 2048) -> tuple[int, int]:
+    """(sequences made, the dual feasible functions' lower bound for all pieces): equal if no packing needs fewer.
+
+    Only the number of pieces of each length reaches the driver."""
+    counts = packed.groupBy("length").agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("first")).collect()
+    many = np.zeros(capacity + 1, np.int64)
+    for r in counts:
+        many[r["length"]] = r["n"]
+    return sum(r["first"] for r in counts), bound_of(many)

@@ -43,7 +43,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col=
     site = [F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path")]
     marks = labels.select(id_col, F.col(good_col).cast("int").alias("good")).dropna().groupBy(id_col).agg(F.min("good").alias("good"))
     base, hosts, paths = site_posteriors(docs.select(id_col, *site).join(marks, id_col).select("host", "path", "good"))
-    scored = with_logits(docs.select(id_col, *site, F.col(text_col).alias("_text")), chain, "_logits", "_text").select(id_col, "host", "path", F.col("_logits")[0].alias("logit"))
+    scored = with_logits(docs.select(F.col(id_col).alias(id_col), *site, F.col(text_col).alias("text")), chain).select(f"row.{id_col}", "row.host", "row.path", F.col("logits")[0].alias("logit"))
     met = scored.join(hosts, "host", "left").join(paths, ["host", "path"], "left")
     host_post = F.coalesce("host_post", F.lit(base))
     path_post = F.coalesce("path_post", host_post)

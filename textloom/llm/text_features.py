@@ -2,10 +2,9 @@
 
 A text's features are its words, the words' first 5 and 7 bytes, and the last 2 bytes of its raw tokens, each as a
 64-bit number. Models are fitted on a bounded sample of labelled rows (``max_rows``, by hash order): the sample's features
-are counted per label by a grouped sum in Spark, the ``most`` with the largest chi-square are kept, and a logistic
-regression with an L2 prior is fitted in numpy on the sample's kept features."""
-
-from __future__ import annotations
+are counted per label and fold by a grouped sum in Spark, the ``most`` with the largest chi-square are kept, and a logistic
+regression with an L2 prior is fitted in numpy on the sample's kept features. Out-of-fold models choose their features without the
+rows of the fold, too."""
 
 from __future__ import annotations
 
@@ -24,7 +23,7 @@ from textloom.llm.common import discard, settle
 PREFIXES, SUFFIX = (5, 7), 2
 
 
-def features(texts: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def features(texts: pa.Array, size: int = 300_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, row of each feature, feature), not yet distinct."""
     texts = texts.cast(pa.large_string()).fill_null("")
     offset = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
@@ -79,7 +78,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Linear:
-    """Logistic regression over kept features and, in a chain, the logits of earlier labels."""
+    """Logistic regression over kept features and, in a chain, the probabilities of earlier labels."""
 
     weights: np.ndarray
     earlier: np.ndarray
@@ -89,6 +88,10 @@ class Linear:
         return np.bincount(row, self.weights[slot], n) + before @ self.earlier + self.bias
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 def fit_linear(row, slot, n, before, y, size: int, l2: float = 1.0, steps: int = 250) -> Linear:
     """Full-batch Adam on the penalised log loss."""
     x, m, v = np.zeros(size + before.shape[1] + 1), 0.0, 0.0
@@ -96,7 +99,7 @@ def fit_linear(row, slot, n, before, y, size: int, l2: float = 1.0, steps: int =
     x[-1] = np.log(share / (1 - share))
     for k in range(1, steps + 1 if n else 1):
         model = Linear(x[:size], x[size:-1], x[-1])
-        g = 1 / (1 + np.exp(-np.clip(model.logit(row, slot, n, before), -30, 30))) - y
+        g = sigmoid(model.logit(row, slot, n, before)) - y
         grad = np.concatenate([np.bincount(slot, g[row], size), g @ before, [g.sum()]])
         grad[:-1] += l2 * x[:-1]
         grad /= n
@@ -107,7 +110,7 @@ def fit_linear(row, slot, n, before, y, size: int, l2: float = 1.0, steps: int =
 
 @dataclass
 class Chain:
-    """Linear models in the order of the labels; each later one also reads the logits of those before."""
+    """Linear models in the order of the labels; each later one also reads the probabilities of those before."""
 
     labels: list[str]
     kept: np.ndarray
@@ -121,61 +124,94 @@ class Chain:
             slot = slot.astype(np.int64)
         else:
             row, slot = row[:0], row[:0]
-        out = np.zeros((n, 0))
+        out, before = np.zeros((n, 0)), np.zeros((n, 0))
         for model in self.models:
-            out = np.concatenate([out, np.clip(model.logit(row, slot, n, out), -30, 30)[:, None]], 1)
+            own = np.clip(model.logit(row, slot, n, before), -30, 30)[:, None]
+            out, before = np.concatenate([out, own], 1), np.concatenate([before, sigmoid(own)], 1)
         return out
 
 
+def _chosen(rows: DataFrame, ys: list[str], folds: int, most: int, least_rows: int, least_score: float) -> list[np.ndarray]:
+    """The kept features, sorted: of all rows first, then without the rows of each fold."""
+    n, y = (lambda k: f"n{k}"), (lambda k, c: f"{c}_{k}")
+    own = [(k, F.col("fold") == k) for k in range(folds)]
+    sums = [s for k, inside in own for s in (F.count_if(inside).alias(n(k)), *(F.sum(F.when(inside, F.col(c)).otherwise(0)).alias(y(k, c)) for c in ys))]
+    total = rows.agg(*sums).first()
+    counts = rows.select("fold", *ys, F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= least_rows)
+    counts = settle(counts, "feature-counts")
+    out = []
+    for left in (None, *range(folds)):
+        used = [k for k in range(folds) if k != left]
+        score, seen, every = F.lit(0.0), sum(F.col(n(k)) for k in used), sum(total[n(k)] or 0 for k in used)
+        for c in ys:
+            share = sum(total[y(k, c)] or 0 for k in used) / every if every else 0
+            if 0 < share < 1:
+                score = F.greatest(score, (sum(F.col(y(k, c)) for k in used) - seen * share) ** 2 / (seen * share * (1 - share)))
+        best = counts.where(seen >= least_rows).withColumn("score", score).where(F.col("score") >= least_score).orderBy(F.desc("score"), "feature").limit(most)
+        out.append(np.sort(np.array([r.feature for r in best.select("feature").collect()], np.int64).view(np.uint64)))  # ``most`` at most
+        if len(ys) == 1:  # nothing reads out-of-fold predictions
+            break
+    discard(counts)
+    return out
+
+
 def fit_chain(docs: DataFrame, labels: DataFrame, columns: list[str], id_col="doc_id", text_col="text", max_rows: int = 20_000, most: int = 2048, least_rows: int = 3, least_score: float = 15.0, folds: int = 5) -> Chain:
     """labels(id, columns 0/1): fit the chain on at most ``max_rows`` labelled rows.
 
-    Later models are trained with out-of-fold logits of the earlier labels, so they see earlier errors as they will be."""
-    known = labels.select(F.col(id_col), *(F.col(c).cast("int").alias(f"_y{i}") for i, c in enumerate(columns))).dropna().groupBy(id_col).agg(*(F.max(f"_y{i}").alias(f"_y{i}") for i in range(len(columns))))
-    sample = known.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
-    met = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)  # max_rows bounds its size
-    ys = [f"_y{i}" for i in range(len(columns))]
-    rows = met.select(F.xxhash64(id_col).alias("_key"), *ys, F.col(text_col).cast("string").alias("_text"))
-    rows = settle(rows.mapInArrow(_featured, ", ".join(["_key long", *(f"{y} int" for y in ys), "features array<long>"])), "labelled-features")
+    Later models are trained with out-of-fold probabilities of the earlier labels, so they see earlier errors as they will be."""
+    ys = [f"y{i}" for i in range(len(columns))]
+    known = labels.select(F.col(id_col).alias("id"), *(F.col(c).cast("int").alias(y) for c, y in zip(columns, ys))).dropna().groupBy("id").agg(*(F.max(y).alias(y) for y in ys))
+    sample = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    met = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")  # max_rows bounds its size
+    rows = met.select(F.xxhash64("id").alias("key"), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(folds)).cast("int").alias("fold"), *ys, "text")
+    rows = settle(rows.mapInArrow(_featured, ", ".join(["key long", "fold int", *(f"{y} int" for y in ys), "features array<long>"])), "labelled-features")
     n = rows.count()
-    counts = rows.select(*ys, F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in ys)).where(F.col("n") >= least_rows)
-    score = F.lit(0.0)
-    share = rows.agg(*(F.avg(y) for y in ys)).first()
-    for y, p in zip(ys, share):
-        if p and 0 < p < 1:
-            score = F.greatest(score, (F.col(y) - F.col("n") * p) ** 2 / (F.col("n") * p * (1 - p)))
-    kept = np.sort(np.array([r.feature for r in counts.where(score >= least_score).orderBy(F.desc(score), "feature").limit(most).collect()], np.int64).view(np.uint64))
-    chain = Chain(columns, kept)
-    listed = F.broadcast(rows.sparkSession.createDataFrame([(int(k), i) for i, k in enumerate(kept.view(np.int64))], "feature long, slot int")) if len(kept) else None
-    got = rows.withColumn("_id", F.monotonically_increasing_id())
-    pairs = got.select("_id", F.explode("features").alias("feature")).join(listed, "feature").groupBy("_id").agg(F.collect_list("slot").alias("slots")) if listed is not None else None
-    table = got.select("_id", "_key", *ys)
-    table = (table.join(pairs, "_id", "left") if pairs is not None else table.withColumn("slots", F.array().cast("array<int>"))).orderBy("_key", "_id").toPandas()  # at most max_rows short lists
+    if n > max_rows:  # many rows may share a labelled id
+        rows, n = settle(rows.orderBy("key", F.xxhash64("features")).limit(max_rows), "labelled-features"), max_rows
+    chosen = _chosen(rows, ys, folds, most, least_rows, least_score)
+    union = np.unique(np.concatenate(chosen))
+    kept = chosen[0]
+    got = rows.select(F.monotonically_increasing_id().alias("row"), "key", "fold", *ys, "features")
+    if len(union):  # at most ``most`` features for each fold
+        listed = F.broadcast(rows.sparkSession.createDataFrame([(int(k), i) for i, k in enumerate(union.view(np.int64))], "feature long, slot int"))
+        pairs = got.select("row", F.explode("features").alias("feature")).join(listed, "feature").groupBy("row").agg(F.collect_list("slot").alias("slots"))
+        got = got.drop("features").join(pairs, "row", "left")
+    else:
+        got = got.drop("features").withColumn("slots", F.array().cast("array<int>"))
+    table = got.orderBy("key", "row").toPandas()  # at most max_rows short lists
     discard(rows)
     slots = [np.asarray(x, np.int64) if x is not None else np.zeros(0, np.int64) for x in table["slots"]]
     row = np.repeat(np.arange(n), [len(x) for x in slots]) if n else np.zeros(0, np.int64)
     slot = np.concatenate(slots) if slots else np.zeros(0, np.int64)
-    fold = np.arange(n) % folds
-    before = np.zeros((n, 0))
+
+    def part(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of rows and places in ``features``."""
+        place = np.searchsorted(features, union)
+        inside = np.isin(union, features)
+        own = inside[slot] if len(union) else np.zeros(0, bool)
+        return row[own], place[slot[own]]
+
+    fold = table["fold"].to_numpy(np.int64) if n else np.zeros(0, np.int64)
+    before, chain = np.zeros((n, 0)), Chain(columns, kept)
     for i, y in enumerate(ys):
         target = table[y].to_numpy(float)
-        chain.models.append(fit_linear(row, slot, n, before, target, len(kept)))
+        chain.models.append(fit_linear(*part(kept), n, before, target, len(kept)))
         if i + 1 < len(ys):
             out = np.zeros(n)
-            for k in range(folds):
-                inside = fold != k
-                place = np.cumsum(inside) - 1
-                own = inside[row]
-                model = fit_linear(place[row[own]], slot[own], int(inside.sum()), before[inside], target[inside], len(kept))
-                out = np.where(inside, out, model.logit(row, slot, n, before))
-            before = np.concatenate([before, np.clip(out, -30, 30)[:, None]], 1)
+            for k, features in enumerate(chosen[1:]):
+                own_row, own_slot = part(features)
+                used = fold != k
+                place, learn = np.cumsum(used) - 1, used[own_row]
+                model = fit_linear(place[own_row[learn]], own_slot[learn], int(used.sum()), before[used], target[used], len(features))
+                out = np.where(used, out, model.logit(own_row, own_slot, n, before))
+            before = np.concatenate([before, sigmoid(out)[:, None]], 1)
     return chain
 
 
-def with_logits(docs: DataFrame, chain: Chain, out: str, text_col="text") -> DataFrame:
-    """All rows and columns, and ``out``: the logit of each label. A map over the texts."""
+def with_logits(docs: DataFrame, chain: Chain, text_col="text") -> DataFrame:
+    """(row, logits): each row whole, as a struct, and the logit of each label. A map over the texts."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    return docs.withColumn(out, _scorer(shared)(F.col(text_col).cast("string")))
+    return docs.select(F.struct("*").alias("row"), _scorer(shared)(F.col(text_col).cast("string")).alias("logits"))
 
 
 def _scorer(shared):
