@@ -189,9 +189,11 @@ def test_lm_score(spark, texts):
 def test_lm_is_normalised():
     words_, counts = np.arange(1, 41).astype(np.uint64), np.arange(40, 0, -1)
     vocabulary = lm_score.Vocabulary(words_, counts, 12, 30, 30 + int(counts.sum()), 41)
-    model = lm_score.LogBilinear(vocabulary.unigram, 4)
-    rows = 10.0 ** model.log10_rows(np.array([0, 3]), np.array([1, 2]))
-    assert rows.sum(1) == pytest.approx([1, 1], abs=1e-5)
+    model = lm_score.LogBilinear(vocabulary, 4)
+    items = np.delete(np.arange(len(vocabulary.top)), lm_score.OTHER)
+    for a, b in ((0, 1), (3, 2)):
+        logp = model.log10(np.full(len(items), a), np.full(len(items), b), items)
+        assert (10.0**logp).sum() == pytest.approx(1, abs=1e-5)
     other = counts[10:]
     assert ((other + 1).sum() + 1) / vocabulary.other_mass == pytest.approx(1)
 
@@ -200,13 +202,31 @@ def test_lm_words_beyond_the_heads_are_normalised():
     words_, counts = np.arange(1, 41).astype(np.uint64), np.arange(40, 0, -1)
     tail = np.array([[4, 3], [2, 2], [0, 0]])
     vocabulary = lm_score.Vocabulary(words_, counts, 12, 30, 36 + int(counts.sum()), 46, tail, 7)
-    model = lm_score.LogBilinear(vocabulary.unigram, 4, vocabulary=vocabulary)
+    model = lm_score.LogBilinear(vocabulary, 4)
+    rng = np.random.default_rng(1)
     items = np.delete(np.arange(len(vocabulary.top)), lm_score.OTHER)
+    for _ in range(30):  # also after it has learned
+        model.learn(*(rng.choice(items, 64) for _ in range(3)), rng, 8)
     a, b = np.full(len(items), 3), np.full(len(items), 20)
-    logp = model.log10_rows(a, b)[np.arange(len(items)), vocabulary.top[items]] + model.log10_members(a, b, items)
+    logp = model.log10(a, b, items)
     assert (10.0**logp).sum() == pytest.approx(1, abs=1e-5)
     assert vocabulary.mass.tolist() == [8, 5, 1] and len(set(vocabulary.find(words_)[0].tolist())) == 40
 
+    def slow(item):  # by its path: output, member
+        r, v = model.first[3] + model.second[20], vocabulary
+
+        def share(w, bias, k, low, high):
+            s = np.exp(w[low:high] @ r + bias[low:high])
+            return s[k - low] / s.sum()
+
+        p = share(model.out, model.bias, v.top[item], 0, v.size)
+        if item >= v.first_member:
+            k = item - v.first_member
+            p *= share(model.inner, model.slope, k, v.low[k], v.high[k])
+        return math.log10(p)
+
+    assert logp == pytest.approx([slow(i) for i in items], abs=1e-4)
+
 
 def test_lm_predicts_words_beyond_the_outputs(spark):
     rng = random.Random(8)

@@ -2,13 +2,13 @@
 
 Counts of all training words are gathered by a grouped sum. The most frequent words, the end of a text and classes of
 other words are the model's outputs. The ``known_words`` most frequent words all have vectors of their own, as targets and as contexts: those that
-aren't outputs are members of classes of about the square root of their number. Words beyond them are dealt by
-their number into groups, as many as the square root of their types; a group has vectors of its own, as a member of the class OTHER, and shares
+aren't outputs are members of classes of about the square root of their number. Words beyond
+them are dealt by their number into groups, as many as the square root of their types; a group has vectors of its own, as a member of the class OTHER, and shares
 its probability out by smoothed counts, one unseen word included. The probability of a word is its class's times its share of
-the class, both softmaxes, so the distribution over words is normalised. The model (Mnih and Teh 2012) predicts a vector from the two tokens before, scores
-by inner product and bias, and is trained with noise words from the unigram distribution, for members from that of their class: each task runs through
-all its training texts, and the tasks' moves of each row are averaged by the tokens that made them, as often as there are
-rounds. Scoring computes exact softmax rows in batches, one for each distinct context of a batch, and members' softmaxes class by class.
+the class, both softmaxes, so the distribution over words is normalised. The model (Mnih and Teh 2012) predicts a vector from the two
+tokens before, scores by inner product and bias, and is trained with noise words: for outputs from the unigram distribution, within a class from its members alike.
+Each task runs through all its training texts, and the tasks' moves of each row are averaged by the tokens that made them, as often as there are
+rounds. Scoring is one matrix product for each batch of contexts, and one for each class that a batch has.
 
 The counts of the ``known_words`` most frequent words are broadcast (a fixed bound); all other words meet their
 counts in a join on the word's number, whose groups are small as frequent words aren't in it.
@@ -93,14 +93,14 @@ class Vocabulary:
         order = np.argsort(words)
         self.words, self.counts, self.output = words[order], counts[order], output[order]
         self.size, self.texts, self.tokens, self.types = self.first_member + classes, texts, tokens, types
-        #: by item its output; by member the members of its class [low, high) and its share of the class
+        #: by item its output
         kind = np.concatenate([np.full(self.groups, OTHER), self.first_member + np.arange(len(own)) // width])
         self.top = np.concatenate([np.arange(self.first_member), kind])
+        #: by member the members of its class [low, high) and its share of the class
         self.low, self.high = np.searchsorted(kind, kind), np.searchsorted(kind, kind, "right")
         weight = np.concatenate([groups[:, 0] + 1.0, own.astype(float)])
-        self.cum = np.concatenate([[0.0], np.cumsum(weight)])
-        self.share = weight / (self.cum[self.high] - self.cum[self.low])
         inner = np.bincount(kind, weight, self.size)
+        self.share = weight / inner[kind]
         weight = np.concatenate([[texts + 1.0, inner[OTHER] - self.groups + 1], top.astype(float), inner[self.first_member :]])
         self.unigram = weight / weight.sum()
 
@@ -117,13 +117,12 @@ class Vocabulary:
 class LogBilinear:
     """score(w | a, b) = (first[a] + second[b]) . out[w] + bias[w] over the outputs; likewise over a class's members by ``inner`` and ``slope``."""
 
-    def __init__(self, unigram: np.ndarray, dim: int, seed: int = 5, vocabulary: Vocabulary | None = None):
-        rng, m, v = np.random.default_rng(seed), len(unigram), vocabulary
-        items, members = (m, 0) if v is None else (len(v.top), len(v.share))
-        self.first, self.second, self.out, self.inner = (0.1 * rng.standard_normal((k, dim), np.float32) for k in (items, items, m, members))
-        self.bias, self.unigram, self.vocabulary = np.log(unigram).astype(np.float32), unigram, v
-        self.slope = np.zeros(0, np.float32) if v is None else np.log(v.share).astype(np.float32)
-        self.squares = [np.full(x.shape, 1e-8, np.float32) for x in self.parts()]
+    def __init__(self, vocabulary: Vocabulary, dim: int, seed: int = 5):
+        rng, v = np.random.default_rng(seed), vocabulary
+        self.first, self.second, self.out, self.inner = (0.1 * rng.standard_normal((k, dim), np.float32) for k in (len(v.top), len(v.top), v.size, len(v.share)))
+        self.bias, self.slope, self.vocabulary = np.log(v.unigram).astype(np.float32), np.log(v.share).astype(np.float32), v
+        #: by row the sum of its gradients' mean squares
+        self.squares = [np.full(len(x), 1e-8, np.float32) for x in self.parts()]
         #: tokens that have moved each row
         self.moved = [np.zeros(len(x), np.float32) for x in self.parts()]
 
@@ -134,81 +133,87 @@ class LogBilinear:
         for x, y in zip(self.parts(), moves):
             x += y.reshape(x.shape)
 
-    def _step(self, k: int, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
+    def _step(self, parts: tuple[int, ...], rows: np.ndarray, grads: list[np.ndarray], rate: float) -> None:
         """Adaptive step on the sum of the rows' gradients."""
-        x = self.parts()[k]
-        rows, at = np.unique(rows, return_inverse=True)
-        if grad.ndim == 1:
-            total = np.bincount(at, grad, len(rows)).astype(np.float32)
-        else:
-            total = np.stack([np.bincount(at, g, len(rows)) for g in grad.T], 1).astype(np.float32)
-        self.squares[k][rows] += total * total
-        x[rows] += rate * total / np.sqrt(self.squares[k][rows])
-        self.moved[k][rows] += np.bincount(at, minlength=len(rows))
-
-    def learn(self, a: np.ndarray, b: np.ndarray, target: np.ndarray, rng: np.random.Generator, noise: int = 32, batch: int = 8192, rate: float = 0.05) -> None:
-        m = len(self.unigram)
-        for k in range(0, len(target), batch):
-            x, y, item = a[k : k + batch], b[k : k + batch], target[k : k + batch]
-            t = item if self.vocabulary is None else self.vocabulary.top[item]
-            n, r = rng.choice(m, noise, p=self.unigram), self.first[x] + self.second[y]
-            chance = np.log(noise * self.unigram).astype(np.float32)
-            g_t = 1 / (1 + np.exp(np.einsum("ij,ij->i", r, self.out[t]) + self.bias[t] - chance[t]))
-            g_n = -1 / (1 + np.exp(-(r @ self.out[n].T + self.bias[n] - chance[n])))
-            scale = np.float32(1 / len(t))
-            g_t, g_n = g_t * scale, g_n * scale
-            g_r = g_t[:, None] * self.out[t] + g_n @ self.out[n]
-            w_n = g_n.T @ r
-            if self.vocabulary is not None:
-                self._learn_members(r, item, g_r, rng, scale, rate)
-            self._step(2, np.concatenate([t, n]), np.concatenate([g_t[:, None] * r, w_n]), rate)
-            self._step(3, np.concatenate([t, n]), np.concatenate([g_t, g_n.sum(0)]), rate)
-            self._step(0, x, g_r, rate)
-            self._step(1, y, g_r, rate)
-
-    def _learn_members(self, r: np.ndarray, item: np.ndarray, g_r: np.ndarray, rng: np.random.Generator, scale: np.float32, rate: float, noise: int = 4) -> None:
-        """The same for targets among the members of their class, with noise from the class; adds to ``g_r``."""
+        order = np.argsort(rows)
+        rows = rows[order]
+        start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        rows, times = rows[start], np.diff(np.append(start, len(order)))
+        for k, grad in zip(parts, grads):
+            x, total = self.parts()[k], np.add.reduceat(grad[order], start, axis=0)
+            own = self.squares[k][rows] + (total * total if total.ndim == 1 else np.einsum("ij,ij->i", total, total) / total.shape[1])
+            self.squares[k][rows] = own
+            pace = rate / np.sqrt(own)
+            x[rows] += pace * total if total.ndim == 1 else pace[:, None] * total
+            self.moved[k][rows] += times
+
+    def learn(self, a: np.ndarray, b: np.ndarray, item: np.ndarray, rng: np.random.Generator, noise: int = 64, rate: float = 0.05) -> None:
+        """One step on the tokens ``item`` after ``a`` and ``b``, with noise outputs that all of them share."""
+        v = self.vocabulary
+        t, n, r = v.top[item], rng.choice(v.size, noise, p=v.unigram), self.first[a] + self.second[b]
+        chance = np.log(noise * v.unigram).astype(np.float32)
+        g_t = 1 / (1 + np.exp(np.einsum("ij,ij->i", r, self.out[t]) + self.bias[t] - chance[t]))
+        g_n = -1 / (1 + np.exp(-(r @ self.out[n].T + self.bias[n] - chance[n])))
+        scale = np.float32(1 / len(t))
+        g_t, g_n = g_t * scale, g_n * scale
+        g_r = g_t[:, None] * self.out[t] + g_n @ self.out[n]
+        w_n = g_n.T @ r
+        self._learn_members(r, item, g_r, rng, scale, rate)
+        self._step((2, 3), np.concatenate([t, n]), [np.concatenate([g_t[:, None] * r, w_n]), np.concatenate([g_t, g_n.sum(0)])], rate)
+        self._step((0,), a, [g_r], rate)
+        self._step((1,), b, [g_r], rate)
+
+    def _learn_members(self, r: np.ndarray, item: np.ndarray, g_r: np.ndarray, rng: np.random.Generator, scale: np.float32, rate: float, noise: int = 2) -> None:
+        """The same for members, with noise from their class; adds to ``g_r``."""
         v = self.vocabulary
         at = np.flatnonzero(item >= v.first_member)
-        member = item[at] - v.first_member
-        more = v.high[member] - v.low[member] > 1
-        at, member = at[more], member[more]
+        j = item[at] - v.first_member
+        low, width = v.low[j], v.high[j] - v.low[j]
+        more = width > 1
+        at, j, low, width = at[more], j[more], low[more], width[more]
         if not len(at):
             return
-        low, high = v.cum[v.low[member]], v.cum[v.high[member]]
-        drawn = np.searchsorted(v.cum, low[:, None] + rng.random((len(at), noise)) * (high - low)[:, None], "right") - 1
-        j = np.concatenate([member[:, None], np.clip(drawn, v.low[member][:, None], v.high[member][:, None] - 1)], 1)
-        r, out = r[at], self.inner[j]
-        s = np.einsum("id,ikd->ik", r, out) + self.slope[j] - np.log(noise * v.share[j]).astype(np.float32)
-        true = np.arange(noise + 1) == 0
-        g = ((true - 1 / (1 + np.exp(-s))) * scale).astype(np.float32)
+        drawn = low[:, None] + (rng.random((len(at), noise), np.float32) * width[:, None]).astype(np.int64)
+        j = np.concatenate([j[:, None], np.minimum(drawn, (low + width - 1)[:, None])], 1)
+        context, out = r[at], self.inner[j]
+        s = np.einsum("id,ikd->ik", context, out) + self.slope[j] - np.log(noise / width).astype(np.float32)[:, None]
+        g = 1 / (1 + np.exp(s))
+        g[:, 1:] -= 1
+        g *= scale
         g_r[at] += np.einsum("ik,ikd->id", g, out)
-        self._step(4, j.ravel(), (g[:, :, None] * r[:, None, :]).reshape(-1, r.shape[1]), rate)
-        self._step(5, j.ravel(), g.ravel(), rate)
-
-    def log10_rows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities of all outputs in each context."""
-        return _log10_softmax((self.first[a] + self.second[b]) @ self.out.T + self.bias)
-
-    def log10_members(self, a: np.ndarray, b: np.ndarray, item: np.ndarray, rows: int = 2048) -> np.ndarray:
-        """Normalised log10 probability of each item within its class; 0 for items that are outputs."""
-        v, out = self.vocabulary, np.zeros(len(item))
+        self._step((4, 5), j.ravel(), [(g[:, :, None] * context[:, None, :]).reshape(-1, r.shape[1]), g.ravel()], rate)
+
+    def log10(self, a: np.ndarray, b: np.ndarray, item: np.ndarray, rows: int = 256) -> np.ndarray:
+        """Normalised log10 probability of each item after ``a`` and ``b``."""
+        v, one = self.vocabulary, np.ones((len(item), 1), np.float32)
+        r, t = np.concatenate([self.first[a] + self.second[b], one], 1), v.top[item]
+        w = np.concatenate([self.out, self.bias[:, None]], 1)
+        logp = np.einsum("ij,ij->i", r, w[t]).astype(float)
+        w = np.ascontiguousarray(w.T)
+        for k in range(0, len(item), rows):
+            logp[k : k + rows] -= _log_sum(r[k : k + rows] @ w)
         at = np.flatnonzero(item >= v.first_member)
-        at = at[np.argsort(v.low[item[at] - v.first_member], kind="stable")]
-        member = item[at] - v.first_member
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(v.low[member])) + 1, [len(at)]])
-        for start, stop in zip(edges[:-1], edges[1:]):
-            for k in range(start, stop, rows):
-                own, j = at[k : min(k + rows, stop)], member[k : min(k + rows, stop)]
-                low, high = v.low[j[0]], v.high[j[0]]
-                logp = _log10_softmax((self.first[a[own]] + self.second[b[own]]) @ self.inner[low:high].T + self.slope[low:high])
-                out[own] = logp[np.arange(len(own)), j - low]
-        return out
-
-
-def _log10_softmax(s: np.ndarray) -> np.ndarray:
-    s -= s.max(1, keepdims=True)
-    return (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.float32(np.log(10))
+        at = at[np.argsort(item[at])]
+        member, r = item[at] - v.first_member, r[at]
+        own = (np.einsum("ij,ij->i", r[:, :-1], self.inner[member]) + self.slope[member]).astype(float)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(v.low[member])) + 1, [len(at)]]) if len(at) else []
+        for i, j in zip(edges[:-1], edges[1:]):
+            low, high = v.low[member[i]], v.high[member[i]]
+            w = np.concatenate([self.inner[low:high], self.slope[low:high, None]], 1).T
+            for k in range(i, j, rows):
+                own[k : min(k + rows, j)] -= _log_sum(r[k : min(k + rows, j)] @ w)
+        logp[at] += own
+        return logp / math.log(10)
+
+
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    """log(sum(exp(s))) of each row."""
+    with np.errstate(over="ignore"):
+        total = np.exp(s).sum(1)  # safe scores first: most matrices need no shift
+    if total.min() > 1e-30 and total.max() < 1e30:
+        return np.log(total)
+    most = s.max(1, keepdims=True)
+    return np.log(np.exp(s - most).sum(1)) + most[:, 0]
 
 
 def _tokens(texts: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple]:
@@ -232,19 +237,19 @@ def _contexts(bounds: np.ndarray, output: np.ndarray) -> tuple[np.ndarray, np.nd
     return two, one
 
 
-def _train(batches: Iterator[pa.RecordBatch], shared, dim: int, noise: int) -> Iterator[pa.RecordBatch]:
+def _train(batches: Iterator[pa.RecordBatch], shared, dim: int, noise: int, size: int = 4096) -> Iterator[pa.RecordBatch]:
     """How far each row of the parameters went, for the rows that moved, in blocks of CHUNK values."""
     vocabulary, start = shared.value
-    model, rng, seen = LogBilinear(vocabulary.unigram, dim, vocabulary=vocabulary), np.random.default_rng(3), 0
+    model, rng = LogBilinear(vocabulary, dim), np.random.default_rng(3)
     if start is not None:
         model.add(start)
     before = [x.copy() for x in model.parts()]
     for batch in batches:
         for _, bounds, output, _, _ in _tokens(batch.column(0), vocabulary):
             two, one = _contexts(bounds, output)
-            order = rng.permutation(len(output))
-            model.learn(two[order], one[order], output[order], rng, noise)
-            seen += len(output)
+            steps = -(-len(output) // size)
+            for k in range(steps):  # tokens far from each other
+                model.learn(two[k::steps], one[k::steps], output[k::steps], rng, noise)
     salt = int(rng.integers(1 << 30)) % 8
     for part, (x, y, moved) in enumerate(zip(before, model.parts(), model.moved)):
         width = 1 if x.ndim == 1 else x.shape[1]
@@ -283,22 +288,14 @@ def _adder(first: bool):
 def _score(batches: Iterator[pa.RecordBatch], shared, dim: int) -> Iterator[pa.RecordBatch]:
     """For each text a row of its own sums (times 0), and a row for each word that isn't known here."""
     vocabulary, moves = shared.value
-    model = LogBilinear(vocabulary.unigram, dim, vocabulary=vocabulary)
+    model = LogBilinear(vocabulary, dim)
     if moves is not None:
         model.add(moves)
-    m = len(vocabulary.top)
     names = ["row_id", "doc_id", "word", "times", "n_tokens", "n_known", "base", "score"]
     for batch in batches:
         for row, bounds, output, count, number in _tokens(batch.column(1), vocabulary):
             two, one = _contexts(bounds, output)
-            context, at = np.unique(two * m + one, return_inverse=True)
-            order = np.argsort(at, kind="stable")
-            edges = np.searchsorted(at[order], np.arange(len(context) + 1))
-            logp, top = model.log10_members(two, one, output), vocabulary.top[output]
-            for k in range(0, len(context), 2048):
-                part = context[k : k + 2048]
-                own = order[edges[k] : edges[min(k + 2048, len(context))]]
-                logp[own] += model.log10_rows(part // m, part % m)[at[own] - k, top[own]]
+            logp, top = model.log10(two, one, output), vocabulary.top[output]
             known = count >= 0
             base = np.where(known & (count > 0), np.log10(np.maximum(count, 0) + 1.0), 0.0)
             # a word of a group has its share there; its count comes by the join
@@ -324,7 +321,7 @@ def _scorer(shared, dim: int):
     return lambda batches: _score(batches, shared, dim)
 
 
-def score_documents(docs: DataFrame, id_col="doc_id", text_col="text", outputs: int = 512, known_words: int = 1 << 17, dim: int = 16, noise: int = 32, rounds: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, id_col="doc_id", text_col="text", outputs: int = 128, known_words: int = 1 << 16, dim: int = 16, noise: int = 64, rounds: int = 1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
