@@ -161,7 +161,7 @@ def test_top_k(spark):
     rows = [(i, [float(x) for x in np.round(rng.normal(size=8), 1)]) for i in range(300)]
     rows += [(500, None), (None, [1.0] * 8), (550, [float("nan")] * 8), (600, [1.0] * 7 + [None]), (650, [float("inf")] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 50 = 0"), block_rows=64).collect())
+    got = sorted(tuple(r)[:4] for r in topk.top_k(df, df.where("vec_id % 50 = 0"), block_rows=64).collect())
     v = {i: np.floor(256 * np.float32(x).astype(float)) for i, x in rows[:300]}
     want = []
     for q in (i for i in v if i % 50 == 0):
@@ -171,6 +171,29 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_ties_repeats_lengths_and_large_values(spark):
+    rows = [(0, [1.0, 0.0]), (7, [0.5, 0.25]), (3, [0.5, 0.0]), (3, [0.5, 0.5]), (9, [0.5, 9.0]), (50, [1.0, 0.0, 0.0]), (51, [1.0, 2.0, 3.0]), (100, [1e16, 0.0]), (101, [1e30, 0.0]), (102, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1)).withColumn("run", F.lit(2))
+    got = sorted(tuple(r)[:4] for r in topk.top_k(df, df.where("vec_id % 50 = 0"), k=3, block_rows=2).collect())
+    v = [(i, [math.floor(256 * c) for c in x]) for i, x in rows if i != 101]
+    want = []
+    for q, x in v:
+        if q % 50 == 0:
+            scores = sorted((-min(2**63 - 1, sum(a * b for a, b in zip(x, y))), i) for i, y in v if i != q and len(y) == len(x))
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:3])]
+    assert got == sorted(want) and len(got) == 3 + 1 + 3
+
+
+def test_top_k_leaves_lists_unread(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    read = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), block_rows=512).agg(F.avg("read"), F.max("read")).first()
+    assert read[0] < 0.3 and read[1] < 1
+    # a block that can't reach the carried score isn't read
+    values = np.arange(40).reshape(20, 2)
+    *found, share = topk.nra_block(np.arange(20), values, np.array([99, 98]), np.array([[1, 1], [-1, 0]]), 2, np.array([1000.0, -1.0]))
+    assert share.tolist() == [0, share[1]] and share[1] > 0 and [x.tolist() for x in found] == [[1], [0], [0]]
+
+
 def test_lm_score(spark, texts):
     rows = docs(spark, texts)
     made = {r.doc_id: r for r in lm_score.score_documents(rows, known_words=50, outputs=20).collect()}

@@ -65,7 +65,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5).drop("read")
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,19 @@
 """Exact top-k inner products by sorted lists without random access (NRA).
 
-Every block of vectors keeps one list per dimension, sorted by value. A query reads all its lists to the same
-depth (from the top where its weight is positive, from the bottom where it is negative), keeps for each row a
-lower bound (unread entries at the list's far end) and an upper bound (unread entries at the list's frontier), and
-stops when no row outside the best k can still qualify; only rows in doubt are resolved from the rest of the lists.
-The bounds of all queries and rows of a block are kept as matrices.
-
-Spark deals the work: vectors and queries are packed in blocks of fixed size and each pair of blocks meets in a task
-by an equi-join on the pair's number; a window per query merges the blocks' k best.
-
-Defined results: vectors that are null, or hold a null or non-finite component, take no part, nor do null ids;
-vectors of another length than the first query's meet only queries of their own length; ties go to the smaller id; a
-repeated id is a row of its own, and a query never meets rows with its own id; an empty table gives no rows.
+A score is the sum of the partial scores of ``LISTS`` runs of dimensions; for a query each run is a list of a block's
+rows in the order of their partial scores. Few lists of many dimensions are strong: a row near the top of one can't be far down in all
+others. A query reads its lists to the same depth, which doubles. A row's upper bound takes the list's frontier for what is
+unread, its lower bound the list's end. Reading stops when all rows but a few are below the k-th best lower bound, or below the k-th
+best score that the query has from earlier blocks of the task; only the rows in doubt are resolved to their scores. A block whose
+box of values can't reach that score isn't read at all. The bounds of all queries and rows of a block are kept as matrices.
+
+Spark deals the work: vectors and queries are packed in blocks of fixed size, and each block of queries meets the blocks of rows
+in runs of ``chain`` blocks by an equi-join on the run's number; a window per query merges the runs' k best.
+
+Defined results: vectors that are null, or hold a null or non-finite component, take no part, nor do null ids, nor vectors
+with a component of 2^62 or more when scaled; vectors of another length than the query's don't meet it; ties go to the
+smaller id; a repeated id is a row of its own, and a query never meets rows with its own id; scores beyond a long are its
+ends; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,52 +27,65 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import settle
 
-DEPTHS = (1 / 16, 1 / 4, 1 / 2)
-
-
-def nra_block(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, depths=DEPTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, row id, score) of the k best rows of this block for each query; integers in doubles stay exact."""
-    n, _ = values.shape
-    order = np.argsort(values, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-    lists = np.take_along_axis(values, order, axis=0)
-    low, high = lists[0], lists[-1]
-    plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-    worst = plus * low + minus * high
-    open_, found = np.arange(len(queries)), {}
-    keep = min(k + 1, n)  # one more, as the query's own row may be among them
-    for share in (*depths, 1.0):
-        if not len(open_):
-            break
-        d = max(1, min(n, int(np.ceil(share * n))))
-        top, bottom = rank >= n - d, rank < d
-        p, m = plus[open_], minus[open_]
-        seen = (values * top) @ p.T + (values * bottom) @ m.T
-        un_top, un_bottom = (~top).astype(float), (~bottom).astype(float)
-        lower = seen + un_top @ (p * low).T + un_bottom @ (m * high).T
-        upper = seen + un_top @ (p * lists[n - d]).T + un_bottom @ (m * lists[d - 1]).T
-        kth = np.partition(lower, n - keep, axis=0)[n - keep]
-        able = upper >= kth  # rows in doubt or sure; all others can't qualify
-        done = (able.sum(0) <= max(4 * keep, n // 16)) | (d == n)
-        for j in np.flatnonzero(done):
-            rows = np.flatnonzero(able[:, j])
-            found[open_[j]] = rows, values[rows] @ queries[open_[j]]
-        open_ = open_[~done]
-    out = [], [], []
-    for j, (rows, score) in found.items():
-        other = ids[rows] != query_ids[j]
-        rows, score = rows[other], score[other]
-        best = np.lexsort((ids[rows], -score))[:k]
-        out[0].append(np.full(len(best), query_ids[j]))
-        out[1].append(ids[rows][best])
-        out[2].append(score[best])
-    return tuple(np.concatenate(x) if x else np.zeros(0) for x in out)
+LISTS = 2
+#: Integers below are exact in doubles.
+EXACT = 1 << 53
+
+
+def nra_block(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray | None = None, first_depth: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, row id, score) of the rows of this block that are among each query's k best; and the share of its lists that each query read.
+
+    ``least``: scores that the k best have to reach, for each query."""
+    n, d = values.shape
+    least = np.full(len(queries), -np.inf) if least is None else least
+    read = np.zeros(len(queries))
+    if d * float(np.abs(values).max(initial=0)) * float(np.abs(queries).max(initial=0)) >= EXACT:
+        return *_plain(ids, values, query_ids, queries, k), np.ones(len(queries))
+    values, queries = values.astype(float), queries.astype(float)
+    high, low = values.max(0), values.min(0)
+    # no row is outside of the block's box
+    open_ = np.flatnonzero(np.maximum(queries, 0) @ high + np.minimum(queries, 0) @ low >= least)
+    runs = [r for r in np.array_split(np.arange(d), LISTS) if len(r)]
+    lists = [values[:, r] @ queries[open_][:, r].T for r in runs]
+    ends = [x.min(0) for x in lists]
+    keep, depth, found = min(k + 1, n), min(n, max(k + 1, n // first_depth)), []  # one more, as the query's own row may be among them
+    while len(open_):
+        frontier = [np.partition(x, n - depth, axis=0)[n - depth] for x in lists]
+        upper = sum(np.maximum(x, f) for x, f in zip(lists, frontier))
+        lower = sum(np.where(x >= f, x, e) for x, f, e in zip(lists, frontier, ends))
+        able = upper >= np.maximum(np.partition(lower, n - keep, axis=0)[n - keep], least[open_])
+        done = (able.sum(0) <= 4 * keep + n // 256) | (depth == n)
+        read[open_] = depth / n
+        row, query = np.nonzero(able & done)
+        found.append((open_[query], row, sum(x[row, query] for x in lists)))
+        open_, depth = open_[~done], min(n, 2 * depth)
+        lists, ends = [x[:, ~done] for x in lists], [e[~done] for e in ends]
+    query, row, score = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
+    query, row = query.astype(np.int64), row.astype(np.int64)
+    other = (ids[row] != query_ids[query]) & (score >= least[query])
+    return *_best(query[other], ids[row[other]], score[other].astype(np.int64), k), read
+
+
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query."""
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[place < k], ids[place < k], score[place < k]
+
+
+def _plain(ids, values, query_ids, queries, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same by integers of any size, for values beyond what doubles hold exactly."""
+    values, out = values.astype(object), []
+    for q, query in enumerate(queries.astype(object)):
+        scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, int(s))), int(i)) for s, i in zip(values @ query, ids) if i != query_ids[q])
+        out += [(q, i, -s) for s, i in scores[:k]]
+    return tuple(np.array([r[c] for r in out], np.int64) for c in range(3))
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """(vec_id, v): floor(scale * x) of every sound vector."""
-    sound = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    sound = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float(1 << 62)))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).where(sound)
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
@@ -83,30 +98,49 @@ def _packed(rows: DataFrame, block: str, blocks: int) -> DataFrame:
 
 
 def _join_blocks(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """Rows of a run come one after the other: each query's k best so far are carried along."""
+    run, held = None, None
     for batch in batches:
         for r in batch.itertuples(index=False):
-            d = int(r.dim)
-            if d:
-                q, row, s = nra_block(np.asarray(r.ids), np.asarray(r.values, float).reshape(-1, d), np.asarray(r.q_ids), np.asarray(r.q_values, float).reshape(-1, d), k)
-            else:
-                q, row, s = (np.zeros(0),) * 3
-            yield pd.DataFrame({"query_id": q.astype("int64"), "vec_id": row.astype("int64"), "score": s.astype("int64")})
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col="vec_id", vec_col="embedding", scale: int = 256, block_rows: int = 2048) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k best rows of ``vectors``, its own id excepted.
+            d, q_ids = int(r.dim), np.asarray(r.q_ids)
+            if (r.run, d) != run:
+                if held is not None:
+                    yield _given(*held)
+                nothing = np.zeros(0, np.int64)
+                run, held = (r.run, d), (q_ids, nothing, nothing, nothing, np.zeros(len(q_ids)), 0)
+            if not d:
+                continue
+            _, query, ids, score, read, blocks = held
+            count = np.bincount(query, minlength=len(q_ids))
+            # the least of k carried scores; fewer don't bound anything
+            least = np.where(count == k, score[np.maximum(np.cumsum(count) - 1, 0)] if len(score) else 0, -np.inf).astype(float)
+            q, i, s, share = nra_block(np.asarray(r.ids), np.asarray(r.values).reshape(-1, d), q_ids, np.asarray(r.q_values).reshape(-1, d), k, least)
+            held = q_ids, *_best(np.concatenate([query, q]), np.concatenate([ids, i]), np.concatenate([score, s]), k), read + share, blocks + 1
+    if held is not None:
+        yield _given(*held)
+
+
+def _given(q_ids, query, ids, score, read, blocks) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": q_ids[query].astype("int64"), "vec_id": ids.astype("int64"), "score": score.astype("int64"), "read": read[query] / max(1, blocks)})
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col="vec_id", vec_col="embedding", scale: int = 256, block_rows: int = 2048, chain: int = 4) -> DataFrame:
+    """(query_id, rank, vec_id, score, read): each query's k best rows of ``vectors``, its own id excepted; ``read`` is
+    the share of the sorted lists that was read for the query where the row was found.
 
     Blocks hold about ``block_rows`` rows, so a task's memory doesn't grow with the tables."""
     rows = settle(quantised(vectors, id_col, vec_col, scale), "vectors")
     asked = settle(quantised(queries, id_col, vec_col, scale), "queries")
     n, m = rows.count(), asked.count()
     row_blocks, query_blocks = -(-n // block_rows) or 1, -(-m // block_rows) or 1
-    pair = F.col("row_block") * query_blocks + F.col("query_block")
-    left = _packed(rows, "row_block", row_blocks).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("pair", pair)
+    runs = -(-row_blocks // chain)
+    run = F.col("query_block") * runs + F.col("row_run")
+    left = _packed(rows, "row_block", row_blocks).withColumn("row_run", F.expr(f"row_block % {runs}"))
+    left = left.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("run", run)
     right = _packed(asked, "query_block", query_blocks).withColumnsRenamed({"ids": "q_ids", "values": "q_values"})
-    right = right.withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))).withColumn("pair", pair)
-    tasks = min(10_000, row_blocks * query_blocks)
-    met = left.repartition(tasks, "pair").join(right.select("pair", "dim", "q_ids", "q_values").repartition(tasks, "pair"), ["pair", "dim"]).select("dim", "ids", "values", "q_ids", "q_values")
-    found = met.mapInPandas(lambda x: _join_blocks(x, k), "query_id long, vec_id long, score long")
+    right = right.withColumn("row_run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("run", run)
+    tasks = min(10_000, runs * query_blocks)
+    met = left.repartition(tasks, "run").join(right.select("run", "dim", "q_ids", "q_values").repartition(tasks, "run"), ["run", "dim"]).select("run", "dim", "ids", "values", "q_ids", "q_values")
+    found = met.sortWithinPartitions("run", "dim").mapInPandas(lambda x: _join_blocks(x, k), "query_id long, vec_id long, score long, read double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "read")
