@@ -103,12 +103,15 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, percent: int, rarit
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int, asked) -> Iterator[pa.RecordBatch]:
-    """(doc_id, shingles) of the documents whose hash is marked among those asked for."""
-    bits = asked.value
+    """(doc_id, shingles) of the documents whose hash is marked among those asked for, each once in a task."""
+    bits, seen = asked.value, set()
     schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
     for batch in batches:
         slot = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
         batch = batch.filter(pa.array(bits[slot]))
+        ids = batch.column(0).to_pylist()
+        new = [i not in seen and not seen.add(i) for i in ids]
+        batch = batch.filter(pa.array(new, pa.bool_()))
         for row, bounds, key in shingle_sets(batch.column(1), words):
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(key.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(bounds) - 1), lists], schema=schema)
@@ -199,22 +202,27 @@ class JaccardJoin:
         asked = self.spark.sparkContext.broadcast(_bitmap(ids))
         rows = self.docs.where("doc_id is not null").withColumn("slot", _slot("doc_id", 1 << 23))
         sets = rows.mapInArrow(lambda x: _sets(x, words, asked), "doc_id long, shingles array<long>")
-        listed = F.broadcast(ids) if ids.count() <= few else ids  # a checked bound
-        sets = settle(sets.join(listed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "shingle-sets")
+        small = ids.count() <= few  # a checked bound
+        sets = settle(sets.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"), "shingle-sets")
         asked.destroy()
         left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-        met = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
+        # a set goes to its pair without a shuffle and then once to the pair's other document; of those only their own sets move
+        few_pairs = small and pairs.count() <= few
+        other = pairs.select("b").distinct()
+        right = right.join(F.broadcast(other) if small else other, "b", "left_semi")
+        met = left.join(F.broadcast(pairs) if few_pairs else pairs, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
         union = F.col("na") + F.col("nb") - F.col("shared")
-        made = settle(met.select("a", "b", (100 * F.col("shared") >= self.percent * union).alias("near"), (1 - F.col("shared") / union).alias("distance")), name)
+        made = met.select("a", "b", (100 * F.col("shared") >= self.percent * union).alias("near"), (1 - F.col("shared") / union).alias("distance"))
+        made = settle(made.dropDuplicates(["a", "b"]), name)  # rows that repeat an id
         discard(pairs, ids, sets)
         return made
 
-    def _open(self, label: DataFrame | None) -> DataFrame:
-        """(region, doc_id, n, most, component, major) of the regions that hold several classes; ``major`` is the largest of them."""
-        own = self.members.withColumn("component", F.col("doc_id"))
-        if label is not None:
-            met = self.members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            own = met.withColumn("component", F.coalesce("component", "doc_id"))
+    def _open(self, members: DataFrame, label: DataFrame | None) -> DataFrame:
+        """The members of the regions that still hold several classes, each with its class; ``major`` is its region's largest class."""
+        rows = members.select("region", "doc_id", "n", "most")
+        if label is None:
+            return rows.withColumns({"component": F.col("doc_id"), "major": F.lit(None).cast("long")})
+        own = rows.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         classes = own.groupBy("region", "component").agg(F.count("*").alias("size")).groupBy("region").agg(F.count("*").alias("classes"), F.max(F.struct("size", "component"))["component"].alias("major"))
         return settle(own.join(classes.where("classes > 1").select("region", "major"), "region").select("region", "doc_id", "n", "most", "component", "major"), "open-members")
 
@@ -229,24 +237,25 @@ class JaccardJoin:
             votes = votes.join(tested, ["a", "b"], "left_anti")
         return votes.groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("votes", -F.col("b"))).alias("p")).select("a", "p.b", "na", "p.nb")
 
-    def _link(self, least_share: int = 100) -> None:
-        """Rounds of pivots go on while at least one test in ``least_share`` brings a link; then all open pairs are measured."""
-        label = cells = tested = None
-        made: list[DataFrame] = []
+    def _link(self, least_share: int = 20) -> None:
+        """Rounds of pivots go on while more than one test in ``least_share`` brings a link; then all open pairs are measured.
+
+        Classes only grow, so a region that holds one class is closed for good."""
+        members, label, cells, made = self._open(self.members, None), None, None, []
         while True:
-            members = self._open(label)
-            new = self._distances(self._pivot_pairs(members, tested, len(made)), "pivot-distances")
-            discard(members)
-            made.append(new)
-            cells = new.select(F.col("a").alias("doc_id"), F.col("b").alias("cell"), "distance") if cells is None else cells
-            flat = reduce(DataFrame.unionByName, made)
-            tested = flat.select("a", "b").unionByName(flat.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-            found = new.agg(F.count("*"), F.count_if("near")).first()
-            if found[1]:
-                label = components(flat.where("near").select("a", "b"))
-            if found[1] * least_share <= found[0] or not found[1]:
+            flat = reduce(DataFrame.unionByName, made) if made else None
+            tested = flat and flat.select("a", "b").unionByName(flat.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            made.append(self._distances(self._pivot_pairs(members, tested, len(made)), "pivot-distances"))
+            cells = made[0].select(F.col("a").alias("doc_id"), F.col("b").alias("cell"), "distance")
+            tests, found = made[-1].agg(F.count("*"), F.count_if("near")).first()
+            if found:
+                label = components(reduce(DataFrame.unionByName, made).where("near").select("a", "b"))
+                members, before = self._open(members, label), members
+                discard(before)
+            if found * least_share <= tests:
                 break
-        members = self._open(label)
+        flat = reduce(DataFrame.unionByName, made)
+        tested = flat.select("a", "b").unionByName(flat.select(F.col("b").alias("a"), F.col("a").alias("b")))
         x = members.where("component <> major").join(cells, "doc_id", "left")
         y = members.join(cells, "doc_id", "left")
         y = y.select("region", *(F.col(c).alias(f"{c}_y") for c in ("doc_id", "n", "most", "component", "major", "cell", "distance")))
@@ -260,7 +269,7 @@ class JaccardJoin:
         made.append(self._distances(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pair-distances"))
         self.links = reduce(DataFrame.unionByName, made).where("near").select("a", "b")
         self.labels = components(self.links) if made[-1].where("near").limit(1).count() or label is None else label
-        discard(members, self.members)
+        discard(members)
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every document."""
