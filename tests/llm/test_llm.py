@@ -3,6 +3,8 @@
 import json
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -288,11 +290,73 @@ def test_html_main_region_by_page(spark):
     assert [got[20 + i] for i in range(6)] == [f"story {i}" for i in range(6)]
 
 
-def test_wrapper_alignment():
-    a, b = ["<p>", "#x", "<p>", "#x", "</d>"], ["<h>", "<p>", "#x", "</d>"]
-    w = html_extract.align(html_extract._fold_repeats(a), html_extract._fold_repeats(b))
-    assert "<h>" in html_extract.written(w) and html_extract.slots_of(w) == ["x"]
-    assert json.loads(json.dumps(w)) == w
+def tokens(found):
+    out, open_ = [], []
+    for e in found:
+        if not e:
+            out.append(f"</{open_.pop()}>")
+        elif e[0] is None:
+            out.append("#")
+        else:
+            open_.append(e[0])
+            out.append(f"<{e[0]}>")
+    return "".join(out)
+
+
+def random_page(rng, depth=0):
+    parts = []
+    for _ in range(rng.randrange(1, 5)):
+        k = rng.randrange(7)
+        if k < 3 or depth > 3:
+            parts += [f"<p>{words(rng, 3)}</p>"] * rng.randrange(1, 4)
+        elif k == 3:
+            parts.append(f"<ul>{''.join(f'<li>{words(rng, 2)}</li>' for _ in range(rng.randrange(1, 4)))}</ul>")
+        elif k == 4:
+            parts += ["<h2>h</h2><p>t</p>"] * rng.randrange(1, 4)
+        else:
+            parts.append(f"<div class=c{rng.choice('ab')}>{random_page(rng, depth + 1)}</div>")
+    return "".join(parts)
+
+
+def test_wrappers_fit_their_pages():
+    rng = random.Random(5)
+    for _ in range(60):
+        pages = [html_extract.events(random_page(rng)) for _ in range(6)]
+        wrapper = html_extract.page_wrapper(pages[0])
+        for p in pages[1:]:
+            wrapper = html_extract.align(wrapper, html_extract.page_wrapper(p))
+        expression = re.compile(html_extract.written(wrapper).replace(".", r"\."))
+        assert all(expression.fullmatch(tokens(p)) for p in pages)
+        assert json.loads(json.dumps(wrapper)) == wrapper
+        # every block finds its slot, and each slot has counted what it holds
+        chars = lambda item: item[3] if len(item) == 7 else sum(map(chars, item[2]))  # noqa: E731, B023
+        blocks = [e for p in pages for e in p if e and e[0] is None]
+        assert chars(wrapper) == sum(len(e[1]) for e in blocks)
+        assert all(k == 2 for p in pages for _, _, k in html_extract.matched(p, html_extract.judged(wrapper, 99)))
+
+
+def test_wrapper_decides_by_place():
+    # the same path twice: the text before the story is the same on all pages, the story isn't
+    pages = [html_extract.events(f"<div><p>Welcome to the site</p></div><h1>t{i}</h1><div><p>story {i}</p><p>more {i}</p></div>") for i in range(6)]
+    wrapper = html_extract.page_wrapper(pages[0])
+    for p in pages[1:]:
+        wrapper = html_extract.align(wrapper, html_extract.page_wrapper(p))
+    assert html_extract.written(wrapper) == "<div><p>#</p></div><h1>#</h1><div>(<p>#</p>)+</div>"
+    assert [t for t, _, k in html_extract.matched(pages[2], html_extract.judged(wrapper, 5)) if k == 2] == ["t2", "story 2", "more 2"]
+
+
+def test_html_of_article_parts_with_telling_names():
+    page = "<article><p>one</p><div class='side-effects'><p>two</p></div><div class='notice-of-appeal'>three</div><div class='share-buttons'>x</div><div class=comments>y</div></article>"
+    wrapper = html_extract.judged(html_extract.page_wrapper(html_extract.events(page)), 5)
+    assert html_extract.page_text(page, wrapper) == "one\ntwo\nthree"
+
+
+@pytest.mark.parametrize("page", ["<p class=\"a>text " * 8001, "<div>x" * 8000, "<p>a</p>" * 20_000, "a < b " * 8000, "<" * 8000 + "<a" * 8000, "<li>" * 8000 + "</ul>" * 8000, "<a href='" * 8000, "<p>" + "<!--" * 8000])
+def test_html_of_odd_pages_takes_linear_time(page):
+    began = time.time()
+    found = html_extract.events(page)
+    html_extract.page_text(page, html_extract.judged(html_extract.page_wrapper(found), 5))
+    assert time.time() - began < 5
 
 
 def test_url_filter(spark):
