@@ -6,6 +6,7 @@ lines side A, all others side B."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,9 @@ from textloom.operators import ontology as O
 from textloom.operators import paired as P
 from textloom.operators import review as R
 from textloom.operators import summaries as M
+from textloom.plans.scratch import shared_dir
 from textloom.sources import readers as S
+from textloom.sources import sinks as W
 
 #: The test prose is invented and holds no hedges; these words occur in it.
 LEXICON = ["the", "that", "and", "is", "on", "in"]
@@ -238,14 +241,14 @@ def _isa(spark, sf):
     return rows.union(nation.select(c("N", "n_nationkey"), c("R", "n_regionkey"))).union(_t(spark, sf, "region").select(c("R", "r_regionkey"), F.lit("ROOT"))).distinct()
 
 
-_closures: dict[tuple[str, str], DataFrame] = {}
+_closures: dict[tuple[str, str, bool], DataFrame] = {}
 
 
-def _up(spark, sf):
+def _up(spark, sf, paths: bool = False):
     """The closure is a table that all queries of a session share."""
-    key = spark.sparkContext.applicationId, sf
+    key = spark.sparkContext.applicationId, sf, paths
     if key not in _closures:
-        _closures[key] = O.closure(_isa(spark, sf), paths=True)
+        _closures[key] = O.closure(_isa(spark, sf), paths=paths)
     return _closures[key]
 
 
@@ -261,7 +264,7 @@ up AS (SELECT c, anc, min(hops) AS min_hops, max(hops) AS max_hops FROM walk GRO
 
 @query(f"WITH RECURSIVE {WALK} SELECT c, anc, min_hops, max_hops FROM up")
 def isa_closure(spark, sf):
-    return _up(spark, sf).drop("path")
+    return _up(spark, sf)
 
 
 @query(f"WITH RECURSIVE {WALK} SELECT * FROM depth")
@@ -277,19 +280,20 @@ def proper_ancestor_pairs(spark, sf):
 @query(f"""WITH RECURSIVE {ISA}, p AS (SELECT child AS c, child AS anc, child AS path, 0 AS hops FROM isa UNION SELECT parent, parent, parent, 0 FROM isa UNION SELECT c, parent, path || '>' || parent, hops + 1 FROM p JOIN isa ON anc = child),
 s AS (SELECT c, path, row_number() OVER (PARTITION BY c ORDER BY hops, path) AS r FROM p WHERE anc = 'ROOT') SELECT c, path FROM s WHERE r = 1""")
 def shortest_path_up(spark, sf):
-    return _up(spark, sf).where("anc = 'ROOT'").select("c", F.array_join("path", ">").alias("path"))
+    return _up(spark, sf, True).where("anc = 'ROOT'").select("c", F.array_join("path", ">").alias("path"))
 
 
 def _sides(spark, sf):
     named = lambda t, p, k, e: _t(spark, sf, t).select(F.concat(F.lit(e), F.col(k).cast("string")).alias("entity"), F.concat(F.lit(p), F.col(k).cast("string")).alias("concept"))
     s, b, n, r = named("supplier", "S", "s_suppkey", "supplier "), named("part", "B:", "p_brand", "brand ").distinct(), named("nation", "N", "n_nationkey", "nation "), named("region", "R", "r_regionkey", "region ")
-    return s.union(b), n.union(r).union(b)
+    again = named("region", "R", "r_regionkey", "area ")  # a second name of the same concepts
+    return s.union(b), n.union(r).union(again).union(b)
 
 
 SIDES = """ea AS (SELECT 'supplier ' || s_suppkey AS entity, 'S' || s_suppkey AS concept FROM supplier UNION SELECT 'brand ' || p_brand, 'B:' || p_brand FROM part),
-eb AS (SELECT 'nation ' || n_nationkey AS entity, 'N' || n_nationkey AS concept FROM nation UNION SELECT 'region ' || r_regionkey, 'R' || r_regionkey FROM region UNION SELECT 'brand ' || p_brand, 'B:' || p_brand FROM part)"""
+eb AS (SELECT 'nation ' || n_nationkey AS entity, 'N' || n_nationkey AS concept FROM nation UNION SELECT 'region ' || r_regionkey, 'R' || r_regionkey FROM region UNION SELECT 'area ' || r_regionkey, 'R' || r_regionkey FROM region UNION SELECT 'brand ' || p_brand, 'B:' || p_brand FROM part)"""
 BRANCH = f"""{WALK}, {SIDES}, lc AS (SELECT ea.entity AS entity_a, eb.entity AS entity_b, ea.concept AS concept_a, eb.concept AS concept_b, x.anc AS lca_concept, d.depth AS depth_lca, x.min_hops AS hops_a, y.min_hops AS hops_b,
-row_number() OVER (PARTITION BY ea.concept, eb.concept ORDER BY d.depth DESC, x.anc) AS r FROM ea JOIN up x ON x.c = ea.concept JOIN up y ON y.anc = x.anc JOIN eb ON eb.concept = y.c JOIN depth d ON d.c = x.anc WHERE d.depth IS NOT NULL),
+row_number() OVER (PARTITION BY ea.concept, eb.concept ORDER BY d.depth DESC, x.anc, ea.entity, eb.entity) AS r FROM ea JOIN up x ON x.c = ea.concept JOIN up y ON y.anc = x.anc JOIN eb ON eb.concept = y.c JOIN depth d ON d.c = x.anc WHERE d.depth IS NOT NULL),
 bp AS (SELECT entity_a, entity_b, concept_a, concept_b, da.depth AS depth_a, db.depth AS depth_b, lca_concept, depth_lca, hops_a, hops_b, db.depth - da.depth AS depth_diff FROM lc JOIN depth da ON da.c = concept_a JOIN depth db ON db.c = concept_b WHERE r = 1 AND hops_a <= 5 AND hops_b <= 5)"""
 
 
@@ -306,8 +310,9 @@ def branch_pairs(spark, sf):
 @query(f"WITH RECURSIVE {BRANCH} SELECT concept_a AS ca, concept_b AS cb, lca_concept AS lca, depth_lca, hops_a, hops_b FROM bp")
 def lca_pairs(spark, sf):
     a, b = _sides(spark, sf)
-    up = _up(spark, sf)
-    return O.lowest_common_ancestors(O.candidate_pairs(a, b, up, 5), up, _depth(spark, sf))
+    up, depth = _up(spark, sf), _depth(spark, sf)
+    # the pairs found in one pass, asked for again one by one
+    return O.lowest_common_ancestors(O.common_ancestors(a, b, up, depth), up, depth)
 
 
 TOP_LEVEL = [(f"R{k}", f"region {k}") for k in range(5)]
@@ -412,9 +417,23 @@ RELATED = """hp AS (SELECT a.case_id, a.entity AS entity_a, b.entity AS entity_b
 FROM {m} a JOIN {m} b ON a.case_id = b.case_id AND a.side = 'A' AND b.side = 'B' JOIN up u ON u.min_hops >= 1 AND ((u.c = b.concept AND u.anc = a.concept) OR (u.c = a.concept AND u.anc = b.concept)))"""
 
 
-@query(f"WITH RECURSIVE {MENTIONS}, {RELATED.format(m='m')} SELECT case_id, entity_a, entity_b, concept_a, concept_b, depth_a, depth_b, gap, broader, count_a, count_b FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY gap DESC, entity_a, entity_b, concept_a, concept_b) AS r FROM hp WHERE gap >= 1) WHERE r <= 20")
+def _broad_mentions(spark, sf):
+    """The mentions and, of each line, its supplier's region."""
+    li, supplier, nation = (_t(spark, sf, x) for x in ("lineitem", "supplier", "nation"))
+    region = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_regionkey")
+    rows = li.join(region, "l_suppkey").select(F.col("l_orderkey").alias("case_id"), F.when(F.col("l_returnflag") == "R", "A").otherwise("B").alias("side"), F.concat(F.lit("region "), "n_regionkey").alias("entity"), F.concat(F.lit("R"), "n_regionkey").alias("concept"))
+    counted = rows.groupBy("case_id", "side", "entity", "concept").agg(F.count("*").alias("n")).join(_depth(spark, sf).withColumnRenamed("c", "concept"), "concept", "left")
+    return _mentions(spark, sf).unionByName(counted)
+
+
+BROAD = f"""{WALK}, bm AS (SELECT x.*, depth FROM (SELECT case_id, side, entity, concept, count(*) AS n FROM (SELECT l_orderkey AS case_id, CASE WHEN l_returnflag = 'R' THEN 'A' ELSE 'B' END AS side, 'part ' || l_partkey AS entity, 'P' || l_partkey AS concept FROM lineitem
+UNION ALL SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'A' ELSE 'B' END, 'supplier ' || l_suppkey, 'S' || l_suppkey FROM lineitem
+UNION ALL SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'A' ELSE 'B' END, 'region ' || n_regionkey, 'R' || n_regionkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey) GROUP BY ALL) x LEFT JOIN depth ON depth.c = concept)"""
+
+
+@query(f"WITH RECURSIVE {BROAD}, {RELATED.format(m='bm')} SELECT case_id, entity_a, entity_b, concept_a, concept_b, depth_a, depth_b, gap, broader, count_a, count_b FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY gap DESC, entity_a, entity_b, concept_a, concept_b) AS r FROM hp WHERE gap >= 3) WHERE r <= 20")
 def hierarchical_pairs_topk(spark, sf):
-    return P.hierarchical_pairs(_mentions(spark, sf), _up(spark, sf))
+    return P.hierarchical_pairs(_broad_mentions(spark, sf), _up(spark, sf))
 
 
 @query(f"WITH RECURSIVE {MENTIONS}, {RELATED.format(m='m')} SELECT case_id, concept_a, concept_b, depth_a, depth_b, gap, broader, entity_a, entity_b FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY gap DESC, concept_a, concept_b) AS r FROM hp) WHERE r <= 40")
@@ -480,10 +499,12 @@ def _gazetteer(spark, sf):
     return w.select(F.array_join(F.slice("w", 1, 2), " ").alias("term")).union(w.select(F.explode(F.filter("w", lambda x: F.length(x) >= 6)))).distinct()
 
 
-@query(f"""WITH {DOCS}, b AS (SELECT {TERMS} AS w FROM benchmark), g AS (SELECT DISTINCT term FROM (SELECT array_to_string(w[1:2], ' ') AS term FROM b UNION ALL SELECT unnest(list_filter(w, lambda x: length(x) >= 6)) FROM b)),
+@query(f"""WITH RECURSIVE {DOCS}, b AS (SELECT {TERMS} AS w FROM benchmark), g AS (SELECT DISTINCT term FROM (SELECT array_to_string(w[1:2], ' ') AS term FROM b UNION ALL SELECT unnest(list_filter(w, lambda x: length(x) >= 6)) FROM b)),
 t AS (SELECT corpus, case_id, {TERMS} AS w FROM docs), p AS (SELECT corpus, case_id, w, unnest(range(len(w))) AS pos FROM t), n AS (SELECT corpus, case_id, pos, k, array_to_string(w[pos + 1:pos + k], ' ') AS entity FROM p, range(1, 6) r(k) WHERE pos + k <= len(w)),
-h AS (SELECT corpus, case_id, pos, max(k) AS k, arg_max(entity, k) AS entity FROM n WHERE entity IN (SELECT term FROM g) GROUP BY ALL), r AS (SELECT *, max(pos + k) OVER (PARTITION BY corpus, case_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h)
-SELECT corpus, case_id, pos::INTEGER AS pos, entity FROM r WHERE reach IS NULL OR pos >= reach""")
+h AS (SELECT corpus, case_id, pos, max(k) AS k, arg_max(entity, k) AS entity FROM n WHERE entity IN (SELECT term FROM g) GROUP BY ALL),
+nx AS (SELECT *, min(pos) OVER (PARTITION BY corpus, case_id ORDER BY pos RANGE BETWEEN k FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM h),
+walk AS (SELECT corpus, case_id, min(pos) AS pos FROM h GROUP BY ALL UNION ALL SELECT nx.corpus, nx.case_id, nx.nxt FROM walk JOIN nx USING (corpus, case_id, pos) WHERE nx.nxt IS NOT NULL)
+SELECT corpus, case_id, pos::INTEGER AS pos, entity FROM walk JOIN h USING (corpus, case_id, pos)""")
 def gazetteer_entities(spark, sf):
     return N.gazetteer_entities(_docs(spark, sf), _gazetteer(spark, sf))
 
@@ -546,7 +567,12 @@ def decision_counts(spark, sf):
     return R.decision_counts(llm_json_parse(spark, sf))
 
 
-@query()
+@query(f"""WITH RECURSIVE {WALK}, {LINK}, e2 AS (SELECT entity FROM e UNION SELECT 'ring'), x AS (SELECT entity, concept FROM e2 LEFT JOIN best ON term = entity),
+f AS (SELECT entity, arg_min(d.concept, (d.rank, length(d.term), d.term, d.concept)) AS found FROM x JOIN d ON ' ' || regexp_replace(d.term, '[^a-z0-9]+', ' ', 'g') || ' ' LIKE '% ' || entity || ' %' WHERE x.concept IS NULL AND NOT regexp_matches(entity, '[ -]') GROUP BY entity),
+l AS (SELECT x.entity, coalesce(x.concept, f.found) AS concept, depth FROM x LEFT JOIN f USING (entity) LEFT JOIN depth ON depth.c = coalesce(x.concept, f.found)),
+r AS (SELECT entity, CASE WHEN entity LIKE '%ring%' THEN 'SUBSTITUTE' ELSE 'KEEP' END AS decision, CASE WHEN entity LIKE '%ring%' THEN 'ring' ELSE entity END AS fb FROM e)
+SELECT 'c1' AS case_id, r.entity AS entity_a, r.entity AS entity_b, '' AS excerpt_a, '' AS excerpt_b, decision, r.entity AS final_entity_a, fb AS final_entity_b, NULL::VARCHAR AS rationale, a.concept AS concept_a, a.depth AS depth_a, b.concept AS concept_b, b.depth AS depth_b, b.depth - a.depth AS depth_diff
+FROM r LEFT JOIN l a ON a.entity = r.entity LEFT JOIN l b ON b.entity = fb""")
 def review_depths(spark, sf):
     """The review run end to end with a deterministic provider in place of a model."""
     e = _entities(spark, sf)
@@ -614,18 +640,24 @@ def ablation_metrics(spark, sf):
     return M.subset_rates(docs, docs.where("corpus = 'system'"), LEXICON, r"\bof\s+the\b")
 
 
-@query()
+SENTENCE = r"""regexp_replace(regexp_replace(regexp_replace(lft, '(?s)^.*[.!?](["'')\]}]*[ \n\t\r])', '\1') || substr(text, length(lft) + 1, length(entity)) || coalesce(nullif(regexp_extract(rgt, '(?s)^(.*?[.!?]["'')\]}]*)(?:[ \n\t\r]|$)', 1), ''), rgt), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"""
+CONTEXT = rf"""sp AS (SELECT *, substr(text, 1, length(pre)) AS lft, substr(text, length(pre) + length(entity) + 1) AS rgt FROM (SELECT *, regexp_extract(lower(text), '(?s)^(|.*?[^a-z0-9])' || entity || '(?:[^a-z0-9].*)?$', 1) AS pre FROM held)),
+cx AS (SELECT *, {SENTENCE} AS s FROM sp), ctx AS (SELECT *, CASE WHEN length(s) > 320 THEN substr(s, 1, 319) || '…' ELSE s END AS sentence FROM cx)"""
+FIRST_CASE = rf"""b AS (SELECT DISTINCT unnest(list_filter({TERMS}, lambda x: regexp_full_match(x, '[a-z]{{8,}}'))) AS entity FROM benchmark), w AS (SELECT DISTINCT case_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS entity FROM docs WHERE corpus = 'B'),
+fc AS (SELECT entity, min(case_id) AS case_id FROM w JOIN b USING (entity) GROUP BY entity)"""
+
+
+@query(rf"WITH {DOCS}, {FIRST_CASE}, held AS (SELECT fc.entity, case_id, text FROM fc JOIN docs USING (case_id) WHERE corpus = 'B'), {CONTEXT} SELECT case_id, entity, sentence FROM ctx")
 def context_sentences(spark, sf):
     """The sentence around each dictionary word in the first case that holds it."""
     docs = _docs(spark, sf).where("corpus = 'B'")
-    found = first_case_of_entity(spark, sf)
-    return docs.join(found, "case_id").select("case_id", "entity", T.surrounding_sentence(F.col("text"), F.col("entity")).alias("sentence"))
+    return N.with_context(first_case_of_entity(spark, sf), docs, "entity", "sentence").select("case_id", "entity", "sentence")
 
 
 @query(f"""WITH RECURSIVE {ISA}, p AS (SELECT child AS c, child AS anc, [child] AS path, 0 AS hops FROM isa UNION SELECT parent, parent, [parent], 0 FROM isa UNION SELECT c, parent, list_append(path, parent), hops + 1 FROM p JOIN isa ON anc = child),
 s AS (SELECT c, path, row_number() OVER (PARTITION BY c ORDER BY hops, array_to_string(path, chr(1))) AS r FROM p WHERE anc = 'ROOT') SELECT c, array_to_string(CASE WHEN len(path) <= 6 THEN path ELSE list_concat(path[1:2], ['…'], path[len(path) - 2:]) END, '>') AS path FROM s WHERE r = 1""")
 def compact_paths(spark, sf):
-    return _up(spark, sf).where("anc = 'ROOT'").select("c", F.array_join(O.compact_path(F.col("path")), ">").alias("path"))
+    return _up(spark, sf, True).where("anc = 'ROOT'").select("c", F.array_join(O.compact_path(F.col("path")), ">").alias("path"))
 
 
 @query("""SELECT decision, event_id FROM (SELECT decision, event_id, row_number() OVER (PARTITION BY decision ORDER BY event_id) AS r FROM (SELECT event_id, CASE WHEN event_id % 4 = 3 AND event_id % 7 % 4 = 3 THEN 'INCOMPARABLE' ELSE list_value('KEEP', 'SUBSTITUTE', 'INCOMPARABLE', 'maybe')[event_id % 4 + 1] END AS decision FROM events))
@@ -634,6 +666,335 @@ def overview_by_decision(spark, sf):
     return R.capped_by_decision(llm_json_parse(spark, sf).select("decision", "event_id"), {"SUBSTITUTE": 3, "INCOMPARABLE": 2, "KEEP": 3}, ["event_id"])
 
 
+# ---- rates, samples, verdicts
+
+
+@query(f"WITH {DOCS}, {HEDGE}, {PER_CASE} SELECT count(*) AS n_cases, {', '.join(f'floor(avg({c}) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS mean_{c}' for c in ('a_per_1000', 'b_per_1000', 'delta_b_minus_a'))} FROM pcr")
+def hedge_macro_means(spark, sf):
+    return L.macro_means(L.hedge_per_case(_docs(spark, sf), LEXICON))
+
+
+@query(rf"""WITH {DOCS}, s AS (SELECT corpus, sum(len(list_filter(regexp_extract_all(text, '\p{{L}}+'), lambda x: lower(x) = 'the')))::BIGINT AS n, sum(len(regexp_extract_all(text, '\p{{L}}+')))::BIGINT AS tokens FROM docs GROUP BY corpus) SELECT *, {RATE.format(h='n', t='tokens')} AS per_1000 FROM s""")
+def node_frequency(spark, sf):
+    return K.node_frequency(_docs(spark, sf), "the")
+
+
+@query(f"""WITH {DOCS}, kw AS ({SQL['keyness_ll']}), n AS (SELECT count(DISTINCT case_id) FILTER (corpus = 'A') AS t, count(DISTINCT case_id) FILTER (corpus = 'B') AS r FROM docs)
+SELECT term, range_tar, range_ref, round(range_tar::DOUBLE / t, 6) AS norm_range_tar, round(range_ref::DOUBLE / r, 6) AS norm_range_ref FROM kw, n""")
+def keyness_norm_ranges(spark, sf):
+    return K.normalised_ranges(keyness_ll(spark, sf), _docs(spark, sf)).select("term", "range_tar", "range_ref", "norm_range_tar", "norm_range_ref")
+
+
+@query(f"""WITH s AS (SELECT doc_id AS case_id, source AS area, row_number() OVER (PARTITION BY source ORDER BY {MD5.format(k='doc_id')}, doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents), own AS (SELECT * FROM s WHERE (area = 'src1' AND r <= 6) OR (area = 'src2' AND r <= n + 5)),
+rest AS (SELECT case_id, area, row_number() OVER (ORDER BY {MD5.format(k='case_id')}, case_id) AS k FROM s WHERE area = 'src0') SELECT case_id, area FROM own UNION ALL SELECT case_id, area FROM rest WHERE k <= 5""")
+def stratified_sample_topped_up(spark, sf):
+    """The stratum src2 is five rows short; they come from src0."""
+    rows = _t(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), F.col("source").alias("area"))
+    return C.stratified_sample(rows, {"src0": 0, "src1": 6, "src2": rows.where("area = 'src2'").count() + 5}, top_up="src0")
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'SUBSTITUTE' WHEN 2 THEN 'INCOMPARABLE' WHEN 3 THEN 'KEEP' ELSE 'SUBSTITUTE' END AS decision, CASE WHEN event_id % 5 IN (1, 2) THEN NULL ELSE 'e' || event_id END AS entity_a FROM events""")
+def llm_json_repair(spark, sf):
+    """Objects without a decision, single quotes, other decisions in broken text, text after the object, curly quotes."""
+    n = F.col("event_id").cast("string")
+    kinds = F.array(
+        F.concat(F.lit('{"entity_a": "e'), n, F.lit('"}')), F.lit("{\"decision\": 'substitute', \"entity_a\": null"), F.lit('{"decision": "perhaps", "entity_a": null'),
+        F.concat(F.lit('{"decision": "KEEP", "entity_a": "e'), n, F.lit('"} as asked.')), F.concat(F.lit("{\u201cdecision\u201d: \u201cSUBSTITUTE\u201d, \u201centity_a\u201d: \u201ce"), n, F.lit("\u201d,}")),
+    )
+    raw = _t(spark, sf, "events").select("event_id", F.get(kinds, (F.col("event_id") % 5).cast("int")).alias("raw"))
+    return raw.select("event_id", parse_verdict(F.col("raw")).alias("v")).select("event_id", "v.decision", "v.entity_a")
+
+
+# ---- contexts and cases of entities
+
+
+def _cut_phrases(spark, sf):
+    """Two words of an item, without the first word's first letter: they lie inside of words."""
+    w = T.term_tokens(F.col("text"))
+    return _t(spark, sf, "benchmark").select(F.concat_ws(" ", F.substring(F.get(w, F.lit(1)), 2, 100), F.get(w, F.lit(2))).alias("entity")).where("entity like '_% %'").distinct()
+
+
+CUT = f"""q AS (SELECT DISTINCT substr(w[2], 2) || ' ' || w[3] AS entity FROM (SELECT {TERMS} AS w FROM benchmark) WHERE length(w[2]) > 1)"""
+
+
+@query(f"WITH {DOCS}, {CUT} SELECT entity, corpus, count(DISTINCT case_id) AS n_cases, min(case_id) AS first_case FROM q JOIN docs ON contains(lower(text), entity) GROUP BY ALL")
+def cases_of_cut_phrases(spark, sf):
+    found = N.entity_cases(_docs(spark, sf), _cut_phrases(spark, sf), ("corpus", "case_id"))
+    return found.groupBy("entity", "corpus").agg(F.count("*").alias("n_cases"), F.min("case_id").alias("first_case"))
+
+
+SHARED = rf"""p AS (SELECT DISTINCT w[1] AS entity_a, w[2] AS entity_b FROM (SELECT list_filter({TERMS}, lambda x: regexp_full_match(x, '[a-z]{{5,}}')) AS w FROM benchmark) WHERE len(w) > 1),
+cw AS (SELECT DISTINCT corpus, case_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM docs), sh AS (SELECT entity_a, entity_b, min(a.case_id) AS shared FROM p JOIN cw a ON a.w = entity_a AND a.corpus = 'A' JOIN cw b ON b.w = entity_b AND b.corpus = 'B' AND a.case_id = b.case_id GROUP BY ALL),
+sc AS (SELECT entity_a, entity_b, shared AS case_id FROM p LEFT JOIN sh USING (entity_a, entity_b))"""
+
+
+def _word_pairs(spark, sf):
+    w = F.filter(T.term_tokens(F.col("text")), lambda x: x.rlike("^[a-z]{5,}$"))
+    return _t(spark, sf, "benchmark").where(F.size(w) > 1).select(F.get(w, F.lit(0)).alias("entity_a"), F.get(w, F.lit(1)).alias("entity_b")).distinct()
+
+
+@query(f"WITH {DOCS}, {SHARED} SELECT * FROM sc")
+def first_shared_case(spark, sf):
+    docs = _docs(spark, sf)
+    return N.first_shared_case(_word_pairs(spark, sf), docs.where("corpus = 'A'"), docs.where("corpus = 'B'"))
+
+
+EXCERPT = r"CASE WHEN length({t}) > {n} THEN substr({t}, 1, {n}) || '…' ELSE {t} END"
+
+
+@query(rf"""WITH {DOCS}, {SHARED}, t AS (SELECT corpus, case_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM docs), fa AS (SELECT w, min(case_id) AS c FROM cw WHERE corpus = 'A' GROUP BY w), fb AS (SELECT w, min(case_id) AS c FROM cw WHERE corpus = 'B' GROUP BY w)
+SELECT entity_a, entity_b, sc.case_id, coalesce(CASE WHEN sc.case_id IS NOT NULL THEN {EXCERPT.format(t='a.t', n=1200)} ELSE {EXCERPT.format(t='x.t', n=900)} END, '') AS excerpt_a, coalesce(CASE WHEN sc.case_id IS NOT NULL THEN {EXCERPT.format(t='b.t', n=1200)} ELSE {EXCERPT.format(t='y.t', n=900)} END, '') AS excerpt_b
+FROM sc LEFT JOIN t a ON a.corpus = 'A' AND a.case_id = sc.case_id LEFT JOIN t b ON b.corpus = 'B' AND b.case_id = sc.case_id LEFT JOIN fa ON fa.w = entity_a LEFT JOIN t x ON x.corpus = 'A' AND x.case_id = fa.c LEFT JOIN fb ON fb.w = entity_b LEFT JOIN t y ON y.corpus = 'B' AND y.case_id = fb.c""")
+def review_excerpts(spark, sf):
+    seeds = _word_pairs(spark, sf).select(F.lit(None).cast("long").alias("case_id"), "entity_a", "entity_b", F.lit("").alias("excerpt_a"), F.lit("").alias("excerpt_b"))
+    return R.review_excerpts(seeds, _docs(spark, sf)).select("entity_a", "entity_b", "case_id", "excerpt_a", "excerpt_b")
+
+
+def _case_words(spark, sf):
+    """Dictionary words of eight letters or more as a conversation's mentions, with their counts."""
+    words = _docs(spark, sf).select("case_id", F.col("corpus").alias("side"), F.explode(T.term_tokens(F.col("text"))).alias("entity")).where(F.col("entity").rlike("^[a-z]{8,}$"))
+    known = _dictionary(spark, sf).withColumnRenamed("term", "entity")
+    return words.join(known, "entity", "left_semi").groupBy("case_id", "side", "entity").agg(F.count("*").alias("n")).withColumns({"concept": F.lit(None).cast("string"), "depth": F.lit(None).cast("int")})
+
+
+@query(rf"""WITH {DOCS}, d AS (SELECT DISTINCT unnest({TERMS}) AS term FROM benchmark), k AS (SELECT corpus, case_id, entity, count(*) AS n FROM (SELECT corpus, case_id, unnest({TERMS}) AS entity FROM docs) WHERE regexp_full_match(entity, '[a-z]{{8,}}') AND entity IN (SELECT term FROM d) GROUP BY ALL),
+held AS (SELECT k.*, text FROM k JOIN docs USING (corpus, case_id)), {CONTEXT} SELECT case_id, corpus AS side, entity, n, NULL::VARCHAR AS concept, NULL::INTEGER AS depth, 'unmapped' AS mapping_status, sentence AS context_sentence FROM ctx""")
+def inventory_contexts(spark, sf):
+    rows = P.inventory(_case_words(spark, sf))
+    return N.with_context(rows, _docs(spark, sf).withColumnRenamed("corpus", "side"), "entity", "context_sentence", keys=("case_id", "side"))
+
+
+@query(rf"WITH {DOCS} SELECT corpus, case_id, lower(e) AS entity, count(*) AS n FROM (SELECT corpus, case_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS e FROM docs) GROUP BY ALL")
+def recognised_entities(spark, sf):
+    """A stand-in for a model: it is loaded once in a task and takes texts in batches."""
+
+    def load():
+        import re
+
+        names = re.compile("[A-Z][a-z]+")
+        return lambda texts: [names.findall(t) for t in texts]
+
+    return N.recognised_entities(_docs(spark, sf), load)
+
+
+@query(f"WITH RECURSIVE {POOLED} SELECT entity, corpus, frequency, concept, depth FROM en")
+def entity_depth_table(spark, sf):
+    m = _mentions(spark, sf)
+    found = m.select(F.col("side").alias("corpus"), "entity", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
+    return N.entity_depths(found, m.select("entity", "concept").distinct(), _depth(spark, sf))
+
+
+@query(f"WITH RECURSIVE {MENTIONS} SELECT DISTINCT side AS corpus, entity, depth FROM m JOIN orders ON o_orderkey = case_id WHERE o_orderstatus = 'F' AND depth IS NOT NULL")
+def subset_depth_map(spark, sf):
+    m = _mentions(spark, sf)
+    cases = _t(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("case_id"))
+    return N.depth_map(m.select(F.col("side").alias("corpus"), "case_id", "entity"), cases, m.select("entity", "concept").distinct(), _depth(spark, sf))
+
+
+# ---- graphs
+
+
+def _order_graphs(spark, sf):
+    """A graph for each order: its lines' part names are the sentences, the names' last words the entities."""
+    li = _t(spark, sf, "lineitem").join(_t(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_name").alias("name")), "l_partkey")
+    sentences = li.groupBy("l_orderkey", "l_partkey", "name").agg(F.lit(1)).select(F.col("l_orderkey").alias("prefix"), F.col("l_partkey").alias("i"), F.col("name").alias("text"))
+    linked = li.select(F.col("l_orderkey").alias("prefix"), F.element_at(F.split("name", " "), -1).alias("entity"), F.concat(F.lit("S"), "l_suppkey").alias("concept"))
+    return sentences, linked
+
+
+@query(f"""WITH {ISA}, li AS (SELECT DISTINCT l_orderkey AS p, l_partkey AS i, lower(p_name) AS name, list_last(string_split(lower(p_name), ' ')) AS entity, 'S' || l_suppkey AS concept FROM lineitem JOIN part ON p_partkey = l_partkey), lk AS (SELECT DISTINCT p, entity, concept FROM li),
+h0 AS (SELECT DISTINCT p, concept, 0 AS step FROM lk), h1 AS (SELECT DISTINCT p, parent AS concept, 1 AS step FROM h0 JOIN isa ON child = concept), h2 AS (SELECT DISTINCT p, parent AS concept, 2 AS step FROM h1 JOIN isa ON child = concept),
+hl AS (SELECT p, concept FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY step, concept) AS r FROM (SELECT p, concept, min(step) AS step FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2) GROUP BY ALL)) WHERE r <= 5 OR step = 0),
+g AS (SELECT DISTINCT s.p, s.p || 'S' || s.i AS src, s.p || 'E:' || e.entity AS dst, 'mentions' AS rel FROM (SELECT DISTINCT p, i, name FROM li) s JOIN (SELECT DISTINCT p, entity FROM lk) e ON e.p = s.p AND (' ' || s.name || ' ') LIKE '% ' || e.entity || ' %'
+UNION SELECT p, p || 'E:' || entity, p || 'C:' || concept, 'maps_to' FROM lk UNION SELECT a.p, a.p || 'C:' || child, a.p || 'C:' || parent, 'is_a' FROM isa JOIN hl a ON a.concept = child JOIN hl b ON b.concept = parent AND b.p = a.p)
+SELECT p AS prefix, src, dst, rel FROM g""")
+def explanation_graph_hull(spark, sf):
+    sentences, linked = _order_graphs(spark, sf)
+    return O.explanation_graphs(sentences, linked, _isa(spark, sf), 2, 5)
+
+
+@query(f"""WITH {ISA}, m AS (SELECT l_orderkey AS s, l_partkey AS p FROM lineitem), e AS (SELECT 'S:' || s AS src, 'E:part ' || p AS dst, 'mentions' AS rel FROM m UNION SELECT 'E:part ' || p, 'C:P' || p, 'maps_to' FROM m UNION SELECT 'C:' || child, 'C:' || parent, 'is_a' FROM isa WHERE child IN (SELECT 'P' || p FROM m)),
+d AS (SELECT id, count(*) AS degree, CASE WHEN id LIKE 'C:%' THEN 'concept' WHEN id LIKE 'E:%' THEN 'entity' ELSE 'sentence' END AS kind FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY degree DESC, id) AS r FROM d), k AS (SELECT id FROM r WHERE kind <> 'sentence' OR r <= greatest(0, 5000 - (SELECT count(*) FROM d WHERE kind <> 'sentence')))
+SELECT src, dst, rel FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)""")
+def trimmed_graph_edges(spark, sf):
+    edges = O.explanation_graph(_order_mentions(spark, sf), _isa(spark, sf))
+    return O.trimmed_edges(edges, O.trimmed_nodes(edges, 5000))
+
+
+@query(f"WITH RECURSIVE {MENTIONS} SELECT concept, string_agg(DISTINCT side, ',' ORDER BY side) AS seed_sides, string_agg(DISTINCT case_id::VARCHAR, '+' ORDER BY case_id::VARCHAR) AS seed_cases FROM m GROUP BY concept")
+def seed_attribution(spark, sf):
+    return O.seed_attribution(_mentions(spark, sf))
+
+
+XML = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query(f"""WITH n AS (SELECT 'N' || n_nationkey AS id, 'nation' AS kind, n_name || ' & "x" <y>' AS label FROM nation), e AS (SELECT 'N' || n_nationkey AS src, 'R' || n_regionkey AS dst FROM nation)
+SELECT 1 AS part, '<node id="' || id || '"><data key="kind">nation</data><data key="label">' || {XML.format('label')} || '</data></node>' AS value FROM n UNION ALL SELECT 2, '<edge source="' || src || '" target="' || dst || '"><data key="rel">is_a</data></edge>' FROM e""")
+def graphml_elements(spark, sf):
+    n = _t(spark, sf, "nation")
+    nodes = n.select(F.concat(F.lit("N"), "n_nationkey").alias("id"), F.lit("nation").alias("kind"), F.concat("n_name", F.lit(' & "x" <y>')).alias("label"))
+    edges = n.select(F.concat(F.lit("N"), "n_nationkey").alias("src"), F.concat(F.lit("R"), "n_regionkey").alias("dst"), F.lit("is_a").alias("rel"))
+    return W.graphml_lines(nodes, edges).where("part in (1, 2)").select("part", "value")
+
+
+@query(f"""WITH RECURSIVE {BRANCH}, p AS (SELECT child AS c, child AS anc, [child] AS path, 0 AS hops FROM isa UNION SELECT parent, parent, [parent], 0 FROM isa UNION SELECT c, parent, list_append(path, parent), hops + 1 FROM p JOIN isa ON anc = child),
+s AS (SELECT c, anc, list_reverse(path) AS path, row_number() OVER (PARTITION BY c, anc ORDER BY hops, array_to_string(path, chr(1))) AS r FROM p), t AS (SELECT c, anc, array_to_string(CASE WHEN len(path) <= 6 THEN path ELSE list_concat(path[1:2], ['…'], path[len(path) - 2:]) END, '>') AS path FROM s WHERE r = 1)
+SELECT 'x: "' || entity_a || '" (human) vs "' || entity_b || '" (model)' AS title, CASE WHEN depth_a > depth_b THEN 'A more specific by ' || (depth_a - depth_b) || ' levels' WHEN depth_a < depth_b THEN 'B more specific by ' || (depth_b - depth_a) || ' levels' ELSE 'Same depth' END AS mid, x.path AS path_a, y.path AS path_b
+FROM bp JOIN t x ON x.c = concept_a AND x.anc = lca_concept JOIN t y ON y.c = concept_b AND y.anc = lca_concept""")
+def pair_visuals(spark, sf):
+    made = O.pair_visuals(_pairs(spark, sf).withColumn("category", F.lit("x")), _up(spark, sf, True))
+    return made.select("title", "mid", F.array_join("path_a", ">").alias("path_a"), F.array_join("path_b", ">").alias("path_b"))
+
+
+@query(f"WITH RECURSIVE {BRANCH} SELECT entity_a, entity_b, concept_a, concept_b, depth_a, depth_b, lca_concept FROM bp WHERE concept_a <> concept_b")
+def drawable_pairs(spark, sf):
+    """Depths of one side are missing in the reviewed rows and looked up again."""
+    rows = _pairs(spark, sf).select("entity_a", "entity_b", "concept_a", "concept_b", F.lit(None).cast("int").alias("depth_a"), "depth_b")
+    return R.drawable_pairs(rows, _up(spark, sf), _depth(spark, sf)).select("entity_a", "entity_b", "concept_a", "concept_b", "depth_a", "depth_b", "lca_concept")
+
+
+@query(rf"""WITH {DOCS}, e AS (SELECT conv_id AS case_id, count(*) AS n FROM conversations GROUP BY ALL) SELECT case_id, e.n AS n_edges, substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 1800) AS prose, 4 AS coherence, 'mixed' AS verdict, 'dry_run' AS skipped FROM docs JOIN e USING (case_id) WHERE corpus = 'B'""")
+def judge_records(spark, sf):
+    """The records of a judge's run, and those of a dry run, which calls nothing."""
+    edges = _t(spark, sf, "conversations").select(F.col("conv_id").alias("case_id"), F.concat(F.lit("S"), "turn").alias("src"), F.col("role").alias("dst"), F.lit("by").alias("rel"))
+    bundles = R.judge_bundle(_docs(spark, sf).where("corpus = 'B'").select("case_id", "text"), edges)
+    said = R.judge(bundles, lambda prompt: 'As asked: {"coherence_score": 4, "verdict": "mixed"}', "Return one JSON object.")
+    dry = R.judge(bundles, None).select("case_id", F.get_json_object("raw", "$.skipped").alias("skipped"))
+    return said.join(dry, "case_id").select("case_id", F.get_json_object("record", "$.n_edges").cast("long").alias("n_edges"), F.get_json_object("record", "$.prose").alias("prose"), F.col("judgement.coherence_score").alias("coherence"), "judgement.verdict", "skipped")
+
+
+# ---- generation
+
+
+@query(rf"""WITH {DOCS}, {STRICT}, j AS (SELECT case_id, trim(regexp_replace(text_a, '\s+', ' ', 'g')) AS a, trim(regexp_replace(text_b, '\s+', ' ', 'g')) AS b, (case_id % 5 + 1)::VARCHAR AS k, len(regexp_extract_all(text_b, '\S+')) AS w FROM pairs)
+SELECT case_id, 'Explain option ' || k || ' (label ' || k || ') in ' || w || ' to ' || greatest(w + 8, floor(w * 1.28::DOUBLE)::BIGINT) || ' words.' || chr(10) || chr(10) || a || chr(10) || chr(10) || k || ' - label ' || k AS prompt, greatest(180, least(floor(w * 1.22::DOUBLE * 1.35::DOUBLE) + 48, 1536))::INTEGER AS num_predict FROM j""")
+def generation_prompts(spark, sf):
+    rows = _dataset(spark, sf).select("case_id", C.parse_sentences(F.col("text"))["sentences"].alias("sentences")).withColumn("reference", C.justification(F.col("sentences")))
+    return C.prompts(rows, "Explain {key} in {words} to {max_words} words.", "")
+
+
+@query("SELECT doc_id AS case_id, CASE WHEN length(text) % 7 <> 0 THEN length(text) || ':200' END AS answer FROM documents WHERE doc_id % 3 <> 0")
+def generated_answers(spark, sf):
+    """Cases with an answer already are left out; calls that fail each time leave none."""
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), F.coalesce("text", F.lit("")).alias("prompt"), F.lit(200).alias("num_predict"))
+    done = docs.select("case_id", F.when(F.col("case_id") % 3 == 0, "text").otherwise(" ").alias("text"))
+
+    def provider(prompt: str, n: int) -> str:
+        if len(prompt) % 7 == 0:
+            raise ValueError("no answer")
+        return f"{len(prompt)}:{n}"
+
+    return C.generate(C.not_yet_done(docs, done), provider, wait=0).select("case_id", "answer")
+
+
+# ---- sources and sinks: written to the shared folder and read back
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT s_suppkey, s_name || ', \"' || s_suppkey || '\"' AS s_name, s_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END AS s_acctbal FROM supplier")
+def csv_round_trip(spark, sf):
+    made = _t(spark, sf, "supplier").select("s_suppkey", F.concat("s_name", F.lit(', "'), "s_suppkey", F.lit('"')).alias("s_name"), "s_nationkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal")).alias("s_acctbal"))
+    path = _folder(spark, "csv")
+    W.write_csv(made, path)
+    return S.csv_table(spark, path, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+
+
+@query("SELECT n_nationkey, upper(n_name) AS n_name FROM nation")
+def plain_csv_last_row_wins(spark, sf):
+    """Each key twice in a table without quotes; the later row counts."""
+    n, path = _t(spark, sf, "nation"), _folder(spark, "plain-csv")
+    rows = n.select("n_nationkey", F.lower("n_name").alias("n_name"), F.lit(1).alias("row")).union(n.select("n_nationkey", F.upper("n_name"), F.lit(2)))
+    W.write_csv(rows, path, ["n_nationkey", "n_name", "row"], single=True, quoted=False)
+    return S.last_row_wins(S.csv_table(spark, path, "n_nationkey int, n_name string, row int"), "n_nationkey", "row").select("n_nationkey", "n_name")
+
+
+@query(f"WITH {DOCS} SELECT corpus, 'case_' || lpad(case_id::VARCHAR, greatest(3, length(case_id::VARCHAR))::INTEGER, '0') AS case_id, text FROM docs WHERE text <> '' AND case_id % 4 <> 0")
+def case_text_round_trip(spark, sf):
+    docs, path = _docs(spark, sf).where("text <> ''"), _folder(spark, "cases")
+    W.write_cases(docs, path, stale=docs.where("case_id % 4 = 0"))
+    return W.read_cases(spark, path)
+
+
+@query("SELECT user_id, count(*) AS n, max(event_id) AS latest FROM events GROUP BY user_id")
+def json_round_trip(spark, sf):
+    path = _folder(spark, "json")
+    W.write_json(_t(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("latest")), path)
+    return spark.read.schema("user_id long, n long, latest long").json(path)
+
+
+@query("SELECT '\\newcommand{\\hierNKeep}{' || count(*) FILTER (r_regionkey > 0) || '}' || chr(10) || '\\newcommand{\\hierNAll}{' || count(*) || '}' AS value FROM region")
+def tex_macros(spark, sf):
+    return W.tex_macros(_t(spark, sf, "region").agg(F.count_if(F.col("r_regionkey") > 0).alias("n_keep"), F.count("*").alias("n_all")), "hier")
+
+
+def _release(spark, sf) -> str:
+    """A small ontology release: descriptions of parts and suppliers, relationships of suppliers, with rows that don't count."""
+    root = _folder(spark, "release")
+    term = lambda c, t, kind, lang="en", active="1": (c.alias("conceptId"), F.lit(lang).alias("languageCode"), F.lit(kind).alias("typeId"), t.alias("term"), F.lit(active).alias("active"))
+    part, supplier = _t(spark, sf, "part"), _t(spark, sf, "supplier")
+    p, s = F.concat(F.lit("P"), "p_partkey"), F.concat(F.lit("S"), "s_suppkey")
+    fsn, synonym = "900000000000003001", "900000000000013009"
+    rows = part.select(*term(p, F.concat(F.lit(' a "'), "p_name", F.lit('" ')), fsn)).union(part.select(*term(p, F.col("p_type"), synonym, "en-GB"))).union(part.select(*term(p, F.col("p_brand"), fsn, "es"))).union(supplier.select(*term(s, F.col("s_name"), fsn, active="0"))).union(supplier.select(*term(s, F.lit("  "), synonym)))
+    W.write_named(rows, f"{root}/Terminology", "sct2_Description_Snapshot-en_X.txt")
+    W.write_named(rows.limit(0), f"{root}/Terminology", "sct2_Description_Full-en_X.txt")
+    edge = lambda kind, active: (F.concat(F.lit("S"), "s_suppkey").alias("sourceId"), F.concat(F.lit("N"), "s_nationkey").alias("destinationId"), F.lit(kind).alias("typeId"), F.lit(active).alias("active"))
+    links = supplier.select(*edge("116680003", "1")).union(supplier.where("s_suppkey % 2 = 0").select(*edge("116680003", "1"))).union(supplier.select(*edge("363698007", "1")))
+    W.write_named(links, f"{root}/Terminology", "sct2_Relationship_Snapshot_X.txt")
+    W.write_named(supplier.select(F.lit("Q").alias("sourceId"), F.lit("R").alias("destinationId"), F.lit("116680003").alias("typeId"), F.lit("1").alias("active")), f"{root}/Other", "sct2_RelationshipConcreteValues_Snapshot_X.txt")
+    return root
+
+
+@query("""SELECT 'P' || p_partkey AS concept, 'a "' || p_name || '"' AS term, 0 AS rank FROM part UNION ALL SELECT 'P' || p_partkey, p_type, 1 FROM part""")
+def release_descriptions(spark, sf):
+    return S.rf2_descriptions(spark, _release(spark, sf))
+
+
+@query("SELECT DISTINCT 'S' || s_suppkey AS child, 'N' || s_nationkey AS parent FROM supplier")
+def release_is_a(spark, sf):
+    return S.rf2_isa(spark, _release(spark, sf))
+
+
+@query("SELECT n_nationkey AS case_num FROM nation")
+def case_list_scan(spark, sf):
+    n, path = _t(spark, sf, "nation"), _folder(spark, "list")
+    number = F.col("n_nationkey").cast("string")
+    line = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("case_"), F.lpad(number, 3, "0"), F.lit(".txt"))).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lpad(number, 3, "0"), F.lit("  # kept"))).otherwise(number)
+    n.select(line.alias("value")).union(n.select(F.concat(F.lit("# "), number))).union(n.select(F.lit(""))).write.text(path)
+    return S.case_list(spark, path)
+
+
+@query(f"WITH RECURSIVE {MENTIONS}, ss AS (SELECT case_id, a.entity FROM m a JOIN m b USING (case_id) WHERE a.side = 'A' AND b.side = 'B' AND a.entity = b.entity) SELECT case_id, entity AS entity_a, entity AS entity_b, 'same string' AS kind FROM ss ORDER BY md5(case_id || '|' || entity || '|' || entity || '|42'), case_id, entity LIMIT 80")
+def seed_scan(spark, sf):
+    return S.seeds(P.same_string(_mentions(spark, sf)), 80).select("case_id", "entity_a", "entity_b", "kind")
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id)::INTEGER AS case_num, doc_id::VARCHAR AS id FROM documents")
+def dataset_scan(spark, sf):
+    path = _folder(spark, "dataset")
+    _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "doc_id").write.parquet(path)
+    return S.dataset(spark, path, order="doc_id").select("case_num", "id")
+
+
+@query(r"""WITH s AS (SELECT p_partkey, regexp_replace(regexp_replace(replace(lower(' ' || p_name || ' & ' || p_type || ' / ' || p_brand), '&', ' and '), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part)
+SELECT p_partkey, substr(slug, 1, 60) AS slug, CASE WHEN length(p_name) > 9 THEN substr(p_name, 1, 8) || '…' ELSE p_name END AS short, lpad(least(p_partkey, p_size)::VARCHAR, greatest(3, length(least(p_partkey, p_size)::VARCHAR))::INTEGER, '0') AS low FROM s JOIN part USING (p_partkey) WHERE p_partkey < 1000""")
+def slugs(spark, sf):
+    part = _t(spark, sf, "part").where("p_partkey < 1000")  # numbers of three digits are what this slug is for
+    pair = T.case_pair_slug(F.concat(F.lit("case_"), "p_partkey"), F.concat(F.lit("case_"), "p_size"))
+    return part.select("p_partkey", T.slug(F.concat(F.lit(" "), "p_name", F.lit(" & "), "p_type", F.lit(" / "), "p_brand")).alias("slug"), T.truncated(F.col("p_name"), 9).alias("short"), F.substring_index(pair, "_", 1).alias("low"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 < 2 THEN trunc(value)::INTEGER END AS parsed FROM events")
+def parsed_numbers(spark, sf):
+    e = _t(spark, sf, "events")
+    text = F.when(F.col("event_id") % 4 < 2, F.col("value").cast("string")).when(F.col("event_id") % 4 == 2, F.lit("")).otherwise(F.lit("n/a"))
+    return e.select("event_id", T.parsed_int(text).alias("parsed"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

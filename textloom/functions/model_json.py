@@ -30,15 +30,16 @@ def _field(raw: Column, name: str) -> Column:
 def parse_verdict(raw: Column) -> Column:
     """struct(decision, entity_a, entity_b, rationale): strict JSON, then repairs, then single fields.
 
-    An unknown or missing decision of salvaged text is INCOMPARABLE."""
+    An object without a decision keeps it null; an unknown or missing decision of salvaged text is INCOMPARABLE."""
     blob = F.regexp_extract(_unfenced(raw), r"(?s)(\{.*\})", 1)
     tries = [blob, _no_trailing_commas(blob), _straight_quotes(blob), _no_trailing_commas(_straight_quotes(blob))]
     parsed = [F.from_json(t, VERDICT, {"mode": "PERMISSIVE"}) for t in tries]
-    decision = F.upper(F.trim(F.coalesce(_field(raw, "decision"), F.lit(""))))
+    quoted = F.regexp_extract(raw, r"(?is)\"decision\"\s*:\s*'([^']*)'", 1)
+    decision = F.upper(F.trim(F.coalesce(_field(raw, "decision"), quoted, F.lit(""))))
     salvaged = F.struct(
         F.when(decision.isin(*DECISIONS), decision).otherwise("INCOMPARABLE").alias("decision"),
         _field(raw, "entity_a").alias("entity_a"),
         _field(raw, "entity_b").alias("entity_b"),
         F.coalesce(_field(raw, "rationale"), F.lit("salvaged from text that is no JSON")).alias("rationale"),
     )
-    return F.coalesce(*(F.when(p["decision"].isNotNull(), p) for p in parsed), salvaged)
+    return F.coalesce(*(F.when(F.json_object_keys(t).isNotNull(), p) for t, p in zip(tries, parsed)), salvaged)

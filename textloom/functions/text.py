@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TERM = r"\b[a-z0-9]+(?:[-'][a-z0-9]+)*\b"
+#: A word's edges: no letter, digit or underscore of any script beside it. Not \b, whose meaning differs between JDKs.
+START, STOP = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+TERM = rf"{START}[a-z0-9]+(?:[-'][a-z0-9]+)*{STOP}"
 
 
 def term_tokens(text: Column) -> Column:
@@ -15,7 +17,7 @@ def term_tokens(text: Column) -> Column:
 
 def letter_tokens(text: Column) -> Column:
     """Whole words made of a-z only, lower-cased."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z]+\b"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"{START}[a-z]+{STOP}"), F.lit(0))
 
 
 def vector_tokens(text: Column) -> Column:
@@ -25,7 +27,7 @@ def vector_tokens(text: Column) -> Column:
 
 def stem_tokens(text: Column) -> Column:
     """The distinct words of three or more letters a-z."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z]{3,}\b"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"{START}[a-z]{{3,}}{STOP}"), F.lit(0)))
 
 
 def index_words(text: Column) -> Column:
@@ -65,14 +67,34 @@ def contains_entity(text: Column, entity: Column) -> Column:
     return F.when(entity.rlike("[ -]") | (F.length(entity) < 2), F.instr(low, entity) > 0).otherwise(word)
 
 
+def entity_span(text: Column, entity: Column) -> Column:
+    """struct(start, stop) of the entity's first occurrence, in characters from 0, by the rule of ``contains_entity``; null without one."""
+    low, e = F.lower(text), F.lower(F.trim(entity))
+    word = F.concat(F.lit(r"(?<![a-z0-9])\Q"), e, F.lit(r"\E(?![a-z0-9])"))
+    at = F.when(e.rlike("[ -]") | (F.length(e) < 2), F.instr(low, e)).otherwise(F.regexp_instr(low, word)) - 1
+    return F.when((e != "") & (at >= 0), F.struct(at.alias("start"), (at + F.length(e)).alias("stop")))
+
+
 def surrounding_sentence(text: Column, entity: Column, max_chars: int = 320) -> Column:
-    """The first sentence that holds the entity, white space collapsed, cut with an ellipsis; empty if there is none."""
-    sentences = F.split(text, r"(?<=[.!?][\"')\]}]{0,8})\s+")
-    first = F.get(F.filter(sentences, lambda s: contains_entity(s, entity)), F.lit(0))
-    flat = F.trim(F.regexp_replace(first, r"\s+", " "))
+    """What stands around the entity's first occurrence between ends of sentences: one of .!?, closing quotes and brackets, white space.
+
+    White space is collapsed, long text cut with an ellipsis; empty without an occurrence."""
+    span = entity_span(text, entity)
+    left, right = F.substring(text, F.lit(1), span["start"]), F.substring(text, span["stop"] + 1, F.length(text))
+    closing = r"[\"')\]}]*"
+    before = F.regexp_replace(left, rf"(?s)^.*[.!?](?={closing}[ \n\t\r])", "")
+    after = F.regexp_extract(right, rf"(?s)^(.*?[.!?]{closing})(?:[ \n\t\r]|\z)", 1)
+    whole = F.concat(before, F.substring(text, span["start"] + 1, span["stop"] - span["start"]), F.when(after != "", after).otherwise(right))
+    flat = F.regexp_replace(F.regexp_replace(whole, r"^\s+|\s+$", ""), r"\s+", " ")
     return F.coalesce(F.when(F.length(flat) > max_chars, F.concat(F.substring(flat, 1, max_chars - 1), F.lit("…"))).otherwise(flat), F.lit(""))
 
 
+def excerpt(text: Column, max_chars: int) -> Column:
+    """The text's beginning, with an ellipsis where it goes on."""
+    flat = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.when(F.length(flat) > max_chars, F.concat(F.substring(flat, 1, max_chars), F.lit("…"))).otherwise(flat)
+
+
 def slug(text: Column, most: int = 60) -> Column:
     """Lower-case letters and digits joined by underscores; an ampersand reads as "and"; "category" if nothing is left."""
     flat = F.regexp_replace(F.replace(F.lower(text), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", "_")

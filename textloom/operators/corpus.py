@@ -105,12 +105,24 @@ def pair_audit(docs: DataFrame) -> DataFrame:
     return cases.agg(F.count_if(F.col("a") & F.col("b")).alias("kept"), F.count_if(~(F.col("a") & F.col("b"))).alias("pruned"))
 
 
-def stratified_sample(rows: DataFrame, quotas: dict[str, int], seed: int = 42, key="case_id", stratum="area") -> DataFrame:
-    """Up to a quota of rows of each stratum, by the order of md5(key, seed): the same on every run and engine."""
-    listed = rows.sparkSession.createDataFrame(list(quotas.items()), f"{stratum} string, quota int")
+def stratified_sample(rows: DataFrame, quotas: dict[str, int], seed: int = 42, key="case_id", stratum="area", top_up: str | None = None, total: int | None = None) -> DataFrame:
+    """Up to a quota of rows of each stratum, by the order of md5(key, seed): the same on every run and engine.
+
+    What short strata leave open of ``total`` (the quotas' sum) is taken from the stratum ``top_up``; fewer rows than that raise."""
     order = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")).cast("binary"))
+    quota = F.create_map(*(F.lit(x) for pair in quotas.items() for x in pair))[F.col(stratum)]
     r = F.row_number().over(Window.partitionBy(stratum).orderBy(order, key))
-    return rows.join(F.broadcast(listed), stratum).withColumn("r", r).where(F.col("r") <= F.col("quota")).select(key, stratum)
+    own = rows.where(F.col(stratum).isin(*quotas)).select(key, stratum)
+    # the largest quota as a literal lets each task drop what can't be among the first
+    picked = own.withColumn("r", r).where(F.col("r") <= max(quotas.values(), default=0)).where(F.col("r") <= quota).select(key, stratum)
+    if top_up is None:
+        return picked
+    total = sum(quotas.values()) if total is None else total
+    have = picked.count()
+    rest = own.where(F.col(stratum) == top_up).join(picked.select(key), key, "left_anti").orderBy(order, key).limit(max(0, total - have))
+    if have + rest.count() < total:
+        raise ValueError(f"fewer than {total} rows for the sample")
+    return picked.unionByName(rest.select(key, stratum)).orderBy(key).limit(total)
 
 
 def simple_sample(rows: DataFrame, n: int, seed: int = 42, key="case_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import cased_tokens
+from textloom.functions.text import cased_tokens, per_thousand
 from textloom.plans.scratch import settled
 
 
@@ -42,6 +42,20 @@ def keyness(docs: DataFrame, target: str = "A", reference: str = "B", top: int |
     return ranked.where(F.col("rank") <= top) if top else ranked
 
 
+def normalised_ranges(keywords: DataFrame, docs: DataFrame, target: str = "A", reference: str = "B") -> DataFrame:
+    """``keywords`` with the shares of the corpora's cases that hold each term."""
+    n = docs.groupBy().agg(*(F.count_distinct(F.when(F.col("corpus") == c, F.col("case_id"))).alias(a) for c, a in ((target, "_t"), (reference, "_r"))))
+    share = lambda x, n: F.round(F.when(F.col(n) > 0, F.col(x) / F.col(n)), 6)
+    return keywords.join(F.broadcast(n)).select(*keywords.columns, share("range_tar", "_t").alias("norm_range_tar"), share("range_ref", "_r").alias("norm_range_ref"))  # one row of two counts
+
+
+def node_frequency(docs: DataFrame, node: str) -> DataFrame:
+    """(corpus, n, tokens, per_1000) of a word."""
+    words = docs.select("corpus", F.transform(cased_tokens(F.coalesce("text", F.lit(""))), lambda t: F.lower(t)).alias("w"))
+    sums = words.groupBy("corpus").agg(F.sum(F.size(F.filter("w", lambda t: t == node))).alias("n"), F.sum(F.size("w")).alias("tokens"))
+    return sums.select("corpus", "n", "tokens", per_thousand(F.col("n"), F.col("tokens")).alias("per_1000"))
+
+
 def positions(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
     return docs.select("corpus", "case_id", F.posexplode(F.transform(cased_tokens(F.col("text")), lambda t: F.lower(t)) if tokens is None else tokens).alias("pos", "term"))
 
@@ -67,8 +81,8 @@ def collocates(docs: DataFrame, node: str, span: int = 5, min_freq: int = 1) ->
     return met.select("term", scaled.cast("long").alias("freq_scaled"), "freq_lr", "freq_l", (F.col("freq_lr") - F.col("freq_l")).alias("freq_r"), "range", F.round(F.log2(o * n / (fn * scaled)), 6).alias("mi"), F.round(ll, 6).alias("likelihood"))
 
 
-def kwic(docs: DataFrame, phrase: list[str], width: int = 7) -> DataFrame:
-    """Concordance lines of a phrase, with the frequency of the first word to the right as pattern frequency."""
+def kwic(docs: DataFrame, phrase: list[str], width: int = 7, pattern: int = 1) -> DataFrame:
+    """Concordance lines of a phrase, with the frequency of the first ``pattern`` words to the right as pattern frequency."""
     words = docs.select("corpus", "case_id", cased_tokens(F.col("text")).alias("w"))
     rows = words.select("corpus", "case_id", "w", F.posexplode("w").alias("pos", "t"))
     hit = F.lit(True)
@@ -77,7 +91,7 @@ def kwic(docs: DataFrame, phrase: list[str], width: int = 7) -> DataFrame:
     n = len(phrase)
     made = rows.where((F.lower("t") == phrase[0]) & F.coalesce(hit, F.lit(False))).select(
         "corpus", "case_id", "pos", F.array_join(F.slice("w", F.greatest(F.col("pos") - width + 1, F.lit(1)), F.least(F.col("pos"), F.lit(width))), " ").alias("left_context"),
-        F.array_join(F.slice("w", F.col("pos") + 1, n), " ").alias("hit"), F.array_join(F.slice("w", F.col("pos") + 1 + n, width), " ").alias("right_context"), F.coalesce(F.lower(F.get("w", F.col("pos") + n)), F.lit("")).alias("_next"),
+        F.array_join(F.slice("w", F.col("pos") + 1, n), " ").alias("hit"), F.array_join(F.slice("w", F.col("pos") + 1 + n, width), " ").alias("right_context"), F.lower(F.array_join(F.slice("w", F.col("pos") + 1 + n, pattern), " ")).alias("_next"),
     )
     kpf = made.groupBy("_next").agg(F.count("*").alias("kpf"))
     return made.join(kpf, "_next").select("corpus", "case_id", "pos", "kpf", "left_context", "hit", "right_context")

@@ -98,6 +98,11 @@ def hedge_by_area(per_case: DataFrame, areas: DataFrame, min_cases: int = 1) ->
     return rows.where(F.col("n_cases") >= min_cases)
 
 
+def macro_means(per_case: DataFrame) -> DataFrame:
+    """One row: the means over cases of the sides' rates and of their difference."""
+    return per_case.agg(F.count("*").alias("n_cases"), *(round4(F.avg(c)).alias(f"mean_{c}") for c in ("a_per_1000", "b_per_1000", "delta_b_minus_a")))
+
+
 def phrase_rate(docs: DataFrame, pattern: str = r"\bmost\s+likely\b") -> DataFrame:
     sums = docs.select("corpus", phrase_count(F.coalesce("text", F.lit("")), pattern).alias("h"), F.size(letter_tokens(F.coalesce("text", F.lit("")))).alias("t")).groupBy("corpus").agg(F.sum("h").alias("hits"), F.sum("t").alias("tokens"))
     return sums.select("corpus", "hits", "tokens", per_thousand(F.col("hits"), F.col("tokens")).alias("per_1000"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import contains_entity, index_words, term_tokens
+from textloom.functions.text import contains_entity, index_words, surrounding_sentence, term_tokens
 
 
 def best_terms(descriptions: DataFrame) -> DataFrame:
@@ -39,16 +42,19 @@ def link_best(entities: DataFrame, descriptions: DataFrame) -> DataFrame:
 
 
 def gazetteer_entities(docs: DataFrame, terms: DataFrame, most_words: int = 5) -> DataFrame:
-    """(corpus, case_id, entity, pos): the longest dictionary term that starts at each token and lies in no longer one before.
+    """(corpus, case_id, entity, pos): from left to right the longest dictionary term at each token that no earlier one taken covers.
 
-    Every n-gram up to ``most_words`` meets the terms by equi-join."""
+    Every n-gram up to ``most_words`` meets the terms by equi-join; one fold over a case's sorted hits takes or leaves them."""
     words = docs.select("corpus", "case_id", term_tokens(F.col("text")).alias("w")).select("corpus", "case_id", "w", F.posexplode("w").alias("pos", "t"))
     grams = F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - F.col("pos"))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", F.col("pos") + 1, n), " ").alias("gram")))
     rows = words.select("corpus", "case_id", "pos", F.explode(grams).alias("g")).select("corpus", "case_id", "pos", "g.n", F.col("g.gram").alias("entity"))
     hits = rows.join(terms.select(F.lower("term").alias("entity")).distinct(), "entity", "left_semi")
     longest = hits.groupBy("corpus", "case_id", "pos").agg(F.max(F.struct("n", "entity")).alias("x")).select("corpus", "case_id", "pos", "x.n", "x.entity")
-    reach = F.max(F.col("pos") + F.col("n")).over(Window.partitionBy("corpus", "case_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    return longest.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("pos") >= F.col("reach"))).select("corpus", "case_id", "pos", "entity")
+    cases = longest.groupBy("corpus", "case_id").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "entity"))).alias("hits"))
+    taken = F.array().cast("array<struct<pos:int,n:int,entity:string>>")
+    step = lambda s, h: F.when(h["pos"] >= s["reach"], F.struct((h["pos"] + h["n"]).alias("reach"), F.array_append(s["taken"], h).alias("taken"))).otherwise(s)
+    kept = F.aggregate("hits", F.struct(F.lit(0).alias("reach"), taken.alias("taken")), step)["taken"]
+    return cases.select("corpus", "case_id", F.explode(kept).alias("k")).select("corpus", "case_id", "k.pos", "k.entity")
 
 
 def entity_depths(found: DataFrame, linked: DataFrame, depth: DataFrame) -> DataFrame:
@@ -57,9 +63,67 @@ def entity_depths(found: DataFrame, linked: DataFrame, depth: DataFrame) -> Data
     return counts.join(linked, "entity", "left").join(depth.withColumnRenamed("c", "concept"), "concept", "left").select("entity", "corpus", "frequency", "concept", "depth")
 
 
+def entity_cases(docs: DataFrame, entities: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """(entity, keys): the cases whose text holds the entity, by the rule of ``contains_entity``.
+
+    Whole words meet the texts' words by equi-join. What may lie inside of words, or has signs, meets the words' parts of up to three
+    characters first and is looked for in the candidates' texts only; an entity without letters and digits meets the texts' characters."""
+    keys_ = list(keys)
+    asked = entities.select(F.lower(F.trim("entity")).alias("entity")).where("entity <> ''").distinct()
+    words = docs.select(*keys_, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
+    plain = asked.where(F.col("entity").rlike("^[a-z0-9]{2,}$"))
+    exact = words.join(plain, F.col("word") == F.col("entity")).select("entity", *keys_)
+    odd = asked.where(~F.col("entity").rlike("^[a-z0-9]{2,}$"))
+    runs = F.regexp_extract_all("entity", F.lit("[a-z0-9]+"), F.lit(0))
+    longest = F.get(F.sort_array(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("size"), r.alias("run"))))["run"], F.lit(0))
+    odd = odd.withColumn("gram", F.substring(longest, 1, 3))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(3), F.length("word")))
+    parts = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring(F.col("word"), i, n)))))
+    near = words.select("word").distinct().select("word", F.explode(parts).alias("gram")).join(odd.where("gram is not null"), "gram").select("word", "entity").distinct()
+    candidates = words.join(near, "word").select("entity", *keys_)
+    signs = odd.where("gram is null").select("entity", F.substring("entity", 1, 1).alias("sign"))
+    signed = docs.select(*keys_, F.explode(F.array_distinct(F.split(F.lower("text"), ""))).alias("sign")).join(F.broadcast(signs) if signs.isEmpty() else signs, "sign").select("entity", *keys_)
+    rest = candidates.unionByName(signed).distinct().join(docs.select(*keys_, "text"), keys_)
+    return exact.unionByName(rest.where(contains_entity(F.col("text"), F.col("entity"))).select("entity", *keys_)).distinct()
+
+
 def first_case(docs: DataFrame, entities: DataFrame) -> DataFrame:
-    """(entity, case_id): the first case whose text holds the entity. A shared word is the equi-join, containment the residual."""
-    words = docs.select("case_id", "text", F.explode(F.array_distinct(index_words(F.col("text")))).alias("word"))
-    asked = entities.select(F.lower("entity").alias("entity")).distinct().withColumn("word", F.get(index_words(F.col("entity")), F.lit(0)))
-    met = words.join(asked, "word").where(contains_entity(F.col("text"), F.col("entity")))
-    return met.groupBy("entity").agg(F.min("case_id").alias("case_id"))
+    """(entity, case_id): the first case whose text holds the entity."""
+    return entity_cases(docs, entities).groupBy("entity").agg(F.min("case_id").alias("case_id"))
+
+
+def first_shared_case(pairs: DataFrame, docs_a: DataFrame, docs_b: DataFrame) -> DataFrame:
+    """pairs(entity_a, entity_b) and ``case_id``: the first case whose A text holds the one and whose B text the other; null without one."""
+    asked = pairs.select(F.lower(F.trim("entity_a")).alias("a"), F.lower(F.trim("entity_b")).alias("b")).distinct()
+    a = entity_cases(docs_a, asked.select(F.col("a").alias("entity"))).withColumnRenamed("entity", "a")
+    b = entity_cases(docs_b, asked.select(F.col("b").alias("entity"))).withColumnRenamed("entity", "b")
+    found = asked.join(a, "a").join(b, ["b", "case_id"]).groupBy("a", "b").agg(F.min("case_id").alias("case_id"))
+    return pairs.join(found, (F.lower(F.trim("entity_a")) == F.col("a")) & (F.lower(F.trim("entity_b")) == F.col("b")), "left").drop("a", "b")
+
+
+def with_context(rows: DataFrame, docs: DataFrame, entity_col: str, out: str, max_chars: int = 320, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """``rows`` and ``out``: the sentence around the entity in the row's own case; empty without the case or the entity."""
+    texts = docs.select(*keys, F.col("text").alias("_context"))
+    met = rows.join(texts, list(keys), "left")
+    return met.select(*rows.columns, surrounding_sentence(F.col("_context"), F.col(entity_col), max_chars).alias(out))
+
+
+def recognised_entities(docs: DataFrame, load: Callable[[], Callable[[list[str]], list[list[str]]]], batch: int = 8) -> DataFrame:
+    """(corpus, case_id, entity, n): lower-case names that a model finds in each text. ``load`` makes the model once in each task; it takes ``batch`` texts."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for rows in batches:
+            texts = ["" if t is None else t for t in rows["text"]]
+            found = [names for k in range(0, len(texts), batch) for names in model(texts[k : k + batch])]
+            yield pd.DataFrame([(c, i, e) for c, i, names in zip(rows["corpus"], rows["case_id"], found) for e in (n.strip().lower() for n in names) if e], columns=["corpus", "case_id", "entity"])
+
+    case = docs.schema["case_id"].dataType.simpleString()
+    made = docs.select("corpus", "case_id", "text").mapInPandas(find, f"corpus string, case_id {case}, entity string")
+    return made.groupBy("corpus", "case_id", "entity").agg(F.count("*").alias("n"))
+
+
+def depth_map(entities: DataFrame, cases: DataFrame, linked: DataFrame, depth: DataFrame) -> DataFrame:
+    """(corpus, entity, depth) of the entities of the listed cases that have a depth: found(corpus, case_id, entity)."""
+    own = entities.join(cases.select("case_id").distinct(), "case_id", "left_semi").select("corpus", "entity").distinct()
+    return own.join(linked, "entity").join(depth.withColumnRenamed("c", "concept"), "concept").where("depth is not null").select("corpus", "entity", "depth")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import lexicons
+from textloom.functions.text import depth_label
+from textloom.operators.linking import entity_cases
 from textloom.plans.scratch import settled
 
 
@@ -60,19 +62,24 @@ def lowest_common_ancestors(pairs: DataFrame, up: DataFrame, depth: DataFrame, m
     return out if max_hops is None else out.where((F.col("hops_a") <= max_hops) & (F.col("hops_b") <= max_hops))
 
 
-def candidate_pairs(a: DataFrame, b: DataFrame, up: DataFrame, max_hops: int) -> DataFrame:
-    """Distinct (ca, cb) with a common ancestor within the hop limit of both: all that can pass it."""
-    near = up.where(F.col("min_hops") <= max_hops)
-    x = a.select(F.col("concept").alias("ca")).where("ca is not null").distinct().join(near.select(F.col("c").alias("ca"), "anc"), "ca")
-    y = b.select(F.col("concept").alias("cb")).where("cb is not null").distinct().join(near.select(F.col("c").alias("cb"), "anc"), "cb")
-    return x.join(y, "anc").select("ca", "cb").distinct()
+def common_ancestors(a: DataFrame, b: DataFrame, up: DataFrame, depth: DataFrame, max_hops: int = 5) -> DataFrame:
+    """The same for all pairs of a's and b's concepts that have a common ancestor within the hop limit of both.
+
+    One pass: the sides meet on ancestors and each pair keeps its deepest. The root is a hot key on both sides, as every pair under
+    it is a row of the result; the join is one that Spark splits, and pairs are combined before they are shuffled."""
+    known = up.join(depth.where("depth is not null").select(F.col("c").alias("anc"), F.col("depth").alias("depth_lca")), "anc")
+    side = lambda d, c, h: d.select(F.col("concept").alias(c)).where(f"{c} is not null").distinct().join(known.select(F.col("c").alias(c), "anc", "depth_lca", F.col("min_hops").alias(h)), c)
+    met = side(a, "ca", "hops_a").join(side(b, "cb", "hops_b").drop("depth_lca"), "anc")
+    best = F.min(F.struct((-F.col("depth_lca")).alias("d"), "anc", "depth_lca", "hops_a", "hops_b"))
+    out = met.groupBy("ca", "cb").agg(best.alias("x")).select("ca", "cb", F.col("x.anc").alias("lca"), "x.depth_lca", "x.hops_a", "x.hops_b")
+    return out.where((F.col("hops_a") <= max_hops) & (F.col("hops_b") <= max_hops))
 
 
 def branch_pairs(a: DataFrame, b: DataFrame, up: DataFrame, depth: DataFrame, max_hops: int = 5, dedupe: bool = True) -> DataFrame:
     """a, b (entity, concept): entity pairs on a common branch. Each concept pair's ancestor is found once.
 
     With ``dedupe`` one entity pair stays for each concept pair: the smallest names."""
-    lca = lowest_common_ancestors(candidate_pairs(a, b, up, max_hops), up, depth, max_hops)
+    lca = common_ancestors(a, b, up, depth, max_hops)
     names = lambda d, s: d.where("concept is not null").groupBy("concept").agg(F.min("entity").alias(f"entity_{s}")) if dedupe else d.select("concept", F.col("entity").alias(f"entity_{s}"))
     d = lambda s: depth.where("depth is not null").select(F.col("c").alias(f"c{s}"), F.col("depth").alias(f"depth_{s}"))
     met = lca.join(names(a, "a").withColumnRenamed("concept", "ca"), "ca").join(names(b, "b").withColumnRenamed("concept", "cb"), "cb").join(d("a"), "ca").join(d("b"), "cb")
@@ -132,7 +139,43 @@ def capped_neighbourhood(seeds: DataFrame, isa: DataFrame, up_hops: int = 3, dow
         level = level.join(isa, level["concept"] == isa["parent"]).select(F.col("child").alias("concept")).distinct()
         rows = rows.unionByName(level.withColumn("step", F.lit(up_hops + k)))
     nearest = rows.groupBy("concept").agg(F.min("step").alias("step"))
-    return nearest.orderBy("step", "concept").limit(max_nodes)
+    return nearest.orderBy("step", "concept").limit(max(60, max_nodes))
+
+
+def seed_attribution(seeds: DataFrame) -> DataFrame:
+    """seeds(concept, case_id, side) -> (concept, seed_sides, seed_cases): the sides and cases that a concept comes from."""
+    listed = lambda c, sep: F.array_join(F.sort_array(F.collect_set(F.col(c).cast("string"))), sep)
+    return seeds.where("concept is not null").groupBy("concept").agg(listed("side", ",").alias("seed_sides"), listed("case_id", "+").alias("seed_cases"))
+
+
+def neighbourhood_graph(seeds: DataFrame, isa: DataFrame, labels: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the seeds' capped neighbourhood: nodes(id, kind, label, sctid, seed_sides, seed_cases), edges(src, dst, rel)."""
+    near = capped_neighbourhood(seeds, isa, **limits).select("concept")
+    named = near.join(labels, "concept", "left").join(seed_attribution(seeds), "concept", "left")
+    none = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    nodes = named.select(F.col("concept").alias("id"), F.lit("concept").alias("kind"), F.substring(F.coalesce("label", "concept"), 1, 120).alias("label"), F.col("concept").alias("sctid"), none("seed_sides"), none("seed_cases"))
+    return nodes, induced_edges(isa, near).select(F.col("child").alias("src"), F.col("parent").alias("dst"), F.lit("is_a").alias("rel"))
+
+
+def concept_hull(seeds: DataFrame, isa: DataFrame, hops: int = 2, cap: int = 90) -> DataFrame:
+    """seeds(prefix, concept) -> (prefix, concept): each graph's concepts and their ancestors within ``hops``, up to ``cap`` by (step, id); seeds always stay."""
+    level = seeds.select("prefix", "concept").distinct()
+    rows = level.withColumn("step", F.lit(0))
+    for k in range(1, hops + 1):
+        level = level.join(isa, level["concept"] == isa["child"]).select("prefix", F.col("parent").alias("concept")).distinct()
+        rows = rows.unionByName(level.withColumn("step", F.lit(k)))
+    nearest = rows.groupBy("prefix", "concept").agg(F.min("step").alias("step"))
+    r = F.row_number().over(Window.partitionBy("prefix").orderBy("step", "concept"))
+    return nearest.withColumn("r", r).where((F.col("r") <= cap) | (F.col("step") == 0)).select("prefix", "concept")
+
+
+def pair_visuals(pairs: DataFrame, up: DataFrame) -> DataFrame:
+    """pairs(category, entity_a, entity_b, concept_a, concept_b, lca_concept, depth_a, depth_b) -> what a panel shows: title, depth
+    order and both compact paths from the common ancestor down. ``up`` has paths."""
+    one = lambda s: up.select(F.col("c").alias(f"concept_{s}"), F.col("anc").alias("lca_concept"), compact_path(F.reverse("path")).alias(f"path_{s}"))
+    met = pairs.join(one("a"), ["concept_a", "lca_concept"]).join(one("b"), ["concept_b", "lca_concept"])
+    title = F.concat("category", F.lit(': "'), "entity_a", F.lit('" (human) vs "'), "entity_b", F.lit('" (model)'))
+    return met.select("category", title.alias("title"), depth_label(F.col("depth_a"), F.col("depth_b")).alias("mid"), "path_a", "path_b", "entity_a", "entity_b", "depth_a", "depth_b")
 
 
 def first_parent_chain(concepts: DataFrame, isa: DataFrame, steps: int = 3) -> DataFrame:
@@ -153,13 +196,37 @@ def explanation_graph(mentions: DataFrame, isa: DataFrame) -> DataFrame:
     return m.unionByName(t).unionByName(i).distinct()
 
 
+def explanation_graphs(sentences: DataFrame, linked: DataFrame, isa: DataFrame, hull_hops: int = 2, cap: int = 90) -> DataFrame:
+    """sentences(prefix, i, text), linked(prefix, entity, concept) -> edges(prefix, src, dst, rel) of one graph for each prefix.
+
+    A sentence mentions the entities that it holds; is-a edges lie within the hull of the graph's concepts. Ids: prefix and S, E: or C:."""
+    own = linked.where("concept is not null").select("prefix", F.lower(F.trim("entity")).alias("entity"), "concept").distinct()
+    id_ = lambda kind, c: F.concat(F.col("prefix").cast("string"), F.lit(kind), F.col(c).cast("string"))
+    held = entity_cases(sentences, own, ("prefix", "i")).join(own.select("prefix", "entity").distinct(), ["prefix", "entity"], "left_semi")
+    mentions = held.select("prefix", id_("S", "i").alias("src"), id_("E:", "entity").alias("dst"), F.lit("mentions").alias("rel"))
+    maps = own.select("prefix", id_("E:", "entity").alias("src"), id_("C:", "concept").alias("dst"), F.lit("maps_to").alias("rel"))
+    hull = settled(concept_hull(own, isa, hull_hops, cap), "hull")
+    inner = hull.withColumnRenamed("concept", "child").join(isa, "child").join(hull.withColumnRenamed("concept", "parent"), ["prefix", "parent"])
+    is_a = inner.select("prefix", id_("C:", "child").alias("src"), id_("C:", "parent").alias("dst"), F.lit("is_a").alias("rel"))
+    return mentions.unionByName(maps).unionByName(is_a).distinct()
+
+
+def split_sentences(docs: DataFrame) -> DataFrame:
+    """docs(prefix, text) -> (prefix, i, text): parts between ends of sentences, without blanks around."""
+    parts = F.filter(F.transform(F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    return docs.select("prefix", F.posexplode(parts).alias("i", "text"))
+
+
 def trimmed_nodes(edges: DataFrame, max_nodes: int = 130) -> DataFrame:
     """(id, kind, degree): all concepts and entities, then sentences by falling degree up to the limit."""
     ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).groupBy("id").agg(F.count("*").alias("degree"))
     kind = F.when(F.col("id").startswith("C:"), "concept").when(F.col("id").startswith("E:"), "entity").otherwise("sentence")
-    nodes = ends.withColumn("kind", kind)
+    nodes = settled(ends.select("id", kind.alias("kind"), "degree"), "graph-nodes")
     fixed = nodes.where("kind <> 'sentence'")
-    room = F.greatest(F.lit(max_nodes) - F.count("*"), F.lit(0))
-    ranked = nodes.where("kind = 'sentence'").withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("degree"), "id")))
-    kept = ranked.join(F.broadcast(fixed.agg(room.alias("room")))).where(F.col("r") <= F.col("room"))
-    return fixed.select("id", "kind", "degree").unionByName(kept.select("id", "kind", "degree"))
+    room = max(0, max_nodes - fixed.count())
+    return fixed.unionByName(nodes.where("kind = 'sentence'").orderBy(F.desc("degree"), "id").limit(room))
+
+
+def trimmed_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges whose both ends are kept."""
+    return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select(edges.columns)

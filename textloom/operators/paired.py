@@ -40,17 +40,27 @@ def pooled_same_string(entities: DataFrame) -> DataFrame:
     return met.select("entity", F.when(F.col("ca") == F.col("cb"), F.col("ca")).otherwise(F.concat_ws(";", "ca", "cb")).alias("concept"), "depth_a", "depth_b", (F.col("depth_b") - F.col("depth_a")).alias("depth_diff"))
 
 
-def hierarchical_pairs(mentions: DataFrame, up: DataFrame, min_gap: int = 1, cap: int = 20) -> DataFrame:
-    """Per case the entity pairs across sides where one concept is a proper ancestor of the other, largest gaps first.
+def related_pairs(mentions: DataFrame, up: DataFrame) -> DataFrame:
+    """Per case the pairs across sides where one concept is a proper ancestor of the other.
 
-    The closure is the middle table of equi-joins; no pairs of a case are made that aren't related."""
-    rel = up.where("min_hops >= 1").select("c", "anc")
+    The closure is the middle table of equi-joins; it keeps only ancestors that the other side has at all, and no pairs of a case are made that aren't related."""
     known = mentions.where("concept is not null and depth is not null")
     x = known.where("side = 'A'").select("case_id", F.col("entity").alias("entity_a"), F.col("concept").alias("ca"), F.col("depth").alias("depth_a"), F.col("n").alias("count_a"))
     y = known.where("side = 'B'").select("case_id", F.col("entity").alias("entity_b"), F.col("concept").alias("cb"), F.col("depth").alias("depth_b"), F.col("n").alias("count_b"))
-    a_broader = y.join(rel, y["cb"] == rel["c"]).withColumnRenamed("anc", "ca").drop("c").join(x, ["case_id", "ca"]).withColumn("broader", F.lit("A"))
-    b_broader = x.join(rel, x["ca"] == rel["c"]).withColumnRenamed("anc", "cb").drop("c").join(y, ["case_id", "cb"]).withColumn("broader", F.lit("B"))
-    met = a_broader.unionByName(b_broader).withColumn("gap", F.abs(F.col("depth_a") - F.col("depth_b"))).where((F.col("gap") >= min_gap) & (F.col("entity_a") != F.col("entity_b")))
+    above = up.where("min_hops >= 1").select("c", "anc")
+
+    def broader(low: DataFrame, c: str, high: DataFrame, anc: str, side: str) -> DataFrame:
+        ends = high.select(F.col(anc).alias("anc")).distinct()
+        rel = above.join(ends, "anc", "left_semi").join(low.select(F.col(c).alias("c")).distinct(), "c", "left_semi")
+        return low.join(rel.select(F.col("c").alias(c), F.col("anc").alias(anc)), c).join(high, ["case_id", anc]).withColumn("broader", F.lit(side))
+
+    met = broader(y, "cb", x, "ca", "A").unionByName(broader(x, "ca", y, "cb", "B"))
+    return met.withColumn("gap", F.abs(F.col("depth_a") - F.col("depth_b")))
+
+
+def hierarchical_pairs(mentions: DataFrame, up: DataFrame, min_gap: int = 3, cap: int = 20) -> DataFrame:
+    """Per case the related entity pairs across sides whose depths differ by ``min_gap`` at least, largest gaps first."""
+    met = related_pairs(mentions, up).where((F.col("gap") >= min_gap) & (F.col("entity_a") != F.col("entity_b")))
     rank = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("gap"), F.substring("entity_a", 1, 40), F.substring("entity_b", 1, 40), "ca", "cb"))
     return met.withColumn("r", rank).where(F.col("r") <= cap).select("case_id", "entity_a", "entity_b", F.col("ca").alias("concept_a"), F.col("cb").alias("concept_b"), "depth_a", "depth_b", "gap", "broader", "count_a", "count_b")
 
@@ -58,10 +68,8 @@ def hierarchical_pairs(mentions: DataFrame, up: DataFrame, min_gap: int = 1, cap
 def cross_concepts(mentions: DataFrame, up: DataFrame, cap: int = 40) -> DataFrame:
     """Per case the concept pairs across sides in an ancestor relation, each with its smallest entity."""
     one = mentions.where("concept is not null and depth is not null").groupBy("case_id", "side", "concept").agg(F.min("entity").alias("entity"), F.max("depth").alias("depth")).withColumn("n", F.lit(1).cast("long"))
-    made = hierarchical_pairs(one.withColumn("entity", F.concat_ws(chr(1), "side", "entity")), up, 0, 1 << 30)
-    rank = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("gap"), "concept_a", "concept_b"))
-    name = lambda c: F.substring_index(c, chr(1), -1).alias(c)
-    return made.withColumn("r", rank).where(F.col("r") <= cap).select("case_id", "concept_a", "concept_b", "depth_a", "depth_b", "gap", "broader", name("entity_a"), name("entity_b"))
+    rank = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("gap"), "ca", "cb"))
+    return related_pairs(one, up).withColumn("r", rank).where(F.col("r") <= cap).select("case_id", F.col("ca").alias("concept_a"), F.col("cb").alias("concept_b"), "depth_a", "depth_b", "gap", "broader", "entity_a", "entity_b")
 
 
 def triple_intersection(depths: DataFrame) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.model_json import parse_verdict
-from textloom.operators.linking import link_best
+from textloom.functions.text import excerpt
+from textloom.operators.linking import first_case, first_shared_case, link_best
+from textloom.operators.ontology import lowest_common_ancestors
+from textloom.plans.scratch import settled
 
 
 def decision_counts(reviewed: DataFrame) -> DataFrame:
@@ -53,11 +56,15 @@ def reviewed_depths(reviewed: DataFrame, descriptions: DataFrame, depth: DataFra
     return met.drop("_ea", "_eb").withColumn("depth_diff", F.col("depth_b") - F.col("depth_a"))
 
 
-def capped_by_decision(rows: DataFrame, caps: dict[str, int], order: list[str]) -> DataFrame:
-    """The first rows of each decision, as a figure shows them."""
-    listed = rows.sparkSession.createDataFrame(list(caps.items()), "decision string, cap int")
+def capped_by_decision(rows: DataFrame, caps: dict[str, int], order: list[str], key: list[str] | None = None) -> DataFrame:
+    """The first rows of each decision, as a figure shows them; of rows with the same ``key`` the first only."""
+    if key:
+        first = F.min(F.struct(*dict.fromkeys([*order, *rows.columns])))
+        rows = rows.groupBy(*(F.col(k).alias(f"_{k}") for k in key), F.col("decision").alias("_decision")).agg(first.alias("x")).select(*(F.col(f"x.{c}").alias(c) for c in rows.columns))
+    cap = F.create_map(*(F.lit(x) for pair in caps.items() for x in pair))[F.col("decision")]
     r = F.row_number().over(Window.partitionBy("decision").orderBy(*order))
-    return rows.join(F.broadcast(listed), "decision").withColumn("r", r).where(F.col("r") <= F.col("cap")).drop("r", "cap")
+    # the largest cap as a literal lets each task drop what can't be among the first
+    return rows.where(F.col("decision").isin(*caps)).withColumn("r", r).where(F.col("r") <= max(caps.values(), default=0)).where(F.col("r") <= cap).drop("r")
 
 
 def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
@@ -68,7 +75,79 @@ def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
     return met.select(F.when(F.col("hi") > F.col("lo"), at).otherwise(0).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
-def judge_bundle(cases: DataFrame, edges: DataFrame) -> DataFrame:
-    """(case_id, record): a JSON record of each case's prose and graph, as given to a judge."""
-    links = edges.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "rel"))).alias("links"))
-    return cases.join(links, "case_id", "left").select("case_id", F.to_json(F.struct("case_id", F.substring("text", 1, 1800).alias("prose"), "links")).alias("record"))
+def review_excerpts(seeds: DataFrame, docs: DataFrame, case_chars: int = 1200, any_chars: int = 900) -> DataFrame:
+    """seeds(case_id, entity_a, entity_b, excerpt_a, excerpt_b) with case and excerpts filled in: the seed's own excerpts if both are there; else
+    the texts of its case; else of the first case that holds both entities; else each side's first text that holds its entity.
+
+    A case with a bar in its name is several cases and has no text."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    rows = settled(seeds.withColumn("_seed", F.monotonically_increasing_id()), "seeds")
+    given = ~blank("excerpt_a") & ~blank("excerpt_b")
+    side = lambda s: docs.where(F.col("corpus") == s).select("case_id", "text")
+    open_ = rows.where(~given & blank("case_id"))
+    shared = first_shared_case(open_.select("_seed", "entity_a", "entity_b"), side("A"), side("B")).select("_seed", F.col("case_id").alias("_shared"))
+    met = rows.join(shared, "_seed", "left").withColumn("_case", F.when(~blank("case_id"), F.col("case_id")).otherwise(F.col("_shared")))
+    for s, entity in (("A", "entity_a"), ("B", "entity_b")):
+        own = side(s).select(F.col("case_id").alias("_case"), F.col("text").alias(f"_text_{s}"))
+        left = open_.join(shared, "_seed").where("_shared is null").select("_seed", F.lower(F.trim(entity)).alias("entity"))
+        first = left.join(first_case(side(s), left.select("entity")), "entity").join(side(s).withColumnRenamed("text", f"_first_{s}"), "case_id").select("_seed", f"_first_{s}")
+        met = met.join(own, "_case", "left").join(first, "_seed", "left")
+
+    def filled(s: str, c: str) -> Column:
+        whole = F.when(F.col("_case").cast("string").contains("|"), "(no single shared case file; stems split — excerpts omitted)").otherwise(excerpt(F.col(f"_text_{s}"), case_chars))
+        return F.when(given, F.trim(c)).when(F.col("_case").isNotNull(), F.coalesce(whole, F.lit(""))).otherwise(F.coalesce(excerpt(F.col(f"_first_{s}"), any_chars), F.lit(""))).alias(c)
+
+    new = {"case_id": F.col("_case").alias("case_id"), "excerpt_a": filled("A", "excerpt_a"), "excerpt_b": filled("B", "excerpt_b")}
+    return met.select(*(new.get(c, F.col(c)) for c in seeds.columns))
+
+
+def prompts_by_kind(seeds: DataFrame, template: str, hierarchical_template: str) -> DataFrame:
+    """seeds with a column ``kind``: hierarchical ones take their own template."""
+    hier = F.lower(F.coalesce("kind", F.lit(""))).contains("hierarchical")
+    made = review_prompts(seeds, template).withColumnRenamed("prompt", "_plain")
+    return review_prompts(made, hierarchical_template).withColumn("prompt", F.when(hier, F.col("prompt")).otherwise(F.col("_plain"))).drop("_plain")
+
+
+def drawable_pairs(measured: DataFrame, up: DataFrame, depth: DataFrame) -> DataFrame:
+    """Reviewed rows whose two concepts are known, differ, have depths and a common ancestor: with the deepest one. Missing depths are looked up."""
+    rows = measured.where("concept_a is not null and concept_b is not null and concept_a <> concept_b")
+    for s in "ab":
+        known = depth.select(F.col("c").alias(f"concept_{s}"), F.col("depth").alias(f"_{s}"))
+        rows = rows.join(known, f"concept_{s}", "left").withColumn(f"depth_{s}", F.coalesce(f"depth_{s}", f"_{s}")).drop(f"_{s}")
+    rows = rows.where("depth_a is not null and depth_b is not null")
+    found = lowest_common_ancestors(rows.select(F.col("concept_a").alias("ca"), F.col("concept_b").alias("cb")), up, depth, None)
+    return rows.join(found.select(F.col("ca").alias("concept_a"), F.col("cb").alias("concept_b"), F.col("lca").alias("lca_concept")), ["concept_a", "concept_b"])
+
+
+def judge_bundle(cases: DataFrame, edges: DataFrame, prose_chars: int = 1800) -> DataFrame:
+    """(case_id, record): a JSON record of each case's prose and graph, as given to a judge. cases(case_id, text)."""
+    links = edges.groupBy("case_id").agg(F.count("*").alias("n_edges"), F.sort_array(F.collect_list(F.struct("src", "dst", "rel"))).alias("links"))
+    prose = F.substring(F.regexp_replace("text", r"^\s+|\s+$", ""), 1, prose_chars)
+    return cases.join(links, "case_id", "left").select("case_id", F.to_json(F.struct("case_id", prose.alias("prose"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "links")).alias("record"))
+
+
+JUDGEMENT = "coherence_score int, ontology_fit_score int, narrative_to_graph_alignment string, suspicious_mappings array<struct<entity_hint:string,concept_label_or_id:string,issue:string>>, disconnected_subthemes array<string>, human_vs_model_packaging string, verdict string, rationale string"
+
+
+def judge(bundles: DataFrame, provider: Callable[[str], str] | None, instruction: str = "", model: str = "") -> DataFrame:
+    """(case_id, record, raw, judgement): the model's answer to each record, parsed. Without a provider a dry run: the answer says that it was skipped."""
+    prompts = bundles.select("case_id", "record", F.concat_ws("\n\n", "record", F.lit(instruction) if instruction else F.lit(None)).alias("prompt"))
+    if provider is None:
+        raw = prompts.withColumn("raw", F.lit('{"skipped": "dry_run"}'))
+    else:
+
+        def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import json
+
+            for batch in batches:
+                out = []
+                for prompt in batch["prompt"]:
+                    try:
+                        out.append(provider(prompt))
+                    except Exception as e:
+                        out.append(json.dumps({"error": str(e), "verdict": "error"}))
+                yield batch.assign(raw=out)
+
+        raw = prompts.mapInPandas(call, f"case_id {bundles.schema['case_id'].dataType.simpleString()}, record string, prompt string, raw string")
+    blob = F.regexp_extract("raw", r"(?s)(\{.*\})", 1)
+    return raw.select("case_id", "record", F.lit(model).alias("model"), "raw", F.from_json(blob, JUDGEMENT).alias("judgement"))

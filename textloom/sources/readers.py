@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import lexicons
+from textloom.operators.lexical import fully_ranked
 
 
 def corpus_folder(spark: SparkSession, path: str, corpus: str, glob: str = "case_*.txt") -> DataFrame:
@@ -14,9 +17,15 @@ def corpus_folder(spark: SparkSession, path: str, corpus: str, glob: str = "case
     return rows.select(F.lit(corpus).alias("corpus"), F.regexp_extract("file", r"([^/]+)\.txt$", 1).alias("case_id"), F.col("value").alias("text"))
 
 
-def dataset(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Rows (id, text) of a dataset's files."""
-    return spark.read.format(fmt).load(path).select("id", "text")
+def dataset(spark: SparkSession, path: str, fmt: str = "parquet", order: str | None = None, expected_rows: int | None = None) -> DataFrame:
+    """Rows (id, text) of a dataset's files; with ``order``, also case_num from 1 in the order of that column. Another count than expected warns."""
+    raw = spark.read.format(fmt).load(path)
+    if expected_rows is not None and (n := raw.count()) != expected_rows:
+        warnings.warn(f"{expected_rows} rows were expected, {n} found", stacklevel=2)
+    if order is None:
+        return raw.select("id", "text")
+    ranked = fully_ranked(raw.select("id", "text", F.col(order).alias("_order"), F.lit(0).alias("_all")), "_all", [F.col("_order"), F.col("id")], "case_num")
+    return ranked.select("case_num", "id", "text")
 
 
 def conversations(spark: SparkSession, path: str, sides={"user": "A", "assistant": "B"}) -> DataFrame:
@@ -68,8 +77,14 @@ def case_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("case_num is not null").distinct()
 
 
-def seeds(rows: DataFrame) -> DataFrame:
-    """Seeds of either kind in one form: tables with entity_a and entity_b, or with one entity for both sides."""
-    if {"entity_a", "entity_b"} <= set(rows.columns):
-        return rows.select("case_id", "entity_a", "entity_b", F.lit("hierarchical").alias("kind"))
-    return rows.select("case_id", F.col("entity").alias("entity_a"), F.col("entity").alias("entity_b"), F.lit("same string").alias("kind"))
+def seeds(rows: DataFrame, max_rows: int = 0, seed: int = 42) -> DataFrame:
+    """Seeds (case_id, entity_a, entity_b, kind, excerpt_a, excerpt_b) of either kind in one form: tables with entity_a and entity_b, or with one
+    entity for both sides; excerpts are the tables' contexts, if they have any. With ``max_rows`` a sample by the order of md5."""
+    both = {"entity_a", "entity_b"} <= set(rows.columns)
+    name = lambda s: F.col(f"entity_{s}" if both else "entity").alias(f"entity_{s}")
+    context = lambda s: (F.coalesce(f"context_sentence_{s}", F.lit("")) if f"context_sentence_{s}" in rows.columns else F.lit("")).alias(f"excerpt_{s}")
+    made = rows.select("case_id", name("a"), name("b"), F.lit("hierarchical" if both else "same string").alias("kind"), context("a"), context("b"))
+    if max_rows <= 0:
+        return made
+    key = F.concat_ws("|", "case_id", "entity_a", "entity_b", F.lit(str(seed)))
+    return made.orderBy(F.md5(key.cast("binary")), "case_id", "entity_a", "entity_b").limit(max_rows)
