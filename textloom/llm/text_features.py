@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,11 +179,13 @@ def fit_chain(docs: DataFrame, labels: DataFrame, columns: list[str], id_col="do
         got = got.drop("features").join(pairs, "row", "left")
     else:
         got = got.drop("features").withColumn("slots", F.array().cast("array<int>"))
-    table = got.orderBy("key", "row").toPandas()  # at most max_rows short lists
+    # at most max_rows short lists, as Arrow: no Python object for each of their numbers
+    table = got.withColumn("slots", F.coalesce("slots", F.array().cast("array<int>"))).orderBy("key", "row").select("fold", *ys, "slots").toArrow()
     discard(rows)
-    slots = [np.asarray(x, np.int64) if x is not None else np.zeros(0, np.int64) for x in table["slots"]]
-    row = np.repeat(np.arange(n), [len(x) for x in slots]) if n else np.zeros(0, np.int64)
-    slot = np.concatenate(slots) if slots else np.zeros(0, np.int64)
+    lists = table["slots"].combine_chunks() if n else pa.array([], pa.list_(pa.int32()))
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    row = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    slot = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
     def part(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pairs of rows and places in ``features``."""
@@ -191,10 +194,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, columns: list[str], id_col="do
         own = inside[slot] if len(union) else np.zeros(0, bool)
         return row[own], place[slot[own]]
 
-    fold = table["fold"].to_numpy(np.int64) if n else np.zeros(0, np.int64)
+    fold = table["fold"].to_numpy().astype(np.int64)
     before, chain = np.zeros((n, 0)), Chain(columns, kept)
     for i, y in enumerate(ys):
-        target = table[y].to_numpy(float)
+        target = table[y].to_numpy().astype(float)
         chain.models.append(fit_linear(*part(kept), n, before, target, len(kept)))
         if i + 1 < len(ys):
             out = np.zeros(n)
