@@ -1,8 +1,8 @@
 """Line dedup: repeated runs of lines by a suffix array over line ids, DataFrame functions only.
 
-Every document is a sequence of line ids (128-bit hashes). Prefix doubling names the 2^j-line prefixes of all suffixes:
-the name for twice the length is the pair of the names of its halves. Suffixes with the same name of depth m form an interval
-of the suffix array whose longest common prefix is at least m lines; any order of the ids gives the same
+Every document is a sequence of line ids (128-bit hashes), one row for each position. Prefix doubling over these rows names the 2^j-line
+prefixes of all suffixes: the name for twice the length is the pair of a row's name and of that 2^j rows on. Suffixes with the same name of
+depth m form an interval of the suffix array whose longest common prefix is at least m lines; any order of the ids gives the same
 intervals, so they are found by grouping and no global sort is needed. In each interval the first suffix (by document,
 then line) is the original and the others start later copies.
 
@@ -11,7 +11,8 @@ shortest windows that reach ``min_words``: those that start at a line, and those
 in an interval with an earlier suffix exactly if some countable run of a later copy holds it, and the union of the
 windows is the union of these maximal runs. The later copies' runs are cut from the text.
 
-Doubling goes as deep as the longest such window. Shuffled are only ids, names and positions, and the texts once at
+Doubling goes as deep as the longest such window, in the documents that have windows of several lines; rows of a document stay rows, so
+its length bounds nothing in memory. Shuffled are only ids, names and positions, and the texts once at
 the end to meet their runs. Grouping combines on the map side; the join back to the windows is one that Spark can split.
 
 Defined results: a null text stays null and has no lines; an empty text is one empty line; lines are compared
@@ -72,30 +73,26 @@ def _pair(a: Column, b: Column, extra: Column) -> Column:
     return F.struct(F.xxhash64(extra, a["h1"], b["h1"], a["h2"], b["h2"]).alias("h1"), F.xxhash64(F.lit(13), extra, a["h2"], b["h2"], a["h1"], b["h1"]).alias("h2"))
 
 
-def _doubled(names: Column, half: int, count: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: _pair(F.get(names, i), F.get(names, i + half), F.lit(0)))
-
-
 def _named(lines: DataFrame, windows: DataFrame, levels: int) -> DataFrame:
-    """The windows with the names of what they hold, by prefix doubling within each document's array of names."""
-    docs = lines.groupBy("_k1", "_k2").agg(F.first("_id").alias("_id"), F.sort_array(F.collect_list(F.struct("pos", "h1", "h2"))).alias("ids"))
-    docs = docs.select("_k1", "_k2", "_id", F.transform("ids", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))).alias("n0"))
+    """The windows with the names of what they hold: two names of 2^j lines, from its start and up to its end, cover a window of up to 2^(j + 1) lines."""
+    doc = ["_k1", "_k2"]
+    at = lambda rows, place: rows.withColumnRenamed("pos", place)
+    single = windows.where("size = 1").join(at(lines, "start"), [*doc, "start"])
+    single = single.select("_id", *doc, "start", "size", "h1", "h2")
+    if not levels:
+        return single
+    several = windows.where("size > 1")
+    own = Window.partitionBy(*doc).orderBy("pos")
+    rows = lines.join(several.select(*doc).distinct(), doc, "left_semi").select("_id", *doc, "pos", F.struct("h1", "h2").alias("n0"))
     for j in range(levels):
-        half, before = 1 << j, F.col(f"n{j}")
-        count = F.size(before) - half
-        docs = docs.withColumn(f"n{j + 1}", F.when(count > 0, _doubled(before, half, count)).otherwise(F.slice(before, 1, 0)))
-
-    def name(w: Column) -> Column:
-        out = None
-        for j in range(levels + 1):
-            a = F.col(f"n{j}")
-            own = _pair(F.get(a, w["start"]), F.get(a, w["start"] + w["size"] - (1 << j)), w["size"])
-            out = own if out is None else F.when(w["size"] >= (1 << j), own).otherwise(out)
-        return out
-
-    asked = windows.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "size")).alias("windows"))
-    rows = docs.join(asked, ["_k1", "_k2"]).select("_id", "_k1", "_k2", F.explode(F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["size"].alias("size"), name(w).alias("name")))).alias("w"))
-    return rows.select("_id", "_k1", "_k2", "w.start", "w.size", F.col("w.name.h1").alias("h1"), F.col("w.name.h2").alias("h2"))
+        ahead = F.lead(f"n{j}", 1 << j).over(own)
+        rows = rows.withColumn(f"n{j + 1}", F.when(ahead.isNotNull(), _pair(F.col(f"n{j}"), ahead, F.lit(0))))
+    rows = settle(rows.select("_id", *doc, "pos", F.array(*(f"n{j}" for j in range(levels + 1))).alias("names")), "suffix-names")
+    level = F.floor(F.log2("size")).cast("int")
+    asked = several.withColumn("level", level).withColumn("last", F.expr("cast(start + size - shiftleft(1, level) as int)"))
+    met = asked.join(at(rows, "start"), [*doc, "start"]).join(at(rows, "last").select(*doc, "last", F.col("names").alias("ends")), [*doc, "last"])
+    name = _pair(F.get("names", F.col("level")), F.get("ends", F.col("level")), F.col("size"))
+    return single.unionByName(met.select("_id", *doc, "start", "size", name.alias("n")).select("_id", *doc, "start", "size", "n.h1", "n.h2"))
 
 
 def repeated_runs(docs: DataFrame, id_col="doc_id", text_col="text", min_words: int = 5) -> DataFrame:

@@ -330,18 +330,23 @@ def score_documents(docs: DataFrame, id_col="doc_id", text_col="text", outputs:
     total = counts.agg(F.count("*"), F.sum("n")).first()
     texts = train.count()
     types, tokens = total[0] + (texts > 0), (total[1] or 0) + texts
-    # the most frequent words: down to a count that at most known_words reach
-    band = F.floor(F.log2("n") * 8).cast("int")
-    reach, least = 0, None
+    # the most frequent words: whole bands of counts, and of the band that is too large the first parts by hash
+    band, part = F.floor(F.log2("n") * 8).cast("int"), F.pmod(F.xxhash64("word", F.lit(9)), F.lit(1024))
+    room, least, parts = known_words, None, 0
     for r in sorted(counts.groupBy(band.alias("b")).count().collect(), key=lambda r: -r["b"]):  # a few hundred bands
-        reach += r["count"]
-        if reach > known_words:
-            break
         least = r["b"]
-    top = counts.where(band >= least).toPandas() if least is not None else pd.DataFrame({"word": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+        if r["count"] > room:
+            for q in sorted(counts.where(band == least).groupBy(part.alias("part")).count().collect(), key=lambda q: q["part"]):
+                if q["count"] > room:
+                    break
+                room, parts = room - q["count"], q["part"] + 1
+            break
+        room, parts = room - r["count"], 1024
+    known = (band > least) | ((band == least) & (part < parts)) if least is not None else F.lit(False)
+    top = counts.where(known).toPandas()
     # all other words in about as many groups as a group has words
     groups = max(1, math.isqrt(max(0, total[0] - len(top))))
-    tail, far = np.zeros((groups, 2), np.int64), counts if least is None else counts.where(band < least)
+    tail, far = np.zeros((groups, 2), np.int64), counts.where(~known)
     for r in far.groupBy(F.pmod("word", F.lit(groups)).alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
         tail[r.g] = r.n, r.types
     width = max(1, math.isqrt(len(top)))
