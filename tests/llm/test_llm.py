@@ -225,8 +225,8 @@ def test_lm_is_normalised():
 
 def test_lm_words_beyond_the_heads_are_normalised():
     words_, counts = np.arange(1, 41).astype(np.uint64), np.arange(40, 0, -1)
-    tail = np.array([[4, 3], [2, 2], [0, 0]])
-    vocabulary = lm_score.Vocabulary(words_, counts, 12, 30, 36 + int(counts.sum()), 46, tail, 7)
+    tail = np.array([[4, 3], [2, 2], [0, 0], *[[1, 1]] * 12])
+    vocabulary = lm_score.Vocabulary(words_, counts, 12, 30, 48 + int(counts.sum()), 58, tail, 7)
     model = lm_score.LogBilinear(vocabulary, 4)
     rng = np.random.default_rng(1)
     items = np.delete(np.arange(len(vocabulary.top)), lm_score.OTHER)
@@ -235,7 +235,7 @@ def test_lm_words_beyond_the_heads_are_normalised():
     a, b = np.full(len(items), 3), np.full(len(items), 20)
     logp = model.log10(a, b, items)
     assert (10.0**logp).sum() == pytest.approx(1, abs=1e-5)
-    assert vocabulary.mass.tolist() == [8, 5, 1] and len(set(vocabulary.find(words_)[0].tolist())) == 40
+    assert vocabulary.mass.tolist()[:4] == [8, 5, 1, 3] and vocabulary.size == 12 + 5 + 2 and len(set(vocabulary.find(words_)[0].tolist())) == 40
 
     def slow(item):  # by its path: output, member
         r, v = model.first[3] + model.second[20], vocabulary

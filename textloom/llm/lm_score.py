@@ -3,7 +3,7 @@
 Counts of all training words are gathered by a grouped sum. The most frequent words, the end of a text and classes of
 other words are the model's outputs. The ``known_words`` most frequent words all have vectors of their own, as targets and as contexts: those that
 aren't outputs are members of classes of about the square root of their number. Words beyond
-them are dealt by their number into groups, as many as the square root of their types; a group has vectors of its own, as a member of the class OTHER, and shares
+them are dealt by their number into groups, as many as the square root of their types; a group has vectors of its own, as a member of classes of other words, and shares
 its probability out by smoothed counts, one unseen word included. The probability of a word is its class's times its share of
 the class, both softmaxes, so the distribution over words is normalised. The model (Mnih and Teh 2012) predicts a vector from the two
 tokens before, scores by inner product and bias, and is trained with noise words: for outputs from the unigram distribution, within a class from its members alike.
@@ -71,8 +71,8 @@ class Vocabulary:
     """Items: what a token is to the model. END, OTHER, the most frequent words (heads), then the members of classes.
 
     With ``tail``, all given words beyond the heads are members with vectors of their own, in classes of ``width`` words, and the
-    words that aren't given here are dealt into groups by their number, each group a member of the class OTHER; ``tail`` has (tokens, types)
-    of each group. Without it OTHER holds all other words as its only member."""
+    words that aren't given here are dealt into groups by their number, each group a member of the class OTHER or, beyond ``width``
+    groups, of one of more such classes at the end; ``tail`` has (tokens, types) of each group. Without it OTHER holds all other words as its only member."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, outputs: int, texts: int, tokens: int, types: int, tail: np.ndarray | None = None, width: int = 1):
         order = np.lexsort((words, -counts))
@@ -92,16 +92,19 @@ class Vocabulary:
         output[len(top) : len(top) + len(own)] = self.first_member + self.groups + np.arange(len(own))
         order = np.argsort(words)
         self.words, self.counts, self.output = words[order], counts[order], output[order]
-        self.size, self.texts, self.tokens, self.types = self.first_member + classes, texts, tokens, types
         #: by item its output
-        kind = np.concatenate([np.full(self.groups, OTHER), self.first_member + np.arange(len(own)) // width])
+        more = np.arange(self.groups) // max(width, 1) if tail is not None else np.zeros(self.groups, np.int64)
+        kind = np.concatenate([np.where(more == 0, OTHER, self.first_member + classes + more - 1), self.first_member + np.arange(len(own)) // width])
         self.top = np.concatenate([np.arange(self.first_member), kind])
+        self.size, self.texts, self.tokens, self.types = self.first_member + classes + int(more[-1]), texts, tokens, types
         #: by member the members of its class [low, high) and its share of the class
-        self.low, self.high = np.searchsorted(kind, kind), np.searchsorted(kind, kind, "right")
+        starts = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+        ends = np.append(starts[1:], len(kind))
+        self.low, self.high = np.repeat(starts, ends - starts), np.repeat(ends, ends - starts)
         weight = np.concatenate([groups[:, 0] + 1.0, own.astype(float)])
         inner = np.bincount(kind, weight, self.size)
         self.share = weight / inner[kind]
-        weight = np.concatenate([[texts + 1.0, inner[OTHER] - self.groups + 1], top.astype(float), inner[self.first_member :]])
+        weight = np.concatenate([[texts + 1.0, inner[OTHER]], top.astype(float), inner[self.first_member :]])
         self.unigram = weight / weight.sum()
 
     def find(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,11 +298,11 @@ def _score(batches: Iterator[pa.RecordBatch], shared, dim: int) -> Iterator[pa.R
     for batch in batches:
         for row, bounds, output, count, number in _tokens(batch.column(1), vocabulary):
             two, one = _contexts(bounds, output)
-            logp, top = model.log10(two, one, output), vocabulary.top[output]
+            logp = model.log10(two, one, output)
             known = count >= 0
             base = np.where(known & (count > 0), np.log10(np.maximum(count, 0) + 1.0), 0.0)
             # a word of a group has its share there; its count comes by the join
-            other = top == OTHER
+            other = (output >= vocabulary.first_member) & (output < vocabulary.first_member + vocabulary.groups)
             logp[other] -= np.log10(vocabulary.mass[output[other] - vocabulary.first_member])
             sums = [np.add.reduceat(x.astype(float), bounds[:-1]) for x in (np.ones(len(output)), known & (count > 0), base, logp)]
             n, far = len(bounds) - 1, np.flatnonzero(~known)
