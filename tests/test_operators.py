@@ -223,3 +223,11 @@ def test_dataset_warns_of_odd_counts(spark, tmp_path):
     with pytest.warns(UserWarning, match="125 rows were expected"):
         got = readers.dataset(spark, str(tmp_path / "d"), order="place", expected_rows=125)
     assert sorted(map(tuple, got.collect())) == [(1, "a", None), (2, "b", "t")]
+
+
+def test_keyness_ranks_alike_with_and_without_a_limit(spark):
+    docs = frame(spark, [("A", 1, "a a a b c d d"), ("A", 2, "e f"), ("B", 1, "a x y z")], "corpus string, case_id long, text string")
+    every, first = K.keyness(docs, top=None), K.keyness(docs, top=3)
+    assert every.columns == first.columns
+    ranks = {r.term: r["rank"] for r in every.collect()}
+    assert ranks["d"] == 1 and {ranks[t] for t in "bcef"} == {2} and {r.term: r["rank"] for r in first.collect()} == {t: r for t, r in ranks.items() if r <= 3}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import cased_tokens, per_thousand
+from textloom.operators.lexical import fully_ranked
 from textloom.plans.scratch import settled
 
 
@@ -38,8 +39,11 @@ def keyness(docs: DataFrame, target: str = "A", reference: str = "B", top: int |
         made = settled(made, "keyness")
         least = made.orderBy(F.desc("likelihood")).limit(top).agg(F.min("likelihood").alias("least"))
         made = made.join(F.broadcast(least), F.col("likelihood") >= F.col("least")).drop("least")
-    ranked = made.withColumn("rank", F.rank().over(Window.orderBy(F.desc("likelihood"))))
-    return ranked.where(F.col("rank") <= top) if top else ranked
+        ranked = made.withColumn("rank", F.rank().over(Window.orderBy(F.desc("likelihood"))))
+        return ranked.where(F.col("rank") <= top)
+    rows = settled(fully_ranked(made.withColumn("_all", F.lit(0)), "_all", [F.desc("likelihood"), F.col("term")], "_row").drop("_all"), "keyness")
+    first = rows.groupBy("likelihood").agg(F.min("_row").alias("rank"))  # ties share the first one's rank; half of all types may tie
+    return rows.join(first, "likelihood").drop("_row").select(*made.columns, "rank")
 
 
 def normalised_ranges(keywords: DataFrame, docs: DataFrame, target: str = "A", reference: str = "B") -> DataFrame:
