@@ -440,3 +440,166 @@ def test_pipeline(spark, sf):
     assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "decontaminate", "pack"]
     ids = {r.doc_id for r in out.select("doc_id").distinct().collect()}
     assert ids and ids <= {r.doc_id for r in read.select("doc_id").collect()} and len(ids) > read.count() // 2
+
+
+def concentration(rows):
+    """rows of (n, k, prior): (1 - rho) / rho by moments."""
+    spread = sum(n * (n - 1) * p * (1 - p) for n, _, p in rows)
+    if not spread:
+        return 2.0
+    rho = (sum((k - n * p) ** 2 for n, k, p in rows) - sum(n * p * (1 - p) for n, _, p in rows)) / spread
+    rho = min(0.5, max(0.0001, rho))
+    return (1 - rho) / rho
+
+
+def test_quality_by_hand(spark):
+    rng = random.Random(9)
+    outcomes = [(f"h{h}", f"p{p}", int(rng.random() < (h + 1) / 8)) for h in range(6) for p in range(3) for _ in range(rng.randrange(0, 30))]
+    base, hosts, paths = quality.site_posteriors(spark.createDataFrame(outcomes + [("h0", "p0", None)], "host string, path string, good int"))
+    n, k = Counter((h, p) for h, p, _ in outcomes), Counter((h, p) for h, p, g in outcomes if g)
+    host_n, host_k = Counter(h for h, _, _ in outcomes), Counter(h for h, _, g in outcomes if g)
+    want = (sum(k.values()) + 0.5) / (len(outcomes) + 1)
+    assert base == pytest.approx(want)
+    c = concentration([(host_n[h], host_k[h], want) for h in host_n])
+    host = {h: (host_k[h] + c * want) / (host_n[h] + c) for h in host_n}
+    assert {r.host: r.host_post for r in hosts.collect()} == pytest.approx(host)
+    c = concentration([(n[x], k[x], host[x[0]]) for x in n])
+    path = {x: (k[x] + c * host[x[0]]) / (n[x] + c) for x in n}
+    assert {(r.host, r.path): r.path_post for r in paths.collect()} == pytest.approx(path)
+
+
+def test_toxicity_scores_by_hand(spark):
+    rows, labels, _, _ = labelled(spark)
+    rows = [*rows, None, "", rows[0], rows[0], "vile " * 20_000]
+    table = docs(spark, rows).withColumn("row", F.lit("clash")).withColumn("logits", F.lit(1)).withColumn("p_toxic", F.lit("replaced"))
+    chain = toxicity.fit(table, toxicity.categories(labels))
+    made = toxicity.score(table, chain)
+    assert set(made.columns) == {*table.columns, "p_low_quality"} and len(chain.kept) <= 2048
+    import pyarrow as pa
+
+    places = {int(f): i for i, f in enumerate(chain.kept)}
+    for r in made.collect():
+        own = {places[int(f)] for *_, found in text_features.features(pa.array([rows[r.doc_id]], pa.string())) for f in found if int(f) in places}
+        before = []
+        for model in chain.models:
+            x = sum(model.weights[i] for i in own) + sum(w * p for w, p in zip(model.earlier, before)) + model.bias
+            before.append(1 / (1 + math.exp(-max(-30, min(30, x)))))
+        assert (r.p_low_quality, r.p_toxic) == pytest.approx(tuple(before), abs=1e-6) and r.row == "clash"
+
+
+def test_decontamination_finds_what_a_search_of_all_places_finds(spark):
+    rng = random.Random(11)
+    items = {i: [f"w{rng.randrange(60)}" for _ in range(rng.randrange(5, 40))] for i in range(12)}
+    items |= {20: ["w1", "w2"], 21: ["w1"]}  # short ones are looked for as whole texts
+    rows = []
+    for _ in range(60):
+        own = items[rng.randrange(12)][:]
+        for _ in range(rng.randrange(0, len(own) // 4 + 1)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randrange(2)] = rng.choice([[], ["zz"], ["w5"]])
+        rows.append(" ".join([*(f"w{rng.randrange(60)}" for _ in range(rng.randrange(30))), *own, *(f"x{rng.randrange(9)}" for _ in range(rng.randrange(30)))]))
+    rows += ["w1 w2", "W1, w2!", "w1", "w1 w2 w3", rows[0], rows[0]]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs(spark, rows).withColumn("spans", F.lit(1)), bench).collect()}
+
+    def near(item, text):
+        if len(item) < 5:
+            return item == text
+        d = list(range(len(item) + 1))
+        best = d[-1]
+        for w in text:
+            e = [0]
+            for j, x in enumerate(item, 1):
+                e.append(min(d[j] + 1, e[-1] + 1, d[j - 1] + (w != x)))
+            d = e
+            best = min(best, d[-1])
+        return best <= int(0.2 * len(item))
+
+    want = {(d, i) for d, t in enumerate(rows) for i, w in items.items() if near(w, decontaminate.words_of(t))}
+    assert found <= want and len(found) >= 0.97 * len(want) and {(60, 20), (61, 20), (62, 21)} <= found
+    clash = docs(spark, rows).withColumn("spans", F.lit("kept")).withColumn("row", F.lit(1))
+    clean = decontaminate.drop_leaks(clash, bench)
+    assert clean.columns == clash.columns and {r.doc_id for r in clean.collect()} == set(range(len(rows))) - {d for d, _ in found}
+
+
+def test_decontamination_of_very_long_items_and_texts(spark):
+    rng = random.Random(12)
+    item = words(rng, 3000, 9000)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.find_leaks(docs(spark, ["short", words(rng, 20_000, 9000), f"{words(rng, 500)} {item} end", None]), bench).collect()
+    assert [(r.doc_id, r.start_word, r.end_word, r.edits) for r in got] == [(2, 500, 3500, 0)]
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    rows = ["a b c d e f\nx", "a b c d e f\ny", None]
+    table = docs(spark, rows)
+    for c in ("_k1", "_k2", "_runs", "runs", "_lines", "lines", "row", "_text", "_id", "pos", "h1"):
+        table = table.withColumn(c, F.lit(c))
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(table).collect()}
+    assert [got[i].text for i in range(3)] == ["a b c d e f\nx", "y", None] and {got[1][c] for c in ("_k1", "_runs", "lines")} == {"_k1", "_runs", "lines"}
+    kept = line_dedup.drop_copied_lines(table)
+    assert kept.columns == table.columns and {(r.doc_id, r.n_chars, r.row) for r in kept.collect()} == {(0, 13, "row"), (1, 1, "row"), (2, None, "row")}
+    # words are parted by any white space; a long line without blanks counts, too
+    rows = ["a\tb\u000bc\td e\n1", "a\tb\u000bc\td e\n2", "田" * 120 + "\n3", "田" * 120 + "\n4"]
+    assert [r.text.split("\n")[0] for r in line_dedup.dedup_lines(docs(spark, rows)).orderBy("doc_id").collect()] == [rows[0][:9], "2", "田" * 120, "4"]
+
+
+def test_line_dedup_of_long_runs(spark):
+    rng = random.Random(13)
+    run = [str(k % 7) if k % 3 else "" for k in range(40)]  # lines of a word at most: windows of several lines
+    rows = ["\n".join([*run, *(words(rng, 6) for _ in range(3))]) for _ in range(4)] + ["\n".join(run[5:20]), "\n" * 300, "\n" * 300]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == dict(enumerate(brute_lines(rows)))
+
+
+def test_packing_certificate(spark):
+    rng = random.Random(14)
+    rows = [words(rng, rng.randrange(1, 90)) for _ in range(300)] + [None, ""]
+    made = packing.pack(docs(spark, rows).withColumn("row_id", F.lit("clash")), queries.tokenizer_path(), capacity=128, group_rows=40)
+    rows_ = made.collect()
+    bins, bound = packing.certificate(made, 128)
+    assert bins == len({r.sequence_id for r in rows_}) and bound == packing.lower_bound(np.array([r.length for r in rows_]), 128) and bound <= bins <= 1.02 * bound + 2  # groups of 40 rows are small
+
+
+@pytest.mark.parametrize("name", [k for k in queries.queries()])
+def test_empty_tables(spark, sf, tmp_path, name):
+    for table in ("documents", "labels", "pages", "benchmark", "embeddings", "conversations"):
+        spark.read.parquet(f"{sf}/{table}.parquet").limit(0).write.parquet(str(tmp_path / f"{table}.parquet"))
+    assert queries.queries()[name](spark, str(tmp_path)).count() == 0
+
+
+def test_extra_columns_and_repeated_rows(spark):
+    rows = ["one two three four five six", "one two three four five six", None, ""]
+    table = docs(spark, rows, ids=[1, 1, None, 2])
+    for c in ("row_id", "word", "score", "host", "path", "features", "slot", "component_id", "n", "region", "most"):
+        table = table.withColumn(c, F.lit("x"))
+    scored = lm_score.score_documents(table).collect()
+    assert len(scored) == 4 and len({r.score for r in scored if r.doc_id == 1}) == 1 and [r.n_tokens for r in scored if r.doc_id != 1] == [1, 1]
+    assert sorted((r.doc_id or 0, r.n_shingles) for r in ngram_join.jaccard_components(table).collect()) == [(0, 0), (1, 2), (1, 2), (2, 0)]
+    assert len(quality.score_quality(table, spark.createDataFrame([(1, 1)], "doc_id long, good int")).collect()) == 4
+    pages = spark.createDataFrame([(1, "http://a.b", "<p>x</p>", "y"), (1, "http://a.b", "<p>x</p>", "y"), (None, None, None, None)], "page_id long, url string, html string, wrapper string")
+    assert sorted((r.page_id or 0, r.text) for r in html_extract.extract(pages).collect()) == [(0, ""), (1, "x"), (1, "x")]
+
+
+def test_pipeline_on_planted_cases(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    text = lambda n=120: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    rows = [text() for _ in range(200)]
+    toxic = set(range(0, 200, 4))
+    rows = [f"{t} vile" if i in toxic else t for i, t in enumerate(rows)]
+    item, line = text(30), text(60)
+    rows += [rows[1], " ".join([*rows[2].split()[:-1], "other"]), f"{text(40)} {item} {text(9)}", f"{line}\n{text()}", f"{text()}\n{line}", f"{text()} vile", None, ""]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(0, 160)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = set(range(208)) - toxic - {200, 201, 202, 205}
+    assert {r.doc_id for r in out} == want
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    size = lambda t: len(plain.encode(t or "", add_special_tokens=False).ids) + 1
+    rows[204] = rows[204].split("\n")[0]  # the later copy of the line is cut
+    assert {r.doc_id: r.length for r in out} == {i: size(rows[i]) for i in want}
