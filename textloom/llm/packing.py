@@ -31,6 +31,10 @@ PIECES = "doc_id long, row_id long, piece int, start long, length long, ids_crc3
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00fe]+)([!-/:-@\[-`{-~]*)")
 
 
+#: A part that is one word to any tokenizer of words: lower-case letters that have one form only.
+LETTERS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00fe]+")
+
+
 class _Numbered(dict):
     """Word -> its number; a new word gets the next one and is put on the list of those to learn."""
 
@@ -73,20 +77,29 @@ class WordTokenizer:
     Each distinct word is put together once from its parts' ids and remembered, as are the parts; a text's ids are
     gathered from there. Both memories are dropped beyond their limits, words sooner, as they are cheap to put together."""
 
-    def __init__(self, path: str, most_words: int = 150_000, most_parts: int = 300_000):
+    def __init__(self, path: str, most_words: int = 400_000, most_parts: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most_words, self.most_parts = Tokenizer.from_file(path), most_words, most_parts
-        self.parts, self.part_ids = _Numbered(), _Ids()
+        self._forget_parts()
+        vocabulary = self.tokenizer.get_vocab()
+        #: by id whether it ends a word
+        self.ends = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
+    def _forget_parts(self) -> None:
+        self.parts, self.part_ids = _Numbered(), _Ids()
+        #: by part the run of its ids
+        self.run = np.zeros(0, np.int64)
+
     def clear(self) -> None:
         self.number, self.word_ids = _Numbered(), _Ids()
         if len(self.parts) > self.most_parts:
-            self.parts, self.part_ids = _Numbered(), _Ids()
+            self._forget_parts()
 
     def _learn(self, words: list[str]) -> None:
         """Letters and the signs after them are pieces apart for the tokenizer, so they are remembered apart."""
@@ -95,15 +108,33 @@ class WordTokenizer:
         for w in words:
             m = PLAIN.fullmatch(w)
             pairs += (get(m[1].lower()), get(m[2])) if m else (get(w), nothing)
-        new = self.parts.new
-        for k in range(0, len(new), 20_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[k : k + 20_000], add_special_tokens=False)]
-            self.part_ids.add(np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
-        new.clear()
+        self._learn_parts(self.parts.new)
+        self.parts.new.clear()
         pairs = np.array(pairs, np.int64)
-        ids, size = self.part_ids.of(pairs)
+        ids, size = self.part_ids.of(self.run[pairs])
         self.word_ids.add(ids, size.reshape(-1, 2).sum(1))
 
+    def _learn_parts(self, parts: list[str], together: int = 500) -> None:
+        """Parts of letters go in one text, told apart by the ids that end a word; all others alone."""
+        run, rest = np.zeros(len(parts), np.int64), []
+        letters = [i for i, p in enumerate(parts) if LETTERS.fullmatch(p)]
+        for k in range(0, len(letters), together):
+            own = letters[k : k + together]
+            ids = np.array(self.tokenizer.encode(" ".join([parts[i] for i in own]), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(own):
+                run[own] = self.part_ids.runs + np.arange(len(own))
+                self.part_ids.add(ids, np.diff(ends, prepend=0))
+            else:  # the tokenizer marks no ends
+                rest += own
+        rest += sorted(set(range(len(parts))) - set(letters))
+        for k in range(0, len(rest), together):
+            own = rest[k : k + together]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([parts[i] for i in own], add_special_tokens=False)]
+            run[own] = self.part_ids.runs + np.arange(len(own))
+            self.part_ids.add(np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+        self.run = np.concatenate([self.run, run])
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         # only plain blanks and line ends split: every other white space stays for the tokenizer to judge
         if len(self.number) > self.most_words:
