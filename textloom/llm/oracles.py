@@ -40,4 +40,17 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGIN
 SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 5
 """
 
-SQL = {"op1_line_dedup": line_dedup.SQL, "op3_url_filter": OP3, "op8_ngram_join": OP8, "op9_top_k": OP9}
+OP11 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p), t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM w, range(1, 4) r(n)),
+f AS MATERIALIZED (SELECT lang, g, n, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10), c AS MATERIALIZED (SELECT lang, g, n, f AS a, string_split(g, ' ') AS w FROM f WHERE n > 1),
+u AS (SELECT lang, g, n, a, w, unnest(range(1, n)) AS k FROM c), v AS MATERIALIZED (SELECT lang, g, n, a, k, array_to_string(w[:k], ' ') AS gl, array_to_string(w[k + 1:], ' ') AS gr FROM u),
+x AS (SELECT v.lang, v.g, v.n, a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score FROM v JOIN f l ON l.lang = v.lang AND l.g = gl JOIN f r ON r.lang = v.lang AND r.g = gr),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS o FROM x) WHERE o = 1),
+i AS (SELECT lang, a, unnest([array_to_string(w[:n - 1], ' '), array_to_string(w[2:], ' ')]) AS g FROM c WHERE n > 2), m AS (SELECT lang, g, max(a) AS longer FROM i GROUP BY ALL),
+z AS (SELECT b.* FROM b LEFT JOIN m USING (lang, g) WHERE longer IS NULL OR 100 * longer < 50 * b.a)
+SELECT lang, rank, g AS phrase, a, l, r, t.n, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g)::INTEGER AS rank FROM z) z JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+SQL = {"op1_line_dedup": line_dedup.SQL, "op3_url_filter": OP3, "op8_ngram_join": OP8, "op9_top_k": OP9, "op11_collocations": OP11}

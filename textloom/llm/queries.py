@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, html_extract, line_dedup, lm_score, ngram_join, oracles, packing, quality, topk, toxicity, url_filter
+from textloom.llm import collocations, decontaminate, html_extract, line_dedup, lm_score, ngram_join, oracles, packing, quality, topk, toxicity, url_filter
 from textloom.llm.common import read
 
 URL_RULES = [
@@ -72,6 +72,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents", "lang", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
