@@ -53,4 +53,18 @@ z AS (SELECT b.* FROM b LEFT JOIN m USING (lang, g) WHERE longer IS NULL OR 100
 SELECT lang, rank, g AS phrase, a, l, r, t.n, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g)::INTEGER AS rank FROM z) z JOIN t USING (lang) WHERE rank <= 2000
 """
 
-SQL = {"op1_line_dedup": line_dedup.SQL, "op3_url_filter": OP3, "op8_ngram_join": OP8, "op9_top_k": OP9, "op11_collocations": OP11}
+
+
+def _op13(rounds: int = 3) -> str:
+    parts = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT * FROM (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1)::INTEGER AS c, v FROM v) WHERE c < 16)"""]
+    for r in range(rounds + 1):
+        parts.append(f"d{r} AS (SELECT i, c, (list_inner_product(v.v, v.v) + list_inner_product(m.v, m.v) - 2 * list_inner_product(v.v, m.v))::BIGINT AS d FROM v CROSS JOIN c{r} m), a{r} AS MATERIALIZED (SELECT i, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{r} GROUP BY i)")
+        if r < rounds:
+            parts.append(f"""u{r} AS (SELECT c, unnest(range(64)) AS j, unnest(v)::HUGEINT AS x FROM a{r} JOIN v USING (i)), s{r} AS (SELECT c, j, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM u{r} GROUP BY ALL),
+n{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY j) AS v FROM s{r} GROUP BY c), c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.v, o.v) AS v FROM c{r} o LEFT JOIN n{r} n USING (c))""")
+    return f"""WITH {", ".join(parts)}, t AS (SELECT c, sum(d)::BIGINT AS s FROM a{rounds} GROUP BY c)
+SELECT vec_id, c AS cluster, d AS distance, s AS cluster_inertia, (SELECT sum(s)::BIGINT FROM t) AS inertia, sha256(array_to_string(list_transform(m.v, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM a{rounds} JOIN v USING (i) JOIN t USING (c) JOIN c{rounds} m USING (c)"""
+
+
+SQL = {"op1_line_dedup": line_dedup.SQL, "op3_url_filter": OP3, "op8_ngram_join": OP8, "op9_top_k": OP9, "op11_collocations": OP11, "op13_centroids": _op13()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import collocations, decontaminate, html_extract, line_dedup, lm_score, ngram_join, oracles, packing, quality, topk, toxicity, url_filter
+from textloom.llm import byte_bpe, collocations, decontaminate, drake, html_extract, line_dedup, lm_score, ngram_join, oracles, packing, quality, topk, toxicity, url_filter
 from textloom.llm.common import read
 
 URL_RULES = [
@@ -76,6 +76,19 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents", "lang", "text"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    ids = byte_bpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN)
+    n = (F.octet_length("tokens") / 4).cast("long").alias("n_tokens")
+    return ids.select("doc_id", n, F.sha2("tokens", 256).alias("ids_sha256"), F.sha2(byte_bpe.decoded(F.col("tokens"), path), 256).alias("decoded_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drake.clusters(read(spark, sf_dir, "embeddings", "vec_id", "embedding")).drop("measured")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
