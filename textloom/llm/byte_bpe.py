@@ -28,9 +28,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class ByteBpe:
-    """Encoder and decoder of one vocabulary. What is remembered of pairs and pieces is dropped beyond its limit."""
+    """Encoder of one vocabulary, whose ranks are the order in which merges were learnt. What is remembered of pairs and pieces is dropped beyond its limit."""
 
-    def __init__(self, ranks: dict[bytes, int], most_pairs: int = 1_000_000, most_pieces: int = 1_000_000, longest_remembered: int = 48):
+    def __init__(self, ranks: dict[bytes, int], most_pairs: int = 400_000, most_pieces: int = 300_000, longest_remembered: int = 48):
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"no tokens for the bytes {missing}")
         import ahocorasick
@@ -55,12 +55,6 @@ class ByteBpe:
             self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.pieces = _Pieces(self, most_pieces, longest_remembered)
-        top = max(self.token) + 1
-        sizes = np.zeros(top, np.int64)
-        sizes[list(self.token)] = [len(t) for t in self.token.values()]
-        self._sizes, self._starts = sizes, np.cumsum(sizes) - sizes
-        self._bytes = np.frombuffer(b"".join(self.token.get(i, b"") for i in range(top)), np.uint8)
-
     def _is_made(self, i: int) -> bool:
         """Whether merges lead to the token at all; a vocabulary may hold others, which only stand for whole pieces."""
         return i in self.made_of or len(self.token[i]) == 1
@@ -110,6 +104,8 @@ class ByteBpe:
                 at, left = at + size[i], i
                 if at < n:
                     i = longest[at]
+            elif not out:
+                raise ValueError(f"no merges of this vocabulary give {piece!r}")
             else:
                 alive[at] = 0
                 i = out.pop()
@@ -120,6 +116,18 @@ class ByteBpe:
         """The pieces' ids as little-endian unsigned 32-bit numbers, one after the other."""
         return b"".join(map(self.pieces.__getitem__, pieces))
 
+
+class Decoder:
+    """The bytes of packed ids: gathered from one array that holds all tokens."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        token = {i: t for t, i in ranks.items()}
+        top = max(token) + 1
+        self._sizes = np.zeros(top, np.int64)
+        self._sizes[list(token)] = [len(t) for t in token.values()]
+        self._starts = np.cumsum(self._sizes) - self._sizes
+        self._bytes = np.frombuffer(b"".join(token.get(i, b"") for i in range(top)), np.uint8)
+
     def decode(self, tokens: bytes) -> bytes:
         ids = np.frombuffer(tokens, "<u4").astype(np.int64)
         sizes = self._sizes[ids]
@@ -147,25 +155,31 @@ class _Pieces(dict):
         return packed
 
 
-@lru_cache(maxsize=2)
-def loaded(path: str) -> ByteBpe:
+@lru_cache(maxsize=1)
+def encoder(path: str) -> ByteBpe:
     """Built once in each Python worker."""
     return ByteBpe(read_ranks(path))
 
 
+@lru_cache(maxsize=1)
+def decoder(path: str) -> Decoder:
+    return Decoder(read_ranks(path))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "tokens") -> DataFrame:
     """``docs`` with ``out`` (binary): the text's token ids as little-endian unsigned 32-bit numbers; ``text`` itself is left out.
 
     Each match of ``pattern`` is encoded by itself, without special tokens; what the pattern doesn't match has no tokens. A null or
     empty text has none either. Texts are encoded whole, in time linear in their length. Repeated rows stay; an earlier column
-    ``out`` is replaced. ``path`` must exist on all machines."""
+    ``out`` is replaced. ``path`` must exist on all machines. Letters, numbers and blanks of the pattern are those of the regex library's
+    Unicode version; characters assigned since another library's version may be cut apart differently there."""
     kept = [f for f in docs.schema.fields if f.name not in (text, out)]
     schema = StructType([*kept, StructField(out, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, bpe = regex.compile(pattern).findall, loaded(path)
+        find, bpe = regex.compile(pattern).findall, encoder(path)
         for batch in batches:
             tokens = pa.array([b"" if t is None else bpe.encode(find(t)) for t in (x.as_py() for x in batch.column(batch.num_columns - 1))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], tokens], names=[*batch.schema.names[:-1], out])
@@ -178,8 +192,8 @@ def decoded(tokens: Column, path: str) -> Column:
 
     @F.arrow_udf("binary")
     def run(packed: pa.Array) -> pa.Array:
-        bpe = loaded(path)
-        return pa.array([None if t is None else bpe.decode(t) for t in (x.as_py() for x in packed)], pa.binary())
+        known = decoder(path)
+        return pa.array([None if t is None else known.decode(t) for t in (x.as_py() for x in packed)], pa.binary())
 
     return run(tokens)
 

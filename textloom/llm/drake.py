@@ -8,6 +8,7 @@ numbers, so that ties are exact; bounds are floating-point with a margin."""
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,9 @@ def distances(v: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _root(d: np.ndarray) -> np.ndarray:
+    if d.dtype == object:  # whole numbers of any size; infinite bounds are never sure
+        root = lambda x: math.sqrt(x) if x < 2**1000 else float(math.isqrt(x)) if x < 2**2040 else math.inf
+        return np.array([root(int(x)) for x in d.ravel()], np.float64).reshape(d.shape)
     return np.sqrt(d.astype(np.float64))
 
 
@@ -71,6 +75,10 @@ class Bounds:
 
     def moved(self, by: np.ndarray) -> None:
         """Centroids have moved by these distances."""
+        with np.errstate(invalid="ignore"):
+            self._moved(by)
+
+    def _moved(self, by: np.ndarray) -> None:
         self.upper = (self.upper + by[self.own]) * (1 + MARGIN)
         self.lower = np.maximum(self.lower - by[self.near], 0) * (1 - MARGIN)
         self.rest = np.maximum(self.rest - by.max(), 0) * (1 - MARGIN)
