@@ -413,8 +413,9 @@ def per_case_same_string(spark, sf):
     return P.same_string(_mentions(spark, sf))
 
 
-RELATED = """hp AS (SELECT a.case_id, a.entity AS entity_a, b.entity AS entity_b, a.concept AS concept_a, b.concept AS concept_b, a.depth AS depth_a, b.depth AS depth_b, abs(a.depth - b.depth) AS gap, CASE WHEN u.c = b.concept THEN 'A' ELSE 'B' END AS broader, a.n AS count_a, b.n AS count_b
-FROM {m} a JOIN {m} b ON a.case_id = b.case_id AND a.side = 'A' AND b.side = 'B' JOIN up u ON u.min_hops >= 1 AND ((u.c = b.concept AND u.anc = a.concept) OR (u.c = a.concept AND u.anc = b.concept)))"""
+RELATED = """lo AS (SELECT c AS x, anc AS y, c AS low FROM up WHERE min_hops >= 1 UNION ALL SELECT anc, c, c FROM up WHERE min_hops >= 1),
+hp AS (SELECT a.case_id, a.entity AS entity_a, b.entity AS entity_b, a.concept AS concept_a, b.concept AS concept_b, a.depth AS depth_a, b.depth AS depth_b, abs(a.depth - b.depth) AS gap, CASE WHEN u.low = b.concept THEN 'A' ELSE 'B' END AS broader, a.n AS count_a, b.n AS count_b
+FROM {m} a JOIN {m} b ON a.case_id = b.case_id AND a.side = 'A' AND b.side = 'B' JOIN lo u ON u.x = b.concept AND u.y = a.concept)"""
 
 
 def _broad_mentions(spark, sf):
