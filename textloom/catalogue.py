@@ -918,7 +918,41 @@ def plain_csv_last_row_wins(spark, sf):
 def case_text_round_trip(spark, sf):
     docs, path = _docs(spark, sf).where("text <> ''"), _folder(spark, "cases")
     W.write_cases(docs, path, stale=docs.where("case_id % 4 = 0"))
-    return W.read_cases(spark, path)
+    return S.read_cases(spark, path)
+
+
+BROKEN = "case_id % 3 = 0"
+
+
+def _broken_folder(spark, sf) -> str:
+    """The user's texts as files, a third of them with bytes that are no UTF-8 around a euro sign: one that starts nothing, a sign cut short."""
+    path = _folder(spark, "broken")
+    raw = lambda h: F.unhex(F.lit(h))
+    text = F.when(F.expr(BROKEN), F.concat(F.encode("text", "utf-8"), raw("FF"), raw("E282AC"), raw("E282"))).otherwise(F.encode("text", "utf-8"))
+    W.write_cases(_docs(spark, sf).where("corpus = 'A'").select("corpus", "case_id", text.alias("text")), path)
+    return f"{path}/A"
+
+
+CASE_ID = "'case_' || lpad(case_id::VARCHAR, greatest(3, length(case_id::VARCHAR))::INTEGER, '0') AS case_id"
+
+
+@query(f"WITH {DOCS} SELECT 'A' AS corpus, {CASE_ID}, text || CASE WHEN {BROKEN} THEN chr(65533) || '€' || chr(65533) ELSE '' END AS text FROM docs WHERE corpus = 'A'")
+def corpus_folder_lenient(spark, sf):
+    return S.corpus_folder(spark, _broken_folder(spark, sf), "A", errors="replace")
+
+
+@query(f"WITH {DOCS} SELECT 'A' AS corpus, {CASE_ID}, text FROM docs WHERE corpus = 'A' AND NOT ({BROKEN})")
+def corpus_folder_strict(spark, sf):
+    """The strict mode over files without rejects; a file with broken bytes would raise."""
+    path = _broken_folder(spark, sf)
+    bad = S.corpus_rejects(spark, path, "A").select(F.regexp_replace("case_id", "case_", "").alias("case_id"))
+    W.write_cases(spark.createDataFrame([], "corpus string, case_id string, text string"), path.rsplit("/", 1)[0], stale=bad, overwrite=False)
+    return S.corpus_folder(spark, path, "A")
+
+
+@query(f"WITH {DOCS} SELECT 'A' AS corpus, {CASE_ID}, (strlen(text) + 6)::INTEGER AS n_bytes FROM docs WHERE corpus = 'A' AND {BROKEN}")
+def corpus_rejects(spark, sf):
+    return S.corpus_rejects(spark, _broken_folder(spark, sf), "A")
 
 
 @query("SELECT user_id, count(*) AS n, max(event_id) AS latest FROM events GROUP BY user_id")

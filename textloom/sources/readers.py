@@ -4,17 +4,48 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import lexicons
 from textloom.operators.lexical import fully_ranked
 
 
-def corpus_folder(spark: SparkSession, path: str, corpus: str, glob: str = "case_*.txt") -> DataFrame:
-    """docs(corpus, case_id, text): one text file is one case, named by its file."""
-    rows = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return rows.select(F.lit(corpus).alias("corpus"), F.regexp_extract("file", r"([^/]+)\.txt$", 1).alias("case_id"), F.col("value").alias("text"))
+def _named_files(spark: SparkSession, path: str, glob: str, recursive: bool = False) -> DataFrame:
+    """(folder, name, bytes): whole files, the name without its ending."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(path)
+    # the path is a URI in which a plus sign stands for itself
+    part = lambda k: F.url_decode(F.replace(F.get(F.split("path", "/"), F.size(F.split("path", "/")) + k), F.lit("+"), F.lit("%2B")))
+    return rows.select(part(-2).alias("folder"), F.regexp_replace(part(-1), r"\.[^.]*$", "").alias("name"), F.col("content").alias("bytes"))
+
+
+def decoded(content: Column, errors: str = "strict") -> Column:
+    """Bytes as UTF-8 text. "strict" raises on bytes that are none, "replace" puts U+FFFD for them."""
+    text = content.cast("string")
+    return {"strict": F.validate_utf8, "replace": F.make_valid_utf8}[errors](text)
+
+
+def corpus_folder(spark: SparkSession, path: str, corpus: str, glob: str = "case_*.txt", errors: str = "strict") -> DataFrame:
+    """docs(corpus, case_id, text): one text file is one case, named by its file. Spark passes over empty files: they are no cases.
+
+    ``errors`` says what becomes of bytes that aren't UTF-8: "strict" raises, "replace" puts U+FFFD, "skip" leaves such files
+    to ``corpus_rejects``."""
+    rows = _named_files(spark, path, glob)
+    if errors == "skip":
+        rows, errors = rows.where(F.is_valid_utf8(F.col("bytes").cast("string"))), "replace"
+    return rows.select(F.lit(corpus).alias("corpus"), F.col("name").alias("case_id"), decoded(F.col("bytes"), errors).alias("text"))
+
+
+def corpus_rejects(spark: SparkSession, path: str, corpus: str, glob: str = "case_*.txt") -> DataFrame:
+    """(corpus, case_id, n_bytes): the files that aren't UTF-8."""
+    rows = _named_files(spark, path, glob).where(~F.is_valid_utf8(F.col("bytes").cast("string")))
+    return rows.select(F.lit(corpus).alias("corpus"), F.col("name").alias("case_id"), F.octet_length("bytes").alias("n_bytes"))
+
+
+def read_cases(spark: SparkSession, path: str, errors: str = "strict") -> DataFrame:
+    """docs(corpus, case_id, text) as written by ``write_cases``: corpora are folders, cases their text files."""
+    rows = _named_files(spark, path, "*.txt", recursive=True)
+    return rows.select(F.col("folder").alias("corpus"), F.col("name").alias("case_id"), decoded(F.col("bytes"), errors).alias("text"))
 
 
 def dataset(spark: SparkSession, path: str, fmt: str = "parquet", order: str | None = None, expected_rows: int | None = None) -> DataFrame:
