@@ -63,3 +63,60 @@ def test_decoding(spark, tmp_path):
         readers.corpus_folder(spark, str(folder), "A").collect()
     strict = readers.corpus_folder(spark, str(folder), "A", glob="case_00[126].txt").collect()
     assert {r.case_id: r.text for r in strict} == good
+
+
+def lines(*rows):
+    return "".join("\t".join(r) + "\r\n" for r in rows).encode()
+
+
+@pytest.fixture
+def release(tmp_path):
+    """Two releases whose files order their columns in different ways, with files and rows that don't count."""
+    a, b = tmp_path / "2023" / "Snapshot", tmp_path / "2024" / "Full"
+    a.mkdir(parents=True)
+    b.mkdir(parents=True)
+    head = ("id", "active", "conceptId", "languageCode", "typeId", "term")
+    fsn, synonym = "900000000000003001", "900000000000013009"
+    rows = [(str(k), "01"[k % 3 > 0], f"C{k}", ["en", "en-GB", "es", " EN "][k % 4], [fsn, synonym, "1"][k % 3 % 2 + (k % 7 == 0)], f'name "{k}" ü') for k in range(500)]
+    (a / "sct2_Description_Snapshot-en_X_2023.txt").write_bytes(lines(head, *rows) + b"1\t1\tshort\r\n\r\n9\t1\tC9\ten\t" + fsn.encode() + b"\tbro\xffken\textra\r\n")
+    (b / "sct2_Description_Full-en_X_2024.txt").write_bytes(lines(("term", "typeId", "active", "conceptId", "languageCode"), ("full", fsn, "1", "F1", "en"), ("old", fsn, "0", "F2", "en")).rstrip())
+    (b / "sct2_Description_Delta-en_X_2024.txt").write_bytes(lines(("term", "active"), ("no concept", "1")))
+    (b / "sct2_TextDefinition_Full_X.txt").write_bytes(lines(head, rows[0]))
+    (b / "sct2_Description_Delta-en_Y.txt").write_bytes(b"")
+    want = [(r[2], r[5], 0 if r[4] == fsn else 1) for r in rows if r[1] == "1" and r[3].strip().lower().startswith("en") and r[4] != "1"] + [("C9", "bro\ufffdken", 0)]
+    return str(tmp_path), want, len(rows)
+
+
+@pytest.mark.parametrize("pushed", ["true", "false"])
+def test_release_files(spark, release, pushed):
+    root, want, _ = release
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", pushed)
+    try:
+        assert sorted(map(tuple, readers.rf2_descriptions(spark, root).collect())) == sorted(want)
+        assert {r.concept for r in readers.rf2_descriptions(spark, root, "Full").collect()} == {"F1"}
+        assert readers.rf2_descriptions(spark, root, "all").count() == len(want) + 1
+        assert not readers.rf2_descriptions(spark, root, "Delta").collect() and not readers.rf2_isa(spark, root).collect()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_release_ranges_of_any_size_hold_each_line_once(spark, release):
+    root, _, n = release
+    for size in (1_000, 4_099, 1 << 20):
+        rows = readers.release_rows(spark, root, "description", "Snapshot", size)
+        assert sorted(int(r.id) for r in rows.collect()) == sorted([*range(n), 9])
+
+
+def test_release_filters_reach_the_files(release):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    from textloom.sources.release import PushingReader
+
+    root, _, n = release
+    reader = PushingReader(root, "description", 1 << 20, StructType([StructField(c, StringType()) for c in ("release", "conceptId", "moduleId")]))
+    left = list(reader.pushFilters([EqualTo(("release",), "Snapshot"), EqualTo(("active",), "1"), In(("conceptId",), ("C1", "C2", "C3")), GreaterThan(("term",), "a")]))
+    assert left == [GreaterThan(("term",), "a")]
+    (part,) = reader.partitions()
+    assert part.release == "Snapshot"
+    assert [r for b in reader.read(part) for r in b.to_pylist()] == [{"release": "Snapshot", "conceptId": c, "moduleId": None} for c in ("C1", "C2")]

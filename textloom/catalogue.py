@@ -994,6 +994,24 @@ def release_is_a(spark, sf):
     return S.rf2_isa(spark, _release(spark, sf))
 
 
+def _two_releases(spark, sf) -> str:
+    """An older snapshot and a newer full release, whose columns are in another order and whose rows have become inactive for every other part."""
+    root, part = _folder(spark, "releases"), _t(spark, sf, "part")
+    row = {"id": F.col("p_partkey").cast("string"), "active": F.lit("1"), "conceptId": F.concat(F.lit("P"), "p_partkey"), "languageCode": F.lit("en"), "typeId": F.lit("900000000000003001"), "term": F.col("p_name")}
+    W.write_named(part.select(*[c.alias(k) for k, c in row.items()]), f"{root}/old/Snapshot", "sct2_Description_Snapshot-en_X_1.txt")
+    newer = row | {"term": F.col("p_type"), "active": (F.col("p_partkey") % 2).cast("string")}
+    W.write_named(part.select(*[newer[k].alias(k) for k in reversed(newer)]), f"{root}/new/Full", "sct2_Description_Full-en_X_2.txt")
+    return root
+
+
+@query("SELECT 'Snapshot' AS release, 'P' || p_partkey AS concept, p_name AS term FROM part UNION ALL SELECT 'Full', 'P' || p_partkey, p_type FROM part WHERE p_partkey % 2 = 1")
+def release_active_rows(spark, sf):
+    """Active rows of two releases; release and activity are pushed to the files."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    rows = S.release_rows(spark, _two_releases(spark, sf), "description", "all").where(F.col("release").isin("Snapshot", "Full") & (F.col("active") == "1"))
+    return rows.select("release", F.col("conceptId").alias("concept"), "term")
+
+
 @query("SELECT n_nationkey AS case_num FROM nation")
 def case_list_scan(spark, sf):
     n, path = _t(spark, sf, "nation"), _folder(spark, "list")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import lexicons
 from textloom.operators.lexical import fully_ranked
+from textloom.sources.release import Release
 
 
 def _named_files(spark: SparkSession, path: str, glob: str, recursive: bool = False) -> DataFrame:
@@ -69,23 +70,28 @@ def conversations(spark: SparkSession, path: str, sides={"user": "A", "assistant
     return turns.select("corpus", "case_id", F.array_join("t.text", "\n").alias("text"))
 
 
-def _tsv(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    # release files have no quoting; all columns stay strings
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("sep", "\t").option("header", True).option("quote", "").csv(path)
+def release_rows(spark: SparkSession, root: str, kind: str, release: str = "Snapshot", range_bytes: int = 64 << 20) -> DataFrame:
+    """(release, file, and the files' columns) of a release folder's descriptions or relationships; ``release`` "all" has those of every release.
+
+    Filters on release, active, typeId and the like are applied while files are chosen and read, where the session lets them be pushed
+    (spark.sql.python.filterPushdown.enabled). Files without the needed columns are passed over, as are lines that are too short."""
+    spark.dataSource.register(Release)
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    rows = spark.read.format(Release.name()).option("pushFilters", push).option("kind", kind).option("rangeBytes", range_bytes).load(root)
+    return rows if release == "all" else rows.where(F.col("release") == release)
 
 
 def rf2_descriptions(spark: SparkSession, root: str, release: str = "Snapshot") -> DataFrame:
     """(concept, term, rank): active English names; rank 0 full names, 1 synonyms. ``release`` "all" mixes the releases."""
-    glob = "sct2_[dD]escription*.txt" if release == "all" else f"sct2_[dD]escription*{release}*.txt"
-    rows = _tsv(spark, root, glob).where("active = '1' and languageCode like 'en%'").where(F.col("typeId").isin(lexicons.FSN, lexicons.SYNONYM)).where("trim(term) <> ''")
+    rows = release_rows(spark, root, "description", release).where((F.col("active") == "1") & F.col("typeId").isin(lexicons.FSN, lexicons.SYNONYM))
+    rows = rows.where(F.lower(F.trim("languageCode")).startswith("en")).where("trim(term) <> ''")
     return rows.select(F.col("conceptId").alias("concept"), F.trim("term").alias("term"), F.when(F.col("typeId") == lexicons.FSN, 0).otherwise(1).alias("rank"))
 
 
 def rf2_isa(spark: SparkSession, root: str, release: str = "Snapshot") -> DataFrame:
     """isa(child, parent) of the active is-a relationships."""
-    glob = "sct2_*[rR]elationship*.txt" if release == "all" else f"sct2_*[rR]elationship*{release}*.txt"
-    rows = _tsv(spark, root, glob).where(~F.lower(F.input_file_name()).contains("concrete"))
-    return rows.where((F.col("active") == "1") & (F.col("typeId") == lexicons.IS_A)).select(F.col("sourceId").alias("child"), F.col("destinationId").alias("parent")).distinct()
+    rows = release_rows(spark, root, "relationship", release).where((F.col("active") == "1") & (F.col("typeId") == lexicons.IS_A))
+    return rows.select(F.col("sourceId").alias("child"), F.col("destinationId").alias("parent")).distinct()
 
 
 def labels(descriptions: DataFrame, wanted: DataFrame) -> DataFrame:
