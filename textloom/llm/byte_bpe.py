@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 NO_LIMIT = 1 << 62
+#: Rows whose ids are held at once in a task.
+TOGETHER = 200
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -77,6 +79,11 @@ class ByteBpe:
             else:
                 before, right = right + 1, r_parts[0]
 
+    def forget(self) -> None:
+        """Drop what is remembered, so that a worker at rest holds the vocabulary's tables only."""
+        self.pieces.clear()
+        self.pairs.clear()
+
     def compatible(self, left: int, right: int) -> bool:
         """Remembered for each pair of ids."""
         pair = left << 32 | right
@@ -166,23 +173,33 @@ def decoder(path: str) -> Decoder:
     return Decoder(read_ranks(path))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "tokens") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "tokens", back: str | None = None) -> DataFrame:
     """``docs`` with ``out`` (binary): the text's token ids as little-endian unsigned 32-bit numbers; ``text`` itself is left out.
 
     Each match of ``pattern`` is encoded by itself, without special tokens; what the pattern doesn't match has no tokens. A null or
     empty text has none either. Texts are encoded whole, in time linear in their length. Repeated rows stay; an earlier column
-    ``out`` is replaced. ``path`` must exist on all machines. Letters, numbers and blanks of the pattern are those of the regex library's
-    Unicode version; characters assigned since another library's version may be cut apart differently there."""
-    kept = [f for f in docs.schema.fields if f.name not in (text, out)]
-    schema = StructType([*kept, StructField(out, BinaryType())])
+    ``out`` is replaced. With ``back``, also the bytes that the ids decode to (binary), made in the same pass. ``path`` must exist on all
+    machines. Letters, numbers and blanks of the pattern are those of the regex library's Unicode version; characters assigned since
+    another library's version may be cut apart differently there."""
+    made = [out] if back is None else [out, back]
+    kept = [f for f in docs.schema.fields if f.name not in (text, *made)]
+    schema = StructType([*kept, *(StructField(c, BinaryType()) for c in made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find, bpe = regex.compile(pattern).findall, encoder(path)
-        for batch in batches:
-            tokens = pa.array([b"" if t is None else bpe.encode(find(t)) for t in (x.as_py() for x in batch.column(batch.num_columns - 1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], tokens], names=[*batch.schema.names[:-1], out])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, TOGETHER):
+                    rows = batch.slice(at, TOGETHER)
+                    tokens = [b"" if t is None else bpe.encode(find(t)) for t in (x.as_py() for x in rows.column(rows.num_columns - 1))]
+                    columns = [pa.array(tokens, pa.binary())]
+                    if back is not None:
+                        columns.append(pa.array(map(decoder(path).decode, tokens), pa.binary()))
+                    yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *columns], names=[*rows.schema.names[:-1], *made])
+        finally:
+            bpe.forget()
 
     return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text).alias("_text")).mapInArrow(run, schema)
 

@@ -80,9 +80,9 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
-    ids = byte_bpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN)
+    ids = byte_bpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN, back="decoded")
     n = (F.octet_length("tokens") / 4).cast("long").alias("n_tokens")
-    return ids.select("doc_id", n, F.sha2("tokens", 256).alias("ids_sha256"), F.sha2(byte_bpe.decoded(F.col("tokens"), path), 256).alias("decoded_sha256"))
+    return ids.select("doc_id", n, F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
