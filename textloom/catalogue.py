@@ -357,6 +357,28 @@ def capped_bfs(spark, sf):
     return O.capped_neighbourhood(_sides(spark, sf)[1].where("concept like 'N%'"), _isa(spark, sf))
 
 
+def _levels(seeds: str, steps: list[tuple[str, str, str]], budget: int) -> str:
+    """SQL of a budgeted walk: (source column, target column, level that it begins from); each level takes what room is left, by id."""
+    parts = [f"l0 AS MATERIALIZED ({seeds})"]
+    for k, (src, dst, start) in enumerate(steps, 1):
+        known = " UNION ALL ".join(f"SELECT concept FROM l{j}" for j in range(k))
+        parts.append(f"l{k} AS MATERIALIZED (SELECT concept FROM (SELECT concept, row_number() OVER (ORDER BY concept) AS r FROM (SELECT DISTINCT {dst} AS concept FROM isa JOIN {start} s ON {src} = s.concept) WHERE concept NOT IN ({known})) WHERE r <= {budget} - (SELECT count(*) FROM ({known})))")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT concept, {k} AS step FROM l{k}" for k in range(len(steps) + 1))
+
+
+@query(f"WITH {ISA}, {_levels("SELECT 'P' || p_partkey AS concept FROM part WHERE p_size = 50", [('child', 'parent', 'l0'), ('child', 'parent', 'l1')], 60)}")
+def bfs_budget_up(spark, sf):
+    """The budget runs out within an upward level (on sf0.01); no other level is begun."""
+    seeds = _t(spark, sf, "part").where("p_size = 50").select(F.concat(F.lit("P"), "p_partkey").alias("concept"))
+    return O.capped_neighbourhood(seeds, _isa(spark, sf), 2, 1, 60)
+
+
+@query(f"WITH {ISA}, {_levels("SELECT 'N' || n_nationkey AS concept FROM nation", [('child', 'parent', 'l0'), ('child', 'parent', 'l1'), ('child', 'parent', 'l2'), ('parent', 'child', 'l0'), ('parent', 'child', 'l4')], 400)}")
+def bfs_budget_down(spark, sf):
+    """The budget runs out within a downward level: among parts on sf0.01, among suppliers on sf0.1."""
+    return O.capped_neighbourhood(_sides(spark, sf)[1].where("concept like 'N%'"), _isa(spark, sf), 3, 2, 400)
+
+
 @query(f"WITH {ISA}, f AS (SELECT child, min(parent) AS parent FROM isa GROUP BY child) SELECT a.child AS c, concat_ws('>', a.parent, b.parent, d.parent) AS chain FROM f a LEFT JOIN f b ON b.child = a.parent LEFT JOIN f d ON d.child = b.parent")
 def first_parent_chain(spark, sf):
     isa = _isa(spark, sf)
@@ -495,6 +517,22 @@ def entity_link_best(spark, sf):
     return N.link_best(_entities(spark, sf), _descriptions(spark, sf))
 
 
+@query("""WITH n AS (SELECT 'P' || p_partkey AS concept, lower(p_name) AS term, string_split(lower(p_name), ' ') AS w FROM part), dd AS (SELECT DISTINCT term, concept, 0 AS rank FROM n UNION SELECT substr(w[1], 2), 'W' || w[1], 1 FROM n),
+t AS (SELECT row_number() OVER () AS id, *, list_distinct(list_filter(regexp_extract_all(term, '[a-z0-9]+'), lambda x: length(x) >= 2)) AS w FROM dd), po AS (SELECT id, unnest(w) AS word FROM t), df AS (SELECT word, count(*) AS n FROM po GROUP BY word),
+e AS (SELECT DISTINCT substr(w[1], 2) || ' ' || w[2] AS entity FROM n), ew AS (SELECT entity, unnest(list_distinct(regexp_extract_all(entity, '[a-z0-9]{2,}'))) AS word FROM e), k AS (SELECT entity, word, n FROM ew JOIN df USING (word)),
+need AS (SELECT entity, count(*) AS need, arg_min(word, (n, word)) AS rarest FROM k GROUP BY entity), sh AS (SELECT entity, id, count(*) AS got, list(word) AS shared FROM k JOIN po USING (word) GROUP BY ALL), u AS (SELECT entity, count(*) AS n_any, bool_or(got = need) AS whole FROM sh JOIN need USING (entity) GROUP BY entity),
+c AS (SELECT sh.entity, id FROM sh JOIN need USING (entity) JOIN u USING (entity) WHERE CASE WHEN whole THEN got = need WHEN n_any <= 250 THEN true ELSE list_contains(shared, rarest) END),
+f AS (SELECT entity, arg_min(concept, (rank, length(term), term, concept)) AS found FROM c JOIN t USING (id) WHERE contains(term, entity) GROUP BY entity), x AS (SELECT term AS entity, arg_min(concept, (rank, concept)) AS concept FROM dd GROUP BY term)
+SELECT entity, coalesce(x.concept, found) AS concept FROM e LEFT JOIN x USING (entity) LEFT JOIN f USING (entity)""")
+def entity_link_any_word(spark, sf):
+    """Names without their first letter, whose words no description has together: those that share any word, up to 250, else the rarest."""
+    w = F.split(F.lower("p_name"), " ")
+    part = _t(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("concept"), F.lower("p_name").alias("term"), w[0].alias("a"), w[1].alias("b"))
+    cut = F.substring("a", 2, 100)
+    known = part.select("concept", "term", F.lit(0).alias("rank")).union(part.select(F.concat(F.lit("W"), "a"), cut, F.lit(1)))
+    return N.link_best(part.select(F.concat_ws(" ", cut, "b").alias("entity")), known, most_union=250)
+
+
 def _gazetteer(spark, sf):
     w = _t(spark, sf, "benchmark").select(T.term_tokens(F.col("text")).alias("w"))
     return w.select(F.array_join(F.slice("w", 1, 2), " ").alias("term")).union(w.select(F.explode(F.filter("w", lambda x: F.length(x) >= 6)))).distinct()

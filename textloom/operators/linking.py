@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import contains_entity, index_words, surrounding_sentence, term_tokens
+from textloom.plans.scratch import settled
 
 
 def best_terms(descriptions: DataFrame) -> DataFrame:
@@ -21,23 +22,38 @@ def link_exact(entities: DataFrame, descriptions: DataFrame) -> DataFrame:
     return entities.join(best_terms(descriptions), F.lower("entity") == F.col("term"), "left").drop("term")
 
 
-def link_best(entities: DataFrame, descriptions: DataFrame) -> DataFrame:
+def link_best(entities: DataFrame, descriptions: DataFrame, most_union: int = 250_000) -> DataFrame:
     """(entity, concept): the exact term, else the best description that holds the entity.
 
-    Candidates share all of the entity's words that any description has (else any of them); they meet
-    through a word index, grouped by (entity, description). Best: rank, then shortest term, then term and concept."""
+    Candidates share all of the entity's words that any description has; without such, they share any of them, or, where these are
+    more than ``most_union``, the rarest. Best: rank, then shortest term, then term and concept.
+
+    An entity meets the postings of its rarest word only; the others are looked up in the description's own words. Postings of
+    frequent words that are the rarest of no entity are left out before anything is shuffled."""
     asked = entities.select(F.lower("entity").alias("entity")).distinct()
     exact = asked.join(best_terms(descriptions).withColumnRenamed("term", "entity"), "entity", "left")
-    open_ = exact.where("concept is null").select("entity")
     d = descriptions.select(F.lower(F.trim("term")).alias("term"), "concept", "rank").where("term <> ''").distinct()
-    index = d.select("term", "concept", "rank", F.explode(F.array_distinct(index_words(F.col("term")))).alias("word"))
-    words = open_.select("entity", F.explode(F.array_distinct(index_words(F.col("entity")))).alias("word"))
-    known = words.join(index.select("word").distinct(), "word", "left_semi")
-    need = known.groupBy("entity").agg(F.count("*").alias("need"))
-    shared = known.join(index, "word").groupBy("entity", "term", "concept", "rank").agg(F.count("*").alias("got")).join(need, "entity")
-    full = shared.groupBy("entity").agg(F.max(F.col("got") == F.col("need")).alias("full"))
-    able = shared.join(full, "entity").where((F.col("got") == F.col("need")) | ~F.col("full")).where(contains_entity(F.col("term"), F.col("entity")))
-    found = able.groupBy("entity").agg(F.min(F.struct("rank", F.length("term").alias("size"), "term", "concept"))["concept"].alias("found"))
+    postings = d.withColumn("words", F.array_distinct(index_words(F.col("term")))).withColumn("word", F.explode("words"))
+    counts = settled(postings.groupBy("word").agg(F.count("*").alias("n")), "posting-lengths")
+    words = exact.where("concept is null").select("entity", F.explode(F.array_distinct(index_words(F.col("entity")))).alias("word")).join(counts, "word")
+    rare = F.min(F.struct("n", "word"))
+    open_ = settled(words.groupBy("entity").agg(F.collect_set("word").alias("known"), rare["word"].alias("rarest"), F.max("n").alias("longest")), "entity-words")
+
+    def of_words(rows: DataFrame, word: str) -> DataFrame:
+        """``rows`` with the postings of their ``word``. At most 10,000 words have a ten-thousandth of all postings, so those are sent to all tasks."""
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        idle = counts.where(F.col("n") * 10_000 > total).join(rows.select(F.col(word).alias("word")), "word", "left_anti").select("word")
+        return rows.withColumn("word", F.col(word)).join(postings.join(F.broadcast(idle), "word", "left_anti"), "word")
+
+    holds = contains_entity(F.col("term"), F.col("entity"))
+    best = lambda cond: F.min(F.when(cond, F.struct("rank", F.length("term").alias("size"), "term", "concept")))
+    whole = F.size(F.array_except("known", "words")) == 0
+    first = settled(of_words(open_, "rarest").groupBy("entity").agg(F.max(whole).alias("any_whole"), best(whole & holds).alias("whole"), best(holds).alias("rare")), "rarest-word")
+    apart = open_.join(first.where("not any_whole"), "entity", "left_semi").where(F.col("longest") <= most_union)
+    any_ = of_words(apart.select("entity", F.explode("known").alias("own")), "own").select("entity", "term", "concept", "rank").distinct()
+    any_ = any_.groupBy("entity").agg(F.count("*").alias("n_any"), best(holds).alias("any"))
+    pick = F.when(F.col("any_whole"), F.col("whole")).when(F.col("n_any") <= most_union, F.col("any")).otherwise(F.col("rare"))
+    found = first.join(any_, "entity", "left").select("entity", pick["concept"].alias("found"))
     return exact.join(found, "entity", "left").select("entity", F.coalesce("concept", "found").alias("concept"))
 
 

@@ -126,20 +126,32 @@ def induced_edges(isa: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def capped_neighbourhood(seeds: DataFrame, isa: DataFrame, up_hops: int = 3, down_hops: int = 1, max_nodes: int = 320) -> DataFrame:
-    """(concept, hops): up to ``max_nodes`` of the nearest concepts, ancestors first; the cut is by (step, id).
-
-    Steps: 0 the seeds, then up, then down from the seeds; a report's limit, so ranks decide."""
-    start = seeds.select("concept").distinct()
-    rows, level = start.withColumn("step", F.lit(0)), start
-    for k in range(1, up_hops + 1):
-        level = level.join(isa, level["concept"] == isa["child"]).select(F.col("parent").alias("concept")).distinct()
-        rows = rows.unionByName(level.withColumn("step", F.lit(k)))
-    level = start
-    for k in range(1, down_hops + 1):
-        level = level.join(isa, level["concept"] == isa["parent"]).select(F.col("child").alias("concept")).distinct()
-        rows = rows.unionByName(level.withColumn("step", F.lit(up_hops + k)))
-    nearest = rows.groupBy("concept").agg(F.min("step").alias("step"))
-    return nearest.orderBy("step", "concept").limit(max(60, max_nodes))
+    """(concept, step): the seeds, then level by level what lies above them and below them, until ``max_nodes`` concepts are found.
+
+    Steps: 0 the seeds, 1 to ``up_hops`` upwards, then downwards from the seeds. Both directions share the budget; a level that no
+    longer fits gives its smallest ids, and nothing is expanded beyond. Seeds always stay. As long as a level is expanded there are
+    fewer than ``max_nodes`` concepts, so frontier and visited concepts are sent to the edges, never edges to each other."""
+    budget = max(60, max_nodes)
+    start = settled(seeds.select("concept").where("concept is not null").distinct(), "bfs-seeds")
+    found, n = start.withColumn("step", F.lit(0)), start.count()
+    for src, dst, hops, before in (("child", "parent", up_hops, 0), ("parent", "child", down_hops, up_hops)):
+        own, frontier = start, start
+        for k in range(1, hops + 1):
+            if n >= budget:
+                return found
+            reached = isa.join(F.broadcast(frontier.withColumnRenamed("concept", src)), src, "left_semi").select(F.col(dst).alias("concept")).where("concept is not null")
+            reached = reached.join(F.broadcast(own), "concept", "left_anti")
+            # known from the other direction: they cost nothing and are expanded again
+            again = reached.join(F.broadcast(found.select("concept")), "concept", "left_semi").distinct()
+            new = reached.join(F.broadcast(found.select("concept")), "concept", "left_anti").distinct().orderBy("concept").limit(budget - n)
+            level = settled(again.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True))), "bfs-level")
+            added = level.where("new").select("concept", F.lit(before + k).alias("step"))
+            n, found = n + added.count(), found.unionByName(added)
+            frontier = level.select("concept")
+            own = own.unionByName(frontier)
+            if frontier.isEmpty():
+                break
+    return found
 
 
 def seed_attribution(seeds: DataFrame) -> DataFrame:
