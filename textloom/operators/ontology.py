@@ -62,17 +62,33 @@ def lowest_common_ancestors(pairs: DataFrame, up: DataFrame, depth: DataFrame, m
     return out if max_hops is None else out.where((F.col("hops_a") <= max_hops) & (F.col("hops_b") <= max_hops))
 
 
-def common_ancestors(a: DataFrame, b: DataFrame, up: DataFrame, depth: DataFrame, max_hops: int = 5) -> DataFrame:
-    """The same for all pairs of a's and b's concepts that have a common ancestor within the hop limit of both.
+def common_ancestors(a: DataFrame, b: DataFrame, up: DataFrame, depth: DataFrame, max_hops: int = 5, together: int = 20_000) -> DataFrame:
+    """The same for all pairs of a's and b's concepts whose deepest common ancestor lies within the hop limit of both.
 
-    One pass: the sides meet on ancestors and each pair keeps its deepest. The root is a hot key on both sides, as every pair under
-    it is a row of the result; the join is one that Spark splits, and pairs are combined before they are shuffled."""
+    The sides meet on ancestors within the limit only, and each pair keeps its deepest; pairs out of reach are never made. A pair goes
+    if a deeper common ancestor lies beyond the limit: those are asked for by the pairs found, from the few ancestors that are both
+    farther and deeper. An ancestor of many concepts, as the root, is split by ``together`` of b's concepts."""
     known = up.join(depth.where("depth is not null").select(F.col("c").alias("anc"), F.col("depth").alias("depth_lca")), "anc")
     side = lambda d, c, h: d.select(F.col("concept").alias(c)).where(f"{c} is not null").distinct().join(known.select(F.col("c").alias(c), "anc", "depth_lca", F.col("min_hops").alias(h)), c)
-    met = side(a, "ca", "hops_a").join(side(b, "cb", "hops_b").drop("depth_lca"), "anc")
+    above_a, above_b = side(a, "ca", "hops_a"), side(b, "cb", "hops_b")
+    near_a, near_b = above_a.where(F.col("hops_a") <= max_hops), above_b.where(F.col("hops_b") <= max_hops).drop("depth_lca")
+    parts = near_b.groupBy("anc").agg(F.ceil(F.count("*") / together).cast("int").alias("parts"))
+    split_a = near_a.join(parts, "anc").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    split_b = near_b.join(parts, "anc").withColumn("part", F.pmod(F.xxhash64("cb"), "parts").cast("int"))
+    met = split_a.drop("parts").join(split_b.drop("parts"), ["anc", "part"])
     best = F.min(F.struct((-F.col("depth_lca")).alias("d"), "anc", "depth_lca", "hops_a", "hops_b"))
-    out = met.groupBy("ca", "cb").agg(best.alias("x")).select("ca", "cb", F.col("x.anc").alias("lca"), "x.depth_lca", "x.hops_a", "x.hops_b")
-    return out.where((F.col("hops_a") <= max_hops) & (F.col("hops_b") <= max_hops))
+    found = met.groupBy("ca", "cb").agg(best.alias("x")).select("ca", "cb", F.col("x.anc").alias("lca"), "x.depth_lca", "x.hops_a", "x.hops_b")
+    if up.where(F.col("min_hops") > max_hops).isEmpty():
+        return found
+    found = settled(found, "common-ancestors")
+
+    def beyond(far: DataFrame, c: str, other: DataFrame, d: str) -> DataFrame:
+        deeper = far.select(c, F.col("anc").alias("x"), F.col("depth_lca").alias("depth_x"))
+        asked = found.join(deeper, c).where("depth_x > depth_lca or (depth_x = depth_lca and x < lca)")
+        return asked.select("ca", "cb", "x").join(other.select(d, F.col("anc").alias("x")), [d, "x"], "left_semi").select("ca", "cb")
+
+    lost = beyond(above_a.where(F.col("hops_a") > max_hops), "ca", above_b, "cb").union(beyond(above_b.where(F.col("hops_b") > max_hops), "cb", above_a, "ca"))
+    return found.join(lost.distinct(), ["ca", "cb"], "left_anti").select(found.columns)
 
 
 def branch_pairs(a: DataFrame, b: DataFrame, up: DataFrame, depth: DataFrame, max_hops: int = 5, dedupe: bool = True) -> DataFrame:
