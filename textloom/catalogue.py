@@ -789,9 +789,9 @@ def review_excerpts(spark, sf):
     return R.review_excerpts(seeds, _docs(spark, sf)).select("entity_a", "entity_b", "case_id", "excerpt_a", "excerpt_b")
 
 
-def _case_words(spark, sf):
-    """Dictionary words of eight letters or more as a conversation's mentions, with their counts."""
-    words = _docs(spark, sf).select("case_id", F.col("corpus").alias("side"), F.explode(T.term_tokens(F.col("text"))).alias("entity")).where(F.col("entity").rlike("^[a-z]{8,}$"))
+def _case_words(spark, sf, letters: int = 8):
+    """Dictionary words of so many letters or more as a conversation's mentions, with their counts."""
+    words = _docs(spark, sf).select("case_id", F.col("corpus").alias("side"), F.explode(T.term_tokens(F.col("text"))).alias("entity")).where(F.col("entity").rlike(f"^[a-z]{{{letters},}}$"))
     known = _dictionary(spark, sf).withColumnRenamed("term", "entity")
     return words.join(known, "entity", "left_semi").groupBy("case_id", "side", "entity").agg(F.count("*").alias("n")).withColumns({"concept": F.lit(None).cast("string"), "depth": F.lit(None).cast("int")})
 
@@ -803,6 +803,36 @@ def inventory_contexts(spark, sf):
     return N.with_context(rows, _docs(spark, sf).withColumnRenamed("corpus", "side"), "entity", "context_sentence", keys=("case_id", "side"))
 
 
+def _word_mentions(spark, sf):
+    """Dictionary words as mentions whose concepts are their lengths: a longer word's concept lies below a shorter one's."""
+    size = F.length("entity")
+    return _case_words(spark, sf, 4).select("case_id", "side", "entity", "n", F.concat(F.lit("L"), size).alias("concept"), size.alias("depth"))
+
+
+def _lengths_up(spark, sf):
+    """The closure of the chain of lengths of the dictionary's words."""
+    sizes = _dictionary(spark, sf).select(F.length("term").alias("k")).distinct().select("k", F.explode(F.sequence(F.lit(0), "k")).alias("j"))
+    return sizes.select(F.concat(F.lit("L"), "k").alias("c"), F.concat(F.lit("L"), "j").alias("anc"), (F.col("k") - F.col("j")).alias("min_hops"))
+
+
+WORD_MENTIONS = rf"""wm AS (SELECT corpus AS side, case_id, entity, count(*) AS n, 'L' || length(entity) AS concept, length(entity)::INTEGER AS depth FROM (SELECT corpus, case_id, unnest({TERMS}) AS entity FROM docs)
+WHERE regexp_full_match(entity, '[a-z]{{4,}}') AND entity IN (SELECT unnest({TERMS}) FROM benchmark) GROUP BY ALL),
+held AS (SELECT side, wm.case_id, entity, text FROM wm JOIN docs ON corpus = side AND docs.case_id = wm.case_id), {CONTEXT}"""
+
+
+@query(f"""WITH {DOCS}, {WORD_MENTIONS} SELECT case_id, entity, a.concept, a.depth, a.n AS count_a, b.n AS count_b, x.sentence AS context_sentence_a, y.sentence AS context_sentence_b
+FROM wm a JOIN wm b USING (case_id, entity) JOIN ctx x USING (case_id, entity) JOIN ctx y USING (case_id, entity) WHERE a.side = 'A' AND b.side = 'B' AND x.side = 'A' AND y.side = 'B'""")
+def same_string_contexts(spark, sf):
+    return P.same_string(_word_mentions(spark, sf), _docs(spark, sf))
+
+
+@query(f"""WITH {DOCS}, {WORD_MENTIONS}, hp AS (SELECT a.case_id, a.entity AS entity_a, b.entity AS entity_b, a.concept AS concept_a, b.concept AS concept_b, a.depth AS depth_a, b.depth AS depth_b, abs(a.depth - b.depth) AS gap, CASE WHEN a.depth < b.depth THEN 'A' ELSE 'B' END AS broader, a.n AS count_a, b.n AS count_b
+FROM wm a JOIN wm b USING (case_id) WHERE a.side = 'A' AND b.side = 'B' AND abs(a.depth - b.depth) >= 2), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY gap DESC, entity_a, entity_b) AS r FROM hp) WHERE r <= 20)
+SELECT t.* EXCLUDE (r), x.sentence AS context_sentence_a, y.sentence AS context_sentence_b FROM t JOIN ctx x ON x.side = 'A' AND x.case_id = t.case_id AND x.entity = entity_a JOIN ctx y ON y.side = 'B' AND y.case_id = t.case_id AND y.entity = entity_b""")
+def hierarchical_pairs_contexts(spark, sf):
+    return P.hierarchical_pairs(_word_mentions(spark, sf), _lengths_up(spark, sf), min_gap=2, docs=_docs(spark, sf))
+
+
 @query(rf"WITH {DOCS} SELECT corpus, case_id, lower(e) AS entity, count(*) AS n FROM (SELECT corpus, case_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS e FROM docs) GROUP BY ALL")
 def recognised_entities(spark, sf):
     """A stand-in for a model: it is loaded once in a task and takes texts in batches."""

@@ -124,6 +124,21 @@ def with_context(rows: DataFrame, docs: DataFrame, entity_col: str, out: str, ma
     return met.select(*rows.columns, surrounding_sentence(F.col("_context"), F.col(entity_col), max_chars).alias(out))
 
 
+def with_pair_contexts(rows: DataFrame, docs: DataFrame, entity_a: str = "entity_a", entity_b: str = "entity_b", max_chars: int = 320) -> DataFrame:
+    """``rows`` and context_sentence_a, context_sentence_b: the sentences around both entities in the A and the B text of the row's case.
+
+    Each entity's sentence is taken once for a case, however many pairs it is in; texts meet distinct entities, never pairs. Empty
+    without the text or the entity."""
+    sides = {"A": entity_a, "B": entity_b}
+    asked = [rows.select("case_id", F.lit(s).alias("corpus"), F.col(c).alias("entity")).distinct() for s, c in sides.items()]
+    found = settled(with_context(asked[0].unionByName(asked[1]), docs, "entity", "_sentence", max_chars, keys=("corpus", "case_id")), "contexts")
+    for side, column in sides.items():
+        own = found.where(F.col("corpus") == side).select("case_id", F.col("entity").alias("_entity"), F.col("_sentence").alias(f"context_sentence_{side.lower()}"))
+        kept = rows.columns
+        rows = rows.join(own, (rows["case_id"] == own["case_id"]) & rows[column].eqNullSafe(own["_entity"]), "left").select(*[rows[c] for c in kept], f"context_sentence_{side.lower()}")
+    return rows
+
+
 def recognised_entities(docs: DataFrame, load: Callable[[], Callable[[list[str]], list[list[str]]]], batch: int = 8) -> DataFrame:
     """(corpus, case_id, entity, n): lower-case names that a model finds in each text. ``load`` makes the model once in each task; it takes ``batch`` texts."""
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.linking import with_pair_contexts
+from textloom.plans.scratch import settled
+
 
 def concept_sets(mentions: DataFrame) -> DataFrame:
     """One row for each case: types, mentions, concepts, overlap, Jaccard, mention-weighted depths. Counted by flags, without sets."""
@@ -26,10 +29,11 @@ def inventory(mentions: DataFrame) -> DataFrame:
     return mentions.select("case_id", "side", "entity", "n", "concept", "depth", F.when(mapped, "mapped").otherwise("unmapped").alias("mapping_status"))
 
 
-def same_string(mentions: DataFrame) -> DataFrame:
-    """Entities on both sides of a case with their counts."""
+def same_string(mentions: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Entities on both sides of a case with their counts, and with ``docs`` (corpus, case_id, text) the sentences around them."""
     a = mentions.where("side = 'A'").select("case_id", "entity", "concept", "depth", F.col("n").alias("count_a"))
-    return a.join(mentions.where("side = 'B'").select("case_id", "entity", F.col("n").alias("count_b")), ["case_id", "entity"]).where("concept is not null")
+    met = a.join(mentions.where("side = 'B'").select("case_id", "entity", F.col("n").alias("count_b")), ["case_id", "entity"]).where("concept is not null")
+    return met if docs is None else with_pair_contexts(met, docs, "entity", "entity")
 
 
 def pooled_same_string(entities: DataFrame) -> DataFrame:
@@ -58,11 +62,13 @@ def related_pairs(mentions: DataFrame, up: DataFrame) -> DataFrame:
     return met.withColumn("gap", F.abs(F.col("depth_a") - F.col("depth_b")))
 
 
-def hierarchical_pairs(mentions: DataFrame, up: DataFrame, min_gap: int = 3, cap: int = 20) -> DataFrame:
-    """Per case the related entity pairs across sides whose depths differ by ``min_gap`` at least, largest gaps first."""
+def hierarchical_pairs(mentions: DataFrame, up: DataFrame, min_gap: int = 3, cap: int = 20, docs: DataFrame | None = None) -> DataFrame:
+    """Per case the related entity pairs across sides whose depths differ by ``min_gap`` at least, largest gaps first; with ``docs``
+    (corpus, case_id, text) the sentences around both entities of the pairs that stay."""
     met = related_pairs(mentions, up).where((F.col("gap") >= min_gap) & (F.col("entity_a") != F.col("entity_b")))
     rank = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("gap"), F.substring("entity_a", 1, 40), F.substring("entity_b", 1, 40), "ca", "cb"))
-    return met.withColumn("r", rank).where(F.col("r") <= cap).select("case_id", "entity_a", "entity_b", F.col("ca").alias("concept_a"), F.col("cb").alias("concept_b"), "depth_a", "depth_b", "gap", "broader", "count_a", "count_b")
+    kept = met.withColumn("r", rank).where(F.col("r") <= cap).select("case_id", "entity_a", "entity_b", F.col("ca").alias("concept_a"), F.col("cb").alias("concept_b"), "depth_a", "depth_b", "gap", "broader", "count_a", "count_b")
+    return kept if docs is None else with_pair_contexts(settled(kept, "hierarchical-pairs"), docs)
 
 
 def cross_concepts(mentions: DataFrame, up: DataFrame, cap: int = 40) -> DataFrame:
