@@ -101,3 +101,16 @@ def test_links_by_the_rarest_word(spark, most_union):
     d = spark.createDataFrame(rows, "concept string, term string, rank int")
     e = spark.createDataFrame([(x,) for x in entities], "entity string")
     assert {r.entity: r.concept for r in N.link_best(e, d, most_union).collect()} == brute_links(entities, rows, most_union)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_extended_closure_is_the_closure_of_all_edges(spark, graph, seed):
+    edges, isa, up = graph
+    rng = random.Random(seed)
+    late = {e for e in edges if rng.random() < 0.3} | {("new1", "n5"), ("new2", "new1")}
+    frame = lambda rows: spark.createDataFrame(sorted(rows), "child string, parent string")
+    before = O.closure(frame(edges - late))
+    got = {tuple(r) for r in O.extend_closure(before, frame(late)).select("c", "anc", "min_hops", "max_hops").collect()}
+    assert got == {(c, anc, lo, hi) for (c, anc), (lo, hi) in walks(edges | late).items()}
+    with pytest.raises(ValueError, match="cycle"):
+        O.extend_closure(up, frame({("n0", "n59")}))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.lexicons import STOP_WORDS
 from textloom.functions.model_json import parse_verdict
+from textloom.operators import calls as X
 from textloom.operators import corpus as C
 from textloom.operators import keyness as K
 from textloom.operators import lexical as L
@@ -267,6 +268,14 @@ def isa_closure(spark, sf):
     return _up(spark, sf)
 
 
+@query(f"WITH RECURSIVE {WALK} SELECT c, anc, min_hops, max_hops FROM up")
+def isa_closure_extended(spark, sf):
+    """The closure without the edges of regions and of every other supplier, and these added to it."""
+    isa = _isa(spark, sf)
+    late = F.col("parent").rlike("^R[0-9]") | (F.col("parent").startswith("N") & (F.substring("child", -1, 1).cast("int") % 2 == 0))
+    return O.extend_closure(O.closure(isa.where(~late)), isa.where(late))
+
+
 @query(f"WITH RECURSIVE {WALK} SELECT * FROM depth")
 def isa_depth(spark, sf):
     return _depth(spark, sf)
@@ -958,6 +967,24 @@ def generated_answers(spark, sf):
     return C.generate(C.not_yet_done(docs, done), provider, wait=0).select("case_id", "answer")
 
 
+@query("SELECT doc_id AS case_id, length(text) || ':200' AS answer FROM documents")
+def logged_answers(spark, sf):
+    """A first run fails for a third of the texts; the second one asks for these only, and would fail for all others."""
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), F.coalesce("text", F.lit("")).alias("prompt"), F.lit(200).alias("num_predict"))
+    log = _folder(spark, "calls")
+
+    def sick(third: bool) -> Callable[[str, int], str]:
+        def provider(prompt: str, n: int) -> str:
+            if (len(prompt) % 3 == 0) == third:
+                raise ValueError("no answer")
+            return f"{len(prompt)}:{n}"
+
+        return provider
+
+    X.logged_calls(docs, sick(True), log, "m", batch=200, attempts=1)
+    return X.logged_calls(docs, sick(False), log, "m", batch=200, attempts=1).select("case_id", "answer")
+
+
 # ---- sources and sinks: written to the shared folder and read back
 
 

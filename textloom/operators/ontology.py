@@ -39,6 +39,28 @@ def closure(isa: DataFrame, concepts: DataFrame | None = None, max_levels: int =
     return settled(rows.groupBy("c", "anc").agg(*figures, *([F.min(F.struct("hops", "path"))["path"].alias("path")] if paths else [])), "closure")
 
 
+def extend_closure(up: DataFrame, added: DataFrame, max_levels: int = 120) -> DataFrame:
+    """The closure after ``added`` (child, parent) edges, from the one before them, without the other edges.
+
+    A new path is old paths joined by one added edge or more. Round k makes those of exactly k, from below each added edge to above
+    it, so the work follows the pairs that new paths join. It raises if added edges close a cycle."""
+    edges = settled(added.select("child", "parent").where("child is not null and parent is not null").distinct(), "added-edges")
+    nodes = edges.select(F.col("child").alias("c")).union(edges.select("parent")).distinct().join(up.select("c").distinct(), "c", "left_anti")
+    old = up.select("c", "anc", "min_hops", "max_hops").unionByName(nodes.select("c", F.col("c").alias("anc"), F.lit(0).alias("min_hops"), F.lit(0).alias("max_hops")))
+    over = edges.join(old.select(F.col("c").alias("parent"), F.col("anc").alias("top"), F.col("min_hops").alias("lo"), F.col("max_hops").alias("hi")), "parent")
+    over = settled(over.groupBy(F.col("child").alias("x"), "top").agg((F.min("lo") + 1).alias("lo"), (F.max("hi") + 1).alias("hi")), "over-edges")
+    paths, all_ = old, old
+    for _ in range(max_levels):
+        paths = paths.join(over, F.col("anc") == F.col("x")).groupBy("c", F.col("top").alias("anc")).agg(F.min(F.col("min_hops") + F.col("lo")).alias("min_hops"), F.max(F.col("max_hops") + F.col("hi")).alias("max_hops"))
+        paths = settled(paths, "new-paths")
+        if paths.isEmpty():
+            return settled(all_.groupBy("c", "anc").agg(F.min("min_hops").alias("min_hops"), F.max("max_hops").alias("max_hops")), "closure")
+        if not paths.where("c = anc").isEmpty():
+            break
+        all_ = all_.unionByName(paths)
+    raise ValueError("the added edges close a cycle")
+
+
 def depths(up: DataFrame, root: str = lexicons.ROOT) -> DataFrame:
     """(c, depth): the longest path to the root; null where it can't be reached."""
     return up.groupBy("c").agg(F.max(F.when(F.col("anc") == root, F.col("max_hops"))).alias("depth"))
