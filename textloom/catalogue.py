@@ -880,17 +880,46 @@ def _order_graphs(spark, sf):
     return sentences, linked
 
 
-@query(f"""WITH {ISA}, li AS (SELECT DISTINCT l_orderkey AS p, l_partkey AS i, lower(p_name) AS name, list_last(string_split(lower(p_name), ' ')) AS entity, 'S' || l_suppkey AS concept FROM lineitem JOIN part ON p_partkey = l_partkey), lk AS (SELECT DISTINCT p, entity, concept FROM li),
+GRAPHS = f"""{ISA}, li AS (SELECT DISTINCT l_orderkey AS p, l_partkey AS i, lower(p_name) AS name, list_last(string_split(lower(p_name), ' ')) AS entity, 'S' || l_suppkey AS concept FROM lineitem JOIN part ON p_partkey = l_partkey), lk AS (SELECT DISTINCT p, entity, concept FROM li),
 h0 AS (SELECT DISTINCT p, concept, 0 AS step FROM lk), h1 AS (SELECT DISTINCT p, parent AS concept, 1 AS step FROM h0 JOIN isa ON child = concept), h2 AS (SELECT DISTINCT p, parent AS concept, 2 AS step FROM h1 JOIN isa ON child = concept),
 hl AS (SELECT p, concept FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY step, concept) AS r FROM (SELECT p, concept, min(step) AS step FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2) GROUP BY ALL)) WHERE r <= 5 OR step = 0),
 g AS (SELECT DISTINCT s.p, s.p || 'S' || s.i AS src, s.p || 'E:' || e.entity AS dst, 'mentions' AS rel FROM (SELECT DISTINCT p, i, name FROM li) s JOIN (SELECT DISTINCT p, entity FROM lk) e ON e.p = s.p AND (' ' || s.name || ' ') LIKE '% ' || e.entity || ' %'
-UNION SELECT p, p || 'E:' || entity, p || 'C:' || concept, 'maps_to' FROM lk UNION SELECT a.p, a.p || 'C:' || child, a.p || 'C:' || parent, 'is_a' FROM isa JOIN hl a ON a.concept = child JOIN hl b ON b.concept = parent AND b.p = a.p)
-SELECT p AS prefix, src, dst, rel FROM g""")
+UNION SELECT p, p || 'E:' || entity, p || 'C:' || concept, 'maps_to' FROM lk UNION SELECT a.p, a.p || 'C:' || child, a.p || 'C:' || parent, 'is_a' FROM isa JOIN hl a ON a.concept = child JOIN hl b ON b.concept = parent AND b.p = a.p)"""
+
+
+@query(f"WITH {GRAPHS} SELECT p AS prefix, src, dst, rel FROM g")
 def explanation_graph_hull(spark, sf):
     sentences, linked = _order_graphs(spark, sf)
     return O.explanation_graphs(sentences, linked, _isa(spark, sf), 2, 5)
 
 
+NAMED = f"""{GRAPHS}, nm AS (SELECT 'S' || s_suppkey AS concept, s_name || ' ' || repeat(lower(s_name) || ' ', 8) AS label FROM supplier), nd AS (SELECT DISTINCT p, p || 'S' || i AS id, 'sentence' AS kind, CASE WHEN length(name) > 200 THEN substr(name, 1, 200) || '…' ELSE name END AS label, NULL::VARCHAR AS sctid FROM li
+UNION SELECT p, p || 'E:' || entity, 'entity', entity, NULL FROM lk UNION SELECT p, p || 'C:' || concept, 'concept', substr(coalesce(nm.label, concept), 1, 100), concept FROM hl LEFT JOIN nm USING (concept))"""
+
+
+def _order_nodes(spark, sf):
+    sentences, linked = _order_graphs(spark, sf)
+    names = _t(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("concept"), F.concat("s_name", F.lit(" "), F.repeat(F.concat(F.lower("s_name"), F.lit(" ")), F.lit(8))).alias("label"))
+    return O.explanation_nodes(sentences, linked, _isa(spark, sf), names, 2, 5)
+
+
+@query(f"WITH {NAMED} SELECT p AS prefix, id, kind, label, sctid FROM nd")
+def explanation_graph_nodes(spark, sf):
+    return _order_nodes(spark, sf)
+
+
+TRIMMED = f"""{NAMED}, dg AS (SELECT p, id, count(*) AS degree FROM (SELECT p, src AS id FROM g UNION ALL SELECT p, dst FROM g) GROUP BY ALL), fx AS (SELECT p, count(*) AS n FROM nd WHERE kind <> 'sentence' GROUP BY p),
+rk AS (SELECT nd.*, row_number() OVER (PARTITION BY nd.p, kind = 'sentence' ORDER BY coalesce(degree, 0) DESC, nd.id) AS r FROM nd LEFT JOIN dg ON dg.p = nd.p AND dg.id = nd.id), kp AS (SELECT rk.* FROM rk LEFT JOIN fx USING (p) WHERE kind <> 'sentence' OR r + coalesce(fx.n, 0) <= 14)"""
+
+
+@query(f"""WITH {TRIMMED} SELECT 1 AS part, '<node id="' || id || '"><data key="prefix">' || p || '</data><data key="kind">' || kind || '</data><data key="label">' || label || '</data><data key="sctid">' || coalesce(sctid, '') || '</data></node>' AS value FROM kp
+UNION ALL SELECT 2, '<edge source="' || src || '" target="' || dst || '"><data key="prefix">' || p || '</data><data key="rel">' || rel || '</data></edge>' FROM g WHERE (p, src) IN (SELECT (p, id) FROM kp) AND (p, dst) IN (SELECT (p, id) FROM kp)""")
+def trimmed_graphs_graphml(spark, sf):
+    """The graphs of all orders, each cut to 14 nodes, as one file's elements."""
+    nodes, edges = O.trimmed_graphs(_order_nodes(spark, sf), explanation_graph_hull(spark, sf), 14)
+    return W.graphml_lines(nodes, edges).where("part in (1, 2)").select("part", "value")
+
+
 @query(f"""WITH {ISA}, m AS (SELECT l_orderkey AS s, l_partkey AS p FROM lineitem), e AS (SELECT 'S:' || s AS src, 'E:part ' || p AS dst, 'mentions' AS rel FROM m UNION SELECT 'E:part ' || p, 'C:P' || p, 'maps_to' FROM m UNION SELECT 'C:' || child, 'C:' || parent, 'is_a' FROM isa WHERE child IN (SELECT 'P' || p FROM m)),
 d AS (SELECT id, count(*) AS degree, CASE WHEN id LIKE 'C:%' THEN 'concept' WHEN id LIKE 'E:%' THEN 'entity' ELSE 'sentence' END AS kind FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id),
 r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY degree DESC, id) AS r FROM d), k AS (SELECT id FROM r WHERE kind <> 'sentence' OR r <= greatest(0, 5000 - (SELECT count(*) FROM d WHERE kind <> 'sentence')))

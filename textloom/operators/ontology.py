@@ -261,6 +261,40 @@ def explanation_graphs(sentences: DataFrame, linked: DataFrame, isa: DataFrame,
     return mentions.unionByName(maps).unionByName(is_a).distinct()
 
 
+def explanation_nodes(sentences: DataFrame, linked: DataFrame, isa: DataFrame, labels: DataFrame, hull_hops: int = 2, cap: int = 90) -> DataFrame:
+    """(prefix, id, kind, label, sctid) of the graphs whose edges ``explanation_graphs`` gives; labels(concept, label).
+
+    Sentences show 200 characters, concepts 100 of their label (of their id without one), entities themselves. A sentence
+    that mentions nothing is a node, too."""
+    own = linked.where("concept is not null").select("prefix", F.lower(F.trim("entity")).alias("entity"), "concept").where("entity <> ''").distinct()
+    prefix, none = F.col("prefix").cast("string"), F.lit(None).cast("string").alias("sctid")
+    cut = F.when(F.char_length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("…"))).otherwise(F.col("text"))
+    s = sentences.select("prefix", F.concat(prefix, F.lit("S"), F.col("i").cast("string")).alias("id"), F.lit("sentence").alias("kind"), cut.alias("label"), none)
+    e = own.select("prefix", F.concat(prefix, F.lit("E:"), "entity").alias("id"), F.lit("entity").alias("kind"), F.col("entity").alias("label"), none).distinct()
+    name = labels.where("label <> ''").groupBy("concept").agg(F.min("label").alias("label"))
+    hull = concept_hull(own, isa, hull_hops, cap).join(name, "concept", "left")
+    c = hull.select("prefix", F.concat(prefix, F.lit("C:"), F.col("concept").cast("string")).alias("id"), F.lit("concept").alias("kind"), F.substring(F.coalesce("label", F.col("concept").cast("string")), 1, 100).alias("label"), F.col("concept").cast("string").alias("sctid"))
+    return s.unionByName(e).unionByName(c)
+
+
+def trimmed_graphs(nodes: DataFrame, edges: DataFrame, max_nodes: int = 130) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of every ``prefix`` at once, at most ``max_nodes`` nodes each: all concepts and entities, and sentences by falling
+    degree (then id) in the room they leave.
+
+    A graph's sentences meet in one group only as far as ``max_nodes`` of them can stay: parts of it are ranked first."""
+    ends = edges.select("prefix", F.col("src").alias("id")).union(edges.select("prefix", "dst")).groupBy("prefix", "id").agg(F.count("*").alias("degree"))
+    fixed = nodes.where("kind <> 'sentence'").groupBy("prefix").agg(F.count("*").alias("n_fixed"))
+    rows = nodes.where("kind = 'sentence'").join(ends, ["prefix", "id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("degree"), "id"))
+    first = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", rank("prefix", "part")).where(F.col("r") <= max_nodes)
+    kept = first.withColumn("r", rank("prefix")).join(fixed, "prefix", "left").where(F.col("r") + F.coalesce("n_fixed", F.lit(0)) <= max_nodes)
+    out = settled(nodes.where("kind <> 'sentence'").unionByName(kept.select(nodes.columns)), "trimmed-nodes")
+    # ends without a node of their own are cut, too
+    ids = out.select("prefix", "id")
+    met = edges.join(ids.withColumnRenamed("id", "src"), ["prefix", "src"], "left_semi").join(ids.withColumnRenamed("id", "dst"), ["prefix", "dst"], "left_semi")
+    return out, met.select(edges.columns)
+
+
 def split_sentences(docs: DataFrame) -> DataFrame:
     """docs(prefix, text) -> (prefix, i, text): parts between ends of sentences, without blanks around."""
     parts = F.filter(F.transform(F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
