@@ -382,8 +382,26 @@ def test_new_hosts_take_their_parents_reputation(spark):
     got = {r.page_id: r for r in url_filter.filter_urls(pages, outcomes, []).collect()}
     assert [got[i].verdict for i in range(900, 905)] == ["block", "allow", "block", "allow", "allow"]  # all pages under .net were bad, of .museum none is known
     assert got[0].reputation < got[900].reputation < got[903].reputation and got[904].reputation is None
-    plain = {r.page_id: r for r in url_filter.filter_urls(pages, outcomes, [], parents=False).collect()}
-    assert plain[900].verdict == "allow" and all(plain[i] == got[i] for i in range(600))
+
+
+def test_suffixes_of_two_labels(spark):
+    bad = [(i, f"http://h{i}.bad.co.uk/x") for i in range(60)]
+    good = [(60 + i, f"http://h{i}.good.co.uk/x") for i in range(60)]
+    pages = spark.createDataFrame([*bad, *good, (900, "http://new.bad.co.uk/"), (901, "http://new.good.co.uk/")], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, int(i >= 60)) for i in range(120)], "page_id long, good int")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, outcomes, []).collect()}
+    assert (got[900].verdict, got[901].verdict) == ("block", "allow")
+    one = {r.page_id: r for r in url_filter.filter_urls(pages, outcomes, [], two_label=()).collect()}
+    assert one[900].reputation == one[901].reputation  # both are hosts of co.uk then
+
+
+def test_worst_of_repeated_labels(spark):
+    rng = random.Random(3)
+    rows = [words(rng, 40) + (" awful junk" if i % 2 else "") for i in range(120)]
+    once = spark.createDataFrame([(i, 1 - i % 2) for i in range(120)], "doc_id long, good int")
+    again = once.union(spark.createDataFrame([(i, 1) for i in range(120)], "doc_id long, good int"))
+    scores = [{r.doc_id: (r.p_document, r.p_quality) for r in quality.score_quality(docs(spark, rows), labels).collect()} for labels in (once, again)]
+    assert scores[0] == scores[1]
 
 
 def labelled(spark, n=200):

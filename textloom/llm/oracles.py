@@ -19,8 +19,9 @@ hc AS (SELECT {{rho}} AS rho FROM h0), h1 AS (SELECT host, n, (1 - rho) / rho AS
 rep AS (SELECT host, mean + 1.645::DOUBLE * sqrt(mean * (1 - mean) / (n + c + 1)) AS upper FROM h1),
 r(action, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 m AS (SELECT DISTINCT page_id, host, path, first_value(rh || rp) OVER w AS rule, first_value(action) OVER w AS action FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) WINDOW w AS (PARTITION BY page_id ORDER BY length(rh || rp) DESC))
-SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.action, CASE WHEN upper < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(upper, 6) AS reputation
-FROM p LEFT JOIN m ON m.page_id = p.page_id LEFT JOIN rep ON rep.host = p.host
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN upper < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(upper, 6) AS reputation FROM (
+SELECT p.page_id, p.host, p.path, m.rule, m.action, coalesce(rep.upper, CASE WHEN p.host <> '' THEN coalesce(d1.mean + 1.645::DOUBLE * sqrt(d1.mean * (1 - d1.mean) * hc.rho), s1.mean + 1.645::DOUBLE * sqrt(s1.mean * (1 - s1.mean) * (1 - (1 - hc.rho) * (1 - dc.rho))), b + 1.645::DOUBLE * sqrt(b * (1 - b) * (1 - (1 - hc.rho) * (1 - dc.rho) * (1 - sc.rho)))) END) AS upper
+FROM (SELECT *, string_split(host, '.') AS s FROM p) p CROSS JOIN base CROSS JOIN hc CROSS JOIN dc CROSS JOIN sc LEFT JOIN m ON m.page_id = p.page_id LEFT JOIN rep ON rep.host = p.host LEFT JOIN d1 ON d1.domain = array_to_string(p.s[greatest(len(p.s) - 1, 1):], '.') LEFT JOIN s1 ON s1.suffix = p.s[len(p.s)])
 """.replace("{rho}", "CASE WHEN coalesce(sum(n * (n - 1) * prior * (1 - prior)), 0) = 0 THEN 1.0::DOUBLE / 3 ELSE least(0.5, greatest(0.0001, (sum((k - n * prior) ** 2) - sum(n * prior * (1 - prior))) / sum(n * (n - 1) * prior * (1 - prior)))) END")
 
 OP8 = rf"""

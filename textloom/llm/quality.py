@@ -38,8 +38,10 @@ def site_posteriors(outcomes: DataFrame) -> tuple[float, DataFrame, DataFrame]:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", host_col="source", path_col="lang", good_col="good", max_rows: int = 20_000) -> DataFrame:
-    """(id, host, path, p_document, host_posterior, path_posterior, p_quality, keep) of every document."""
-    chain = fit_chain(docs, labels.select(id_col, good_col), [good_col], id_col, text_col, max_rows)
+    """(id, host, path, p_document, host_posterior, path_posterior, p_quality, keep) of every document.
+
+    Of several labels of an id the worst counts, for the classifier and for the sites."""
+    chain = fit_chain(docs, labels.select(id_col, good_col), [good_col], id_col, text_col, max_rows, repeated=F.min)
     site = [F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path")]
     marks = labels.select(id_col, F.col(good_col).cast("int").alias("good")).dropna().groupBy(id_col).agg(F.min("good").alias("good"))
     base, hosts, paths = site_posteriors(docs.select(id_col, *site).join(marks, id_col).select("host", "path", "good"))

@@ -156,12 +156,12 @@ def _chosen(rows: DataFrame, ys: list[str], folds: int, most: int, least_rows: i
     return out
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, columns: list[str], id_col="doc_id", text_col="text", max_rows: int = 20_000, most: int = 2048, least_rows: int = 3, least_score: float = 15.0, folds: int = 5) -> Chain:
-    """labels(id, columns 0/1): fit the chain on at most ``max_rows`` labelled rows.
+def fit_chain(docs: DataFrame, labels: DataFrame, columns: list[str], id_col="doc_id", text_col="text", max_rows: int = 20_000, most: int = 2048, least_rows: int = 3, least_score: float = 15.0, folds: int = 5, repeated=F.max) -> Chain:
+    """labels(id, columns 0/1): fit the chain on at most ``max_rows`` labelled rows; of several labels of an id ``repeated`` chooses one.
 
     Later models are trained with out-of-fold probabilities of the earlier labels, so they see earlier errors as they will be."""
     ys = [f"y{i}" for i in range(len(columns))]
-    known = labels.select(F.col(id_col).alias("id"), *(F.col(c).cast("int").alias(y) for c, y in zip(columns, ys))).dropna().groupBy("id").agg(*(F.max(y).alias(y) for y in ys))
+    known = labels.select(F.col(id_col).alias("id"), *(F.col(c).cast("int").alias(y) for c, y in zip(columns, ys))).dropna().groupBy("id").agg(*(repeated(y).alias(y) for y in ys))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     met = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")  # max_rows bounds its size
     rows = met.select(F.xxhash64("id").alias("key"), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(folds)).cast("int").alias("fold"), *ys, "text")

@@ -123,24 +123,22 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645, two_label=TWO_LABEL_S
     return reputations(outcomes, z, two_label)[0]
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], id_col="page_id", url_col="url", min_good: float = 0.5, z: float = 1.645, parents: bool = True) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], id_col="page_id", url_col="url", min_good: float = 0.5, z: float = 1.645, two_label=TWO_LABEL_SUFFIXES) -> DataFrame:
     """pages(id, url), outcomes(id, good 0/1) -> (id, host, path, rule, verdict, reputation).
 
     The reputation is the upper posterior bound; a host without labelled pages has that of a new host of its registered
-    domain, else of its suffix, else of all. Without ``parents`` it is null for such hosts, which are allowed, as always for the empty host.
+    domain, else of its suffix, else of all. The empty host has none and is allowed. Of repeated outcomes of an id the worst counts.
     The hot host is counted with map-side combining; the join of pages with settled host rows is one that Spark
     can split where a host holds much of the pages."""
     split = pages.select(F.col(id_col).alias("_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     marks = outcomes.select(F.col(id_col).alias("_id"), F.col("good").cast("int").alias("good")).where("_id is not null and good is not null").groupBy("_id").agg(F.min("good").alias("good"))
-    hosts, domains, suffixes, other = reputations(split.join(marks, "_id").select("host", "good"), z)
-    if parents:
-        named = split.select("host").where("host <> ''").distinct()
-        named = named.select("host", registered_domain(F.col("host")).alias("domain"), public_suffix(F.col("host")).alias("suffix"))
-        h, d, s = hosts.select("host", F.col("upper").alias("of_host")), domains.withColumnRenamed("upper", "of_domain"), suffixes.withColumnRenamed("upper", "of_suffix")
-        known = named.join(h, "host", "left").join(d, "domain", "left").join(s, "suffix", "left")
-        known = known.select("host", F.coalesce("of_host", "of_domain", "of_suffix", F.lit(other)).alias("upper"))
-        hosts = known.unionByName(hosts.where("host = ''").select("host", "upper"))
-    reputation = settle(hosts.select("host", "upper"), "host-reputation")
+    hosts, domains, suffixes, other = reputations(split.join(marks, "_id").select("host", "good"), z, two_label)
+    named = split.select("host").where("host <> ''").distinct()
+    named = named.select("host", registered_domain(F.col("host"), two_label).alias("domain"), public_suffix(F.col("host"), two_label).alias("suffix"))
+    h, d, s = hosts.select("host", F.col("upper").alias("of_host")), domains.withColumnRenamed("upper", "of_domain"), suffixes.withColumnRenamed("upper", "of_suffix")
+    known = named.join(h, "host", "left").join(d, "domain", "left").join(s, "suffix", "left")
+    known = known.select("host", F.coalesce("of_host", "of_domain", "of_suffix", F.lit(other)).alias("upper"))
+    reputation = settle(known.unionByName(hosts.where("host = ''").select("host", "upper")), "host-reputation")
     host, path = F.col("host"), F.col("path")
     verdict = F.coalesce(match_rule(host, path, rules, "action"), F.when(F.col("upper") < min_good, "block").otherwise("allow"))
     return split.join(reputation, "host", "left").select(
