@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import calls
+from textloom.operators import calls, linking
 from textloom.sources.files import opened
 
 
@@ -62,3 +62,32 @@ def test_a_batch_is_found_by_its_place(tmp_path):
     assert calls.call_batch(files, f"{root}/x.parquet", rows[:3], lambda k, p, n: None if k == "k1" else p) == 3
     assert calls.call_batch(files, f"{root}/x.parquet", rows[:3], lambda k, p, n: p) == 1
     assert calls.call_batch(files, f"{root}/x.parquet", rows[:3], lambda k, p, n: 1 / 0) == 0
+
+
+def test_spans_of_one_model_pass(spark, tmp_path):
+    text = "Al is here. bo\nsaw Cy! "
+    rows = [("A", 1, text), ("A", 2, None), ("B", 1, ""), ("A", 3, "no Names without a stop"), *[("B", k, "Xy. " * 20) for k in range(10, 30)]]
+
+    def load():
+        import re
+
+        def model(texts):
+            with open(f"{tmp_path}/runs", "a") as out:
+                out.write(f"{sum(map(len, texts))} {len(texts)}\n")
+            # the last text's entity lies outside of its sentences
+            return [([(*m.span(), "NAME") for m in re.finditer("[A-Z][a-z]+", t)], [m.span() for m in re.finditer("[^.!?]+[.!?]", t)]) for t in texts]
+
+        return model
+
+    docs = spark.createDataFrame(rows, "corpus string, case_id int, text string").coalesce(1)
+    spans = linking.recognised_spans(docs, load, batch_chars=200).cache()
+    got = {(r.kind, r.i, r.start, r.end, r.text, r.label) for r in spans.where("corpus = 'A'").collect()}
+    assert got == {
+        ("sentence", 0, 0, 11, "Al is here.", None), ("sentence", 1, 11, 22, " bo\nsaw Cy!", None), ("entity", 0, 0, 2, "Al", "NAME"), ("entity", 1, 19, 21, "Cy", "NAME"), ("entity", None, 3, 8, "Names", "NAME"),
+    }
+    runs = [tuple(map(int, line.split())) for line in open(f"{tmp_path}/runs")]
+    assert sum(n for _, n in runs) == len(rows) and max(size for size, _ in runs) <= 200
+    assert {(r.prefix, r.i, r.text) for r in linking.sentences_of(spans, "A").collect()} == {(1, 0, "Al is here."), (1, 1, "bo\nsaw Cy!")}
+    held = {(r.case_id, r.entity, r.i, r.sentence, r.n) for r in linking.entities_of(spans).where("corpus = 'A'").collect()}
+    assert held == {(1, "al", 0, "Al is here.", 1), (1, "cy", 1, " bo\nsaw Cy!", 1), (3, "names", None, None, 1)}
+    assert linking.entities_of(spans).where("corpus = 'B'").agg(F.sum("n")).first()[0] == 400

@@ -24,7 +24,7 @@ from textloom.operators import ontology as O
 from textloom.operators import paired as P
 from textloom.operators import review as R
 from textloom.operators import summaries as M
-from textloom.plans.scratch import shared_dir
+from textloom.plans.scratch import settled, shared_dir
 from textloom.sources import readers as S
 from textloom.sources import sinks as W
 
@@ -855,6 +855,36 @@ def recognised_entities(spark, sf):
     return N.recognised_entities(_docs(spark, sf), load)
 
 
+def _spans(spark, sf):
+    """One pass of a stand-in model that finds capitalised words and sentences."""
+
+    def load():
+        import re
+
+        names, sentences = re.compile("[A-Z][a-z]+"), re.compile("[^.!?]+[.!?]*")
+        return lambda texts: [([(*m.span(), "NAME") for m in names.finditer(t)], [m.span() for m in sentences.finditer(t)]) for t in texts]
+
+    return settled(N.recognised_spans(_docs(spark, sf), load), "spans")
+
+
+SENTENCES = r"""st AS (SELECT corpus, case_id, generate_subscripts(s, 1) - 1 AS i, unnest(s) AS sentence FROM (SELECT corpus, case_id, regexp_extract_all(text, '[^.!?]+[.!?]*') AS s FROM docs))"""
+
+
+@query(f"WITH {DOCS}, {SENTENCES} SELECT corpus, case_id, lower(e) AS entity, i::INTEGER AS i, sentence, count(*) AS n FROM (SELECT *, unnest(regexp_extract_all(sentence, '[A-Z][a-z]+')) AS e FROM st) GROUP BY ALL")
+def entities_with_sentences(spark, sf):
+    return N.entities_of(_spans(spark, sf))
+
+
+@query(rf"""WITH {DOCS}, {SENTENCES}, t AS (SELECT case_id AS p, i, regexp_replace(sentence, '^\s+|\s+$', '', 'g') AS text FROM st WHERE corpus = 'A'), e AS (SELECT DISTINCT case_id AS p, lower(e) AS entity FROM (SELECT case_id, unnest(regexp_extract_all(sentence, '[A-Z][a-z]+')) AS e FROM st WHERE corpus = 'A')),
+g AS (SELECT DISTINCT e.p, e.p || 'S' || i AS src, e.p || 'E:' || entity AS dst, 'mentions' AS rel FROM e JOIN t ON t.p = e.p AND (' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ') LIKE '% ' || entity || ' %' UNION SELECT p, p || 'E:' || entity, p || 'C:' || entity, 'maps_to' FROM e)
+SELECT p AS prefix, src, dst, rel FROM g""")
+def graphs_of_recognised_spans(spark, sf):
+    """Entities and sentences of the same calls make a graph for each case; each entity is a concept of its own."""
+    spans = _spans(spark, sf)
+    linked = N.entities_of(spans.where("corpus = 'A'")).select(F.col("case_id").alias("prefix"), "entity", F.col("entity").alias("concept"))
+    return O.explanation_graphs(N.sentences_of(spans, "A"), linked, spark.createDataFrame([], "child string, parent string"))
+
+
 @query(f"WITH RECURSIVE {POOLED} SELECT entity, corpus, frequency, concept, depth FROM en")
 def entity_depth_table(spark, sf):
     m = _mentions(spark, sf)

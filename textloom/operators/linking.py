@@ -154,6 +154,68 @@ def recognised_entities(docs: DataFrame, load: Callable[[], Callable[[list[str]]
     return made.groupBy("corpus", "case_id", "entity").agg(F.count("*").alias("n"))
 
 
+#: What a model finds in a text: (entities (start, end, label), sentences (start, end)), in characters.
+Found = tuple[list[tuple[int, int, str]], list[tuple[int, int]]]
+SPANS = "kind string, i int, start int, end int, text string, label string"
+
+
+def _by_length(texts: list[str], most: int) -> Iterator[list[str]]:
+    """Runs of texts of ``most`` characters together, a longer text alone."""
+    run: list[str] = []
+    size = 0
+    for t in texts:
+        if run and size + len(t) > most:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
+
+
+def recognised_spans(docs: DataFrame, load: Callable[[], Callable[[list[str]], list[Found]]], batch_chars: int = 20_000) -> DataFrame:
+    """(corpus, case_id, kind, i, start, end, text, label): the sentences and entities of each text by one call of a model.
+
+    ``load`` makes the model once in each task; it takes texts of about ``batch_chars`` characters together. A sentence has its number
+    i from 0, an entity that of the sentence in which it starts (null outside of all). ``text`` is the span's own text. A null text is
+    empty. ``sentences_of`` and ``entities_of`` give the rows that graphs and contexts take; settle this table first, so that both come
+    from the same calls."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from bisect import bisect_right
+
+        model = load()
+        for rows in batches:
+            texts = ["" if t is None else t for t in rows["text"]]
+            found = (f for run in _by_length(texts, batch_chars) for f in model(run))
+            out = []
+            for corpus, case, text, (entities, sentences) in zip(rows["corpus"], rows["case_id"], texts, found, strict=True):
+                bounds = sorted(sentences)
+                starts = [a for a, _ in bounds]
+                out += [(corpus, case, "sentence", i, a, b, text[a:b], None) for i, (a, b) in enumerate(bounds)]
+                for a, b, label in entities:
+                    i = bisect_right(starts, a) - 1
+                    out.append((corpus, case, "entity", i if i >= 0 and a < bounds[i][1] else None, a, b, text[a:b], label))
+            made = pd.DataFrame(out, columns=["corpus", "case_id", "kind", "i", "start", "end", "text", "label"])
+            yield made.astype({"i": "Int32"})
+
+    case = docs.schema["case_id"].dataType.simpleString()
+    return docs.select("corpus", "case_id", "text").mapInPandas(find, f"corpus string, case_id {case}, {SPANS}")
+
+
+def sentences_of(spans: DataFrame, corpus: str) -> DataFrame:
+    """(prefix, i, text) of a corpus's sentences, as ``explanation_graphs`` takes them: a graph for each case."""
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    return spans.where((F.col("kind") == "sentence") & (F.col("corpus") == corpus)).select(F.col("case_id").alias("prefix"), "i", text.alias("text")).where("text <> ''")
+
+
+def entities_of(spans: DataFrame) -> DataFrame:
+    """(corpus, case_id, entity, i, sentence, n): each entity once for a sentence, with the sentence around it."""
+    held = spans.where("kind = 'sentence'").select("corpus", "case_id", "i", F.col("text").alias("sentence"))
+    found = spans.where("kind = 'entity'").select("corpus", "case_id", "i", F.lower(F.trim("text")).alias("entity")).where("entity <> ''")
+    return found.groupBy("corpus", "case_id", "i", "entity").agg(F.count("*").alias("n")).join(held, ["corpus", "case_id", "i"], "left").select("corpus", "case_id", "entity", "i", "sentence", "n")
+
+
 def depth_map(entities: DataFrame, cases: DataFrame, linked: DataFrame, depth: DataFrame) -> DataFrame:
     """(corpus, entity, depth) of the entities of the listed cases that have a depth: found(corpus, case_id, entity)."""
     own = entities.join(cases.select("case_id").distinct(), "case_id", "left_semi").select("corpus", "entity").distinct()
