@@ -688,6 +688,16 @@ def ablation_metrics(spark, sf):
     return M.subset_rates(docs, docs.where("corpus = 'system'"), LEXICON, r"\bof\s+the\b")
 
 
+@query(f"""SELECT round(max(hedge_per_1000) FILTER (corpus = 'assistant') - max(hedge_per_1000) FILTER (corpus = 'user'), 6) AS delta_hedge_per_1000, round(max(phrase_per_1000) FILTER (corpus = 'assistant') - max(phrase_per_1000) FILTER (corpus = 'user'), 6) AS delta_phrase_per_1000 FROM ({SQL['ablation_metrics']})""")
+def ablation_deltas(spark, sf):
+    return M.side_deltas(ablation_metrics(spark, sf), "user", "assistant", ["hedge_per_1000", "phrase_per_1000"])
+
+
+@query(f"""SELECT round(max(mean_depth) FILTER (corpus = 'R') - max(mean_depth) FILTER (corpus = 'N'), 6) AS delta_mean_depth FROM ({SQL['triple_intersection_mean']})""")
+def ablation_depth_delta(spark, sf):
+    return M.side_deltas(triple_intersection_mean(spark, sf), "N", "R", ["mean_depth"])
+
+
 SENTENCE = r"""regexp_replace(regexp_replace(regexp_replace(lft, '(?s)^.*[.!?](["'')\]}]*[ \n\t\r])', '\1') || substr(text, length(lft) + 1, length(entity)) || coalesce(nullif(regexp_extract(rgt, '(?s)^(.*?[.!?]["'')\]}]*)(?:[ \n\t\r]|$)', 1), ''), rgt), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"""
 CONTEXT = rf"""sp AS (SELECT *, substr(text, 1, length(pre)) AS lft, substr(text, length(pre) + length(entity) + 1) AS rgt FROM (SELECT *, regexp_extract(lower(text), '(?s)^(|.*?[^a-z0-9])' || entity || '(?:[^a-z0-9].*)?$', 1) AS pre FROM held)),
 cx AS (SELECT *, {SENTENCE} AS s FROM sp), ctx AS (SELECT *, CASE WHEN length(s) > 320 THEN substr(s, 1, 319) || '…' ELSE s END AS sentence FROM cx)"""
@@ -842,6 +852,22 @@ def hierarchical_pairs_contexts(spark, sf):
     return P.hierarchical_pairs(_word_mentions(spark, sf), _lengths_up(spark, sf), min_gap=2, docs=_docs(spark, sf))
 
 
+KINDS = f"""sd AS (SELECT case_id, entity_a, entity_b, 'hierarchical' AS kind, context_sentence_a AS excerpt_a, context_sentence_b AS excerpt_b FROM ({SQL['hierarchical_pairs_contexts']})
+UNION ALL SELECT case_id, entity, entity, 'same string', context_sentence_a, context_sentence_b FROM ({SQL['same_string_contexts']}))"""
+
+
+@query(f"WITH {KINDS} SELECT * FROM sd WHERE kind = 'hierarchical' ORDER BY md5(concat_ws('|', case_id, entity_a, entity_b, '42')), case_id, entity_a, entity_b LIMIT 80")
+def seed_scan_hierarchical(spark, sf):
+    return S.seeds(hierarchical_pairs_contexts(spark, sf), 80)
+
+
+@query(f"""WITH {KINDS} SELECT case_id, entity_a, entity_b, kind, CASE WHEN kind = 'hierarchical' THEN 'Which is broader in ' || case_id || ': ' || entity_a || ' or ' || entity_b || '? ' ELSE 'Is ' || entity_a || ' the same in both? ' END || excerpt_a || ' / ' || excerpt_b AS prompt FROM sd""")
+def review_prompts_by_kind(spark, sf):
+    seeds = S.seeds(hierarchical_pairs_contexts(spark, sf)).unionByName(S.seeds(same_string_contexts(spark, sf)))
+    made = R.prompts_by_kind(seeds, "Is {entity_a} the same in both? {excerpt_a} / {excerpt_b}", "Which is broader in {case_id}: {entity_a} or {entity_b}? {excerpt_a} / {excerpt_b}")
+    return made.select("case_id", "entity_a", "entity_b", "kind", "prompt")
+
+
 @query(rf"WITH {DOCS} SELECT corpus, case_id, lower(e) AS entity, count(*) AS n FROM (SELECT corpus, case_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS e FROM docs) GROUP BY ALL")
 def recognised_entities(spark, sf):
     """A stand-in for a model: it is loaded once in a task and takes texts in batches."""

@@ -64,3 +64,9 @@ def subset_rates(docs: DataFrame, cases: DataFrame, lexicon: list[str], pattern:
     own = docs.join(cases.select("case_id").distinct(), "case_id", "left_semi")
     hedges = hedge_density(own, lexicon).select("corpus", F.col("per_1000_tokens").alias("hedge_per_1000"))
     return hedges.join(phrase_rate(own, pattern).select("corpus", F.col("per_1000").alias("phrase_per_1000")), "corpus")
+
+
+def side_deltas(rows: DataFrame, base: str, other: str, columns: list[str]) -> DataFrame:
+    """rows(corpus, columns) -> one row with ``delta_`` of each column: the value of ``other`` less that of ``base``; null without one of them."""
+    of = lambda c, side: F.max(F.when(F.col("corpus") == side, F.col(c)))
+    return rows.agg(*(F.round(of(c, other) - of(c, base), 6).alias(f"delta_{c}") for c in columns))
