@@ -51,6 +51,11 @@ TOP_LEVEL = [
     ("373873005", "Pharmaceutical / biologic product"),
 ]
 
+# What stands for the excerpts of a pair without a shared case, the parts of a panel's title, a judge's fields.
+NO_SHARED_CASE = "(no single shared case file; stems split — excerpts omitted)"
+PANEL_TITLE = (': "', '" (human) vs "', '" (model)')
+JUDGEMENT = "coherence_score int, ontology_fit_score int, narrative_to_graph_alignment string, suspicious_mappings array<struct<entity_hint:string,concept_label_or_id:string,issue:string>>, disconnected_subthemes array<string>, human_vs_model_packaging string, verdict string, rationale string"
+
 #: English function words that frequency lists leave out; a parameter of the operators.
 STOP_WORDS = """
 a about above after again against all am an and any are as at be because been before being below between both but by

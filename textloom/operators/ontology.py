@@ -224,7 +224,7 @@ def pair_visuals(pairs: DataFrame, up: DataFrame) -> DataFrame:
     order and both compact paths from the common ancestor down. ``up`` has paths."""
     one = lambda s: up.select(F.col("c").alias(f"concept_{s}"), F.col("anc").alias("lca_concept"), compact_path(F.reverse("path")).alias(f"path_{s}"))
     met = pairs.join(one("a"), ["concept_a", "lca_concept"]).join(one("b"), ["concept_b", "lca_concept"])
-    title = F.concat("category", F.lit(': "'), "entity_a", F.lit('" (human) vs "'), "entity_b", F.lit('" (model)'))
+    title = F.concat("category", F.lit(lexicons.PANEL_TITLE[0]), "entity_a", F.lit(lexicons.PANEL_TITLE[1]), "entity_b", F.lit(lexicons.PANEL_TITLE[2]))
     return met.select("category", title.alias("title"), depth_label(F.col("depth_a"), F.col("depth_b")).alias("mid"), "path_a", "path_b", "entity_a", "entity_b", "depth_a", "depth_b")
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import lexicons
 from textloom.functions.model_json import parse_verdict
 from textloom.functions.text import excerpt
 from textloom.operators.linking import first_case, first_shared_case, link_best
@@ -94,7 +95,7 @@ def review_excerpts(seeds: DataFrame, docs: DataFrame, case_chars: int = 1200, a
         met = met.join(own, "_case", "left").join(first, "_seed", "left")
 
     def filled(s: str, c: str) -> Column:
-        whole = F.when(F.col("_case").cast("string").contains("|"), "(no single shared case file; stems split — excerpts omitted)").otherwise(excerpt(F.col(f"_text_{s}"), case_chars))
+        whole = F.when(F.col("_case").cast("string").contains("|"), lexicons.NO_SHARED_CASE).otherwise(excerpt(F.col(f"_text_{s}"), case_chars))
         return F.when(given, F.trim(c)).when(F.col("_case").isNotNull(), F.coalesce(whole, F.lit(""))).otherwise(F.coalesce(excerpt(F.col(f"_first_{s}"), any_chars), F.lit(""))).alias(c)
 
     new = {"case_id": F.col("_case").alias("case_id"), "excerpt_a": filled("A", "excerpt_a"), "excerpt_b": filled("B", "excerpt_b")}
@@ -126,9 +127,6 @@ def judge_bundle(cases: DataFrame, edges: DataFrame, prose_chars: int = 1800) ->
     return cases.join(links, "case_id", "left").select("case_id", F.to_json(F.struct("case_id", prose.alias("prose"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "links")).alias("record"))
 
 
-JUDGEMENT = "coherence_score int, ontology_fit_score int, narrative_to_graph_alignment string, suspicious_mappings array<struct<entity_hint:string,concept_label_or_id:string,issue:string>>, disconnected_subthemes array<string>, human_vs_model_packaging string, verdict string, rationale string"
-
-
 def judge(bundles: DataFrame, provider: Callable[[str], str] | None, instruction: str = "", model: str = "") -> DataFrame:
     """(case_id, record, raw, judgement): the model's answer to each record, parsed. Without a provider a dry run: the answer says that it was skipped."""
     prompts = bundles.select("case_id", "record", F.concat_ws("\n\n", "record", F.lit(instruction) if instruction else F.lit(None)).alias("prompt"))
@@ -150,4 +148,4 @@ def judge(bundles: DataFrame, provider: Callable[[str], str] | None, instruction
 
         raw = prompts.mapInPandas(call, f"case_id {bundles.schema['case_id'].dataType.simpleString()}, record string, prompt string, raw string")
     blob = F.regexp_extract("raw", r"(?s)(\{.*\})", 1)
-    return raw.select("case_id", "record", F.lit(model).alias("model"), "raw", F.from_json(blob, JUDGEMENT).alias("judgement"))
+    return raw.select("case_id", "record", F.lit(model).alias("model"), "raw", F.from_json(blob, lexicons.JUDGEMENT).alias("judgement"))
