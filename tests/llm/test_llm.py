@@ -621,3 +621,34 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
     size = lambda t: len(plain.encode(t or "", add_special_tokens=False).ids) + 1
     rows[204] = rows[204].split("\n")[0]  # the later copy of the line is cut
     assert {r.doc_id: r.length for r in out} == {i: size(rows[i]) for i in want}
+
+
+def test_lm_sums_by_tables_are_those_of_scores():
+    words_, counts = np.arange(5, 305, dtype=np.uint64), np.arange(300, 0, -1)
+    tail = np.array([[9, 4], [9, 3], [0, 0]])
+    vocabulary = lm_score.Vocabulary(words_, counts, 20, 30, 48 + int(counts.sum()), 308, tail, 17)
+    model, rng = lm_score.LogBilinear(vocabulary, 8), np.random.default_rng(2)
+    for x in model.parts()[:3]:
+        x *= 10
+    a, b, item = (rng.integers(0, n, 3000) for n in (len(vocabulary.top), 30, len(vocabulary.top)))
+    item[item == lm_score.OTHER] = lm_score.END
+    want = []
+    for i, j, k in zip(a, b, item):
+        r = (model.first[i] + model.second[j]).astype(float)
+        s = model.out @ r + model.bias
+        own = s[vocabulary.top[k]] - np.log(np.exp(s).sum())
+        if k >= vocabulary.first_member:
+            m = k - vocabulary.first_member
+            rows = slice(vocabulary.low[m], vocabulary.high[m])
+            s = model.inner[rows] @ r + model.slope[rows]
+            own += s[m - vocabulary.low[m]] - np.log(np.exp(s).sum())
+        want.append(own / math.log(10))
+    plain = model.log10(a, b, item)
+    model.factors(cells=100 * vocabulary.size)  # tables of a part of the rows
+    assert len(model.tables[0]) == 100
+    assert np.allclose(plain, want, atol=1e-4) and np.allclose(model.log10(a, b, item), want, atol=1e-4)
+    # factors beyond exact range leave the tables out
+    model.first *= 1e3
+    model.tables = tuple(x[:0] for x in model.tables)
+    model.factors()
+    assert not len(model.tables[0]) and np.isfinite(model.log10(a, b, item)).all()

@@ -8,7 +8,8 @@ its probability out by smoothed counts, one unseen word included. The probabilit
 the class, both softmaxes, so the distribution over words is normalised. The model (Mnih and Teh 2012) predicts a vector from the two
 tokens before, scores by inner product and bias, and is trained with noise words: for outputs from the unigram distribution, within a class from its members alike.
 Each task runs through all its training texts, and the tasks' moves of each row are averaged by the tokens that made them, as often as there are
-rounds. Scoring is one matrix product for each batch of contexts, and one for each class that a batch has.
+rounds. As scores are sums of a part for each of the two tokens, the sum over the outputs is an inner product of two rows of exponentials, which
+a task makes once; classes take one matrix product each for a batch. Equal contexts of a batch are summed once.
 
 The counts of the ``known_words`` most frequent words are broadcast (a fixed bound); all other words meet their
 counts in a join on the word's number, whose groups are small as frequent words aren't in it.
@@ -128,6 +129,7 @@ class LogBilinear:
         self.squares = [np.full(len(x), 1e-8, np.float32) for x in self.parts()]
         #: tokens that have moved each row
         self.moved = [np.zeros(len(x), np.float32) for x in self.parts()]
+        self.tables = np.empty((0, v.size), np.float32), np.empty((0, v.size), np.float32)
 
     def parts(self) -> list[np.ndarray]:
         return [self.first, self.second, self.out, self.bias, self.inner, self.slope]
@@ -143,23 +145,33 @@ class LogBilinear:
         start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         rows, times = rows[start], np.diff(np.append(start, len(order)))
         for k, grad in zip(parts, grads):
-            x, total = self.parts()[k], np.add.reduceat(grad[order], start, axis=0)
-            own = self.squares[k][rows] + (total * total if total.ndim == 1 else np.einsum("ij,ij->i", total, total) / total.shape[1])
+            x, total = self.parts()[k], np.add.reduceat(grad.take(order, axis=0), start, axis=0)
+            own = self.squares[k].take(rows) + (total * total if total.ndim == 1 else np.einsum("ij,ij->i", total, total) / total.shape[1])
             self.squares[k][rows] = own
             pace = rate / np.sqrt(own)
-            x[rows] += pace * total if total.ndim == 1 else pace[:, None] * total
+            total *= pace if total.ndim == 1 else pace[:, None]
+            total += x.take(rows, axis=0)
+            x[rows] = total
             self.moved[k][rows] += times
 
     def learn(self, a: np.ndarray, b: np.ndarray, item: np.ndarray, rng: np.random.Generator, noise: int = 64, rate: float = 0.05) -> None:
         """One step on the tokens ``item`` after ``a`` and ``b``, with noise outputs that all of them share."""
         v = self.vocabulary
-        t, n, r = v.top[item], rng.choice(v.size, noise, p=v.unigram), self.first[a] + self.second[b]
+        t, n, r = v.top[item], rng.choice(v.size, noise, p=v.unigram), self.first.take(a, axis=0)
+        r += self.second.take(b, axis=0)
         chance = np.log(noise * v.unigram).astype(np.float32)
-        g_t = 1 / (1 + np.exp(np.einsum("ij,ij->i", r, self.out[t]) + self.bias[t] - chance[t]))
-        g_n = -1 / (1 + np.exp(-(r @ self.out[n].T + self.bias[n] - chance[n])))
+        out_t, out_n = self.out.take(t, axis=0), self.out[n]
+        g_t = 1 / (1 + np.exp(np.einsum("ij,ij->i", r, out_t) + self.bias[t] - chance[t]))
+        g_n = r @ -out_n.T
+        g_n -= self.bias[n] - chance[n]
+        np.exp(g_n, out=g_n)
+        g_n += 1
         scale = np.float32(1 / len(t))
-        g_t, g_n = g_t * scale, g_n * scale
-        g_r = g_t[:, None] * self.out[t] + g_n @ self.out[n]
+        g_t = g_t * scale
+        np.divide(-scale, g_n, out=g_n)
+        out_t *= g_t[:, None]
+        g_r = g_n @ out_n
+        g_r += out_t
         w_n = g_n.T @ r
         self._learn_members(r, item, g_r, rng, scale, rate)
         self._step((2, 3), np.concatenate([t, n]), [np.concatenate([g_t[:, None] * r, w_n]), np.concatenate([g_t, g_n.sum(0)])], rate)
@@ -178,7 +190,7 @@ class LogBilinear:
             return
         drawn = low[:, None] + (rng.random((len(at), noise), np.float32) * width[:, None]).astype(np.int64)
         j = np.concatenate([j[:, None], np.minimum(drawn, (low + width - 1)[:, None])], 1)
-        context, out = r[at], self.inner[j]
+        context, out = r.take(at, axis=0), self.inner.take(j, axis=0)
         s = np.einsum("id,ikd->ik", context, out) + self.slope[j] - np.log(noise / width).astype(np.float32)[:, None]
         g = 1 / (1 + np.exp(s))
         g[:, 1:] -= 1
@@ -186,37 +198,71 @@ class LogBilinear:
         g_r[at] += np.einsum("ik,ikd->id", g, out)
         self._step((4, 5), j.ravel(), [(g[:, :, None] * context[:, None, :]).reshape(-1, r.shape[1]), g.ravel()], rate)
 
-    def log10(self, a: np.ndarray, b: np.ndarray, item: np.ndarray, rows: int = 256) -> np.ndarray:
-        """Normalised log10 probability of each item after ``a`` and ``b``."""
-        v, one = self.vocabulary, np.ones((len(item), 1), np.float32)
-        r, t = np.concatenate([self.first[a] + self.second[b], one], 1), v.top[item]
-        w = np.concatenate([self.out, self.bias[:, None]], 1)
-        logp = np.einsum("ij,ij->i", r, w[t]).astype(float)
-        w = np.ascontiguousarray(w.T)
-        for k in range(0, len(item), rows):
-            logp[k : k + rows] -= _log_sum(r[k : k + rows] @ w)
+    def log10(self, a: np.ndarray, b: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Normalised log10 probability of each item after ``a`` and ``b``; equal contexts, and equal contexts of a class, are summed once."""
+        v, context = self.vocabulary, a * len(self.vocabulary.top) + b
+        context, place, of = np.unique(context, return_index=True, return_inverse=True)
+        a, b, t = a[place], b[place], v.top[item]
+        r = self.first.take(a, axis=0) + self.second.take(b, axis=0)
+        logp = (np.einsum("ij,ij->i", r.take(of, axis=0), self.out.take(t, axis=0)) + self.bias[t]).astype(float)
+        logp -= self._log_sums(a, b, r)[of]
         at = np.flatnonzero(item >= v.first_member)
-        at = at[np.argsort(item[at])]
-        member, r = item[at] - v.first_member, r[at]
-        own = (np.einsum("ij,ij->i", r[:, :-1], self.inner[member]) + self.slope[member]).astype(float)
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(v.low[member])) + 1, [len(at)]]) if len(at) else []
-        for i, j in zip(edges[:-1], edges[1:]):
-            low, high = v.low[member[i]], v.high[member[i]]
-            w = np.concatenate([self.inner[low:high], self.slope[low:high, None]], 1).T
-            for k in range(i, j, rows):
-                own[k : min(k + rows, j)] -= _log_sum(r[k : min(k + rows, j)] @ w)
-        logp[at] += own
+        if len(at):
+            member, own = item[at] - v.first_member, of[at]
+            kind, row = np.unique(v.low[member] * len(context) + own, return_inverse=True)
+            low, place = np.divmod(kind, len(context))
+            sums, edges = np.empty(len(kind)), np.concatenate([[0], np.flatnonzero(np.diff(low)) + 1, [len(low)]])
+            for i, j in zip(edges[:-1], edges[1:]):
+                rows = slice(low[i], v.high[low[i]])
+                sums[i:j] = _log_sum(r.take(place[i:j], axis=0), self.inner[rows], self.slope[rows])
+            logp[at] += np.einsum("ij,ij->i", r.take(own, axis=0), self.inner.take(member, axis=0)) + self.slope[member] - sums[row]
         return logp / math.log(10)
 
 
-def _log_sum(s: np.ndarray) -> np.ndarray:
-    """log(sum(exp(s))) of each row."""
-    with np.errstate(over="ignore"):
-        total = np.exp(s).sum(1)  # safe scores first: most matrices need no shift
-    if total.min() > 1e-30 and total.max() < 1e30:
-        return np.log(total)
-    most = s.max(1, keepdims=True)
-    return np.log(np.exp(s - most).sum(1)) + most[:, 0]
+    def factors(self, cells: int = 1 << 23) -> None:
+        """Keep exp(first @ out.T) and exp(second @ out.T + bias), so that the sum over the outputs is an inner product of two rows; of as many
+        rows as ``cells`` allow. Left out where a factor is so large or small that exactness is lost."""
+        rows = min(len(self.first), cells // len(self.out))
+        x, y = (np.empty((rows, len(self.out)), np.float32) for _ in range(2))
+        for table, vectors, bias in ((x, self.first, np.float32(0)), (y, self.second, self.bias)):
+            for k in range(0, rows, 256):
+                s = np.matmul(vectors[k : min(k + 256, rows)], self.out.T, out=table[k : k + 256])
+                s += bias
+                with np.errstate(over="ignore"):
+                    np.exp(s, out=s)
+                if not (s.min() > 1e-15 and s.max() < 1e15):
+                    return
+        self.tables = x, y
+
+    def _log_sums(self, a: np.ndarray, b: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """log(sum(exp(score))) over the outputs for each context; ``r`` has its vector."""
+        x, y = self.tables
+        near, out = np.maximum(a, b) < len(x), np.empty(len(a))
+        at = np.flatnonzero(near)
+        for k in range(0, len(at), 128):
+            i = at[k : k + 128]
+            out[i] = np.log(np.einsum("ij,ij->i", x.take(a[i], axis=0), y.take(b[i], axis=0)))
+        far = np.flatnonzero(~near)
+        out[far] = _log_sum(r[far], self.out, self.bias)
+        return out
+
+
+def _log_sum(r: np.ndarray, w: np.ndarray, bias: np.ndarray, cells: int = 1 << 16) -> np.ndarray:
+    """log(sum(exp(r @ w.T + bias))) of each row, in parts that the processor's caches hold."""
+    step, weight = max(1, cells // len(w)), np.exp(bias)
+    out, part, w = np.zeros(len(r)), np.empty((min(step, len(r)), len(w)), np.float32), np.ascontiguousarray(w.T)
+    for k in range(0, len(r), step):
+        rows = r[k : k + step]
+        s = np.matmul(rows, w, out=part[: len(rows)])
+        with np.errstate(over="ignore", invalid="ignore"):
+            total = np.exp(s, out=s) @ weight  # safe scores first: most matrices need no shift
+        if total.min() > 1e-30 and total.max() < 1e30 and weight.min() > 1e-15:
+            out[k : k + step] = np.log(total)
+        else:
+            s = rows @ w + bias
+            most = s.max(1, keepdims=True)
+            out[k : k + step] = np.log(np.exp(s - most).sum(1)) + most[:, 0]
+    return out
 
 
 def _tokens(texts: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple]:
@@ -294,6 +340,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared, dim: int) -> Iterator[pa.R
     model = LogBilinear(vocabulary, dim)
     if moves is not None:
         model.add(moves)
+    model.factors()
     names = ["row_id", "doc_id", "word", "times", "n_tokens", "n_known", "base", "score"]
     for batch in batches:
         for row, bounds, output, count, number in _tokens(batch.column(1), vocabulary):
