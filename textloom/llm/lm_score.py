@@ -33,7 +33,7 @@ from textloom.llm.common import settle
 from textloom.llm.words import SPACES, batches_of_words
 
 END, OTHER, FIRST = 0, 1, 2
-CHUNK = 1 << 12
+CHUNK = 1 << 15
 
 
 def is_held_out(id_: Column, parts: int = 7, part: int = 2) -> Column:
@@ -93,6 +93,10 @@ class Vocabulary:
         output[len(top) : len(top) + len(own)] = self.first_member + self.groups + np.arange(len(own))
         order = np.argsort(words)
         self.words, self.counts, self.output = words[order], counts[order], output[order]
+        #: by a word's last bits its slot, -1 where there is none, -2 where there are several
+        self.slots = np.full(1 << max(4, len(words).bit_length() + 3), -1, np.int32)
+        last, at, times = np.unique(self._last(self.words), return_index=True, return_counts=True)
+        self.slots[last] = np.where(times > 1, -2, at)
         #: by item its output
         more = np.arange(self.groups) // max(width, 1) if tail is not None else np.zeros(self.groups, np.int64)
         kind = np.concatenate([np.where(more == 0, OTHER, self.first_member + classes + more - 1), self.first_member + np.arange(len(own)) // width])
@@ -108,12 +112,17 @@ class Vocabulary:
         weight = np.concatenate([[texts + 1.0, inner[OTHER]], top.astype(float), inner[self.first_member :]])
         self.unigram = weight / weight.sum()
 
+    def _last(self, number: np.ndarray) -> np.ndarray:
+        return (number & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
     def find(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, count) of each word; count -1 for words that aren't known here."""
         far = self.first_member + number.view(np.int64) % self.groups
         if not len(self.words):
             return far, np.full(len(number), -1, np.int64)
-        slot = np.minimum(np.searchsorted(self.words, number), len(self.words) - 1)
+        slot = self.slots.take(self._last(number))
+        several = np.flatnonzero(slot == -2)
+        slot[several] = np.minimum(np.searchsorted(self.words, number[several]), len(self.words) - 1)
         hit = self.words[slot] == number
         return np.where(hit, self.output[slot], far), np.where(hit, self.counts[slot], -1)
 
@@ -144,8 +153,13 @@ class LogBilinear:
         rows = rows[order]
         start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         rows, times = rows[start], np.diff(np.append(start, len(order)))
+        many = np.flatnonzero(times > 1)
+        repeats = order[np.repeat(times > 1, times)]
+        edges = np.concatenate([[0], np.cumsum(times[many])[:-1]]).astype(np.int64)
         for k, grad in zip(parts, grads):
-            x, total = self.parts()[k], np.add.reduceat(grad.take(order, axis=0), start, axis=0)
+            x, total = self.parts()[k], grad.take(order[start], axis=0)
+            if len(many):
+                total[many] = _summed(grad.take(repeats, axis=0), edges)
             own = self.squares[k].take(rows) + (total * total if total.ndim == 1 else np.einsum("ij,ij->i", total, total) / total.shape[1])
             self.squares[k][rows] = own
             pace = rate / np.sqrt(own)
@@ -247,10 +261,17 @@ class LogBilinear:
         return out
 
 
+def _summed(grad: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows; pairs of columns are added as one complex number, as time goes by columns here."""
+    pairs = grad.ndim == 2 and grad.shape[1] % 2 == 0
+    total = np.add.reduceat(grad.view(np.complex64) if pairs else grad, edges, axis=0)
+    return total.view(np.float32) if pairs else total
+
+
 def _log_sum(r: np.ndarray, w: np.ndarray, bias: np.ndarray, cells: int = 1 << 16) -> np.ndarray:
     """log(sum(exp(r @ w.T + bias))) of each row, in parts that the processor's caches hold."""
     step, weight = max(1, cells // len(w)), np.exp(bias)
-    out, part, w = np.zeros(len(r)), np.empty((min(step, len(r)), len(w)), np.float32), np.ascontiguousarray(w.T)
+    out, part, w = np.zeros(len(r)), np.empty((min(step, len(r)), len(w)), np.float32), w.T
     for k in range(0, len(r), step):
         rows = r[k : k + step]
         s = np.matmul(rows, w, out=part[: len(rows)])
