@@ -7,6 +7,7 @@ import pytest
 
 from textloom.operators import linking as N
 from textloom.operators import ontology as O
+from textloom.plans import scratch
 
 
 @pytest.fixture(scope="module")
@@ -114,3 +115,41 @@ def test_extended_closure_is_the_closure_of_all_edges(spark, graph, seed):
     assert got == {(c, anc, lo, hi) for (c, anc), (lo, hi) in walks(edges | late).items()}
     with pytest.raises(ValueError, match="cycle"):
         O.extend_closure(up, frame({("n0", "n59")}))
+
+
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+def test_closure_makes_each_pair_of_a_leaf_once(spark, graph, monkeypatch, sent):
+    edges, isa, _ = graph
+    made = []
+
+    def keep(df, name):
+        out = settled(df, name)
+        if name.startswith("closure"):
+            made.append(out.count())
+        return out
+
+    settled = O.settled
+    monkeypatch.setattr(O, "settled", keep)
+    lone = spark.createDataFrame([("alone",), ("n3",), (None,)], "c string")
+    got = [tuple(r)[:4] for r in O.closure(isa.union(isa), lone, paths=True, sent=sent).select("c", "anc", "min_hops", "max_hops").collect()]
+    leaves = {c for c, _ in edges} - {p for _, p in edges} | {"alone"}
+    assert dict(((c, anc), (lo, hi)) for c, anc, lo, hi in got) == walks(edges) | {("alone", "alone"): (0, 0)} and len(got) == len(walks(edges)) + 1
+    assert sum(made) == sum(c in leaves for c, _, _, _ in got)
+    with pytest.raises(ValueError, match="cycle"):
+        O.closure(isa.union(spark.createDataFrame([("n0", "n59")], "child string, parent string")), sent=sent)
+
+
+def test_closure_paths_are_the_smallest_shortest(spark, graph):
+    edges, isa, _ = graph
+    best = {}
+    level = {(c,) for e in edges for c in e}
+    while level:
+        for path in sorted(level):
+            best.setdefault((path[0], path[-1]), path)
+        level = {(*p, up) for p in level for n, up in edges if n == p[-1]}
+        level = {p for p in level if (p[0], p[-1]) not in best}
+    assert {(r.c, r.anc): tuple(r.path) for r in O.closure(isa, paths=True).collect()} == best
+
+
+def test_tasks_follow_rows_and_not_shuffle_partitions(spark):
+    assert scratch.spread(spark.range(1000), "id", each=100).rdd.getNumPartitions() == 10
