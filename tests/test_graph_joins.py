@@ -7,6 +7,7 @@ import pytest
 
 from textloom.operators import linking as N
 from textloom.operators import ontology as O
+from textloom.operators import paired as P
 from textloom.plans import scratch
 
 
@@ -153,3 +154,22 @@ def test_closure_paths_are_the_smallest_shortest(spark, graph):
 
 def test_tasks_follow_rows_and_not_shuffle_partitions(spark):
     assert scratch.spread(spark.range(1000), "id", each=100).rdd.getNumPartitions() == 10
+
+
+@pytest.mark.parametrize("most", [10_000, 0, 30])
+@pytest.mark.parametrize("min_gap", [0, 3])
+def test_related_pairs_of_small_and_wide_cases(spark, graph, most, min_gap):
+    edges, _, up = graph
+    all_ = walks(edges)
+    rng = random.Random(4)
+    depth = {c: hi for (c, anc), (_, hi) in all_.items() if anc == "n0"}
+    rows = sorted({(case, rng.choice("AB"), f"e{k % 7}", f"n{k}", depth[f"n{k}"], 1 + k % 3) for case in range(6) for k in (rng.randrange(60) for _ in range(4 + 5 * case))})
+    rows += [(1, "A", "lone", None, None, 1), (1, "B", "odd", "x9", 2, 1)]
+    want = set()
+    for ca, sa, ea, a, da, na in rows:
+        for cb, sb, eb, b, db, nb in rows:
+            if ca == cb and (sa, sb) == ("A", "B") and None not in (a, b) and abs(da - db) >= min_gap:
+                want |= {(ca, ea, eb, a, b, da, db, na, nb, s, abs(da - db)) for s, pair in (("A", (b, a)), ("B", (a, b))) if a != b and pair in all_}
+    mentions = spark.createDataFrame(rows, "case_id long, side string, entity string, concept string, depth int, n long")
+    got = P.related_pairs(mentions, up, min_gap, most).select("case_id", "entity_a", "entity_b", "ca", "cb", "depth_a", "depth_b", "count_a", "count_b", "broader", "gap").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
