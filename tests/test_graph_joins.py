@@ -173,3 +173,12 @@ def test_related_pairs_of_small_and_wide_cases(spark, graph, most, min_gap):
     mentions = spark.createDataFrame(rows, "case_id long, side string, entity string, concept string, depth int, n long")
     got = P.related_pairs(mentions, up, min_gap, most).select("case_id", "entity_a", "entity_b", "ca", "cb", "depth_a", "depth_b", "count_a", "count_b", "broader", "gap").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_hulls_meet_only_edges_above_their_concepts(spark, graph):
+    edges, isa, _ = graph
+    seeds = spark.createDataFrame([(1, "n20"), (2, "n20"), (2, "n9")], "prefix long, concept string")
+    first = {(c, p) for c, p in edges if c in ("n20", "n9")}
+    want = first | {(c, p) for c, p in edges if c in {p for _, p in first}}
+    got = [tuple(r) for r in O.edges_above(seeds, isa.union(isa), 2).collect()]
+    assert len(got) == len(want) and set(got) == want
