@@ -131,6 +131,23 @@ def test_recall_of_the_sampled_keys():
     assert found >= 0.95 * len(items)
 
 
+def test_windows_walk_while_an_item_is_open(monkeypatch):
+    """An exact copy meets at once and closes what overlaps it; others walk only until they have met the items that they can be near."""
+    rng = random.Random(12)
+    items = [(i, words(rng, 40, 3000)) for i in range(6)]
+    w = items[1][1].split()
+    w[5:6], w[20], w[30] = ["new", "words"], "other", "third"
+    texts = [f"{words(rng, 99)} {items[0][1]} {words(rng, 99)}", f"{words(rng, 99)} {' '.join(w)} {words(rng, 99)}", words(rng, 500, 3000)]
+    index, walked, measured = decontaminate.ItemIndex(items, 0.2, 5, 2, 0.99), [], []
+    embed, distance = decontaminate.embed, decontaminate.edit_distance
+    monkeypatch.setattr(decontaminate, "embed", lambda x, *a: walked.append(len(x)) or embed(x, *a))
+    monkeypatch.setattr(decontaminate, "edit_distance", lambda x, *a: measured.append(len(x)) or distance(x, *a))
+    got = decontaminate.spans(texts, index)
+    assert [[(s["item_id"], s["start_word"], s["end_word"], s["edits"]) for s in x] for x in got] == [[(0, 99, 139, 0)], [(1, 99, 140, 4)], []]
+    windows, draws = walked[0], decontaminate.repetitions(0.2, 2, 0.99)
+    assert len(walked) <= draws and sum(walked) < 0.6 * draws * windows and sum(measured) < windows
+
+
 def test_packing(spark, texts):
     path = queries.tokenizer_path()
     from tokenizers import Tokenizer

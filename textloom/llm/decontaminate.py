@@ -6,7 +6,8 @@ the whole text; the q-gram lemma first discards, without loss, windows with too
 random walk (Chakraborty, Goldenberg, Koucky 2016) maps a window to three times its length, so that few edits
 become few differing places; ``samples`` sampled places are an LSH key, and as many repetitions are drawn as the
 target recall needs. Windows and items that share a key in any repetition are verified by a banded edit distance
-with a free end.
+with a free end. A window walks only as long as an item is open to it: one whose pairs it has enough of (the lemma
+again, item by item), that it has not met, and of which no exact copy overlaps it.
 
 The items are broadcast in blocks of bounded size; every block meets every document in a map over the documents, which
 needs no shuffle and no state.
@@ -58,7 +59,7 @@ class Numbers(dict):
     def __missing__(self, raw: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        word = NOT_WORD.sub("", raw)
+        word = raw if raw.isalnum() else NOT_WORD.sub("", raw)
         self[raw] = number = self.vocabulary.get(word, 0) if word else -1
         return number
 
@@ -92,14 +93,17 @@ class ItemIndex:
             places = [np.sort(rng.choice(3 * n, min(samples, 3 * n), replace=False)) for _ in range(repetitions(max_rate, samples, recall))]
             salts = rng.integers(1, 2**63, (len(places), 3 * n), dtype=np.int64).astype(np.uint64) | np.uint64(1)
             tables = []
-            for p, s in zip(places, salts):
+            # short walks first: what they find needs no long ones
+            for p, s in sorted(zip(places, salts), key=lambda x: int(x[0][-1])):
                 keys = embed(words, p, s)
                 order = np.argsort(keys, kind="stable")
-                tables.append((keys[order], order))
-            own_pairs = np.searchsorted(self.pairs, np.unique(words[:, :-1] * self.size + words[:, 1:]))
+                tables.append((p, s, keys[order], order))
+            slots = np.searchsorted(self.pairs, words[:, :-1] * self.size + words[:, 1:])
+            #: each pair of the group once for each item that has it
+            held = np.unique(slots * len(own) + np.arange(len(own))[:, None])
             #: longest window: what lies between two texts
             self.reach = n + int(max_rate * n)
-            self.groups.append((n, int(max_rate * n), np.array([i for i, _ in own]), words, places, salts, tables, own_pairs))
+            self.groups.append((n, int(max_rate * n), np.array([i for i, _ in own]), words, tables, held))
 
 
 def embed(words: np.ndarray, places: np.ndarray, salts: np.ndarray) -> np.ndarray:
@@ -168,19 +172,24 @@ def spans(texts: list[str | None], index: ItemIndex, numbers: Numbers | None = N
     slot = np.minimum(np.searchsorted(index.pairs, pair), len(index.pairs) - 1)
     real = index.pairs[slot] == pair
     both, slot = both[real], slot[real]
+    slots = np.full(len(words), len(index.pairs), np.int64)
+    slots[both] = slot
     found = []
-    for n, most, ids, items, places, salts, tables, pairs in index.groups:
-        own = np.zeros(len(index.pairs), bool)
-        own[pairs] = True
+    for n, most, ids, items, tables, held in index.groups:
+        # the items that have a pair: who[first[slot]:first[slot + 1]]; of the last slot, no pair of the index, none
+        who, first = held % len(items), np.searchsorted(held, np.arange(len(index.pairs) + 2) * len(items))
+        own = np.diff(first) > 0
         # more edits than pairs can tell of: every place is asked
         starts = _starts(both[own[slot]], n, most) if n - 1 - 2 * most > 0 else np.arange(len(words) - n - most + 1)
         starts = starts[starts >= 0]
         doc = np.searchsorted(bounds[:, 0], starts, "right") - 1
         inside = starts + (n - most) <= bounds[doc, 1]
         starts, doc = starts[inside], doc[inside]
-        step = max(1, CELLS // (n + most))
+        step = max(1, CELLS // max(n + most, len(items)))
         for c in range(0, len(starts), step):
-            found += _verified(words, starts[c : c + step], bounds[doc[c : c + step], 1], doc[c : c + step], n, most, ids, items, places, salts, tables)
+            at = starts[c : c + step]
+            open_ = _enough(slots[at[:, None] + np.arange(n + most - 1)], who, first, len(items), n - 1 - 2 * most)
+            found += _verified(words, at, bounds[doc[c : c + step], 1], doc[c : c + step], n, most, ids, items, tables, open_, int(starts[c - 1]) if c else -n)
     taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for d, item, a, b, e in sorted(found, key=lambda x: (x[0], x[4], x[1], x[2], x[3])):
         if all(b <= x or y <= a for x, y in taken.setdefault((d, item), [])):
@@ -204,26 +213,46 @@ def _starts(at: np.ndarray, n: int, most: int) -> np.ndarray:
     return np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
-def _verified(words, starts, ends, doc, n, most, ids, items, places, salts, tables) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, start, end, edits) of the windows of n words that share a key with an item and are near it."""
+def _enough(slots: np.ndarray, who: np.ndarray, first: np.ndarray, items: int, need: int) -> np.ndarray:
+    """Whether a window (row) has ``need`` places or more with pairs of an item (column): fewer are more than the most edits away."""
+    if need <= 0:
+        return np.ones((len(slots), items), bool)
+    slot = slots.ravel()
+    count = first[slot + 1] - first[slot]
+    window = np.repeat(np.arange(len(slots)), count.reshape(slots.shape).sum(1))
+    item = who[np.repeat(first[slot] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+    return np.bincount(window * items + item, minlength=len(slots) * items).reshape(-1, items) >= need
+
+
+def _verified(words, starts, ends, doc, n, most, ids, items, tables, open_, before) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, start, end, edits) of the windows of n words that share a key with an item open to them and are near it. Windows up to ``before`` were asked already."""
     windows = words[starts[:, None] + np.arange(n + most)]
-    meet = []
-    for p, s, (keys, order) in zip(places, salts, tables):
-        key = embed(windows[:, :n], p, s)
+    out, meet = [], [np.zeros(0, np.int64)]
+    for k, (p, s, keys, order) in enumerate(tables):
+        asked = np.flatnonzero(open_.any(1))
+        if not len(asked):
+            break
+        key = embed(windows[asked, :n], p, s)
         lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
         count = hi - lo
-        w = np.repeat(np.arange(len(key)), count)
-        meet.append(w * len(items) + order[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())])
-    window, item = np.divmod(np.unique(np.concatenate(meet)), len(items))
-    exact = (windows[window, :n] == items[item]).all(1) & (starts[window] + n <= ends[window])
-    out = list(zip(doc[window[exact]].tolist(), ids[item[exact]].tolist(), starts[window[exact]].tolist(), (starts[window[exact]] + n).tolist(), [0] * int(exact.sum())))
-    # what lies within a few words of an exact copy overlaps it with more edits
-    step = len(words) + 1
-    at, copies = item * step + starts[window], np.sort(item[exact] * step + starts[window[exact]])
-    if len(copies):
-        after = np.minimum(np.searchsorted(copies, at), len(copies) - 1)
-        away = np.minimum(np.abs(copies[after] - at), np.abs(copies[np.maximum(after - 1, 0)] - at)) > most
-        window, item = window[away], item[away]
+        window, item = np.repeat(asked, count), order[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        new = open_[window, item]
+        window, item = window[new], item[new]
+        open_[window, item] = False
+        if not k:  # exact copies share every key
+            exact = (windows[window, :n] == items[item]).all(1) & (starts[window] + n <= ends[window])
+            copy = starts[window[exact]]
+            out += zip(doc[window[exact]].tolist(), ids[item[exact]].tolist(), copy.tolist(), (copy + n).tolist(), [0] * len(copy))
+            step = len(words) + n
+            copies = np.sort(item[exact][copy >= before + n] * step + copy[copy >= before + n])
+            copies = copies[np.diff(copies, prepend=-n) >= n]  # others may give way to the copy before them
+            away = _away(copies, item * step + starts[window], n - most)
+            window, item = window[away], item[away]
+            w, i = np.nonzero(open_)
+            near = ~_away(copies, i * step + starts[w], n - most)
+            open_[w[near], i[near]] = False
+        meet.append(window * len(items) + item)
+    window, item = np.divmod(np.concatenate(meet), len(items))
     step = max(1, CELLS // (n + 2 * most))
     for k in range(0, len(window), step):
         w, i = window[k : k + step], item[k : k + step]
@@ -234,6 +263,14 @@ def _verified(words, starts, ends, doc, n, most, ids, items, places, salts, tabl
     return out
 
 
+def _away(copies: np.ndarray, at: np.ndarray, shortest: int) -> np.ndarray:
+    """Whether no exact copy that stays starts within so many words: stretches of ``shortest`` words or more would overlap it, with more edits."""
+    if not len(copies):
+        return np.ones(len(at), bool)
+    after = np.minimum(np.searchsorted(copies, at), len(copies) - 1)
+    return np.minimum(np.abs(copies[after] - at), np.abs(copies[np.maximum(after - 1, 0)] - at)) >= shortest
+
+
 def _parts(texts: list[str | None], gap: int, chars: int = 8_000_000) -> Iterator[list[str | None]]:
     """Consecutive texts of about so many characters, gaps of so many words included: bounds a task's memory, whatever the batch holds."""
     part, size = [], 0
