@@ -91,3 +91,27 @@ def test_spans_of_one_model_pass(spark, tmp_path):
     held = {(r.case_id, r.entity, r.i, r.sentence, r.n) for r in linking.entities_of(spans).where("corpus = 'A'").collect()}
     assert held == {(1, "al", 0, "Al is here.", 1), (1, "cy", 1, " bo\nsaw Cy!", 1), (3, "names", None, None, 1)}
     assert linking.entities_of(spans).where("corpus = 'B'").agg(F.sum("n")).first()[0] == 400
+
+
+def test_tasks_hold_bounded_parts_of_a_batch(spark, monkeypatch):
+    """However many spans the texts of a batch have, a frame holds few of them, and the rows are the same."""
+    rows = [("A", k, "Xy Zz. " * 400) for k in range(60)]
+    docs = spark.createDataFrame(rows, "corpus string, case_id int, text string").coalesce(1)
+
+    def load():
+        import re
+
+        return lambda texts: [([(*m.span(), "NAME") for m in re.finditer("[A-Z][a-z]+", t)], [m.span() for m in re.finditer("[^.]+[.]", t)]) for t in texts]
+
+    def names():
+        return lambda texts: [["Xy", "Zz"] * 400 for _ in texts]
+
+    frames, made = [], type(docs).mapInPandas
+    monkeypatch.setattr(type(docs), "mapInPandas", lambda self, find, schema: frames.append(find) or made(self, find, schema))
+    linking.recognised_spans(docs, load), linking.recognised_entities(docs, names)
+    for find, want in zip(frames, (60 * 1200, 60 * 800)):
+        sizes = [len(f) for f in find(iter([docs.toPandas()]))]
+        assert sum(sizes) == want and max(sizes) <= 10_000
+    monkeypatch.undo()
+    assert {(r.kind, r["count"]) for r in linking.recognised_spans(docs, load).groupBy("kind").count().collect()} == {("entity", 48_000), ("sentence", 24_000)}
+    assert {(r.entity, r.n) for r in linking.recognised_entities(docs, names).select("entity", "n").collect()} == {("xy", 400), ("zz", 400)}
