@@ -182,3 +182,29 @@ def test_hulls_meet_only_edges_above_their_concepts(spark, graph):
     want = first | {(c, p) for c, p in edges if c in {p for _, p in first}}
     got = [tuple(r) for r in O.edges_above(seeds, isa.union(isa), 2).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("most", [0, 40, 60, 10_000])
+def test_trimmed_graph_cuts_sentences_only(spark, most, monkeypatch):
+    """Against sets; edges are settled once and not shuffled by their ends."""
+    rng = random.Random(most)
+    rows = [(rng.choice([None, *range(30)]), rng.choice([None, *(f"e{k}" for k in range(9))]), rng.choice([None, *(f"c{k}" for k in range(9))])) for _ in range(150)]
+    isa = [(f"c{rng.randrange(14)}", f"c{rng.randrange(14)}") for _ in range(40)]
+    graph = O.explanation_graph(spark.createDataFrame(rows, "sentence int, entity string, concept string"), spark.createDataFrame(isa, "child string, parent string"))
+    name = lambda k, x: None if x is None else f"{k}:{x}"
+    want = {(name("S", s), name("E", e), "mentions") for s, e, _ in rows} | {(name("E", e), f"C:{c}", "maps_to") for _, e, c in rows if c}
+    want |= {(f"C:{a}", f"C:{b}", "is_a") for a, b in isa if a in {c for _, _, c in rows}}
+    assert sorted(map(str, map(tuple, graph.collect()))) == sorted(map(str, want))
+    degree = {}
+    for a, b, _ in want:
+        for x in (a, b):
+            degree[x] = degree.get(x, 0) + 1
+    fixed = {x for x in degree if x and x[0] in "CE"}
+    cut = sorted(set(degree) - fixed, key=lambda x: (-degree[x], x is not None, x))[: max(0, most - len(fixed))]
+    names = []
+    monkeypatch.setattr(O, "settled", lambda d, n: names.append(n) or scratch.settled(d, n))
+    nodes, edges = O.trimmed_graph(graph, most)
+    assert {(r.id, r.degree) for r in nodes.collect()} == {(x, degree[x]) for x in fixed | set(cut)} and nodes.count() == len(fixed) + len(cut)
+    kept = fixed | set(cut) - {None}
+    assert sorted(map(str, map(tuple, edges.collect()))) == sorted(str(x) for x in want if x[0] in kept and x[1] in kept)
+    assert names.count("graph-edges") == 1 and "Exchange hashpartitioning" not in edges._jdf.queryExecution().executedPlan().toString()
