@@ -669,3 +669,33 @@ def test_lm_sums_by_tables_are_those_of_scores():
     model.tables = tuple(x[:0] for x in model.tables)
     model.factors()
     assert not len(model.tables[0]) and np.isfinite(model.log10(a, b, item)).all()
+
+
+def test_fit_starts_no_workers_for_rows_of_its_own(spark, monkeypatch):
+    rows, labels, toxic, _ = labelled(spark)
+    table, given, make = docs(spark, rows), [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: given.append(type(data)) or make(self, data, *a, **b))
+    kept = toxicity.drop_toxic(table, labels).collect()
+    assert {r.doc_id for r in kept} == {i for i, t in enumerate(toxic) if not t} and list not in given
+
+
+def test_maps_give_memory_back_after_their_task():
+    """Python workers live on: what a task has freed must not stay beside the tasks of later stages."""
+    import subprocess
+    import sys
+
+    code = """
+import sys
+import numpy as np, psutil, pyarrow as pa
+from textloom.llm import text_features
+held = lambda: psutil.Process().memory_full_info().uss / 2**20
+rng = np.random.default_rng(1)
+texts = lambda: [" ".join(map(str, rng.integers(0, 1 << 40, 150))) for _ in range(8000)]
+batch = lambda: pa.RecordBatch.from_arrays([pa.array(np.arange(8000)), pa.array(texts())], names=["key", "text"])
+task = lambda: sum(out.num_rows for out in text_features._featured(batch() for _ in range(2)))
+before = held()
+assert task() == 16000
+print(held() - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=packing.__file__.rsplit("/", 3)[0])
+    assert float(done.stdout) < 57, done.stdout  # 40 MB; 74 if nothing is given back

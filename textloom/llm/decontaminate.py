@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import freeing
+
 NOT_WORD = re.compile(r"\W+")
 SPAN = "array<struct<item_id:long,start_word:int,end_word:int,edits:int>>"
 #: Words of all windows that are looked at together.
@@ -293,6 +295,7 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars:
 
 def _scanner(shared):
     @F.pandas_udf(SPAN)
+    @freeing
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = shared.value
         numbers = Numbers(index.vocabulary)

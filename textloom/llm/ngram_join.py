@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import discard, settle
+from textloom.llm.common import discard, freeing, settle
 from textloom.llm.components import components
 from textloom.llm.words import SPACES, batches_of_words, mix
 
@@ -64,6 +64,7 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray,
         yield row, np.searchsorted(own, np.arange(len(count) + 1)), key
 
 
+@freeing
 def _keys_and_counts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """For each document its id, set size and a 128-bit key of the set; then, by chunks, how many sets have a shingle in each bucket."""
     total = np.zeros(BUCKETS, np.int64)
@@ -85,6 +86,7 @@ def _add_counts(pdf):
     return pdf.head(1).assign(counts=[np.sum([np.frombuffer(x, np.int64) for x in pdf["counts"]], axis=0).tobytes()])
 
 
+@freeing
 def _prefixes(batches: Iterator[pa.RecordBatch], words: int, percent: int, rarity) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, pivots): the window of nearest singleton pivots, rarest first."""
     order_of = rarity.value
@@ -102,6 +104,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, percent: int, rarit
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(n)), pa.array(n), lists], schema=schema)
 
 
+@freeing
 def _sets(batches: Iterator[pa.RecordBatch], words: int, asked) -> Iterator[pa.RecordBatch]:
     """(doc_id, shingles) of the documents whose hash is marked among those asked for, each once in a task."""
     bits, seen = asked.value, set()
@@ -131,6 +134,7 @@ def _bitmap(ids: DataFrame, size: int = 1 << 23) -> np.ndarray:
     return out
 
 
+@freeing
 def _maybe_shared(batches: Iterator[pa.RecordBatch], bits, percent: int) -> Iterator[pa.RecordBatch]:
     """The windows without the pivots whose bit isn't set; ``most`` is the largest set that a document can meet first at the pivot.
 

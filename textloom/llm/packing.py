@@ -21,12 +21,15 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import settle
+from textloom.llm.common import freeing, settle
 
 PIECES = "doc_id long, row_id long, piece int, start long, length long, ids_crc32 long"
+PIECES_SCHEMA = pa.schema([(name, pa.int32() if kind == "int" else pa.int64()) for name, kind in (c.split() for c in PIECES.split(", "))])
 #: A word of plain letters, then signs: no normal form, case or pattern of a tokenizer reaches across the two.
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00fe]+)([!-/:-@\[-`{-~]*)")
 
@@ -148,32 +151,30 @@ class WordTokenizer:
         return [self.word_ids.of(n)[0] for n in numbers]
 
 
-def _tokenise(batches: Iterator[pd.DataFrame], path: str, capacity: int, end_id: int) -> Iterator[pd.DataFrame]:
+@freeing
+def _tokenise(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     tokenizer = WordTokenizer(path)  # for this task only: workers live on and would keep its memory
     end = np.array([end_id], np.uint32)
     for batch in batches:
-        docs, rows = batch["doc_id"].tolist(), batch["row_id"].tolist()
-        texts = ["" if t is None else t for t in batch["text"].tolist()]
+        end_at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         k = 0
-        while k < len(texts):  # parts of bounded size: a batch may hold many long texts
-            upto, size = k, 0
-            while upto < len(texts) and (upto == k or size < 4_000_000):
-                size += len(texts[upto])
-                upto += 1
+        while k < batch.num_rows:  # parts of bounded size: a batch may hold many long texts, and only a part's are made Python's
+            upto = max(k + 1, int(np.searchsorted(end_at, (end_at[k - 1] if k else 0) + 4_000_000, "right")))
+            docs, rows, texts = (batch.column(i).slice(k, upto - k).to_pylist() for i in range(3))
             cols: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, row, ids in zip(docs[k:upto], rows[k:upto], tokenizer.encode(texts[k:upto])):
+            for doc, row, ids in zip(docs, rows, tokenizer.encode(["" if t is None else t for t in texts])):
                 ids = np.concatenate([ids, end])
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     own = ids[start : start + capacity]
                     for c, v in zip(cols, (doc, row, piece, start, len(own), zlib.crc32(own.astype("<u4").tobytes()))):
                         c.append(v)
-            yield pd.DataFrame({"doc_id": pd.array(cols[0], "Int64"), "row_id": cols[1], "piece": cols[2], "start": cols[3], "length": cols[4], "ids_crc32": cols[5]})
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, PIECES_SCHEMA)], schema=PIECES_SCHEMA)
             k = upto
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col="doc_id", text_col="text") -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(lambda x: _tokenise(x, tokenizer_path, capacity, end_id), PIECES)
+    return rows.mapInArrow(lambda x: _tokenise(x, tokenizer_path, capacity, end_id), PIECES)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

@@ -12,14 +12,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import words as W
-from textloom.llm.common import discard, settle
+from textloom.llm.common import discard, freeing, settle
 
 PREFIXES, SUFFIX = (5, 7), 2
 
@@ -67,6 +66,7 @@ def _distinct(row: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row[new], feature[new]
 
 
+@freeing
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The labels' columns and the distinct features of each row's text (the last column)."""
     for batch in batches:
@@ -174,7 +174,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, columns: list[str], id_col="do
     kept = chosen[0]
     got = rows.select(F.monotonically_increasing_id().alias("row"), "key", "fold", *ys, "features")
     if len(union):  # at most ``most`` features for each fold
-        listed = F.broadcast(rows.sparkSession.createDataFrame([(int(k), i) for i, k in enumerate(union.view(np.int64))], "feature long, slot int"))
+        # as Arrow: a list of rows would start Python workers of its own on every executor, and they stay
+        slots = pa.table({"feature": pa.array(union.view(np.int64)), "slot": pa.array(np.arange(len(union), dtype=np.int32))})
+        listed = F.broadcast(rows.sparkSession.createDataFrame(slots))
         pairs = got.select("row", F.explode("features").alias("feature")).join(listed, "feature").groupBy("row").agg(F.collect_list("slot").alias("slots"))
         got = got.drop("features").join(pairs, "row", "left")
     else:
@@ -218,11 +220,13 @@ def with_logits(docs: DataFrame, chain: Chain, text_col="text") -> DataFrame:
 
 
 def _scorer(shared):
-    @F.pandas_udf("array<double>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    @freeing
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         chain = shared.value
+        width = len(chain.labels)
         for texts in batches:
-            parts = [chain.logits(row, feature, n) for _, n, row, feature in features(pa.array(texts, pa.string(), from_pandas=True))]
-            yield pd.Series([x for part in parts for x in part.tolist()], dtype=object)
+            made = np.concatenate([np.zeros((0, width)), *(chain.logits(row, feature, n) for _, n, row, feature in features(texts))])
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * width), pa.array(made.ravel()))
 
     return score
