@@ -213,6 +213,18 @@ def test_top_k_leaves_lists_unread(spark):
     assert share.tolist() == [0, share[1]] and share[1] > 0 and [x.tolist() for x in found] == [[1], [0], [0]]
 
 
+def test_top_k_sends_no_side_to_all_tasks_and_meets_by_one_exchange_each(spark):
+    rng = np.random.default_rng(2)
+    v = np.floor(rng.normal(size=(700, 4)) * 256)
+    df = spark.createDataFrame([(i, [float(c) / 256 for c in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    made = topk.top_k(df, df, k=3, block_rows=16, chain=2)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange") == 3
+    scores = v @ v.T
+    want = [(q, r + 1, i, int(scores[q, i])) for q in range(700) for r, i in enumerate(sorted((i for i in range(700) if i != q), key=lambda i: (-scores[q, i], i))[:3])]
+    assert sorted(tuple(r)[:4] for r in made.collect()) == want
+
+
 def test_lm_score(spark, texts):
     rows = docs(spark, texts)
     made = {r.doc_id: r for r in lm_score.score_documents(rows, known_words=50, outputs=20).collect()}
