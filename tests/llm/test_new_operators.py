@@ -64,6 +64,30 @@ def test_collocations_with_joined_hashes_extra_columns_and_no_rows(spark, phrase
     assert not collocations.collocations(docs.limit(0)).collect()
 
 
+def test_grams_of_more_words_than_a_key_holds():
+    rng = random.Random(3)
+    text = sentences(rng, 3000, [f"W{i}" for i in range(200)] + ["w1", "ü"] * 60).encode()
+    want = defaultdict(Counter)
+    for piece in re.split(rb"[.,;:!?\x0A-\x0D]", text.lower()):
+        w = re.findall(rb"[^\x20\x09]+", piece)
+        for k in range(1, 12):
+            want[k].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    for n, (columns, count, hashes) in enumerate(collocations._grams("en", text, 11), 1):
+        words = [[x.encode() for x in names.take(c).to_pylist()] for names, c in columns]
+        assert dict(zip(zip(*words), count.tolist())) == want[n] and len(set(hashes.tolist())) == len(want[n])
+
+
+def test_rare_phrases_are_not_given_to_the_shuffle(spark, phrases, monkeypatch):
+    """Of the phrases that occur less often than asked, tasks give none but those that share the bits of frequent ones."""
+    given, settle = [], collocations.settle
+    monkeypatch.setattr(collocations, "settle", lambda df, name: given.append(df) or settle(df, name))
+    rows = spark.createDataFrame([("en", " ".join(f"v{i}x{j}" for j in range(50)) + " big apple pie") for i in range(40)], "lang string, text string").repartition(4)
+    made = collocations.phrase_counts(rows, 3, 10)
+    assert {(r.phrase, r.f) for r in made.collect()} == {(p, 40) for p in ("big", "apple", "pie", "big apple", "apple pie", "big apple pie")} | {("", 40 * 53)}
+    plan = given[-1]._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan and "Generate" not in plan
+
+
 def test_scores_beyond_64_bits(spark):
     a = 3_000_000_000
     rows = [("en", "a b", 2, a), ("en", "a", 1, a + 1), ("en", "b", 1, 2 * a)]
