@@ -184,6 +184,27 @@ def test_hulls_meet_only_edges_above_their_concepts(spark, graph):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_graphs_are_shuffled_by_their_prefix_only(spark):
+    """Against sets; what is dealt by the prefix once isn't shuffled by anything else."""
+    rng = random.Random(8)
+    pool = ["pain", "ache", "cold", "cough", "the"]
+    texts = [(g, i, " ".join(rng.choices(pool, k=4))) for g in range(12) for i in range(3)] * 2
+    rows = [(g, rng.choice(pool), f"c{rng.randrange(9)}") for g in range(12) for _ in range(4)] * 2
+    isa = sorted({(f"c{a}", f"c{b}") for a in range(1, 30) for b in rng.sample(range(a), min(a, 2))})
+    want = {(g, f"{g}S{i}", f"{g}E:{e}", "mentions") for g, i, t in texts for h, e, _ in rows if g == h and e in t.split()} | {(g, f"{g}E:{e}", f"{g}C:{c}", "maps_to") for g, e, c in rows}
+    for g in range(12):
+        step = {c: 0 for h, _, c in rows if g == h}
+        for k in (1, 2):
+            step |= {p: k for c, p in isa if step.get(c) == k - 1 and p not in step}
+        hull = {c for r, (c, k) in enumerate(sorted(step.items(), key=lambda x: (x[1], x[0]))) if r < 5 or not k}
+        want |= {(g, f"{g}C:{c}", f"{g}C:{p}", "is_a") for c, p in isa if {c, p} <= hull}
+    made = O.explanation_graphs(spark.createDataFrame(texts, "prefix long, i int, text string"), spark.createDataFrame(rows, "prefix long, entity string, concept string"), spark.createDataFrame(isa, "child string, parent string"), 2, 5)
+    got = [tuple(r) for r in made.collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = made._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert [x for x in plan if "Exchange hashpartitioning" in x and "prefix" in x and "REPARTITION_BY_COL" not in x] == [] and not [x for x in plan if "SortMergeJoin" in x]
+
+
 @pytest.mark.parametrize("most", [0, 40, 60, 10_000])
 def test_trimmed_graph_cuts_sentences_only(spark, most, monkeypatch):
     """Against sets; edges are settled once and not shuffled by their ends."""
