@@ -205,6 +205,24 @@ def test_graphs_are_shuffled_by_their_prefix_only(spark):
     assert [x for x in plan if "Exchange hashpartitioning" in x and "prefix" in x and "REPARTITION_BY_COL" not in x] == [] and not [x for x in plan if "SortMergeJoin" in x]
 
 
+def test_trimmed_graphs_deal_nodes_and_edges_once(spark, monkeypatch):
+    rng = random.Random(6)
+    nodes = [(g, f"{k}{i}", kind) for g in range(6) for k, kind, n in (("S", "sentence", 5), ("E", "entity", 3)) for i in range(n)]
+    edges = [(g, f"S{rng.randrange(6)}", f"{rng.choice('ES')}{rng.randrange(4)}") for g in range(7) for _ in range(14)]
+    want_nodes, want_edges = [], []
+    for g in range(7):
+        degree = {x: sum((a == x) + (b == x) for h, a, b in edges if h == g) for h, x, _ in nodes if h == g}
+        cut = sorted((x for x in degree if x[0] == "S"), key=lambda x: (-degree[x], x))[:3]
+        kept = {*cut, *(x for x in degree if x[0] == "E")}
+        want_nodes += [(h, x, k) for h, x, k in nodes if h == g and x in kept]
+        want_edges += [(h, a, b) for h, a, b in edges if h == g and {a, b} <= kept]
+    written = []
+    monkeypatch.setattr(O, "settled", lambda d, n: written.append(d) or scratch.settled(d, n))
+    got = O.trimmed_graphs(spark.createDataFrame(nodes, "prefix long, id string, kind string"), spark.createDataFrame(edges, "prefix long, src string, dst string"), 6)
+    assert sorted(map(tuple, got[0].collect())) == sorted(want_nodes) and sorted(map(tuple, got[1].collect())) == sorted(want_edges)
+    assert [d._jdf.queryExecution().executedPlan().toString().count("Exchange") for d in written] == [1]
+
+
 @pytest.mark.parametrize("most", [0, 40, 60, 10_000])
 def test_trimmed_graph_cuts_sentences_only(spark, most, monkeypatch):
     """Against sets; edges are settled once and not shuffled by their ends."""
